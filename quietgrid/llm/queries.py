@@ -6,13 +6,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, simhash
+from . import decontam, line_dedup, mixing, simhash, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(_read(spark, sf_dir, "documents"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    held_out = toxicity.remainder("doc_id", 3) == 1
+    model = toxicity.train_toxicity(docs, _read(spark, sf_dir, "labels"), ~held_out)
+    return toxicity.score_toxicity(docs, model, 0.7).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.benchmark_matches(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(_read(spark, sf_dir, "documents"), radius=2)
 
@@ -22,7 +37,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_simhash, op10_line_dedup)}
+    return {f.__name__: f for f in (op3_mixing, op5_toxicity, op6_decontamination, op8_simhash, op10_line_dedup)}
 
 
 WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -39,5 +54,32 @@ FROM k LEFT JOIN f ON k.key = f.key GROUP BY k.r, k.doc_id
 """
 
 
+OP3_SQL = r"""
+WITH z AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+                  md5('mix-1|' || coalesce(doc_id::VARCHAR, '')) AS draw FROM documents),
+s0 AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) AS n FROM z GROUP BY source),
+s1 AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rnk, sum(source_size) OVER ()::BIGINT AS total FROM s0),
+s2 AS (SELECT *, 1 + rnk % 3 AS w, 3 * source_size / (1 + rnk % 3)::DOUBLE AS ratio FROM s1),
+s3 AS (SELECT *, (total - coalesce(sum(3 * source_size) OVER b, 0))::DOUBLE / (sum(w) OVER () - coalesce(sum(w) OVER b, 0))::DOUBLE AS lvl
+       FROM s2 WINDOW b AS (ORDER BY ratio, rnk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+s4 AS (SELECT *, (SELECT lvl FROM s3 WHERE ratio > lvl ORDER BY ratio, rnk LIMIT 1) AS l FROM s3),
+s AS (SELECT source, rnk, source_size, total, ceil(n / 5000.0)::BIGINT AS shards,
+             coalesce(least(l * w, 3.0::DOUBLE * source_size), 0)::DOUBLE AS target FROM s4),
+p AS (SELECT z.*, s.rnk, s.source_size, s.total, s.target, ('0x' || substr(z.draw, 1, 8))::BIGINT % s.shards AS shard
+      FROM z JOIN s ON z.source IS NOT DISTINCT FROM s.source),
+c0 AS (SELECT rnk, shard, sum(size)::BIGINT AS cell, any_value(source_size) AS source_size, any_value(target) AS target, any_value(total) AS total FROM p GROUP BY ALL),
+c AS (SELECT *, target * cell / source_size AS share, floor(target * cell / source_size / 16 + 0.5)::BIGINT AS seats FROM c0 WHERE cell > 0),
+k AS (SELECT (floor(max(total) / 16.0) - sum(seats))::BIGINT AS lack, count(*) AS nc FROM c),
+t0 AS (SELECT c.*, k.lack, unnest(range(0, ceil(share / total * (abs(lack) + nc))::BIGINT + 2)) AS i FROM c, k WHERE lack <> 0),
+t AS (SELECT *, CASE WHEN lack > 0 THEN share / (2 * (seats + i) + 1) ELSE -share / (2 * (seats - i) - 1) END AS q FROM t0 WHERE lack > 0 OR seats > i),
+m AS (SELECT rnk, shard, sum(sign(lack))::BIGINT AS more FROM (SELECT *, row_number() OVER (ORDER BY q DESC, rnk, shard, i) AS place FROM t) WHERE place <= abs(lack) GROUP BY ALL),
+q AS (SELECT c.rnk, c.shard, seats + coalesce(more, 0) AS quota, ceil(cell / 16.0)::BIGINT AS blocks FROM c LEFT JOIN m USING (rnk, shard)),
+u AS (SELECT p.*, sum(size) OVER (PARTITION BY rnk, shard ORDER BY draw, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING)::BIGINT AS upto FROM p)
+SELECT doc_id, source, size, source_size, target,
+       coalesce(least(quota // blocks * size + greatest(0, least(upto, quota % blocks * 16) - (upto - size)), 3 * size), 0)::BIGINT AS taken
+FROM u LEFT JOIN q USING (rnk, shard)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op10_line_dedup": OP10_SQL}
+    return {"op3_mixing": OP3_SQL, "op10_line_dedup": OP10_SQL}
