@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, line_dedup, mixing, simhash, toxicity
+from . import decontam, line_dedup, lm_hmm, mixing, repetition, simhash, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_hmm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_hmm.score_texts(_read(spark, sf_dir, "documents"), toxicity.remainder("doc_id", 10) != 0)
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_read(spark, sf_dir, "documents"))
 
@@ -32,12 +36,16 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(_read(spark, sf_dir, "documents"), radius=2)
 
 
+def op9_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.repetition_rules(_read(spark, sf_dir, "documents"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup_report(_read(spark, sf_dir, "documents"), min_docs=10)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_mixing, op5_toxicity, op6_decontamination, op8_simhash, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_hmm_scoring, op3_mixing, op5_toxicity, op6_decontamination, op8_simhash, op9_repetition, op10_line_dedup)}
 
 
 WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
