@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, line_dedup, lm_hmm, mixing, repetition, simhash, toxicity
+from . import decontam, line_dedup, lm_hmm, mixing, repetition, simhash, suffix_dedup, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.benchmark_matches(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup_report(_read(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(_read(spark, sf_dir, "documents"), radius=2)
 
@@ -45,7 +49,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_hmm_scoring, op3_mixing, op5_toxicity, op6_decontamination, op8_simhash, op9_repetition, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_hmm_scoring, op3_mixing, op5_toxicity, op6_decontamination, op7_suffix_dedup, op8_simhash, op9_repetition, op10_line_dedup)}
 
 
 WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
