@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, line_dedup, lm_hmm, mixing, repetition, simhash, suffix_dedup, toxicity
+from . import decontam, html_blocks, line_dedup, lm_hmm, mixing, repetition, simhash, suffix_dedup, toxicity, weak_quality
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -17,10 +17,19 @@ def op1_hmm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_hmm.score_texts(_read(spark, sf_dir, "documents"), toxicity.remainder("doc_id", 10) != 0)
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_blocks.extract_main_text(_read(spark, sf_dir, "pages"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_read(spark, sf_dir, "documents"))
 
 
+def op4_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return weak_quality.score_quality(docs, weak_quality.train_quality(docs))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     held_out = toxicity.remainder("doc_id", 3) == 1
@@ -49,7 +58,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_hmm_scoring, op3_mixing, op5_toxicity, op6_decontamination, op7_suffix_dedup, op8_simhash, op9_repetition, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_hmm_scoring, op2_html_extraction, op3_mixing, op4_weak_quality, op5_toxicity, op6_decontamination, op7_suffix_dedup, op8_simhash, op9_repetition, op10_line_dedup)}
 
 
 WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
