@@ -1 +1,252 @@
-"""Queries."""
+"""Requests are orders and candidates their lines; disclosure vectors come from quantity and discount."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import caps, risk
+from ..operators import rules, select
+from .registry import Tables, query
+from .risk_queries import LEVELS_SQL, vectors, weighted_sql
+
+c = F.col
+
+CAND = f"""WITH k AS (SELECT l_orderkey AS request, l_partkey * 1000 + l_suppkey * 10 + l_linenumber AS candidate, l_orderkey, l_linenumber, l_partkey, CAST({weighted_sql(risk.DEFAULT_WEIGHTS)} AS DOUBLE) AS risk, CAST({weighted_sql({})} AS DOUBLE) AS plain,
+ {', '.join(f'CAST({s} AS BIGINT) AS v_{a}' for a, s in LEVELS_SQL.items())}, concat_ws('', {', '.join(f'CAST({LEVELS_SQL[a]} AS BIGINT)' for a in risk.LEX_ORDER)}) AS lex,
+ CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END AS margin, CAST(l_quantity AS BIGINT) * 10 AS latency, l_linenumber AS cost, l_suppkey % 4 AS priority, round(l_tax * 100, 2) AS utility, l_extendedprice AS position, l_discount < 0.09 AS feasible, l_returnflag AS bucket FROM lineitem)
+"""
+
+
+def candidates(t: Tables) -> DataFrame:
+    v = c("vec")
+    return vectors(t.lineitem).select(
+        c("l_orderkey").alias("request"), (c("l_partkey") * 1000 + c("l_suppkey") * 10 + c("l_linenumber")).alias("candidate"), "vec", risk.risk_score(v, risk.weight_map(risk.DEFAULT_WEIGHTS)).alias("risk"), risk.risk_score(v).alias("plain"), risk.lex_key(v).alias("lex"),
+        F.when(c("l_returnflag") == "R", 1.0).otherwise(0.0).alias("margin"), (c("l_quantity").cast("long") * 10).alias("latency"), c("l_linenumber").alias("cost"), (c("l_suppkey") % 4).alias("priority"), F.round(c("l_tax") * 100, 2).alias("utility"), c("l_extendedprice").alias("position"), (c("l_discount") < 0.09).alias("feasible"), c("l_returnflag").alias("bucket"), "l_linestatus",
+    )
+
+
+ORDERS = {
+    "weighted": "risk, lex, margin DESC, latency, cost, priority, position",
+    "utility_aware_weighted": "utility DESC, risk, lex, margin DESC, latency, cost, priority, position",
+    "utility_only": "utility DESC, priority, cost, position",
+    "latency_first": "latency, cost, risk, position",
+    "lexicographic": "lex, risk, cost, position",
+    "first_feasible": "position",
+}
+
+
+def _ranked(method: str):
+    return lambda t: select.select_pipeline(candidates(t), "request", method).select("request", "candidate")
+
+
+for _m, _o in ORDERS.items():
+    query(f"K01_select_{_m}", CAND + f"SELECT request, candidate FROM k WHERE feasible QUALIFY row_number() OVER (PARTITION BY request ORDER BY {_o}) = 1")(_ranked(_m))
+
+_BEATS = " AND ".join(f"b.v_{a} <= k.v_{a}" for a in risk.ATTRIBUTES) + " AND (" + " OR ".join(f"b.v_{a} < k.v_{a}" for a in risk.ATTRIBUTES) + ")"
+query("K01_select_pareto_then_weighted", CAND + f", p AS (SELECT * FROM k WHERE feasible AND NOT EXISTS (SELECT 1 FROM k b WHERE b.feasible AND b.request = k.request AND {_BEATS})) SELECT request, candidate FROM p QUALIFY row_number() OVER (PARTITION BY request ORDER BY {ORDERS['weighted']}) = 1")(_ranked("pareto_then_weighted"))
+
+
+@query("J10_pareto_front", CAND + f"SELECT request, candidate FROM k WHERE NOT EXISTS (SELECT 1 FROM k b WHERE b.request = k.request AND {_BEATS})")
+def _(t: Tables) -> DataFrame:
+    df = candidates(t).withColumns({f"v_{a}": c("vec")[a] for a in risk.ATTRIBUTES})
+    return select.pareto_front(df, "request", "candidate", [f"v_{a}" for a in risk.ATTRIBUTES]).select("request", "candidate")
+
+
+@query("P11_residual_bounds", CAND + """SELECT request, candidate, array_to_string(list_filter([CASE WHEN v_identity > 2 THEN 'identity' END, CASE WHEN v_location > 1 THEN 'location' END], lambda x: x IS NOT NULL), ',') AS selector,
+ array_to_string(list_filter([CASE WHEN v_identity > 2 THEN 'identity' END, CASE WHEN v_face > 0 THEN 'face' END, CASE WHEN v_location > 1 THEN 'location' END], lambda x: x IS NOT NULL), ',') AS planner FROM k""")
+def _(t: Tables) -> DataFrame:
+    bounds = F.create_map(F.lit("identity"), F.lit(2), F.lit("location"), F.lit(1))
+    one = lambda order: F.array_join(select.residual_failures(c("vec"), bounds, F.array(F.lit("face")), F.array(F.lit("face")), order), ",").alias(order)
+    return candidates(t).select("request", "candidate", one("selector"), one("planner"))
+
+
+@query("J09_selection_input", """SELECT l_orderkey, l_linenumber, l_partkey, greatest(coalesce(p, 0), CAST(l_quantity AS BIGINT) % 4) AS residual, o_orderstatus AS verdict FROM lineitem LEFT JOIN (SELECT l_orderkey AS k, max_by(CAST(l_tax * 100 AS BIGINT) % 4, (l_shipdate, l_partkey, l_linenumber)) AS p FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1) ON k = l_orderkey LEFT JOIN orders ON o_orderkey = l_orderkey AND o_orderstatus <> 'P'""")
+def _(t: Tables) -> DataFrame:
+    cand = t.lineitem.select(c("l_orderkey").alias("candidate"), "l_linenumber", "l_partkey", (c("l_quantity").cast("long") % 4).alias("declared"))
+    verdicts = t.orders.where("o_orderstatus <> 'P'").select(c("o_orderkey").alias("candidate"), c("o_orderstatus").alias("verdict"))
+    probes = t.lineitem.where("l_linestatus = 'F'").select(c("l_orderkey").alias("candidate"), (F.bround(c("l_tax") * 100, 0).cast("long") % 4).alias("probed"), F.struct("l_shipdate", "l_partkey", "l_linenumber").alias("report"))
+    return select.selection_input(cand, verdicts, probes).select(c("candidate").alias("l_orderkey"), "l_linenumber", "l_partkey", "residual", "verdict")
+
+
+@query("F14_utility_columns", """SELECT l_orderkey, l_linenumber, l_partkey, round(greatest(0, 10.0::DOUBLE - l_linenumber) + CASE l_returnflag WHEN 'A' THEN 4.0 WHEN 'N' THEN 1.0 ELSE 2.0 END + 0.15::DOUBLE * CASE l_linestatus WHEN 'O' THEN 5 ELSE 2 END, 6) AS utility,
+ round(0.2 + 0.25 * (l_linenumber % 2) + l_linenumber % 3, 6)::DOUBLE AS cost, (CASE WHEN l_tax > 0.04 THEN 1.0 ELSE 0.0 END + CASE l_returnflag WHEN 'A' THEN 1.0 WHEN 'R' THEN 0.25 ELSE 0.0 END)::DOUBLE AS margin FROM lineitem""")
+def _(t: Tables) -> DataFrame:
+    role = F.when(c("l_returnflag") == "A", "fixed_downstream_input").when(c("l_returnflag") == "N", "aggregate_summary")
+    ops = F.concat(F.array(F.lit("op.source"), F.lit("op.route_publish")), F.array_repeat(F.lit("op.schema_adapter"), c("l_linenumber") % 2), F.array_repeat(F.lit("op.sample"), c("l_linenumber") % 3))
+    quality = F.when(c("l_returnflag") == "A", "validated").when(c("l_returnflag") == "R", "requires_runtime_or_benchmark_validation")
+    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", F.round(select.symbolic_utility(c("l_linenumber"), role, F.when(c("l_linestatus") == "O", "high")), 6).alias("utility"), F.round(select.pipeline_cost(ops), 6).alias("cost"), select.utility_margin(c("l_tax") > 0.04, quality).alias("margin"))
+
+
+@query("F45_quality_status", "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'no_requirement' ELSE 'requires_runtime_or_benchmark_validation' END AS status FROM part")
+def _(t: Tables) -> DataFrame:
+    return t.part.select("p_partkey", select.quality_status(F.create_map(F.lit("recall"), F.when(c("p_size") % 3 > 0, c("p_retailprice")))).alias("status"))
+
+
+@query("K02_top_failed_rules", "SELECT rule_id, n FROM (SELECT p_brand || '-' || l_returnflag AS rule_id, count(*) AS n FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1) ORDER BY n DESC, rule_id LIMIT 20")
+def _(t: Tables) -> DataFrame:
+    n = t.lineitem.join(t.part, c("l_partkey") == c("p_partkey")).groupBy(F.concat_ws("-", "p_brand", "l_returnflag").alias("rule_id")).agg(F.count("*").alias("n"))
+    return n.orderBy(F.desc("n"), "rule_id").limit(20)
+
+
+@query("K03_closest_rejected", CAND + "SELECT request, candidate, row_number() OVER (PARTITION BY request ORDER BY risk, plain, candidate, position) AS place FROM k WHERE NOT feasible QUALIFY place <= 10")
+def _(t: Tables) -> DataFrame:
+    r = select.first_per(candidates(t).where("not feasible"), ["request"], [F.asc("risk"), F.asc("plain"), F.asc("candidate"), F.asc("position")], 10)
+    return r.select("request", "candidate", c("place").cast("long").alias("place"))
+
+
+@query("K05_select_raw", CAND + "SELECT request, candidate FROM k QUALIFY row_number() OVER (PARTITION BY request ORDER BY margin DESC, plain DESC, cost, candidate, position) = 1")
+def _(t: Tables) -> DataFrame:
+    return select.first_per(candidates(t), ["request"], [F.desc("margin"), F.desc("plain"), F.asc("cost"), F.asc("candidate"), F.asc("position")]).select("request", "candidate")
+
+
+@query("K07_best_verdict", CAND + "SELECT request, min_by(candidate, (plain, cost, candidate)) AS best FROM k GROUP BY request")
+def _(t: Tables) -> DataFrame:
+    return candidates(t).groupBy("request").agg(F.min_by("candidate", F.struct("plain", "cost", "candidate")).alias("best"))
+
+
+@query("K08_order_candidates", CAND + ", o AS (SELECT request, candidate, plain AS residual, priority, cost AS n_ops FROM k QUALIFY row_number() OVER (PARTITION BY request, candidate ORDER BY plain, priority, cost) = 1) SELECT request, candidate, row_number() OVER (PARTITION BY request ORDER BY residual, priority, n_ops, candidate) AS place FROM o")
+def _(t: Tables) -> DataFrame:
+    df = candidates(t).withColumnRenamed("plain", "residual").withColumnRenamed("cost", "n_ops")
+    return select.order_candidates(df, "request").select("request", "candidate", c("place").cast("long").alias("place"))
+
+
+_HIGH = " + ".join(f"CASE WHEN v_{a} = 3 THEN 1 ELSE 0 END" for a in risk.ATTRIBUTES)
+
+
+@query("K09_selection_sensitivity", CAND + f"SELECT request, a AS chosen, b AS by_sum, h AS by_high, a <> b OR a <> h AS changed FROM (SELECT request, count(*) AS n, min_by(candidate, (risk, candidate)) AS a, min_by(candidate, (plain, candidate)) AS b, min_by(candidate, ({_HIGH}, plain, candidate)) AS h FROM k GROUP BY request) WHERE n >= 2")
+def _(t: Tables) -> DataFrame:
+    high = F.size(F.filter(F.map_values("vec"), lambda x: x == 3))
+    return select.selection_sensitivity(candidates(t).withColumn("n_high", high), "request").select("request", "chosen", "by_sum", "by_high", "changed")
+
+
+@query("W16_diverse_shortlist", CAND + """, w AS (SELECT *, row_number() OVER (PARTITION BY request, bucket ORDER BY plain, candidate) AS b, row_number() OVER (PARTITION BY request ORDER BY plain, candidate) AS l, row_number() OVER (PARTITION BY request ORDER BY utility DESC, candidate) AS u FROM k),
+x AS (SELECT *, CASE WHEN b = 1 THEN 0 WHEN l <= 3 THEN 1 ELSE 2 END AS tier FROM w) SELECT request, candidate FROM x QUALIFY row_number() OVER (PARTITION BY request ORDER BY tier, CASE WHEN tier = 2 THEN u ELSE l END, candidate) <= 3""")
+def _(t: Tables) -> DataFrame:
+    return select.diverse_shortlist(candidates(t).withColumn("residual", c("plain")), "request", 3).select("request", "candidate")
+
+
+@query("A43_no_compromise", CAND + """, r AS (SELECT request, candidate, risk, cost AS nf, bucket AS reason FROM k WHERE NOT feasible), b AS (SELECT request, reason, count(*) AS n FROM r GROUP BY ALL), p AS (SELECT request, sum(n)::BIGINT AS n, min_by(reason, (-n, reason)) AS "primary" FROM b GROUP BY request),
+q AS (SELECT request, candidate, row_number() OVER (PARTITION BY request ORDER BY risk, nf, candidate) AS place FROM r) SELECT p.request, p.n, p."primary", string_agg(candidate, ',' ORDER BY place) AS closest FROM p JOIN q USING (request) WHERE place <= 10 GROUP BY ALL""")
+def _(t: Tables) -> DataFrame:
+    r = candidates(t).where("not feasible").withColumn("n_failures", c("cost")).withColumn("reason", c("bucket"))
+    return select.no_compromise(r, "request").select("request", "n", "primary", F.array_join("closest", ",").alias("closest"))
+
+
+STATES = "WITH s AS (SELECT l_orderkey AS request, l_linenumber * 100000 + l_partkey AS state, ['a','b','c'][1 + l_suppkey % 3] AS s_type, ['x','y'][1 + l_partkey % 2] AS s_schema, CASE WHEN l_tax > 0.03 THEN ['blur'] ELSE ['none'] END AS terms FROM lineitem), a AS (SELECT o_orderkey AS request, i AS position, ['a','b','c'][1 + (o_custkey + i) % 3] AS a_type, ['x','y'][1 + (o_custkey // 3 + i) % 2] AS a_schema, CASE WHEN i = 1 THEN ['blur'] ELSE []::VARCHAR[] END AS required, i % 2 AS priority FROM orders, range(0, 3) r(i))\n"
+
+
+def states(t: Tables) -> tuple[DataFrame, DataFrame]:
+    pick = lambda xs, k: F.element_at(F.array(*map(F.lit, xs)), (1 + k % len(xs)).cast("int"))
+    s = t.lineitem.select(c("l_orderkey").alias("request"), (c("l_linenumber") * 100000 + c("l_partkey")).alias("state"), pick("abc", c("l_suppkey")).alias("s_type"), pick("xy", c("l_partkey")).alias("s_schema"), F.array(F.when(c("l_tax") > 0.03, "blur").otherwise("none")).alias("terms"))
+    i = c("position")
+    a = t.orders.select(c("o_orderkey").alias("request"), "o_custkey", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("position"))
+    a = a.select("request", "position", pick("abc", c("o_custkey") + i).alias("a_type"), pick("xy", F.floor(c("o_custkey") / 3) + i).alias("a_schema"), F.when(i == 1, F.array(F.lit("blur"))).otherwise(F.array().cast("array<string>")).alias("required"), (i % 2).alias("priority"))
+    return s, a
+
+
+@query("J02_match_accepted", STATES + """, p AS (SELECT s.*, a.position, a.priority, len(required) AS nr, CASE WHEN s_type = a_type AND s_schema = a_schema THEN 0 WHEN s_type = a_type THEN 1 WHEN s_schema = a_schema THEN 2 END AS score, required FROM s JOIN a USING (request))
+SELECT request, state, position::INT AS position, score FROM (SELECT DISTINCT request, state, position, score, nr, priority, s_type, s_schema FROM p WHERE score IS NOT NULL AND list_has_all(terms, required)) QUALIFY row_number() OVER (PARTITION BY request, state ORDER BY score, nr DESC, priority, position) = 1""")
+def _(t: Tables) -> DataFrame:
+    s, a = states(t)
+    return select.match_accepted(s, a, "request").select("request", "state", "position", "score")
+
+
+@query("J24_match_accepted_policy", STATES + """, r AS (SELECT o_orderkey AS request, CASE WHEN o_custkey % 2 = 0 THEN 'a' END AS r_type, CASE WHEN o_custkey % 5 = 0 THEN 'y' END AS r_schema FROM orders), g AS (SELECT s.* FROM s JOIN r USING (request) WHERE (r_type IS NULL OR r_type <> s_type) AND (r_schema IS NULL OR r_schema <> s_schema)),
+p AS (SELECT g.request, state, position, priority, (CASE WHEN s_type = a_type THEN 1 ELSE 0 END + CASE WHEN s_schema = a_schema THEN 2 ELSE 0 END) AS fit FROM g JOIN a USING (request)) SELECT request, state, fit, position::INT AS position FROM p WHERE fit > 0 QUALIFY row_number() OVER (PARTITION BY request, state ORDER BY fit DESC, priority, position) = 1""")
+def _(t: Tables) -> DataFrame:
+    s, a = states(t)
+    r = t.orders.select(c("o_orderkey").alias("request"), F.when(c("o_custkey") % 2 == 0, "a").alias("r_type"), F.when(c("o_custkey") % 5 == 0, "y").alias("r_schema"))
+    s = s.join(t.orders.select(c("o_orderkey").alias("request")), "request", "left_semi")
+    return select.match_accepted_policy(s, a, r, "request").select("request", "state", "fit", "position")
+
+
+TYPES = ("application/x-count", "application/x-binary-occupancy", "video/x-raw", "video/x-redacted", "application/x-event", "application/x-activity-label", "*", "image/x-raw")
+_PAIRS = ", ".join(f"('{a}','{b}')" for a, b in caps.type_pairs())
+_CANON = "CASE {0} " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in caps.ALIASES.items()) + " ELSE {0} END"
+
+
+@query("J01_compatible_caps", f"""WITH u AS (SELECT s_suppkey AS up_id, {list(TYPES[:6])}[1 + s_suppkey % 6] AS t, 's' || s_nationkey AS sc FROM supplier), d AS (SELECT p_partkey AS down_id, {list(TYPES)}[1 + p_size % 8] AS t, 's' || p_partkey % 60 AS sc FROM part WHERE p_size < 25), p(a, b) AS (VALUES {_PAIRS}),
+x AS (SELECT up_id, {_CANON.format('t')} AS t, sc FROM u), y AS (SELECT down_id, {_CANON.format('t')} AS t, sc FROM d) SELECT up_id, down_id FROM x, y WHERE y.t = '*' OR x.t = y.t OR x.sc = y.sc OR EXISTS (SELECT 1 FROM p WHERE a = x.t AND b = y.t)""")
+def _(t: Tables) -> DataFrame:
+    pick = lambda n, k: F.element_at(F.array(*map(F.lit, TYPES[:n])), (1 + k % n).cast("int"))
+    up = t.supplier.select(c("s_suppkey").alias("up_id"), pick(6, c("s_suppkey")).alias("up_type"), F.concat(F.lit("s"), "s_nationkey").alias("up_schema"))
+    down = t.part.where("p_size < 25").select(c("p_partkey").alias("down_id"), pick(8, c("p_size")).alias("down_type"), F.concat(F.lit("s"), c("p_partkey") % 60).alias("down_schema"))
+    return caps.compatible_caps(up, down)
+
+
+@query("F08_canon_type", f"SELECT p_partkey, {_CANON.format('t')} AS canon, CASE WHEN t LIKE 'video/%' THEN 'video' WHEN t LIKE 'image/%' THEN 'image' ELSE '' END AS family, CASE WHEN t LIKE 'video/%' THEN 'video/x-redacted' WHEN t LIKE 'image/%' THEN 'image/x-redacted' ELSE t END AS redacted FROM (SELECT p_partkey, {list(TYPES)}[1 + p_size % 8] AS t FROM part)")
+def _(t: Tables) -> DataFrame:
+    df = t.part.select("p_partkey", F.element_at(F.array(*map(F.lit, TYPES)), (1 + c("p_size") % 8).cast("int")).alias("t"))
+    return df.select("p_partkey", caps.canon_type(c("t")).alias("canon"), caps.media_family(c("t")).alias("family"), caps.redacted_type(c("t")).alias("redacted"))
+
+
+@query("J18_expand_paths", """WITH e AS (SELECT DISTINCT l_suppkey % 7 AS a, l_partkey % 7 AS b FROM lineitem WHERE l_quantity > 49 AND l_suppkey % 7 <> l_partkey % 7 AND (l_suppkey + l_partkey) % 3 > 0), RECURSIVE_SEED AS (SELECT 1)
+SELECT * FROM (WITH RECURSIVE p(start, path) AS (SELECT DISTINCT a, [a] FROM e UNION ALL SELECT start, list_append(path, b) FROM p JOIN e ON path[-1] = a WHERE NOT list_contains(path, b) AND len(path) < 4) SELECT start, array_to_string(path, '>') AS path FROM p)""".replace(", RECURSIVE_SEED AS (SELECT 1)", ""))
+def _(t: Tables) -> DataFrame:
+    e = t.lineitem.where("l_quantity > 49 and l_suppkey % 7 <> l_partkey % 7 and (l_suppkey + l_partkey) % 3 > 0").select((c("l_suppkey") % 7).alias("a"), (c("l_partkey") % 7).alias("b")).distinct()
+    p = select.expand_paths(e, e.select(c("a").alias("start")).distinct(), 4)
+    return p.select("start", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
+
+
+@query("J19_overlay_context", """WITH r AS (SELECT o_orderkey AS request, o_orderpriority AS task, o_orderstatus AS space, 'p' || o_custkey % 4 AS purpose FROM orders WHERE o_custkey % 10 = 0), s AS (SELECT n_nationkey AS scenario, ['1-URGENT','2-HIGH','3-MEDIUM','5-LOW'][1 + n_nationkey % 4] AS task, CASE WHEN n_regionkey > 2 THEN n_name END AS space FROM nation)
+SELECT r.request || '__' || s.scenario AS request, task, coalesce(s.space, r.space) AS space, purpose, 'assumed' AS principle, CASE WHEN s.scenario % 2 = 0 THEN 'base,' || 'extra' ELSE 'base' END AS tags FROM r JOIN s USING (task)""")
+def _(t: Tables) -> DataFrame:
+    r = t.orders.where("o_custkey % 10 = 0").select(c("o_orderkey").alias("request"), c("o_orderpriority").alias("task"), c("o_orderstatus").alias("space"), F.concat(F.lit("p"), c("o_custkey") % 4).alias("purpose"), F.array(F.lit("base")).alias("tags"))
+    task = F.element_at(F.array(*map(F.lit, ("1-URGENT", "2-HIGH", "3-MEDIUM", "5-LOW"))), (1 + c("n_nationkey") % 4).cast("int"))
+    s = t.nation.select(c("n_nationkey").alias("scenario"), task.alias("task"), F.when(c("n_regionkey") > 2, c("n_name")).alias("space"), F.lit(None).cast("string").alias("purpose"), F.lit(None).cast("string").alias("principle"), F.when(c("n_nationkey") % 2 == 0, F.array(F.lit("base"), F.lit("extra"))).otherwise(F.array(F.lit("base"))).alias("tags"))
+    return select.overlay_context(r, s).withColumn("tags", F.array_join("tags", ","))
+
+
+@query("J20_run_matrix", "SELECT o_orderkey AS scenario, r_name AS method FROM orders, region")
+def _(t: Tables) -> DataFrame:
+    return select.run_matrix(t.orders.select(c("o_orderkey").alias("scenario")), t.region.select(c("r_name").alias("method")))
+
+
+@query("P04_allowed_sources", "SELECT p_partkey, CASE WHEN p_size % 4 = 1 THEN false WHEN p_size % 4 = 0 THEN p_partkey % 3 <> 1 ELSE p_partkey % 3 <> 2 END AS ok FROM part")
+def _(t: Tables) -> DataFrame:
+    a = lambda *xs: F.array(*map(F.lit, xs)) if xs else F.array().cast("array<string>")
+    k = c("p_partkey") % 3
+    has = F.when(c("p_size") % 4 == 0, a("av")).when(c("p_size") % 4 == 1, a("face")).otherwise(a("audio"))
+    allowed = F.when(k == 0, a()).when(k == 1, a("audio")).otherwise(a("visual", "av"))
+    return t.part.select("p_partkey", select.allowed_sources(has, allowed, a("face")).alias("ok"))
+
+
+def rule_tables(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Flows are order lines; four authored rules."""
+    flows = t.lineitem.select((c("l_orderkey") * 10_000_000 + c("l_linenumber") * 1_000_000 + c("l_partkey")).alias("flow"), F.array("l_returnflag").alias("recipient"), F.array("l_linestatus").alias("stage"), F.array(F.when(c("l_tax") > 0.04, "retained").otherwise("live")).alias("tags"), F.when(c("l_discount") > 0.05, F.array(F.lit("blur"))).otherwise(F.array().cast("array<string>")).alias("transforms")).dropDuplicates(["flow"])
+    s = t.spark
+    conditions = s.createDataFrame([("c1", "recipient", "anyOf", ["R"]), ("d1", "tags", "allOf", ["sensitive", "retained"]), ("q1", "recipient", "noneOf", ["A"]), ("x1", "recipient", "anyOf", ["N"]), ("x1", "tags", "anyOf", ["retained"])], "rule_id string, field string, op string, terms array<string>")
+    effects = s.createDataFrame([("c1", "CLASSIFY_AS", [], [], [], ["sensitive"]), ("d1", "DENY_FLOW", [], [], ["F"], []), ("q1", "REQUIRE_TRANSFORMATION", ["blur"], [], ["O", "F"], []), ("x1", "REQUIRE_REVIEW", [], [], ["O"], [])], "rule_id string, action string, needs array<string>, forbids array<string>, stages array<string>, tags array<string>")
+    return flows, conditions, effects
+
+
+FLOWS = "WITH f AS (SELECT l_orderkey * 10000000 + l_linenumber * 1000000 + l_partkey AS flow, any_value(l_returnflag) AS r, any_value(l_linestatus) AS s, any_value(l_tax) > 0.04 AS ret, any_value(l_discount) > 0.05 AS blur, count(*) AS n FROM lineitem GROUP BY 1)\n"
+FAILED = "list_filter([CASE WHEN r = 'R' AND ret AND s = 'F' THEN 'd1' END, CASE WHEN r <> 'A' AND NOT blur THEN 'q1' END, CASE WHEN r = 'N' AND ret AND s = 'O' THEN 'x1' END], lambda x: x IS NOT NULL)"
+
+
+@query("J03_match_rules", FLOWS + "SELECT flow, 'c1' AS rule_id FROM f WHERE r = 'R' UNION ALL SELECT flow, 'q1' FROM f WHERE r <> 'A' UNION ALL SELECT flow, 'x1' FROM f WHERE r = 'N' AND ret")
+def _(t: Tables) -> DataFrame:
+    flows, conditions, _ = rule_tables(t)
+    return rules.match_rules(flows, conditions, "flow", ["recipient", "tags"])
+
+
+@query("F11_evaluate_rules", FLOWS + f"SELECT flow, len({FAILED}) = 0 AS feasible, array_to_string({FAILED}, ',') AS failed FROM f")
+def _(t: Tables) -> DataFrame:
+    flows, conditions, effects = rule_tables(t)
+    return rules.evaluate_rules(flows, conditions, effects, "flow", ["recipient", "tags"]).withColumn("failed", F.array_join("failed", ","))
+
+
+@query("A42_rule_failures", FLOWS + f"SELECT rule_id, CASE rule_id WHEN 'd1' THEN 'DENY_FLOW' WHEN 'q1' THEN 'REQUIRE_TRANSFORMATION' ELSE 'REQUIRE_REVIEW' END AS action, count(*) AS n FROM (SELECT unnest({FAILED}) AS rule_id FROM f) GROUP BY ALL")
+def _(t: Tables) -> DataFrame:
+    flows, conditions, effects = rule_tables(t)
+    return rules.rule_failures(rules.evaluate_rules(flows, conditions, effects, "flow", ["recipient", "tags"]), effects).select("rule_id", "action", "n")
+
+
+@query("U04_check_terms", "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'a OR b' WHEN p_size % 3 = 1 THEN '' ELSE 'a OR b' END AS missing, CASE WHEN p_size % 3 = 2 THEN 'z' ELSE '' END AS present FROM part")
+def _(t: Tables) -> DataFrame:
+    a = lambda *xs: F.array(*map(F.lit, xs)) if xs else F.array().cast("array<string>")
+    have = F.when(c("p_size") % 3 == 0, a()).when(c("p_size") % 3 == 1, a("b", "c")).otherwise(a("c", "z"))
+    required = F.when(c("p_size") % 3 == 0, a("a OR b", "none OR c")).otherwise(a("a OR b", "c"))
+    out = rules.check_terms(have, required, a("z", "y"))
+    return t.part.select("p_partkey", out.alias("x")).select("p_partkey", F.array_join("x.missing", ",").alias("missing"), F.array_join("x.present", ",").alias("present"))
