@@ -106,7 +106,7 @@ def rate_limit(df: DataFrame, key: str, ms: str, period_ms: int, tie: str) -> Da
         F.struct(F.lit(None).cast("long").alias("last"), F.array().cast(f"array<struct<t:{dict(df.dtypes)[ms]},i:{dict(df.dtypes)[tie]}>>").alias("kept")),
         lambda acc, x: F.when(acc["last"].isNull() | (x["t"] - acc["last"] >= period_ms), F.struct(x["t"].cast("long").alias("last"), F.array_append(acc["kept"], x).alias("kept"))).otherwise(acc),
     )
-    kept = timed.groupBy(key).agg(fold["kept"].alias("kept")).select(key, F.explode("kept").alias("k")).select(key, F.col("k.t").alias(ms), F.col("k.i").alias(tie))
+    kept = timed.groupBy(key).agg(fold["kept"].alias("_all")).select(key, F.explode("_all").alias("_kept")).select(key, F.col("_kept.t").alias(ms), F.col("_kept.i").alias(tie))
     return timed.join(kept, [key, ms, tie], "left_semi").unionByName(df.where(F.col(ms).isNull()))
 
 

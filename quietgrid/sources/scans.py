@@ -58,9 +58,9 @@ def read_frame_xml(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_fall_annotations(spark: SparkSession, path: str) -> DataFrame:
-    """(path, fall_start, fall_end, label, rows): the first two lines that are not empty are start and end; bad or non-positive ones mean nonfall with zeros."""
+    """(path, fall_start, fall_end, label, rows): the first two lines that are not empty are start and end; bad or non-positive ones mean nonfall with zeros.  An empty file gives no row."""
     lines = F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "")
-    df = spark.read.option("wholetext", True).text(path).select("_metadata.file_path", lines.alias("l"))
+    df = spark.read.text(path, wholetext=True).select("_metadata.file_path", lines.alias("l"))
     a, b = (F.try_element_at("l", F.lit(k)).try_cast("int") for k in (1, 2))
     fall = F.coalesce((a > 0) & (b >= a), F.lit(False))
     return df.select(F.col("file_path").alias("path"), F.when(fall, a).otherwise(0).alias("fall_start"), F.when(fall, b).otherwise(0).alias("fall_end"), F.when(fall, "fall").otherwise("nonfall").alias("label"), F.greatest(F.size("l") - 2, F.lit(0)).alias("rows"))
@@ -86,7 +86,7 @@ RUN_ROW = "decision string, task string, final_output_type string, final_output_
 
 def read_run_summary(spark: SparkSession, path: str) -> DataFrame:
     """(scenario_id, method_id, ..) of documents {scenario: {method: row}}."""
-    docs = spark.read.option("wholetext", True).text(path).select(F.from_json("value", f"map<string,map<string,struct<{RUN_ROW.replace(' string', ':string')}>>>").alias("d"))
+    docs = spark.read.text(path, wholetext=True).select(F.from_json("value", f"map<string,map<string,struct<{RUN_ROW.replace(' string', ':string')}>>>").alias("d"))
     by = docs.select(F.explode("d").alias("scenario_id", "m")).select("scenario_id", F.explode("m").alias("method_id", "r"))
     return by.select("scenario_id", "method_id", "r.*").withColumn("method_kind", F.coalesce("method_kind", F.when(F.col("method_id").startswith("ablation:"), "ablation").otherwise("baseline")))
 
@@ -109,20 +109,21 @@ def union_survey(stores: dict[str, DataFrame], session: str = "session") -> Data
 
 def read_vocab(spark: SparkSession, path: str) -> DataFrame:
     """(field, term) of a document {field: [terms]}."""
-    d = spark.read.option("wholetext", True).text(path).select(F.from_json("value", "map<string,array<string>>").alias("d"))
+    d = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,array<string>>").alias("d"))
     return d.select(F.explode("d").alias("field", "terms")).select("field", F.explode("terms").alias("term"))
 
 
 def read_scenarios(spark: SparkSession, path: str) -> DataFrame:
     """(scenario_id, task, space, purpose): keys by alias; lists give their first element."""
     v = spark.read.option("multiLine", True).option("singleVariantColumn", "v").json(path)
+    v = v.select(F.explode(F.coalesce(F.try_variant_get("v", "$", "array<variant>"), F.array("v"))).alias("v"))
     one = lambda *names: F.coalesce(*[x for n in names for x in (F.try_variant_get("v", f"$.{n}[0]", "string"), F.try_variant_get("v", f"$.{n}", "string"))])
     return v.select(one("scenario_id", "id", "flow_id").alias("scenario_id"), one("task", "task_id").alias("task"), one("space", "location").alias("space"), one("purpose", "purposes").alias("purpose"))
 
 
 def read_semantic_outputs(spark: SparkSession, path: str) -> DataFrame:
     """(path, payload) of JSON artifacts: what stands under data, payload, value or result, else the whole."""
-    t = spark.read.option("wholetext", True).text(path).select("_metadata.file_path", "value")
+    t = spark.read.text(path, wholetext=True).select("_metadata.file_path", "value")
     return t.select(F.col("file_path").alias("path"), F.coalesce(*[F.get_json_object("value", f"$.{k}") for k in ("data", "payload", "value", "result")], F.col("value")).alias("payload"))
 
 
