@@ -139,3 +139,32 @@ def semantic_summary(df: DataFrame) -> DataFrame:
     people = F.size(F.filter(labels, lambda x: F.lower(x) == "person"))
     count = F.greatest(people, F.coalesce("count", F.lit(0)))
     return df.select("*", labels.alias("all_labels"), count.alias("people"), F.coalesce(F.col("occupied"), count > 0).alias("is_occupied"), F.coalesce(F.array_max(F.transform("detections", lambda d: d["conf"])), F.lit(0.0)).alias("confidence"))
+
+
+def tune_postprocess(pred: DataFrame, labels: DataFrame, grid: DataFrame, sample: str = "sample", frame: str = "frame") -> DataFrame:
+    """(config, tp, fp, fn, f1, f2): frame scores of every configuration (config, confidence, least_run, gap) of a fixed grid.
+
+    The configuration is part of every partition key, so all of them run in one job.
+    """
+    df = pred.crossJoin(F.broadcast(grid))  # a grid of authored rows
+    df = df.withColumn("present", (F.col("score") >= F.col("confidence")).cast("int"))
+    w = Window.partitionBy("config", sample).orderBy(frame)
+    at = F.when(F.col("present") == 1, F.col(frame))
+    before, after = F.last(at, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first(at, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    df = df.withColumn("present", F.when(after - before <= F.col("gap"), 1).otherwise(F.col("present")))
+    island = F.row_number().over(w) - F.row_number().over(Window.partitionBy("config", sample, "present").orderBy(frame))
+    df = df.withColumn("_i", island).withColumn("_n", F.count("*").over(Window.partitionBy("config", sample, "present", "_i")))
+    df = df.withColumn("present", F.when((F.col("present") == 1) & (F.col("_n") < F.col("least_run")), 0).otherwise(F.col("present")))
+    j = df.join(labels.select(sample, frame, F.col("present").alias("truth")), [sample, frame])
+    n = j.groupBy("config").agg(F.count_if(F.expr("present = 1 and truth = 1")).alias("tp"), F.count_if(F.expr("present = 1 and truth = 0")).alias("fp"), F.count_if(F.expr("present = 0 and truth = 1")).alias("fn"))
+    ratio = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
+    tp, fp, fn = map(F.col, ("tp", "fp", "fn"))
+    return n.select("config", "tp", "fp", "fn", ratio(2 * tp, 2 * tp + fp + fn).alias("f1"), ratio(5 * tp, 5 * tp + fp + 4 * fn).alias("f2"))
+
+
+def join_semantic(manifest: DataFrame, outputs: DataFrame, sample: str, order: str, most: int = 64) -> DataFrame:
+    """Manifest rows with the labels of their first ``most`` artifacts in order, the highest confidence, and the first label as prediction."""
+    r = F.row_number().over(Window.partitionBy(sample).orderBy(order))
+    first = outputs.withColumn("_r", r).where(F.col("_r") <= most)
+    agg = first.groupBy(sample).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_r", "labels"))), lambda x: x["labels"])).alias("labels"), F.max("confidence").alias("confidence"))
+    return manifest.join(agg, sample, "left").withColumn("pred", F.try_element_at("labels", F.lit(1)))
