@@ -63,3 +63,25 @@ def test_items_media_and_sinks(spark, tmp_path):
     for fmt in ("parquet", "json", "csv"):
         scans.publish(spark.range(3), str(tmp_path / fmt), fmt)
     assert spark.read.parquet(str(tmp_path / "parquet")).count() == 3
+
+
+def test_manifest_builders(spark):
+    from quietgrid.sources import manifests
+
+    v = spark.createDataFrame([("/d/Home/Videos/v1.avi",), ("/d/Home/Videos/v2.avi",)], "path string")
+    a = spark.createDataFrame([("/d/Home/Annotations/v1.txt", 3, 9, "fall", 20)], "path string, fall_start int, fall_end int, label string, rows int")
+    assert {(r.sample_id, r.has_annotation, r.split) for r in manifests.build_fall_manifest(v, a).collect()} == {("v1", True, None), ("v2", False, "unlabeled")}
+    f = spark.createDataFrame([("P1", 1), ("P1", 0), ("P2", 0)], "sample string, present int")
+    i = spark.createDataFrame([("/r/P1/0.jpg",), ("/r/P1/1.jpg",)], "path string")
+    assert {(r.sample, r.n_positive_frames, r.n_images, r.has_images) for r in manifests.build_presence_manifest(f, i).collect()} == {("P1", 1, 2, True), ("P2", 0, 0, False)}
+    c = spark.createDataFrame([("c1", "dev"), ("c2", "eva")], "chunk_id string, split string")
+    m = spark.createDataFrame([("/m/c1.csv", {"majorityvote": "cv"})], "path string, meta map<string,string>")
+    w = spark.createDataFrame([("/a/c1.wav",)], "path string")
+    rows = {r.chunk_id: r for r in manifests.build_audio_manifest(c, m, w).collect()}
+    assert rows["c1"].label_c == rows["c1"].label_v == 1 and rows["c1"].audio_exists and rows["c2"].label_c == 0 and not rows["c2"].audio_exists
+    g = spark.createDataFrame([("/r/p1/cook/s1/a.jpg",), ("/r/p1/cook/s1/a.txt",), ("/r/p1/cook/s1/a.wav",)], "path string")
+    row = manifests.build_adl_manifest(g).first()
+    assert (row.sample_id, row.n_images, row.n_label_files, row.has_audio, row.has_video) == ("p1_cook_s1", 1, 1, True, False)
+    d = spark.createDataFrame([("x", ["/a", "/b"]), ("y", ["/c"])], "sample_id string, dirs array<string>")
+    n = spark.createDataFrame([("/a", 2), ("/b", 5)], "dir string, n_images long")
+    assert {(r.sample_id, r.frame_dir, r.n_images) for r in manifests.repair_manifest(d, n).collect()} == {("x", "/b", 5), ("y", None, 0)}
