@@ -2,7 +2,7 @@
 
 A page is cut at block-level tags into flat blocks of text.  A block's features are its word count and
 link density, those of its neighbours, and what it stands in (an article, a part of the page's frame such
-as a menu, an advert or a form, a list, a heading).  A decision tree grown from the small labelled table
+as a menu, an advert or a form, a list, a heading; and whether the story stands elsewhere).  A decision tree grown from the small labelled table
 EXAMPLES says which blocks are main text; these are joined in page order.
 
 Null pages have no blocks and an empty text.
@@ -28,12 +28,15 @@ SKIPPED = frozenset("script style noscript template svg math iframe object canva
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 FRAME_TAGS = frozenset("nav aside footer form header dialog menu fieldset".split())
 FRAME_WORDS = frozenset("ad ads adv advert adverts advertisement adslot alert banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus disclaimer footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice notification pagination pager popup promo promoted promotion recommended related reply replies respond search share sharing sidebar signup social sponsor sponsored subscribe subscription tags toolbar widget".split())
+FRAME_STARTS = ("comment", "advert", "sidebar", "cookie", "newsletter", "promo", "breadcrumb", "footer", "navbar", "subscri", "adsense", "adslot", "disqus")
+IN_STORY = frozenset({"header", "tags"})  # inside the story these name parts of it
 STORY_TAGS = frozenset({"article", "main"})
 STORY_WORDS = frozenset("article story entry post content main maincontent body text".split())
 NOT_A_PART = frozenset({"with", "has", "no", "without"})
 
 TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*+>|(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>)""", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+HIDDEN = re.compile(r"style\s*=\s*[\"'][^\"']*display\s*:\s*none", re.I)
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -49,10 +52,11 @@ class Block:
     label: str = ""
 
 
-def _kind(tag: str, attributes: str) -> tuple[bool, bool]:
+def _kind(tag: str, attributes: str, in_story: bool) -> tuple[bool, bool]:
     """Whether the element is a part of the page's frame, and whether it holds the story."""
     frame, story = tag in FRAME_TAGS, tag in STORY_TAGS
     if attributes and tag not in ("html", "body"):
+        frame = frame or HIDDEN.search(attributes) is not None
         for name, value in ATTRIBUTE.findall(attributes):
             name, value = name.lower(), value.strip("\"'")
             if name == "hidden":
@@ -63,9 +67,10 @@ def _kind(tag: str, attributes: str) -> tuple[bool, bool]:
             else:
                 for part in value.split():
                     names = {x.lower() for x in NAME.findall(part)}
-                    if tag not in STORY_TAGS and names & FRAME_WORDS and not names & NOT_A_PART:
+                    of_frame = names & (FRAME_WORDS - IN_STORY if in_story else FRAME_WORDS) or any(x.startswith(FRAME_STARTS) for x in names)
+                    if tag not in STORY_TAGS and of_frame and not names & NOT_A_PART:
                         frame = True
-                    elif names and names <= STORY_WORDS | {"the", "page"}:
+                    elif names & STORY_WORDS and names <= STORY_WORDS | {"the", "page"}:
                         story = True
     return frame, story
 
@@ -123,8 +128,8 @@ def blocks(page: str) -> list[Block]:
             elif tag not in VOID:
                 if tag in ("p", "li", "td", "th", "dt", "dd") and stack and stack[-1][0] == tag or stack and stack[-1][0] == "p":
                     stack.pop()
-                frame, story = _kind(tag, m[3])
                 up = stack[-1] if stack else ("", False, False)
+                frame, story = _kind(tag, m[3], up[2])
                 inside = story or up[2]
                 # a header inside the article is its heading, not the page's
                 stack.append((tag, up[1] or frame and not (tag == "header" and up[2]), inside))
@@ -135,13 +140,13 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-FEATURES = ("frame", "story", "words", "link_density", "before_words", "before_links", "after_words", "after_links", "item", "heading")
+FEATURES = ("frame", "story", "elsewhere", "words", "link_density", "before_words", "before_links", "after_words", "after_links", "item", "heading")
 
 
 def features(found: list[Block]) -> list[list[float]]:
     rows = [(float(b.words), b.linked / max(1, b.words)) for b in found]
-    none = (0.0, 0.0)
-    return [[float(b.frame), float(b.story), *rows[i], *(rows[i - 1] if i else none), *(rows[i + 1] if i + 1 < len(rows) else none), float(b.item), float(b.heading)] for i, b in enumerate(found)]
+    none, any_story = (0.0, 0.0), any(b.story and not b.frame for b in found)
+    return [[float(b.frame), float(b.story), float(any_story and not b.story), *rows[i], *(rows[i - 1] if i else none), *(rows[i + 1] if i + 1 < len(rows) else none), float(b.item), float(b.heading)] for i, b in enumerate(found)]
 
 
 #: The labelled table: blocks of small pages of our own; data-main tells what the blocks from there on are.
@@ -164,6 +169,9 @@ EXAMPLES = (
     <p>The town will keep it open under glass so that everybody can look down.</p></div><div data-main=0><p>Share this</p></div></body>""",
     """<article><h1 data-main=1>Snow</h1><p>It fell all night.</p><p><a href=/s>See the pictures of the day</a></p><p>Enough.</p></article>""",
     """<article><p data-main=1>Rain.</p></article>""",
+    """<div data-main=0><p>This site may store small files on your machine so that we can count visits and keep you signed in for a month.</p></div><article><h1 data-main=1>Ice</h1><p>The pond froze in one night.</p></article>
+    <div data-main=0><h3>Also on this site</h3><p>Ten ways to stack wood so that it dries before the winter comes, told by people who know it well.</p><p>More</p></div>""",
+    """<div data-main=0><h2>Win a lamp</h2><p>Tell us in ten words why you need it and send them in by Friday at the latest.</p></div><main><p data-main=1>The bus is late today.</p><p>So is the train.</p></main>""",
     """<main><h2 data-main=1>Two lists</h2><ul><li><a href=/x>First link of the story</a></li><li>Bread</li></ul><table><tr><td>4</td><td>5</td></tr></table><p>End</p></main>""",
     """<div class="entry-content"><p data-main=1>Fog lay on the lake until noon.</p><p>Then it went.</p></div><p data-main=0>All rights reserved</p>""",
     """<p data-main=1>A page without any mark at all can still tell a story in a line or two of plain words.</p><p data-main=0>Imprint</p>""",
@@ -176,7 +184,7 @@ def classifier() -> tree.Node:
     found = [blocks(x) for x in EXAMPLES]
     x = np.array([r for f in found for r in features(f)])
     y = np.array([float(b.label == "1") for f in found for b in f])
-    return tree.grow(x, y)
+    return tree.grow(x, y, depth=5, least=3)
 
 
 def main_text(page: str | None) -> str:
