@@ -176,7 +176,7 @@ def _anchors(docs: DataFrame, id_col: str, text_col: str, keys_only: bool) -> Da
 
 def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_units: int = SHARD_UNITS) -> DataFrame:
     """(doc, ranges): for each row key, byte ranges [a, b) whose windows all repeat; they may overlap."""
-    twice = _anchors(docs, id_col, text_col, True).groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key")
+    twice = durable(_anchors(docs, id_col, text_col, True).groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key"))
     shared = durable(_anchors(docs, id_col, text_col, False).join(twice.hint("merge"), "key"))
     unit = shared.groupBy("key", "whole").agg(F.count("*").alias("n"), F.min(F.struct("doc", "first", "count")).alias("at"))
     unit = durable(unit.select("key", "whole", "n", "at.*"))
