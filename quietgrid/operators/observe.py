@@ -96,17 +96,21 @@ def trailing_window(df: DataFrame, key: str, ms: str, window_ms: int, value: Col
 def rate_limit(df: DataFrame, key: str, ms: str, period_ms: int, tie: str) -> DataFrame:
     """Rows at least ``period_ms`` after the last row kept of their key, in order of time and tie; rows without a time pass.
 
-    The times of a key are folded in order, as each decision rests on the last row kept; the rows kept are
-    joined back.  A key is one array in this fold: it is for sources of bounded rate; see rate_limit_stream.
+    A row that comes ``period_ms`` or more after the row before it is kept whatever came earlier, so a key
+    falls into stretches without such a pause that do not depend on each other.  Only a stretch is folded
+    in one piece, as each decision in it rests on the last row kept; the rows kept are joined back.
     """
+    w = Window.partitionBy(key).orderBy(ms, tie)
     timed = df.where(F.col(ms).isNotNull())
-    order = F.struct(F.col(ms).alias("t"), F.col(tie).alias("i"))
+    pause = F.coalesce(F.col(ms) - F.lag(ms).over(w) >= period_ms, F.lit(True))
+    stretches = timed.select(key, ms, tie, pause.cast("int").alias("_new")).select(key, ms, tie, F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_stretch"))
+    kinds = dict(df.dtypes)
     fold = F.aggregate(
-        F.sort_array(F.collect_list(order)),
-        F.struct(F.lit(None).cast("long").alias("last"), F.array().cast(f"array<struct<t:{dict(df.dtypes)[ms]},i:{dict(df.dtypes)[tie]}>>").alias("kept")),
+        F.sort_array(F.collect_list(F.struct(F.col(ms).alias("t"), F.col(tie).alias("i")))),
+        F.struct(F.lit(None).cast("long").alias("last"), F.array().cast(f"array<struct<t:{kinds[ms]},i:{kinds[tie]}>>").alias("kept")),
         lambda acc, x: F.when(acc["last"].isNull() | (x["t"] - acc["last"] >= period_ms), F.struct(x["t"].cast("long").alias("last"), F.array_append(acc["kept"], x).alias("kept"))).otherwise(acc),
     )
-    kept = timed.groupBy(key).agg(fold["kept"].alias("_all")).select(key, F.explode("_all").alias("_kept")).select(key, F.col("_kept.t").alias(ms), F.col("_kept.i").alias(tie))
+    kept = stretches.groupBy(key, "_stretch").agg(fold["kept"].alias("_all")).select(key, F.explode("_all").alias("_kept")).select(key, F.col("_kept.t").alias(ms), F.col("_kept.i").alias(tie))
     return timed.join(kept, [key, ms, tie], "left_semi").unionByName(df.where(F.col(ms).isNull()))
 
 
