@@ -102,5 +102,26 @@ FROM u LEFT JOIN q USING (rnk, shard)
 """
 
 
+OP9_SQL = r"""
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+p AS (SELECT r, unnest(ws) AS word, unnest(range(len(ws))) AS i FROM w),
+g AS (SELECT r, n, unnest(range(len(ws) - n + 1)) AS i, ws FROM w, (VALUES (2), (5), (10)) v(n) WHERE len(ws) >= n),
+h AS (SELECT r, n, i, count(*) OVER (PARTITION BY r, n, array_to_string(ws[i + 1 : i + n], ' ')) AS c FROM g),
+m AS (SELECT DISTINCT r, n, i + k AS i FROM (SELECT r, n, i, unnest(range(n)) AS k FROM h WHERE c > 1)),
+s AS (SELECT r, n, count(*) AS words, sum(length(word)) AS chars FROM m JOIN p USING (r, i) GROUP BY r, n),
+l AS (SELECT r, line, row_number() OVER (PARTITION BY r, line ORDER BY k) AS nth, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS lw FROM (SELECT r, unnest(string_split(t, chr(10))) AS line, unnest(range(len(string_split(t, chr(10))))) AS k FROM w)),
+x AS (SELECT r, count(*) FILTER (nth > 1 AND len(lw) > 0) AS n_dup_lines, sum(CASE WHEN nth > 1 THEN strlen(array_to_string(lw, '')) ELSE 0 END) AS dup_bytes FROM l GROUP BY r),
+b AS (SELECT w.r, doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, n_dup_lines,
+ dup_bytes / greatest(1, strlen(array_to_string(ws, '')))::DOUBLE AS dup_line_share,
+ coalesce((SELECT words FROM s WHERE s.r = w.r AND n = 5), 0)::BIGINT AS n_repeat_words,
+ coalesce((SELECT chars FROM s WHERE s.r = w.r AND n = 2), 0) / greatest(1, length(array_to_string(ws, '')))::DOUBLE AS dup_2gram_share,
+ coalesce((SELECT chars FROM s WHERE s.r = w.r AND n = 5), 0) / greatest(1, length(array_to_string(ws, '')))::DOUBLE AS dup_5gram_share,
+ coalesce((SELECT chars FROM s WHERE s.r = w.r AND n = 10), 0) / greatest(1, length(array_to_string(ws, '')))::DOUBLE AS dup_10gram_share FROM w JOIN x USING (r)),
+f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM b)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, dup_line_share, dup_2gram_share, dup_5gram_share, dup_10gram_share, base_failed,
+ NOT base_failed AND dup_line_share <= 0.30 AND n_symbols <= 0.10::DOUBLE * word_chars AND dup_2gram_share <= 0.95 AND dup_5gram_share <= 0.20 AND dup_10gram_share <= 0.15 AS kept FROM f
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": OP3_SQL, "op10_line_dedup": OP10_SQL}
+    return {"op3_mixing": OP3_SQL, "op9_repetition": OP9_SQL, "op10_line_dedup": OP10_SQL}
