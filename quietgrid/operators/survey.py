@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import same_answer
+from .order import running_sum
 
 
 def completed_sessions(df: DataFrame, rule: str) -> DataFrame:
@@ -123,17 +124,73 @@ def assign_split(df: DataFrame, key: str, fractions: dict[str, float], seed: int
     return groups.select(key, split.alias("split"))
 
 
+def _use_level(levels: DataFrame, most: int, want: int, low: int, high: int) -> int:
+    """The least level at which the blocks' uses, each between its bounds, reach ``want``; 64 levels are tried in a pass."""
+    while low < high:
+        step = -(-(high - low) // 64)
+        tried = [x for x in range(low, high, step)]
+        uses = [F.sum(F.col("n") * F.least(F.greatest(F.lit(x) - F.col("used"), F.lit(0)), F.lit(most))).alias(f"u{i}") for i, x in enumerate(tried)]
+        blocks = levels.groupBy("_k").agg(F.first("least").alias("least"), F.first("most").alias("most"), *uses)
+        totals = blocks.agg(*[F.sum(F.least(F.greatest(f"u{i}", "least"), "most")) for i in range(len(tried))]).first()
+        enough = [x for x, total in zip(tried, totals, strict=True) if total >= want]
+        high = enough[0] if enough else high
+        low = max([x + 1 for x, total in zip(tried, totals, strict=True) if total < want], default=low)
+    return high
+
+
 def assign_items(items: DataFrame, counts: DataFrame, sessions: DataFrame, k: int, m: int) -> DataFrame:
     """(session, item, place): k items for each session, at most m of a block, the least used first and seeded by session and item.
 
-    Each session draws from the ``k * m`` least used blocks only, so a session meets a bounded list.
+    All items take part.  Uses go to the items of the lowest counts, a session being one use, until each
+    session has k; a block has at most m uses a session.  Where the blocks are too few or too small for
+    that, sessions take m of each block, or all it has, and the rest from the least used items of any block.  A session has
+    an item once, so it gets all items if there are fewer than k.
+
+    The uses lie in a line, those of a block and of an item side by side, and session p of S takes the
+    places p, p + S, p + 2 S and so on, which holds these bounds.
     """
-    used = items.join(counts, "item", "left").fillna(0, ["used"])
-    short = used.withColumn("_r", F.row_number().over(Window.orderBy("used", "block", "item"))).where(F.col("_r") <= 4 * k * m).drop("_r")
-    pairs = sessions.select("session").crossJoin(F.broadcast(short))  # a list of 4 k m items
-    seed = F.xxhash64("session", "item")
-    pairs = pairs.withColumn("_b", F.row_number().over(Window.partitionBy("session", "block").orderBy("used", seed))).where(F.col("_b") <= m)
-    return pairs.withColumn("place", F.row_number().over(Window.partitionBy("session").orderBy("used", seed))).where(F.col("place") <= k).select("session", "item", "place")
+    m = m if m > 0 else k
+    used = items.select(F.struct("block").alias("_k"), "item").join(counts.select("item", "used"), "item", "left").fillna(0, ["used"])
+    levels = used.groupBy("_k", F.col("used").cast("long").alias("used")).agg(F.count("*").alias("n"))
+    sizes = levels.groupBy("_k").agg(F.sum("n").alias("size"))
+    every = sessions.count()
+    n_items, capped = sizes.agg(F.sum("size"), F.sum(F.least("size", F.lit(m)))).first()
+    if not every or not n_items:
+        return sessions.limit(0).select("session").crossJoin(items.limit(0).select("item")).withColumn("place", F.lit(0))
+    wanted, relax = every * min(k, n_items), capped < min(k, n_items)
+    cap = F.least("size", F.lit(m)) * F.lit(every)
+    sizes = sizes.select("_k", (cap if relax else F.lit(0).cast("long")).alias("least"), (F.col("size") * F.lit(every) if relax else cap).alias("most"))
+    levels = levels.join(sizes, "_k")
+    lowest, highest = levels.agg(F.min("used"), F.max("used")).first()
+    level = _use_level(levels, every, wanted, lowest, highest + every)
+
+    # the uses of each block: all below the last level, and of the last as many as are left, block by block
+    upto = lambda x: F.least(F.greatest(F.sum(F.col("n") * F.least(F.greatest(F.lit(x) - F.col("used"), F.lit(0)), F.lit(every))), F.first("least")), F.first("most"))
+    blocks = levels.groupBy("_k").agg(upto(level - 1).alias("sure"), upto(level).alias("last"))
+    left = wanted - blocks.agg(F.sum("sure")).first()[0]
+    blocks = running_sum(blocks.select("_k", "sure", (F.col("last") - F.col("sure")).alias("more")).withColumn("_one", F.lit(0)), ["_one"], "_k", "more", "before")
+    blocks = blocks.select("_one", "_k", (F.col("sure") + F.least(F.greatest(F.lit(left) - F.col("before"), F.lit(0)), "more")).alias("uses")).where("uses > 0")
+    blocks = running_sum(blocks, ["_one"], "_k", "uses", "start").drop("_one")
+
+    # the level of each block: uses grow from an item's count until every session has it
+    turns = levels.select("_k", F.explode(F.array(F.struct(F.col("used").alias("x"), F.col("n").alias("d")), F.struct((F.col("used") + every).alias("x"), (-F.col("n")).alias("d")))).alias("t"))
+    turns = turns.groupBy("_k", "t.x").agg(F.sum("t.d").alias("d"))
+    w = Window.partitionBy("_k").orderBy("x")
+    turns = turns.withColumns({"slope": F.sum("d").over(w), "moment": F.sum(F.col("d") * F.col("x")).over(w)}).withColumn("have", F.col("slope") * F.col("x") - F.col("moment"))
+    at = turns.join(blocks, "_k").where("have < uses").groupBy("_k", "uses", "start").agg(F.max_by(F.struct("x", "slope", "have"), "x").alias("t"))
+    full = F.expr("t.x + (uses - t.have - 1) div t.slope")  # the highest level that leaves some uses
+    at = at.withColumn("full", full).select("_k", "start", "full", (F.col("uses") - F.col("t.have") - F.col("t.slope") * (F.col("full") - F.col("t.x"))).alias("over"))
+
+    shares = used.join(at, "_k").withColumn("sure", F.least(F.greatest(F.col("full") - F.col("used"), F.lit(0)), F.lit(every)))
+    shares = shares.withColumn("open", ((F.col("used") <= F.col("full")) & (F.col("sure") < every)).cast("long"))
+    shares = running_sum(shares, ["_k"], "item", "open", "before")
+    shares = shares.withColumn("uses", F.col("sure") + F.when((F.col("open") == 1) & (F.col("before") < F.col("over")), 1).otherwise(0)).where("uses > 0")
+    shares = running_sum(shares.select("_k", "item", "used", "start", "uses"), ["_k"], "item", "uses", "inner")
+    lots = shares.withColumn("lot", F.explode(F.expr("sequence(0L, (uses - 1) div 4096)")))  # so that no array grows with the sessions
+    line = lots.select("item", "used", (F.col("start") + F.col("inner")).alias("from"), F.explode(F.expr("sequence(lot * 4096, least(uses, (lot + 1) * 4096) - 1)")).alias("use"))
+    numbered = running_sum(sessions.select("session", F.lit(1).alias("_one")), [], "session", "_one", "_p", 13)
+    pairs = line.withColumn("_p", F.pmod(F.col("from") + F.col("use"), F.lit(every))).join(numbered, "_p")
+    return pairs.withColumn("place", F.row_number().over(Window.partitionBy("session").orderBy("used", F.xxhash64("session", "item"), "item"))).select("session", "item", "place")
 
 
 def privacy_class(output_type: Column) -> Column:

@@ -77,3 +77,30 @@ def test_stages_append_history_and_reject_unknown(spark):
         raise AssertionError("an unknown operator must raise")
     except KeyError:
         pass
+
+
+def assigned(spark, items, k, m, n):
+    blocks = {i: b for i, b, _ in items}
+    rows = survey.assign_items(spark.createDataFrame([x[:2] for x in items], "item int, block string"), spark.createDataFrame([(i, u) for i, _, u in items if u], "item int, used long"), spark.range(n).withColumnRenamed("id", "session"), k, m).collect()
+    by: dict[int, list] = {}
+    for r in sorted(rows, key=lambda r: r.place):
+        by.setdefault(r.session, []).append(r.item)
+    assert len(by) == n and all(len(v) == len(set(v)) for v in by.values())
+    assert sorted(r.place for r in rows if r.session == 0) == list(range(1, len(by[0]) + 1))
+    return by, blocks
+
+
+def test_a_dominating_block_leaves_every_session_its_items(spark):
+    items = [(i, "big", 0) for i in range(40)] + [(100 + i, f"b{i % 6}", 5) for i in range(18)]
+    by, blocks = assigned(spark, items, 4, 1, 30)
+    assert all(len(v) == 4 and len({blocks[i] for i in v}) == 4 for v in by.values())
+    assert len({i for v in by.values() for i in v}) == 30 + 18  # the big block gives each session another item, the rest is used evenly
+    uses = [sum(i in v for v in by.values()) for i in range(100, 118)]
+    assert uses == [5] * 18
+
+
+def test_assignment_relaxes_the_cap_where_blocks_are_few(spark):
+    by, blocks = assigned(spark, [(i, "a", i) for i in range(6)] + [(10, "b", 50), (11, None, 0)], 5, 1, 7)
+    assert all(len(v) == 5 and {10, 11} <= set(v) for v in by.values())
+    by, _ = assigned(spark, [(1, "a", 3), (2, "a", 0)], 5, 1, 4)
+    assert all(sorted(v) == [1, 2] for v in by.values())
