@@ -14,7 +14,7 @@ than a shingle is one shingle.  Rows with the same fingerprint share a component
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import product
 
 import numpy as np
@@ -29,6 +29,7 @@ from .text import U64, chunks, mix, prefix_hash, range_hash, texts_of, words
 
 TILE = 4096
 BLOCK = 256
+TILE_SHINGLES = 1 << 21  # of the texts of a tile, about
 SIZE_STEP = 1.25  # sizes of two documents at a similarity of 0.8 differ by this factor at most
 
 
@@ -66,27 +67,38 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(id_col, text_col).mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, fp long")
 
 
+def shingle_sets(texts: list[bytes], shingle: int) -> Iterator[np.ndarray]:
+    """The distinct shingles' hashes of each text, sorted; a text with fewer words is one shingle, one without words none."""
+    for a, b in chunks(texts):
+        w = words(texts[a:b])
+        h = w.hashes()
+        at, grams = w.grams(h, shingle)
+        first = np.searchsorted(w.rows[at] if len(at) else np.zeros(0, dtype=np.int64), np.arange(b - a + 1))
+        whole = prefix_hash(h, 0xD6E8FEB86659FD93)
+        for r in range(b - a):
+            i, j = w.firsts[r], w.firsts[r + 1]
+            yield np.unique(grams[first[r] : first[r + 1]] if j - i >= shingle else range_hash(whole, np.array([i]), np.array([j]), 0xD6E8FEB86659FD93) if j > i else grams[:0])
+
+
+def set_key(own: np.ndarray) -> int:
+    """A number that tells sets of shingles apart."""
+    with np.errstate(over="ignore"):
+        return int(mix(np.array([mix(own, 31).sum(dtype=U64) + U64(len(own))]), 32).view(np.int64)[0])
+
+
 def wide_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, n_words: int = 4) -> DataFrame:
-    """(id, fp, size): fingerprints of ``n_words`` x 64 bits as binary, and the number of shingles."""
+    """(id, fp, size, node): fingerprints of ``n_words`` x 64 bits over the distinct shingles as binary, their number, and the key of their set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = texts_of(batch.column(1))
-            fps, sizes = [], []
-            for a, b in chunks(texts):
-                w = words(texts[a:b])
-                h = w.hashes()
-                at, grams = w.grams(h, shingle)
-                first = np.searchsorted(w.rows[at] if len(at) else np.zeros(0, dtype=np.int64), np.arange(b - a + 1))
-                whole = prefix_hash(h, 0xD6E8FEB86659FD93)
-                for r in range(b - a):
-                    i, j = w.firsts[r], w.firsts[r + 1]
-                    own = grams[first[r] : first[r + 1]] if j - i >= shingle else range_hash(whole, np.array([i]), np.array([j]), 0xD6E8FEB86659FD93) if j > i else grams[:0]
-                    sizes.append(len(own))
-                    fps.append(majority(np.stack([mix(own, 11 + k) for k in range(n_words)], axis=1)).tobytes() if len(own) else bytes(8 * n_words))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.binary()), pa.array(sizes, pa.int64())], ["id", "fp", "size"])
-
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, fp binary, size long")
+            fps, sizes, keys = [], [], []
+            for own in shingle_sets(texts_of(batch.column(1)), shingle):
+                sizes.append(len(own))
+                keys.append(set_key(own))
+                fps.append(majority(np.stack([mix(own, 11 + k) for k in range(n_words)], axis=1)).tobytes() if len(own) else bytes(8 * n_words))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64())], ["id", "fp", "size", "node"])
+
+    return docs.select(id_col, text_col).mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, fp binary, size long, node long")
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
@@ -121,12 +133,8 @@ def _close(left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray
     return np.concatenate(xs), np.concatenate(ys)
 
 
-def fingerprint_links(nodes: DataFrame, radius: int, n_words: int = 1, parts: int = 4, step: int = 1, by_size: bool = False, tile: int = TILE) -> DataFrame:
-    """(a, b): links that join the same nodes as all pairs of fingerprints within the radius do.
-
-    ``nodes``: (node long, fp binary, size long), durable.  A cell is the population counts of ``parts``
-    parts of the fingerprint, in steps of ``step``; ``by_size``: sizes must be within SIZE_STEP.
-    """
+def _tile_pairs(nodes: DataFrame, radius: int, n_words: int, parts: int, step: int, by_size: bool, tile: int) -> DataFrame:
+    """(c1, u1, c2, u2, n1, f1, s1, n2, f2, s2): the pairs of tiles that can hold links."""
     whole = 64 * n_words
     each = whole // parts
     base = each // step + 1
@@ -143,7 +151,7 @@ def fingerprint_links(nodes: DataFrame, radius: int, n_words: int = 1, parts: in
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(key), pa.array(deal)], ["node", "fp", "size", "cell", "deal"])
 
     placed = nodes.select("node", "fp", "size").mapInArrow(cells, "node long, fp binary, size long, cell long, deal long")
-    held = durable(placed.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(tile // 2)).cast("int").alias("cuts")))
+    held = durable(placed.groupBy("cell").agg(F.ceil(F.greatest(F.count("*") / F.lit(tile // 2), F.sum("size") / F.lit(TILE_SHINGLES))).cast("int").alias("cuts")))
     dealt = placed.join(held.hint("merge"), "cell").withColumn("cut", F.pmod("deal", "cuts").cast("int"))
     tiles = dealt.groupBy("cell", "cut").agg(F.collect_list(F.struct("node", "fp", "size")).alias("t"))
     tiles = durable(tiles.select("cell", "cut", F.transform("t", lambda x: x.node).alias("n"), F.transform("t", lambda x: x.fp).alias("f"), F.transform("t", lambda x: x.size).alias("s")))
@@ -165,20 +173,25 @@ def fingerprint_links(nodes: DataFrame, radius: int, n_words: int = 1, parts: in
     cut = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     near = near.withColumn("u1", cut("k1")).withColumn("u2", cut("k2")).where("c1 < c2 or u1 <= u2").select("c1", "u1", "c2", "u2")
     side = lambda i: tiles.select(F.col("cell").alias(f"c{i}"), F.col("cut").alias(f"u{i}"), F.col("n").alias(f"n{i}"), F.col("f").alias(f"f{i}"), F.col("s").alias(f"s{i}")).hint("shuffle_hash")
-    pairs = near.join(side(1), ["c1", "u1"]).join(side(2), ["c2", "u2"]).select("n1", "f1", "s1", "n2", "f2", "s2")
+    return near.join(side(1), ["c1", "u1"]).join(side(2), ["c2", "u2"]).select("c1", "u1", "c2", "u2", "n1", "f1", "s1", "n2", "f2", "s2")
+
+
+def fingerprint_links(nodes: DataFrame, radius: int, n_words: int = 1, parts: int = 4, step: int = 1, tile: int = TILE) -> DataFrame:
+    """(a, b): links that join the same nodes as all pairs of fingerprints within the radius do.
+
+    ``nodes``: (node long, fp binary, size long), durable.  A cell is the population counts of ``parts``
+    parts of the fingerprint, in steps of ``step``.
+    """
+    pairs = _tile_pairs(nodes, radius, n_words, parts, step, False, tile).select("n1", "f1", "n2", "f2")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             xs, ys = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
-            col = [batch.column(k) for k in range(6)]
+            col = [batch.column(k) for k in range(4)]
             for i in range(batch.num_rows):
-                n1, n2 = (col[k].slice(i, 1).flatten().to_numpy() for k in (0, 3))
-                f1, f2 = (np.frombuffer(b"".join(col[k][i].as_py()), dtype=U64).reshape(-1, n_words) for k in (1, 4))
+                n1, n2 = (col[k].slice(i, 1).flatten().to_numpy() for k in (0, 2))
+                f1, f2 = (np.frombuffer(b"".join(col[k][i].as_py()), dtype=U64).reshape(-1, n_words) for k in (1, 3))
                 x, y = _close(f1, f2, radius)
-                if by_size and len(x):
-                    s1, s2 = (col[k].slice(i, 1).flatten().to_numpy() for k in (2, 5))
-                    fits = np.maximum(s1[x], s2[y]) <= SIZE_STEP * np.minimum(s1[x], s2[y])
-                    x, y = x[fits], y[fits]
                 apart = n1[x] != n2[y]
                 xs.append(n1[x[apart]])
                 ys.append(n2[y[apart]])
@@ -191,6 +204,72 @@ def fingerprint_links(nodes: DataFrame, radius: int, n_words: int = 1, parts: in
     return pairs.mapInArrow(compare, "a long, b long")
 
 
+def _near(n1: np.ndarray, f1: np.ndarray, s1: np.ndarray, n2: np.ndarray, f2: np.ndarray, s2: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of the candidates: fingerprints within the radius, sizes that allow a similarity of 0.8; some rows at a time."""
+    for i in range(0, len(n1), BLOCK):
+        x, y = _close(f1[i : i + BLOCK], f2, radius)
+        x += i
+        fits = (4 * np.maximum(s1[x], s2[y]) <= 5 * np.minimum(s1[x], s2[y])) & (n1[x] != n2[y])
+        yield x[fits], y[fits]
+
+
+def similar_links(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], radius: int, n_words: int, tile: int = TILE) -> DataFrame:
+    """(a, b): links that join the same nodes as all candidates with a Jaccard similarity of 0.8 or more do.
+
+    ``sets`` gives (node, grams) of some nodes.  A pair of tiles names its nodes that have a candidate, never
+    the pairs; their sets are joined to it, and it compares its candidates exactly, but for those that
+    links found before have joined.
+    """
+    keys = ["c1", "u1", "c2", "u2"]
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            col = [batch.column(k) for k in range(10)]
+            for i in range(batch.num_rows):
+                n1, s1, n2, s2 = (col[k].slice(i, 1).flatten().to_numpy() for k in (4, 6, 7, 9))
+                b1, b2 = (col[k][i].as_py() for k in (5, 8))
+                f1, f2 = (np.frombuffer(b"".join(b), dtype=U64).reshape(-1, n_words) for b in (b1, b2))
+                has1, has2 = np.zeros(len(n1), dtype=bool), np.zeros(len(n2), dtype=bool)
+                for x, y in _near(n1, f1, s1, n2, f2, s2, radius):
+                    has1[x] = has2[y] = True
+                for side, n, f, s, has in ((1, n1, b1, s1, has1), (2, n2, b2, s2, has2)):
+                    at = np.flatnonzero(has)
+                    if len(at):
+                        yield pa.RecordBatch.from_arrays([*(pa.array([col[k][i].as_py()] * len(at), col[k].type) for k in range(4)), pa.array([side] * len(at), pa.int32()), pa.array(n[at]), pa.array([f[j] for j in at], pa.binary()), pa.array(s[at])], [*keys, "side", "node", "fp", "size"])
+
+    def verify(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got: dict[int, dict[int, tuple[bytes, int, np.ndarray]]] = {1: {}, 2: {}}
+        for batch in batches:
+            for side, node, fp, size, grams in zip(*(batch.column(c).to_pylist() for c in ("side", "node", "fp", "size", "grams")), strict=True):
+                got[side][node] = fp, size, np.frombuffer(grams, dtype=U64)
+        (n1, f1, s1), (n2, f2, s2) = ((np.array(list(g), dtype=np.int64), np.frombuffer(b"".join(v[0] for v in g.values()), dtype=U64).reshape(-1, n_words), np.array([v[1] for v in g.values()], dtype=np.int64)) for g in (got[1], got[2]))
+        g1, g2 = ([v[2] for v in g.values()] for g in (got[1], got[2]))
+        top: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (p := top.setdefault(x, x)) != x:
+                top[x] = x = top.setdefault(p, p)
+            return x
+
+        a, b = [], []
+        for xs, ys in _near(n1, f1, s1, n2, f2, s2, radius):
+            for x, y in zip(xs.tolist(), ys.tolist(), strict=True):
+                p, q = find(int(n1[x])), find(int(n2[y]))
+                if p != q:
+                    small, large = (g1[x], g2[y]) if len(g1[x]) <= len(g2[y]) else (g2[y], g1[x])
+                    both = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
+                    if 5 * both >= 4 * (len(small) + len(large) - both):
+                        top[max(p, q)] = min(p, q)
+                        a.append(n1[x])
+                        b.append(n2[y])
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    pairs = _tile_pairs(nodes, radius, n_words, 1, radius + 1, True, tile)
+    named = durable(pairs.mapInArrow(name, "c1 long, u1 int, c2 long, u2 int, side int, node long, fp binary, size long"))
+    held = named.join(sets(named.select("node").distinct()).hint("merge"), "node")
+    return held.groupBy(*keys).applyInArrow(verify, "a long, b long")
+
+
 def simhash_components(docs: DataFrame, radius: int = 2, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fingerprint as 16 hexadecimal digits, component_id) of each row.
 
@@ -205,24 +284,40 @@ def simhash_components(docs: DataFrame, radius: int = 2, shingle: int = 3, id_co
     return fps.join(of.hint("merge"), "fp", "left").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_duplicate_groups(docs: DataFrame, radius: int = 48, shingle: int = 5, n_words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicate_groups(docs: DataFrame, radius: int = 80, shingle: int = 5, n_words: int = 4, id_col: str = "doc_id", text_col: str = "text", tile: int = TILE) -> DataFrame:
     """(id, keeper): for each row the smallest id of its group of near copies, itself included.
 
-    256 bits over five-word shingles tell a similarity of 0.8 (about 39 differing bits, deviation 6) from
-    unrelated texts (128, deviation 8); the radius leaves one deviation and a half of room at 0.8.
+    Links are pairs whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.  Fingerprints
+    only find candidates: at 0.8 about 39 of 256 bits differ (deviation 6; about 48 in texts of five
+    shingles), in unrelated texts 128 (deviation 8).
     """
     fps = durable(wide_fingerprints(docs, id_col, text_col, shingle, n_words))
-    nodes = durable(fps.groupBy("fp").agg(F.min("id").alias("node"), F.min("size").alias("size")).where("node is not null"))
-    found = components(fingerprint_links(nodes, radius, n_words, parts=1, step=radius + 1, by_size=True))
-    of = nodes.join(found.hint("shuffle_hash"), "node", "left").select("fp", F.coalesce("component", "node").alias("keeper"))
-    return fps.join(of.hint("merge"), "fp", "left").select(F.col("id").alias(id_col), "keeper")
+    nodes = durable(fps.where("size > 0").groupBy("node").agg(F.min("id").alias("id"), F.first("fp").alias("fp"), F.first("size").alias("size")).where("id is not null"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = texts_of(batch.column(0))
+            for text in texts:
+                own = next(shingle_sets([text], shingle))
+                yield pa.RecordBatch.from_arrays([pa.array([set_key(own)], pa.int64()), pa.array([own.tobytes()], pa.binary())], ["node", "grams"])
+
+    def sets(wanted: DataFrame) -> DataFrame:
+        ids = nodes.join(wanted.hint("merge"), "node", "left_semi").select(F.col("id").alias("_id")).distinct()
+        texts = docs.select(F.col(id_col).alias("_id"), text_col).join(ids.hint("merge"), "_id", "left_semi").select(text_col)
+        return texts.mapInArrow(run, "node long, grams binary")
+
+    found = components(similar_links(nodes, sets, radius, n_words, tile))
+    of = durable(nodes.join(found.hint("shuffle_hash"), "node", "left").select("node", "id", F.coalesce("component", "node").alias("component")))
+    keepers = of.groupBy("component").agg(F.min("id").alias("keeper"))
+    of = of.join(keepers.hint("merge"), "component").select("node", "keeper")
+    return fps.join(of.hint("merge"), "node", "left").select(F.col("id").alias(id_col), F.coalesce("keeper", "id").alias("keeper"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how: int) -> DataFrame:
     """One row of each group of near copies stays, that with the smallest id; rows without an id stay.
 
-    Empty texts are not copies of anything and stay too.
+    Texts without words are not copies of anything and stay too.
     """
-    groups = near_duplicate_groups(docs.where(F.length(F.trim(F.col(text_col))) > 0), id_col=id_col, text_col=text_col, **how)
+    groups = near_duplicate_groups(docs, id_col=id_col, text_col=text_col, **how)
     gone = groups.where(F.col(id_col) != F.col("keeper")).select(id_col)
     return docs.join(gone.hint("merge"), id_col, "left_anti")

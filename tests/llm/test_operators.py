@@ -114,6 +114,43 @@ def test_near_copies_leave_one(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [0, 10, 20, 30, 40, 50, 900, 901] and kept.columns == df.columns
 
 
+def test_near_copies_are_those_of_similarity_08(spark):
+    rng = random.Random(11)
+    rows, apart = [], []
+
+    def pair(base: str, other: str) -> float:
+        a, b = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (base.split(), other.split()))
+        rows.extend([(len(rows), base), (len(rows) + 1, other)])
+        similar = len(a & b) / len(a | b)
+        if similar < 0.8:
+            apart.append(len(rows) - 1)
+        return similar
+
+    fresh = lambda n: [f"w{rng.randint(0, 10**9)}" for _ in range(n)]
+    seen = []
+    for edits in [9] * 60 + [10] * 60 + [15] * 40 + [20] * 40:  # an edit takes five shingles of 400 or so
+        w = fresh(404)
+        v = list(w)
+        for e in range(edits):
+            v[10 + 19 * e] = f"x{e}"
+        seen.append(pair(" ".join(w), " ".join(v)))
+    assert sum(0.6 <= x <= 0.75 for x in seen) > 50 and sum(0.75 < x < 0.8 for x in seen) > 30 and min(seen) > 0.55
+    for cut in (75, 79, 85, 90):  # at 0.8 to 0.85: one passage new at the end
+        for _ in range(30):
+            w = fresh(404)
+            new = 400 - round(400 * 2 * (x := cut / 100 + 0.012) / (1 + x))
+            seen.append(pair(" ".join(w), " ".join(w[: 404 - new] + fresh(new))))
+    assert sum(0.8 <= x <= 0.87 for x in seen) > 50
+    w = fresh(300)
+    assert pair(" ".join(w), " ".join(w + w[40:240])) > 0.9  # a passage stands twice
+    short = "one two three four five six seven eight"
+    assert pair(short + " nine", short) == 0.8
+    rows += [(len(rows), "\t\n"), (len(rows) + 1, "\n\t"), (len(rows) + 2, None)]
+    blank = [len(rows) - 3, len(rows) - 2, len(rows) - 1]
+    got = sorted(r.doc_id for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), tile=64).collect())
+    assert got == sorted([*range(0, blank[0], 2), *apart, *blank])
+
+
 def test_many_copies_in_small_tiles(spark):
     fps = [(i, (i % 7 << 32 | i).to_bytes(8, "little"), 0) for i in range(64)]
     nodes = spark.createDataFrame(fps, "node long, fp binary, size long")
