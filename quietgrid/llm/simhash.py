@@ -9,22 +9,27 @@ compared in full with numpy exclusive-or and bit counts.  A task passes on a spa
 it found, which joins the same fingerprints without emitting every pair of a large group.
 
 Null and empty texts have the zero fingerprint and are linked like any other; a text with fewer words
-than a shingle is one shingle.  Rows with the same fingerprint share a component.
+than a shingle is one shingle.  Rows with the same fingerprint share a component.  Ids may be of any type
+that has an order, may repeat and may be null; empty tables give empty results, and other columns, whatever
+their names, are not read.  Long texts are hashed in bounded blocks.
+
+For near copies (``drop_near_duplicates``) the same tiles find candidates, whose shingle sets are then
+compared exactly.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from itertools import product
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .jobs import components, durable
+from .jobs import components, durable, spread_join
 from .text import U64, chunks, mix, prefix_hash, range_hash, texts_of, words
 
 TILE = 4096
@@ -80,25 +85,41 @@ def shingle_sets(texts: list[bytes], shingle: int) -> Iterator[np.ndarray]:
             yield np.unique(grams[first[r] : first[r + 1]] if j - i >= shingle else range_hash(whole, np.array([i]), np.array([j]), 0xD6E8FEB86659FD93) if j > i else grams[:0])
 
 
-def set_key(own: np.ndarray) -> int:
-    """A number that tells sets of shingles apart."""
+def set_key(own: np.ndarray) -> tuple[int, int]:
+    """128 bits that tell sets of shingles apart."""
     with np.errstate(over="ignore"):
-        return int(mix(np.array([mix(own, 31).sum(dtype=U64) + U64(len(own))]), 32).view(np.int64)[0])
+        sums = np.array([mix(own, seed).sum(dtype=U64) + U64(len(own)) for seed in (31, 33)])
+        return tuple(mix(sums, 32).view(np.int64).tolist())
 
 
 def wide_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, n_words: int = 4) -> DataFrame:
-    """(id, fp, size, node): fingerprints of ``n_words`` x 64 bits over the distinct shingles as binary, their number, and the key of their set."""
+    """(id, text_key, fp, size, k1, k2) of each row.
+
+    The 128-bit key of its text, a fingerprint of ``n_words`` x 64 bits over its distinct shingles as binary,
+    their number, and the key of their set.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps, sizes, keys = [], [], []
-            for own in shingle_sets(texts_of(batch.column(1)), shingle):
+            for own in shingle_sets(texts_of(batch.column(2)), shingle):
                 sizes.append(len(own))
                 keys.append(set_key(own))
                 fps.append(majority(np.stack([mix(own, 11 + k) for k in range(n_words)], axis=1)).tobytes() if len(own) else bytes(8 * n_words))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64())], ["id", "fp", "size", "node"])
+            k1, k2 = (pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1))
+            arrays = [batch.column(0), batch.column(1), pa.array(fps, pa.binary()), pa.array(sizes, pa.int64()), k1, k2]
+            yield pa.RecordBatch.from_arrays(arrays, ["id", "text_key", "fp", "size", "k1", "k2"])
+
+    keyed = docs.select(F.col(id_col).alias("id"), text_key(text_col).alias("text_key"), F.col(text_col).alias("text"))
+    return keyed.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, text_key binary, fp binary, size long, k1 long, k2 long")
+
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, fp binary, size long, node long")
+def text_key(text_col: str) -> Column:
+    return F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")))
+
+
+def _deal(id_col: str) -> Column:
+    return F.coalesce(F.col(id_col).cast("string"), F.lit(""))
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
@@ -152,7 +173,7 @@ def _tile_pairs(nodes: DataFrame, radius: int, n_words: int, parts: int, step: i
 
     placed = nodes.select("node", "fp", "size").mapInArrow(cells, "node long, fp binary, size long, cell long, deal long")
     held = durable(placed.groupBy("cell").agg(F.ceil(F.greatest(F.count("*") / F.lit(tile // 2), F.sum("size") / F.lit(TILE_SHINGLES))).cast("int").alias("cuts")))
-    dealt = placed.join(held.hint("merge"), "cell").withColumn("cut", F.pmod("deal", "cuts").cast("int"))
+    dealt = spread_join(placed, held, ["cell"], "deal").withColumn("cut", F.pmod("deal", "cuts").cast("int"))
     tiles = dealt.groupBy("cell", "cut").agg(F.collect_list(F.struct("node", "fp", "size")).alias("t"))
     tiles = durable(tiles.select("cell", "cut", F.transform("t", lambda x: x.node).alias("n"), F.transform("t", lambda x: x.fp).alias("f"), F.transform("t", lambda x: x.size).alias("s")))
 
@@ -213,6 +234,60 @@ def _near(n1: np.ndarray, f1: np.ndarray, s1: np.ndarray, n2: np.ndarray, f2: np
         yield x[fits], y[fits]
 
 
+@dataclass
+class _Side:
+    """The nodes of a tile with their fingerprints, sizes and shingle sets, the sets one after the other."""
+
+    nodes: np.ndarray
+    fps: np.ndarray
+    sizes: np.ndarray
+    grams: np.ndarray
+    starts: np.ndarray
+
+    @staticmethod
+    def of(held: dict[int, tuple[bytes, int, np.ndarray]], n_words: int) -> _Side:
+        fps = np.frombuffer(b"".join(v[0] for v in held.values()), dtype=U64).reshape(-1, n_words)
+        sizes = np.array([len(v[2]) for v in held.values()], dtype=np.int64)
+        grams = np.concatenate([v[2] for v in held.values()]) if held else np.zeros(0, dtype=U64)
+        return _Side(np.array(list(held), dtype=np.int64), fps, sizes, grams, np.cumsum(sizes) - sizes)
+
+
+def _verified(left: _Side, right: _Side, radius: int) -> tuple[list[int], list[int]]:
+    """Links of exact similarity 0.8 or more between two tiles.
+
+    A row of the left tile meets all its candidates at once: the shared shingles are counted by marking the
+    row's shingles and adding up the marks under each candidate.  Candidates that links found before have
+    joined to the row are left out; they add nothing to the groups.
+    """
+    all_nodes, back = np.unique(np.concatenate([left.nodes, right.nodes]), return_inverse=True)
+    i1, i2 = back[: len(left.nodes)], back[len(left.nodes) :]
+    _, number = np.unique(np.concatenate([left.grams, right.grams]), return_inverse=True)
+    own, other = number[: len(left.grams)], number[len(left.grams) :]
+    marked = np.zeros(int(number.max(initial=-1)) + 1, dtype=np.int64)
+    group = np.arange(len(all_nodes))
+    a, b = [], []
+    for xs, ys in _near(left.nodes, left.fps, left.sizes, right.nodes, right.fps, right.sizes, radius):
+        rows, first = np.unique(xs, return_index=True)
+        for x, y in zip(rows.tolist(), np.split(ys, first[1:]), strict=True):
+            y = y[group[i2[y]] != group[i1[x]]]
+            if not len(y):
+                continue
+            mine = own[left.starts[x] : left.starts[x] + left.sizes[x]]
+            marked[mine] = 1
+            if 4 * right.sizes[y].sum() < len(other):
+                both = np.array([marked[other[s : s + n]].sum() for s, n in zip(right.starts[y].tolist(), right.sizes[y].tolist(), strict=True)])
+            else:
+                both = np.add.reduceat(marked[other], right.starts)[y]
+            marked[mine] = 0
+            y = y[5 * both >= 4 * (left.sizes[x] + right.sizes[y] - both)]
+            joined, at = np.unique(group[i2[y]], return_index=True)
+            if len(joined):
+                a += [int(left.nodes[x])] * len(at)
+                b += right.nodes[y[at]].tolist()
+                group[np.isin(group, np.append(joined, group[i1[x]]))] = group[i1[x]]
+    return a, b
+
+
 def similar_links(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], radius: int, n_words: int, tile: int = TILE) -> DataFrame:
     """(a, b): links that join the same nodes as all candidates with a Jaccard similarity of 0.8 or more do.
 
@@ -242,26 +317,8 @@ def similar_links(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], radi
         for batch in batches:
             for side, node, fp, size, grams in zip(*(batch.column(c).to_pylist() for c in ("side", "node", "fp", "size", "grams")), strict=True):
                 got[side][node] = fp, size, np.frombuffer(grams, dtype=U64)
-        (n1, f1, s1), (n2, f2, s2) = ((np.array(list(g), dtype=np.int64), np.frombuffer(b"".join(v[0] for v in g.values()), dtype=U64).reshape(-1, n_words), np.array([v[1] for v in g.values()], dtype=np.int64)) for g in (got[1], got[2]))
-        g1, g2 = ([v[2] for v in g.values()] for g in (got[1], got[2]))
-        top: dict[int, int] = {}
-
-        def find(x: int) -> int:
-            while (p := top.setdefault(x, x)) != x:
-                top[x] = x = top.setdefault(p, p)
-            return x
-
-        a, b = [], []
-        for xs, ys in _near(n1, f1, s1, n2, f2, s2, radius):
-            for x, y in zip(xs.tolist(), ys.tolist(), strict=True):
-                p, q = find(int(n1[x])), find(int(n2[y]))
-                if p != q:
-                    small, large = (g1[x], g2[y]) if len(g1[x]) <= len(g2[y]) else (g2[y], g1[x])
-                    both = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
-                    if 5 * both >= 4 * (len(small) + len(large) - both):
-                        top[max(p, q)] = min(p, q)
-                        a.append(n1[x])
-                        b.append(n2[y])
+        left, right = (_Side.of(g, n_words) for g in (got[1], got[2]))
+        a, b = _verified(left, right, radius)
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     pairs = _tile_pairs(nodes, radius, n_words, 1, radius + 1, True, tile)
@@ -273,51 +330,62 @@ def similar_links(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], radi
 def simhash_components(docs: DataFrame, radius: int = 2, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fingerprint as 16 hexadecimal digits, component_id) of each row.
 
-    The component is the smallest id that links reach.  Rows that share an id are one node; rows without an
-    id have the component of their fingerprint, or none if no row with an id has it.
+    The component is the smallest id that links reach, null if none of those rows has an id.
     """
     fps = durable(fingerprints(docs, id_col, text_col, shingle))
-    nodes = durable(fps.groupBy("fp").agg(F.min("id").cast("long").alias("node")).where("node is not null"))
+    nodes = durable(fps.groupBy("fp").agg(F.min("id").alias("id")).withColumn("node", F.monotonically_increasing_id()))
     bits = nodes.select("node", F.unhex(F.lpad(F.hex("fp"), 16, "0")).alias("fp"), F.lit(0).cast("long").alias("size"))
-    found = components(fingerprint_links(bits, radius))
-    of = nodes.join(found.hint("shuffle_hash"), "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return fps.join(of.hint("merge"), "fp", "left").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    of = _least_ids(nodes, components(fingerprint_links(bits, radius))).select("fp", F.col("least").alias("component_id"))
+    out = spread_join(fps.withColumn("deal", _deal("id")), of, ["fp"], "deal")
+    return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _least_ids(nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """The nodes with ``least``: the smallest id of their component."""
+    of = durable(nodes.join(found.hint("shuffle_hash"), "node", "left").withColumn("component", F.coalesce("component", "node")))
+    return spread_join(of, of.groupBy("component").agg(F.min("id").alias("least")), ["component"], "node")
+
+
+RADIUS = 64
 
 
-def near_duplicate_groups(docs: DataFrame, radius: int = 80, shingle: int = 5, n_words: int = 4, id_col: str = "doc_id", text_col: str = "text", tile: int = TILE) -> DataFrame:
-    """(id, keeper): for each row the smallest id of its group of near copies, itself included.
+def near_duplicate_rows(docs: DataFrame, radius: int = RADIUS, shingle: int = 5, n_words: int = 4, id_col: str = "doc_id", text_col: str = "text", tile: int = TILE) -> DataFrame:
+    """(id, text_key, keeper): for each row the smallest id of its group of near copies, itself included.
 
     Links are pairs whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.  Fingerprints
     only find candidates: at 0.8 about 39 of 256 bits differ (deviation 6; about 48 in texts of five
-    shingles), in unrelated texts 128 (deviation 8).
+    shingles), in unrelated texts 128 (deviation 8).  Rows without an id link texts but are no keepers.
     """
     fps = durable(wide_fingerprints(docs, id_col, text_col, shingle, n_words))
-    nodes = durable(fps.where("size > 0").groupBy("node").agg(F.min("id").alias("id"), F.first("fp").alias("fp"), F.first("size").alias("size")).where("id is not null"))
+    some = fps.where("size > 0").groupBy("k1", "k2")
+    one = F.min(F.struct(_deal("id").alias("deal"), "text_key")).alias("one")  # a row that holds the text
+    nodes = some.agg(F.min("id").alias("id"), one, F.first("fp").alias("fp"), F.first("size").alias("size"))
+    nodes = durable(nodes.select("k1", "k2", "id", "one.*", "fp", "size").withColumn("node", F.monotonically_increasing_id()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = texts_of(batch.column(0))
-            for text in texts:
+            for node, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
                 own = next(shingle_sets([text], shingle))
-                yield pa.RecordBatch.from_arrays([pa.array([set_key(own)], pa.int64()), pa.array([own.tobytes()], pa.binary())], ["node", "grams"])
+                yield pa.RecordBatch.from_arrays([pa.array([node], pa.int64()), pa.array([own.tobytes()], pa.binary())], ["node", "grams"])
 
     def sets(wanted: DataFrame) -> DataFrame:
-        ids = nodes.join(wanted.hint("merge"), "node", "left_semi").select(F.col("id").alias("_id")).distinct()
-        texts = docs.select(F.col(id_col).alias("_id"), text_col).join(ids.hint("merge"), "_id", "left_semi").select(text_col)
+        held = nodes.join(wanted.hint("merge"), "node", "left_semi").select("node", "deal", "text_key")
+        texts = docs.select(_deal(id_col).alias("deal"), text_key(text_col).alias("text_key"), F.col(text_col).alias("text"))
+        texts = texts.join(held.hint("merge"), ["deal", "text_key"]).groupBy("node").agg(F.first("text").alias("text"))
         return texts.mapInArrow(run, "node long, grams binary")
 
-    found = components(similar_links(nodes, sets, radius, n_words, tile))
-    of = durable(nodes.join(found.hint("shuffle_hash"), "node", "left").select("node", "id", F.coalesce("component", "node").alias("component")))
-    keepers = of.groupBy("component").agg(F.min("id").alias("keeper"))
-    of = of.join(keepers.hint("merge"), "component").select("node", "keeper")
-    return fps.join(of.hint("merge"), "node", "left").select(F.col("id").alias(id_col), F.coalesce("keeper", "id").alias("keeper"))
+    of = _least_ids(nodes, components(similar_links(nodes, sets, radius, n_words, tile)))
+    rows = fps.select("id", "text_key", "k1", "k2", _deal("id").alias("deal")).where("size > 0")
+    return spread_join(rows, of.select("k1", "k2", F.col("least").alias("keeper")), ["k1", "k2"], "deal").select("id", "text_key", "keeper")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how: int) -> DataFrame:
-    """One row of each group of near copies stays, that with the smallest id; rows without an id stay.
+    """One document of each group of near copies stays, that with the smallest id.
 
-    Texts without words are not copies of anything and stay too.
+    Rows without an id and texts without words (null, empty, white space) stay.  Ids may repeat: rows of one
+    id and different texts are different documents, rows of one id and one text stay or go together.
     """
-    groups = near_duplicate_groups(docs, id_col=id_col, text_col=text_col, **how)
-    gone = groups.where(F.col(id_col) != F.col("keeper")).select(id_col)
-    return docs.join(gone.hint("merge"), id_col, "left_anti")
+    rows = near_duplicate_rows(docs, id_col=id_col, text_col=text_col, **how)
+    gone = rows.where("id != keeper").select(F.col("id").alias("_gone_id"), F.col("text_key").alias("_gone_key")).distinct().hint("merge")
+    same = (docs[id_col] == gone["_gone_id"]) & (text_key(text_col) == gone["_gone_key"])
+    return docs.join(gone, same, "left_anti")

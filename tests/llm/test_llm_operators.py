@@ -151,6 +151,20 @@ def test_near_copies_are_those_of_similarity_08(spark):
     assert got == sorted([*range(0, blank[0], 2), *apart, *blank])
 
 
+def test_near_copies_with_repeated_ids_and_odd_columns(spark, none):
+    words = [f"w{i}" for i in range(60)]
+    a, b, c = " ".join(words), " ".join(words[::-1]), " ".join(words[:58] + ["x", "y"])
+    rows = [(1, a, 0), (5, a, 0), (5, b, 0), (7, b, 0), (None, a, 0), (None, None, 0), (8, "\n\t", 0), (8, "\n\t", 0), (9, "one", 0), (10, "ONE", 0), (11, c, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, keeper int")
+    got = simhash.drop_near_duplicates(df)
+    assert got.columns == df.columns
+    assert sorted(((r.doc_id or 0, r.text) for r in got.collect()), key=str) == sorted([(1, a), (5, b), (0, a), (0, None), (8, "\n\t"), (8, "\n\t"), (9, "one")], key=str)
+    named = spark.createDataFrame([(str(i), t, 0) for i, t, _ in rows if i], "name string, body string, text_key int")
+    assert simhash.drop_near_duplicates(named, id_col="name", text_col="body").count() == 5
+    assert simhash.simhash_components(named, id_col="name", text_col="body").count() == 9
+    assert simhash.drop_near_duplicates(none).count() == 0
+
+
 def test_many_copies_in_small_tiles(spark):
     fps = [(i, (i % 7 << 32 | i).to_bytes(8, "little"), 0) for i in range(64)]
     nodes = spark.createDataFrame(fps, "node long, fp binary, size long")
