@@ -1,7 +1,9 @@
 """Information flows against rules: matching, verdicts, required and forbidden terms.
 
-Flows are wide rows of ``ARRAY<STRING>`` columns.  Rules are tables: ``conditions`` (rule_id, field, op,
-terms) and ``effects`` (rule_id, action, needs, forbids, stages, tags).
+Flows are wide rows of ``ARRAY<STRING>`` columns; a nested field is named by its dotted path.  Rules are two
+tables: ``effects`` (rule_id, action, stages, tags) and ``conditions`` (rule_id, part, field, op, terms).
+``part`` is ``match``, ``unless`` or ``require``; ``op`` is ``anyOf``, ``allOf``, ``noneOf``, or ``present`` and
+``absent`` without terms.  ``read_rules`` makes both from authored documents.
 """
 
 from __future__ import annotations
@@ -9,50 +11,146 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .sizes import sized
+
 STAGES = ("raw_input", "intermediate_representation", "output_to_application", "retained_artifact")
 EMPTY = "array<string>"
+SOME = "\u0000some"  # stands in every field that is not empty
+REQUIRING = ("REQUIRE_CONDITION", "REQUIRE_TRANSFORMATION", "ALLOW_IF")
 
 
-def flow_terms(flows: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """(key, field, have): the terms of each field of a flow, in long form."""
-    return flows.select(key, F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.coalesce(F.col(f), F.array().cast(EMPTY)).alias("have")) for f in fields])).alias("x")).select(key, "x.field", "x.have")
-
-
-def condition_holds(op: Column, have: Column, terms: Column) -> Column:
-    overlap = F.arrays_overlap(have, terms)
-    return F.when(op == "anyOf", overlap).when(op == "noneOf", ~overlap).when(op == "allOf", F.size(F.array_except(terms, have)) == 0).otherwise(False)
+def listed(text: Column) -> Column:
+    """A JSON text as a list of texts; a scalar is a list of one."""
+    return F.when(text.startswith("["), F.from_json(text, EMPTY)).otherwise(F.array(text))
 
 
-def match_rules(flows: DataFrame, conditions: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """(key, rule_id) of the flows that meet all conditions of a rule; rules are a small table of authored rows."""
-    n = conditions.groupBy("rule_id").agg(F.count("*").alias("_n"))
-    held = flow_terms(flows, key, fields).join(F.broadcast(conditions), "field").where(condition_holds(F.col("op"), F.col("have"), F.col("terms")))
-    return held.groupBy(key, "rule_id").agg(F.count("*").alias("_k")).join(F.broadcast(n), "rule_id").where("_k = _n").select(key, "rule_id")
+def document_conditions(rules: DataFrame, column: str, part: str, op: str = "anyOf", depth: int = 3) -> DataFrame:
+    """(rule_id, part, field, op, terms) of the JSON objects {field: condition} in a column.
 
-
-def evaluate_rules(flows: DataFrame, conditions: DataFrame, effects: DataFrame, key: str, fields: list[str], tags: str = "tags", transforms: str = "transforms", stage: str = "stage") -> DataFrame:
+    A condition is a list or scalar (by ``op``), an object with one of the three operators, or an object of
+    conditions on nested fields.  In ``unless`` true and false ask for a field that is there or not.
+    """
+    as_map = lambda c: F.from_json(c, "map<string,string>")
+    operator = lambda m: F.when(F.map_contains_key(m, "anyOf"), "anyOf").when(F.map_contains_key(m, "allOf"), "allOf").when(F.map_contains_key(m, "noneOf"), "noneOf")
+    level = rules.select("rule_id", F.explode(as_map(F.col(column))).alias("field", "c"))
+    for _ in range(depth - 1):
+        m = as_map(F.col("c"))
+        nested = F.col("c").startswith("{") & operator(m).isNull()
+        inner = F.transform(F.map_entries(m), lambda e: F.struct(F.concat_ws(".", "field", e["key"]).alias("field"), e["value"].alias("c")))
+        level = level.select("rule_id", F.explode(F.when(nested, inner).otherwise(F.array(F.struct("field", "c")))).alias("e")).select("rule_id", "e.*")
+    m = as_map(F.col("c"))
+    given = F.when(F.col("c").startswith("{"), operator(m))
+    flag = F.lit(part == "unless") & F.col("c").isin("true", "false")
+    ops = F.when(flag, F.when(F.col("c") == "true", "present").otherwise("absent")).otherwise(F.coalesce(given, F.lit(op)))
+    terms = F.when(flag, F.array().cast(EMPTY)).when(given.isNotNull(), listed(m[given])).otherwise(listed(F.col("c")))
+    return level.select("rule_id", F.lit(part).alias("part"), "field", ops.alias("op"), terms.alias("terms"))
+
+
+def read_rules(rules: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(conditions, effects) of authored rules; template rules are left out.
+
+    ``rules``: rule_id, action, match, unless, required, forbidden (JSON objects as texts), transformations,
+    stages, tags (arrays), source_type.
+    """
+    real = rules.where(~F.coalesce(F.col("source_type") == "created_template", F.lit(False)) & ~F.col("rule_id").startswith("template_"))
+    transformed = real.where((F.col("action") == "REQUIRE_TRANSFORMATION") & (F.size("transformations") > 0))
+    parts = [
+        document_conditions(real, "match", "match"),
+        document_conditions(real, "unless", "unless"),
+        document_conditions(real.where(F.col("action").isin("REQUIRE_CONDITION", "ALLOW_IF")), "required", "require", "allOf"),
+        document_conditions(real.where(F.col("action").isin("REQUIRE_CONDITION", "ALLOW_IF")), "forbidden", "require", "noneOf"),
+        transformed.select("rule_id", F.lit("require").alias("part"), F.lit("_done").alias("field"), F.lit("allOf").alias("op"), F.col("transformations").alias("terms")),
+    ]
+    conditions = parts[0]
+    for p in parts[1:]:
+        conditions = conditions.unionByName(p)
+    empty = F.array().cast(EMPTY)
+    effects = real.select("rule_id", "action", F.coalesce("stages", empty).alias("stages"), F.coalesce("tags", empty).alias("tags"))
+    return conditions.cache(), effects.cache()  # authored tables, read several times
+
+
+def flow_terms(flows: DataFrame, key: str, fields: dict[str, Column]) -> DataFrame:
+    """(key, field, term): the terms of each field of a flow; a field that is not empty has the term SOME too."""
+    held = lambda c: F.array_distinct(F.coalesce(c, F.array().cast(EMPTY)))
+    each = F.array(*[F.struct(F.lit(n).alias("field"), F.when(F.size(held(c)) > 0, F.array_append(held(c), SOME)).otherwise(held(c)).alias("terms")) for n, c in fields.items()])
+    return flows.select(key, F.explode(each).alias("x")).select(key, "x.field", F.explode("x.terms").alias("term")).distinct()
+
+
+PARTS = ("match", "unless", "require")
+
+
+def rule_states(flows: DataFrame, rules: DataFrame, conditions: DataFrame, key: str, fields: dict[str, Column]) -> DataFrame:
+    """(key, rule_id, applies, met): the flows whose ``match`` conditions all hold, whether the rule applies to
+    them (not all of its ``unless`` conditions hold, if it has any), and whether all ``require`` conditions hold.
+
+    Terms of flows meet terms of conditions by an equi-join, so a flow meets only conditions that name
+    something it has; what it met is counted in one aggregate.  Only rules whose match asks for nothing (no
+    conditions, or only absent terms) are put beside every flow.
+    """
+    c = conditions.join(sized(rules.select("rule_id").distinct()), "rule_id", "left_semi")
+    op = F.when(F.col("op") == "present", "anyOf").when(F.col("op") == "absent", "noneOf").otherwise(F.col("op"))
+    c = c.select("rule_id", "part", "field", op.alias("op"), F.when(F.col("op").isin("present", "absent"), F.array(F.lit(SOME))).otherwise(F.array_distinct("terms")).alias("terms"))
+    c = c.where((F.col("op") == "anyOf") | (F.size("terms") > 0)).withColumn("cond", F.xxhash64("part", "field", "op", F.to_json("terms"))).dropDuplicates(["rule_id", "cond"])
+    of = lambda p, o: (F.col("part") == p) & (F.col("op") == o)
+    asked = [F.count_if(of(p, "anyOf")).alias(f"any_{p}") for p in PARTS] + [F.sum(F.when(of(p, "allOf"), F.size("terms")).otherwise(0)).alias(f"all_{p}") for p in PARTS]
+    asked = c.groupBy("rule_id").agg(*asked, F.count_if(F.col("part") == "unless").alias("n_unless"))
+    asked = rules.select("rule_id").distinct().join(asked, "rule_id", "left").fillna(0)
+    terms = c.select("rule_id", "part", "op", "cond", "field", F.explode("terms").alias("term"))
+    met = flow_terms(flows, key, fields).join(sized(terms), ["field", "term"]).select(key, "rule_id", "part", "op", "cond")
+    free = flows.select(key).crossJoin(sized(asked.where("any_match + all_match = 0").select("rule_id")))
+    counts = [F.size(F.collect_set(F.when(of(p, "anyOf"), F.col("cond")))).alias(f"_any_{p}") for p in PARTS]
+    counts += [F.count_if(of(p, o)).alias(f"_{n}_{p}") for p in PARTS for n, o in (("all", "allOf"), ("none", "noneOf"))]
+    by = met.unionByName(free, allowMissingColumns=True).groupBy(key, "rule_id").agg(*counts).join(sized(asked), "rule_id")
+    holds = lambda p: (F.col(f"_none_{p}") == 0) & (F.col(f"_any_{p}") == F.col(f"any_{p}")) & (F.col(f"_all_{p}") == F.col(f"all_{p}"))
+    spared = (F.col("n_unless") > 0) & holds("unless")
+    return by.where(holds("match")).select(key, "rule_id", (~spared).alias("applies"), holds("require").alias("met"))
+
+
+def _columns(fields: list[str]) -> dict[str, Column]:
+    return {f: F.col(f) for f in fields}
+
+
+def match_rules(flows: DataFrame, rules: DataFrame, conditions: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """(key, rule_id) of the flows that a rule applies to."""
+    return rule_states(flows, rules, conditions, key, _columns(fields)).where("applies").select(key, "rule_id")
+
+
+def evaluate_rules(flows: DataFrame, conditions: DataFrame, effects: DataFrame, key: str, fields: list[str], tags: str = "tags", transforms: str = "transforms", principles: str | None = None, stage: str = "stage") -> DataFrame:
     """(key, feasible, failed): the rules that fail for each flow.
 
-    A first pass applies CLASSIFY_AS, whose tags the second pass sees.  DENY_FLOW fails; REQUIRE_CONDITION,
-    REQUIRE_TRANSFORMATION and ALLOW_IF fail if terms are missing or forbidden ones are there; PREFER never
-    fails; any other action counts as a failed condition.
+    A first pass applies CLASSIFY_AS (``unless`` is not asked there), whose tags the second pass sees.
+    DENY_FLOW fails; REQUIRE_CONDITION, REQUIRE_TRANSFORMATION (field ``_done``: transforms and principles) and
+    ALLOW_IF fail unless their ``require`` conditions hold; PREFER never fails; any other action counts as a
+    failed condition.
     """
+    none = F.array().cast(EMPTY)
     classify = effects.where("action = 'CLASSIFY_AS'").select("rule_id", F.col("tags").alias("_new"))
-    first = match_rules(flows, conditions.join(classify, "rule_id", "left_semi"), key, fields).join(F.broadcast(classify), "rule_id")
+    first = rule_states(flows, classify, conditions.where("part = 'match'"), key, _columns(fields)).join(sized(classify), "rule_id")
     new = first.groupBy(key).agg(F.array_distinct(F.flatten(F.collect_list("_new"))).alias("_new"))
-    seen = flows.join(new, key, "left").withColumn(tags, F.array_union(F.coalesce(F.col(tags), F.array().cast(EMPTY)), F.coalesce("_new", F.array().cast(EMPTY)))).drop("_new")
-    rest = effects.where("action not in ('CLASSIFY_AS', 'PREFER')")
-    hits = match_rules(seen, conditions.join(rest, "rule_id", "left_semi"), key, fields).join(F.broadcast(rest.withColumnRenamed("tags", "_tags")), "rule_id").join(seen.select(key, stage, F.array_union(F.coalesce(F.col(transforms), F.array().cast(EMPTY)), F.col(tags)).alias("_have")), key)
-    hits = hits.where(F.arrays_overlap(stage, F.when(F.size("stages") > 0, F.col("stages")).otherwise(F.array(*map(F.lit, STAGES)))))
-    lacks = (F.size(F.array_except("needs", "_have")) > 0) | (F.size(F.array_intersect("forbids", "_have")) > 0)
-    fails = F.when(F.col("action").isin("REQUIRE_CONDITION", "REQUIRE_TRANSFORMATION", "ALLOW_IF"), lacks).otherwise(True)
-    failed = hits.where(fails).groupBy(key).agg(F.array_sort(F.collect_list("rule_id")).alias("failed"))
-    return flows.select(key).join(failed, key, "left").select(key, F.col("failed").isNull().alias("feasible"), F.coalesce("failed", F.array().cast(EMPTY)).alias("failed"))
+    seen = flows.join(new.hint("merge"), key, "left").withColumn(tags, F.array_union(F.coalesce(F.col(tags), none), F.coalesce("_new", none))).drop("_new")
+    rest = effects.where("action not in ('CLASSIFY_AS', 'PREFER')").select("rule_id", "action", "stages")
+    done = F.array_union(F.coalesce(F.col(transforms), none), F.coalesce(F.col(principles), none) if principles else none)
+    hits = rule_states(seen, rest, conditions, key, _columns(fields) | {"_done": done}).where("applies").join(sized(rest), "rule_id")
+    hits = hits.where(~(F.col("action").isin(*REQUIRING) & F.col("met"))).join(seen.select(key, F.col(stage).alias("_at")).hint("merge"), key)
+    hits = hits.where(F.arrays_overlap("_at", F.when(F.size("stages") > 0, F.col("stages")).otherwise(F.array(*map(F.lit, STAGES)))))
+    failed = hits.groupBy(key).agg(F.array_sort(F.collect_list("rule_id")).alias("failed"))
+    return flows.select(key).join(failed.hint("merge"), key, "left").select(key, F.col("failed").isNull().alias("feasible"), F.coalesce("failed", none).alias("failed"))
 
 
 def rule_failures(verdicts: DataFrame, effects: DataFrame) -> DataFrame:
     """(rule_id, action, n): how often each rule failed."""
-    return verdicts.select(F.explode("failed").alias("rule_id")).groupBy("rule_id").agg(F.count("*").alias("n")).join(F.broadcast(effects.select("rule_id", "action")), "rule_id")
+    n = verdicts.select(F.explode("failed").alias("rule_id")).groupBy("rule_id").agg(F.count("*").alias("n"))
+    return n.join(sized(effects.select("rule_id", "action")), "rule_id")
+
+
+def top_failed_rules(failures: DataFrame, k: int = 20) -> DataFrame:
+    """(rule_id, n): the k rules that failed most often, of equals the smallest ids (failures: one row a failure)."""
+    return failures.groupBy("rule_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "rule_id").limit(k)
+
+
+def best_verdict(verdicts: DataFrame, request: str, candidate: str, residual: str, n_attributes: str) -> DataFrame:
+    """(request, best): the candidate of the least residual, then of the fewest attributes, then of the smallest id."""
+    return verdicts.groupBy(request).agg(F.min_by(candidate, F.struct(residual, n_attributes, candidate)).alias("best"))
 
 
 def ci_decision(failed: Column, stage_failures: Column, mode: str = "full") -> Column:

@@ -85,8 +85,8 @@ def _(t: Tables) -> DataFrame:
 
 @query("K02_top_failed_rules", "SELECT rule_id, n FROM (SELECT p_brand || '-' || l_returnflag AS rule_id, count(*) AS n FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1) ORDER BY n DESC, rule_id LIMIT 20")
 def _(t: Tables) -> DataFrame:
-    n = t.lineitem.join(t.part, c("l_partkey") == c("p_partkey")).groupBy(F.concat_ws("-", "p_brand", "l_returnflag").alias("rule_id")).agg(F.count("*").alias("n"))
-    return n.orderBy(F.desc("n"), "rule_id").limit(20)
+    failures = t.lineitem.join(t.part, c("l_partkey") == c("p_partkey")).select(F.concat_ws("-", "p_brand", "l_returnflag").alias("rule_id"))
+    return rules.top_failed_rules(failures, 20)
 
 
 @query("K03_closest_rejected", CAND + "SELECT request, candidate, row_number() OVER (PARTITION BY request ORDER BY risk, plain, candidate, position) AS place FROM k WHERE NOT feasible QUALIFY place <= 10")
@@ -102,7 +102,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("K07_best_verdict", CAND + "SELECT request, min_by(candidate, (plain, cost, candidate)) AS best FROM k GROUP BY request")
 def _(t: Tables) -> DataFrame:
-    return candidates(t).groupBy("request").agg(F.min_by("candidate", F.struct("plain", "cost", "candidate")).alias("best"))
+    return rules.best_verdict(candidates(t), "request", "candidate", "plain", "cost")
 
 
 @query("K08_order_candidates", CAND + ", o AS (SELECT request, candidate, plain AS residual, priority, cost AS n_ops FROM k QUALIFY row_number() OVER (PARTITION BY request, candidate ORDER BY plain, priority, cost) = 1) SELECT request, candidate, row_number() OVER (PARTITION BY request ORDER BY residual, priority, n_ops, candidate) AS place FROM o")
@@ -212,35 +212,52 @@ def _(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", select.allowed_sources(has, allowed, a("face")).alias("ok"))
 
 
+# Authored rules: (id, action, match, unless, required, forbidden, transformations, stages, tags, source).
+RULES = (
+    ("c1", "CLASSIFY_AS", '{"recipient": ["R"]}', None, None, None, [], [], ["sensitive"], "law"),
+    ("d1", "DENY_FLOW", '{"tags": {"allOf": ["sensitive", "retained"]}}', None, None, None, [], ["retained_artifact"], [], "law"),
+    ("q1", "REQUIRE_TRANSFORMATION", '{"recipient": {"noneOf": ["A"]}}', '{"sender.role": "owner", "tags": ["retained"]}', None, None, ["blur"], [], [], "law"),
+    ("x1", "REQUIRE_REVIEW", '{"recipient": "N", "tags": ["retained"]}', None, None, None, [], ["output_to_application"], [], "law"),
+    ("e1", "ALLOW_IF", "{}", None, '{"sender.role": ["guest"]}', '{"recipient": ["A"]}', [], ["output_to_application"], [], "law"),
+    ("n1", "REQUIRE_CONDITION", '{"sender": {"role": {"anyOf": ["owner"]}}}', '{"transforms": true}', '{"tags": "live"}', None, [], [], [], "law"),
+    ("p1", "PREFER", '{"recipient": ["A"]}', None, None, None, [], [], [], "law"),
+    ("template_t", "DENY_FLOW", "{}", None, None, None, [], [], [], "law"),
+    ("m1", "DENY_FLOW", "{}", None, None, None, [], [], [], "created_template"),
+)
+FIELDS = ["recipient", "tags", "sender.role", "transforms"]
+
+
 def rule_tables(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Flows are order lines; four authored rules."""
-    flows = t.lineitem.select((c("l_orderkey") * 10_000_000 + c("l_linenumber") * 1_000_000 + c("l_partkey")).alias("flow"), F.array("l_returnflag").alias("recipient"), F.array("l_linestatus").alias("stage"), F.array(F.when(c("l_tax") > 0.04, "retained").otherwise("live")).alias("tags"), F.when(c("l_discount") > 0.05, F.array(F.lit("blur"))).otherwise(F.array().cast("array<string>")).alias("transforms")).dropDuplicates(["flow"])
-    s = t.spark
-    conditions = s.createDataFrame([("c1", "recipient", "anyOf", ["R"]), ("d1", "tags", "allOf", ["sensitive", "retained"]), ("q1", "recipient", "noneOf", ["A"]), ("x1", "recipient", "anyOf", ["N"]), ("x1", "tags", "anyOf", ["retained"])], "rule_id string, field string, op string, terms array<string>")
-    effects = s.createDataFrame([("c1", "CLASSIFY_AS", [], [], [], ["sensitive"]), ("d1", "DENY_FLOW", [], [], ["F"], []), ("q1", "REQUIRE_TRANSFORMATION", ["blur"], [], ["O", "F"], []), ("x1", "REQUIRE_REVIEW", [], [], ["O"], [])], "rule_id string, action string, needs array<string>, forbids array<string>, stages array<string>, tags array<string>")
-    return flows, conditions, effects
+    """Flows are order lines; the rules are authored."""
+    one = lambda yes, a, b: F.array(F.when(yes, a).otherwise(b))
+    flows = t.lineitem.select(
+        (c("l_orderkey") * 10_000_000 + c("l_linenumber") * 1_000_000 + c("l_partkey")).alias("flow"), F.array("l_returnflag").alias("recipient"), one(c("l_linestatus") == "O", "output_to_application", "retained_artifact").alias("stage"), one(c("l_tax") > 0.04, "retained", "live").alias("tags"),
+        F.struct(one(c("l_linenumber") % 2 == 0, "owner", "guest").alias("role")).alias("sender"), F.when(c("l_discount") > 0.05, F.array(F.lit("blur"))).otherwise(F.array().cast("array<string>")).alias("transforms"),
+    ).dropDuplicates(["flow"])
+    authored = t.spark.createDataFrame(RULES, "rule_id string, action string, match string, unless string, required string, forbidden string, transformations array<string>, stages array<string>, tags array<string>, source_type string")
+    return flows, *rules.read_rules(authored)
 
 
-FLOWS = "WITH f AS (SELECT l_orderkey * 10000000 + l_linenumber * 1000000 + l_partkey AS flow, any_value(l_returnflag) AS r, any_value(l_linestatus) AS s, any_value(l_tax) > 0.04 AS ret, any_value(l_discount) > 0.05 AS blur, count(*) AS n FROM lineitem GROUP BY 1)\n"
-FAILED = "list_filter([CASE WHEN r = 'R' AND ret AND s = 'F' THEN 'd1' END, CASE WHEN r <> 'A' AND NOT blur THEN 'q1' END, CASE WHEN r = 'N' AND ret AND s = 'O' THEN 'x1' END], lambda x: x IS NOT NULL)"
+FLOWS = "WITH f AS (SELECT l_orderkey * 10000000 + l_linenumber * 1000000 + l_partkey AS flow, any_value(l_returnflag) AS r, any_value(l_linestatus) AS s, any_value(l_tax) > 0.04 AS ret, any_value(l_discount) > 0.05 AS blur, any_value(l_linenumber) % 2 = 0 AS own FROM lineitem GROUP BY 1)\n"
+FAILED = "list_filter([CASE WHEN r = 'R' AND ret AND s = 'F' THEN 'd1' END, CASE WHEN s = 'O' AND (own OR r = 'A') THEN 'e1' END, CASE WHEN own AND NOT blur AND ret THEN 'n1' END, CASE WHEN r <> 'A' AND NOT blur AND NOT (own AND ret) THEN 'q1' END, CASE WHEN r = 'N' AND ret AND s = 'O' THEN 'x1' END], lambda x: x IS NOT NULL)"
 
 
-@query("J03_match_rules", FLOWS + "SELECT flow, 'c1' AS rule_id FROM f WHERE r = 'R' UNION ALL SELECT flow, 'q1' FROM f WHERE r <> 'A' UNION ALL SELECT flow, 'x1' FROM f WHERE r = 'N' AND ret")
+@query("J03_match_rules", FLOWS + "SELECT flow, unnest(list_filter([CASE WHEN r = 'R' THEN 'c1' END, CASE WHEN r <> 'A' AND NOT (own AND ret) THEN 'q1' END, CASE WHEN r = 'N' AND ret THEN 'x1' END, 'e1', CASE WHEN own AND NOT blur THEN 'n1' END, CASE WHEN r = 'A' THEN 'p1' END], lambda x: x IS NOT NULL)) AS rule_id FROM f")
 def _(t: Tables) -> DataFrame:
-    flows, conditions, _ = rule_tables(t)
-    return rules.match_rules(flows, conditions, "flow", ["recipient", "tags"])
+    flows, conditions, effects = rule_tables(t)
+    return rules.match_rules(flows, effects, conditions, "flow", FIELDS)
 
 
 @query("F11_evaluate_rules", FLOWS + f"SELECT flow, len({FAILED}) = 0 AS feasible, array_to_string({FAILED}, ',') AS failed FROM f")
 def _(t: Tables) -> DataFrame:
     flows, conditions, effects = rule_tables(t)
-    return rules.evaluate_rules(flows, conditions, effects, "flow", ["recipient", "tags"]).withColumn("failed", F.array_join("failed", ","))
+    return rules.evaluate_rules(flows, conditions, effects, "flow", FIELDS).withColumn("failed", F.array_join("failed", ","))
 
 
-@query("A42_rule_failures", FLOWS + f"SELECT rule_id, CASE rule_id WHEN 'd1' THEN 'DENY_FLOW' WHEN 'q1' THEN 'REQUIRE_TRANSFORMATION' ELSE 'REQUIRE_REVIEW' END AS action, count(*) AS n FROM (SELECT unnest({FAILED}) AS rule_id FROM f) GROUP BY ALL")
+@query("A42_rule_failures", FLOWS + f"SELECT rule_id, CASE rule_id WHEN 'd1' THEN 'DENY_FLOW' WHEN 'q1' THEN 'REQUIRE_TRANSFORMATION' WHEN 'e1' THEN 'ALLOW_IF' WHEN 'n1' THEN 'REQUIRE_CONDITION' ELSE 'REQUIRE_REVIEW' END AS action, count(*) AS n FROM (SELECT unnest({FAILED}) AS rule_id FROM f) GROUP BY ALL")
 def _(t: Tables) -> DataFrame:
     flows, conditions, effects = rule_tables(t)
-    return rules.rule_failures(rules.evaluate_rules(flows, conditions, effects, "flow", ["recipient", "tags"]), effects).select("rule_id", "action", "n")
+    return rules.rule_failures(rules.evaluate_rules(flows, conditions, effects, "flow", FIELDS), effects).select("rule_id", "action", "n")
 
 
 @query("U04_check_terms", "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'a OR b' WHEN p_size % 3 = 1 THEN '' ELSE 'a OR b' END AS missing, CASE WHEN p_size % 3 = 2 THEN 'z' ELSE '' END AS present FROM part")
