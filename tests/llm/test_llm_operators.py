@@ -6,8 +6,10 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -346,6 +348,69 @@ def test_html_main_text(spark):
     assert rows[2].text == rows[3].text == "" and rows[4].n_chars == 249999
 
 
+class ArticleText(HTMLParser):
+    """An extractor of its own for pages whose story is one <article> without frame inside: the text of its blocks."""
+
+    BLOCKS = set("p h1 h2 h3 li div article section td".split())
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.found, self.now = 0, [], ""
+
+    def cut(self):
+        if self.now.split() and self.inside:
+            self.found.append(" ".join(self.now.split()))
+        self.now = ""
+
+    def handle_starttag(self, tag, attrs):
+        if tag in self.BLOCKS:
+            self.cut()
+        if tag == "br":
+            self.now += " "
+        self.inside += tag == "article"
+
+    def handle_endtag(self, tag):
+        if tag in self.BLOCKS or tag == "footer":
+            self.cut()
+        self.inside -= tag == "article"
+
+    def handle_data(self, data):
+        self.now += data
+
+
+def test_html_against_another_parser(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    want = []
+    for r in pages.collect():
+        parser = ArticleText()
+        parser.feed(r.html or "")
+        parser.close()
+        text = "\n\n".join(parser.found)
+        want.append((r.page_id, r.url, text, len(text)))
+    assert counted(html_blocks.extract_main_text(pages).collect()) == counted(want) and all(x[3] for x in want)
+
+
+def test_html_wrappers_keep_the_story(spark):
+    story = "<article><h1>Title</h1><p>The first lines of the story.</p><p>Of.</p><div class='share-price'><p>The share rose by two.</p></div></article>"
+    want = "Title\n\nThe first lines of the story.\n\nOf.\n\nThe share rose by two."
+    wraps = ["<form id=aspnetForm>%s</form>", "<div class='site header-fixed'>%s</div>", "<div class='menu-open layout'>%s</div>", "<div class='sidebar'>%s</div>", "<div class='cookie-notice'><p>We use small files.</p></div>%s<div class='comments'><article><p>I think not, and at length, as readers do here.</p></article></div>", "<div><aside><article><p>Read this too</p></article></aside>%s<section id=comments><p>Well said by the paper</p></section></div>"]
+    rows = [(i, "u", f"<html><body>{w % story}</body></html>", "x", 1) for i, w in enumerate(wraps)]
+    plain = "<form id=f><div><p>Without any mark this page still tells a story of some length in a line.</p><p>It goes on for another line or so.</p></div></form>"
+    rows += [(90, "u", plain, "x", 1), (90, "u", plain, "x", 1)]
+    df = spark.createDataFrame(rows, "page_id int, url string, html string, text string, n_chars int")
+    out = html_blocks.extract_main_text(df)
+    assert [r.text for r in out.where("page_id < 90").orderBy("page_id").collect()] == [want] * len(wraps)
+    assert [r.text.count("\n\n") for r in out.where("page_id = 90").collect()] == [1, 1]
+    assert html_blocks.extract_main_text(df.where("false")).count() == 0
+
+
+def test_html_scan_is_linear():
+    for page in ("<a " * 100_000, "<!" * 100_000, "<a b=\"'>" * 50_000, "<script>" + "</script " * 50_000, "<a x='" * 100_000, "<div>" * 5_000 + "</p>" * 50_000):
+        began = time.time()
+        html_blocks.main_text(page)
+        assert time.time() - began < 5
+
+
 def labelled(spark):
     rng = random.Random(4)
     rows = []
