@@ -1,14 +1,18 @@
 """Line deduplication: lines whose key stands in many documents are dropped from every document.
 
 A line's key is the line with ASCII white space stripped at both ends and A-Z made lower case.  Keys are
-hashed to 128 bits.  Their document counts are combined on the map side, then summed by a shuffle.  The
-hashes that reach the threshold go to shards of bounded size; each shard holds a minimal perfect hash
-that indexes an array of 64-bit fingerprints and an array of counts.  Documents send the hashes of their
-lines to the shards (each shard is repeated over salts, so a line of very many documents is probed by many
-tasks) and get back those that are frequent; no lines are joined.
+hashed to 128 bits.  Their document counts are combined on the map side, then summed by a shuffle.  All
+distinct hashes go to shards of bounded size; each shard holds a minimal perfect hash that indexes an array
+of 64-bit fingerprints and an array of counts.  Documents send the hashes of their lines to the shards and
+get back those that are frequent; no lines are joined.
+
+How many probes a shard gets is known from the counts, so a shard that gets many (one that holds a line of
+very many documents) is copied to as many salts as it takes for each to see ``PROBES`` hashes or so:
+no group grows with the corpus.
 
 Null and empty texts are one empty line and stay as they are; empty keys never count.  Each row is a
-document of its own, repeated rows included; other columns pass through ``drop_frequent_lines`` unchanged.
+document of its own, repeated rows included; empty tables give empty results; other columns, whatever their
+names, pass through ``drop_frequent_lines`` unchanged.
 """
 
 from __future__ import annotations
@@ -25,11 +29,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .jobs import durable, shuffle_partitions
+from .jobs import durable
 from .perfect_hash import PerfectHash, build
 from .text import texts_of
 
 SHARD_KEYS = 200_000
+MOST_SHARDS = 1 << 16  # beyond it shards grow instead, so the table of salts stays small
+PROBES = 1_000_000  # of a group
+
+
+FOUND = "frequent lines found"  # a name that no column of ours has; only its place, the last, is used
 
 
 def line_key(line: bytes) -> bytes:
@@ -43,7 +52,8 @@ def _digest(line: bytes) -> bytes:
 
 def _row_key(id_col: str, text_col: str) -> Column:
     """Equal rows share it, and what holds for one of them holds for the others."""
-    return F.xxhash64(F.col(id_col), F.col(text_col))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("|"), text).cast("binary"))
 
 
 def line_document_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -62,9 +72,8 @@ def line_document_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return parts.groupBy("h1", "h2").agg(F.sum("n").alias("n"))
 
 
-def build_shards(counts: DataFrame, shard_keys: int = SHARD_KEYS) -> tuple[DataFrame, int]:
-    """Arrays of the shards, and the number of shards; ``counts`` must be durable."""
-    n_shards = max(1, -(-counts.count() // shard_keys))
+def build_shards(counts: DataFrame, n_shards: int) -> DataFrame:
+    """(shard, sizes, bits, prints, counts): the perfect hash of each shard and its arrays."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         h1, h2 = pdf["h1"].to_numpy(np.int64), pdf["h2"].to_numpy(np.int64)
@@ -74,29 +83,43 @@ def build_shards(counts: DataFrame, shard_keys: int = SHARD_KEYS) -> tuple[DataF
         prints[at], n[at] = h2, np.minimum(pdf["n"].to_numpy(np.int64), 2**32 - 1)
         return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "sizes": [sizes], "bits": [bits], "prints": [prints.tobytes()], "counts": [n.tobytes()]})
 
+    # two keys that share 64 bits cannot both be hashed: of them the one in more documents is, and the other stays
     sharded = counts.withColumn("shard", F.pmod("h1", F.lit(n_shards)).cast("int"))
-    return sharded.groupBy("shard").applyInPandas(one, "shard int, sizes array<long>, bits binary, prints binary, counts binary"), n_shards
+    return sharded.groupBy("shard").applyInPandas(lambda pdf: one(pdf.sort_values("n", ascending=False).drop_duplicates("h1")), "shard int, sizes array<long>, bits binary, prints binary, counts binary")
 
 
-def frequent_lines(docs: DataFrame, min_docs: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def frequent_lines(docs: DataFrame, min_docs: int, id_col: str = "doc_id", text_col: str = "text", shard_keys: int = SHARD_KEYS, probes: int = PROBES) -> DataFrame:
     """(row_key, found): for each document with frequent lines, the hashes of those lines, one after the other."""
-    counts = durable(line_document_counts(docs, text_col).where(F.col("n") >= min_docs))
-    shards, n_shards = build_shards(counts)
-    salts = shuffle_partitions(docs.sparkSession)
+    counts = durable(line_document_counts(docs, text_col))
+    n_shards = min(MOST_SHARDS, max(1, -(-counts.count() // shard_keys)))
+    loads = counts.groupBy(F.pmod("h1", F.lit(n_shards)).cast("int").alias("shard")).agg(F.sum("n").alias("load")).collect()  # MOST_SHARDS rows at most
+    salts = np.ones(n_shards, dtype=np.int64)
+    for r in loads:
+        salts[r.shard] = -(-r.load // probes)
+    cuts = docs.sparkSession.sparkContext.broadcast(salts)
+    shards = build_shards(counts, n_shards)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, shard, packed = [], [], []
+            keys, shard, salt, packed = [], [], [], []
             for key, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
                 digests = b"".join({_digest(x) for x in text.split(b"\n")})
                 if digests:
                     h = np.frombuffer(digests, dtype=np.int64).reshape(-1, 2)
-                    of = h[:, 0] % n_shards
-                    for s in np.unique(of):
-                        keys.append(key)
-                        shard.append(int(s))
-                        packed.append(h[of == s].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(shard, pa.int32()), pa.array(packed, pa.binary())], ["row_key", "shard", "packed"])
+                    h = h[np.argsort(h[:, 0] % n_shards, kind="stable")]
+                    of, first = np.unique(h[:, 0] % n_shards, return_index=True)
+                    deal = int(key[:15], 16)
+                    keys += [key] * len(of)
+                    shard += of.tolist()
+                    salt += (deal % cuts.value[of]).tolist()
+                    packed += [x.tobytes() for x in np.split(h, first[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(shard, pa.int32()), pa.array(salt, pa.int32()), pa.array(packed, pa.binary())], ["row_key", "shard", "salt", "packed"])
+
+    def copies(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in pdfs:
+            for row in pdf.itertuples(index=False):
+                for s in range(int(cuts.value[row.shard])):
+                    yield pd.DataFrame([(*row, s)], columns=[*pdf.columns, "salt"])
 
     def probe(sent: pd.DataFrame, arrays: pd.DataFrame) -> pd.DataFrame:
         keys, found = [], []
@@ -111,19 +134,20 @@ def frequent_lines(docs: DataFrame, min_docs: int, id_col: str = "doc_id", text_
                 if hit.any():
                     keys.append(key)
                     found.append(h[hit].tobytes())
-        return pd.DataFrame({"row_key": pd.Series(keys, dtype="int64"), "found": pd.Series(found, dtype="object")})
+        return pd.DataFrame({"row_key": pd.Series(keys, dtype="object"), "found": pd.Series(found, dtype="object")})
 
-    sent = docs.select(_row_key(id_col, text_col).alias("row_key"), text_col).mapInArrow(send, "row_key long, shard int, packed binary")
-    sent = sent.withColumn("salt", F.pmod("row_key", F.lit(salts)).cast("int"))
-    arrays = shards.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    hits = sent.groupBy("shard", "salt").cogroup(arrays.groupBy("shard", "salt")).applyInPandas(probe, "row_key long, found binary")
+    sent = docs.select(_row_key(id_col, text_col).alias("row_key"), text_col).mapInArrow(send, "row_key string, shard int, salt int, packed binary")
+    arrays = shards.mapInPandas(copies, "shard int, sizes array<long>, bits binary, prints binary, counts binary, salt int")
+    hits = sent.groupBy("shard", "salt").cogroup(arrays.groupBy("shard", "salt")).applyInPandas(probe, "row_key string, found binary")
     return hits.groupBy("row_key").agg(F.collect_set("found").alias("found"))
 
 
-def _with_found(docs: DataFrame, min_docs: int, id_col: str, text_col: str, columns: list[str]) -> DataFrame:
-    hits = frequent_lines(docs, min_docs, id_col, text_col).withColumnRenamed("found", "_found")
-    keyed = docs.select(*columns, _row_key(id_col, text_col).alias("_key"))
-    return keyed.join(hits.withColumnRenamed("row_key", "_key").hint("merge"), "_key", "left").drop("_key")
+def _with_found(docs: DataFrame, min_docs: int, id_col: str, text_col: str, columns: list[str], **how: int) -> DataFrame:
+    """The columns, in order, and last the hashes of the row's frequent lines."""
+    hits = frequent_lines(docs, min_docs, id_col, text_col, **how).hint("merge")
+    rows = docs.select(F.struct(*columns).alias("row"), _row_key(id_col, text_col).alias("row_key"))
+    joined = rows.join(hits, "row_key", "left").select(*[F.col("row").getField(c).alias(c) for c in columns], F.col("found").alias(FOUND))
+    return joined
 
 
 def _keep(text: bytes, found: list[bytes] | None) -> tuple[bytes, int, int]:
@@ -136,7 +160,7 @@ def _keep(text: bytes, found: list[bytes] | None) -> tuple[bytes, int, int]:
     return b"\n".join(kept), len(lines), len(lines) - len(kept)
 
 
-def line_dedup_report(docs: DataFrame, min_docs: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_dedup_report(docs: DataFrame, min_docs: int = 10, id_col: str = "doc_id", text_col: str = "text", **how: int) -> DataFrame:
     """(id, n_lines, n_dropped, kept_sha256) of each row."""
 
     def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,7 +168,7 @@ def line_dedup_report(docs: DataFrame, min_docs: int = 10, id_col: str = "doc_id
             kept = [_keep(*x) for x in zip(texts_of(batch.column(1)), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[1] for x in kept], pa.int64()), pa.array([x[2] for x in kept], pa.int64()), pa.array([hashlib.sha256(x[0]).hexdigest() for x in kept], pa.string())], [id_col, "n_lines", "n_dropped", "kept_sha256"])
 
-    found = _with_found(docs, min_docs, id_col, text_col, [id_col, text_col])
+    found = _with_found(docs, min_docs, id_col, text_col, [id_col, text_col], **how)
     schema = T.StructType([docs.schema[id_col], *(T.StructField(n, t) for n, t in (("n_lines", T.LongType()), ("n_dropped", T.LongType()), ("kept_sha256", T.StringType())))])
     return found.mapInArrow(report, schema)
 

@@ -71,6 +71,9 @@ def test_line_dedup(docs, none):
         kept = [x for x in lines if n[x.strip().lower()] < 10 or not x.strip()]
         want.append((i, len(lines), len(lines) - len(kept), hashlib.sha256(b"\n".join(kept)).hexdigest()))
     assert counted(line_dedup.line_dedup_report(docs, 10).collect()) == counted(want)
+    assert counted(line_dedup.line_dedup_report(docs, 10, shard_keys=20, probes=15).collect()) == counted(want)
+    odd = docs.withColumns({"_found": F.lit(1), "row_key": F.lit(2), "row": F.lit(3), "_key": F.lit(4)})
+    assert line_dedup.drop_frequent_lines(odd, 10).columns == odd.columns and line_dedup.drop_frequent_lines(odd, 10).count() == len(ROWS)
     kept = line_dedup.drop_frequent_lines(docs, 10)
     assert kept.columns == docs.columns and kept.count() == len(ROWS) and not kept.where("text like '%Same Line%'").count()
     assert line_dedup.line_dedup_report(none).count() == 0
