@@ -77,7 +77,7 @@ FROM k LEFT JOIN f ON k.key = f.key GROUP BY k.r, k.doc_id
 
 OP3_SQL = r"""
 WITH z AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-                  md5('mix-1|' || coalesce(doc_id::VARCHAR, '')) AS draw FROM documents),
+                  md5('mix-1|' || coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, ''))) AS draw FROM documents),
 s0 AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) AS n FROM z GROUP BY source),
 s1 AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rnk, sum(source_size) OVER ()::BIGINT AS total FROM s0),
 s2 AS (SELECT *, 1 + rnk % 3 AS w, 3 * source_size / (1 + rnk % 3)::DOUBLE AS ratio FROM s1),
