@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .sizes import sized
+from .sizes import is_small, near, sized
 
 STAGES = ("raw_input", "intermediate_representation", "output_to_application", "retained_artifact")
 EMPTY = "array<string>"
@@ -52,6 +52,7 @@ def read_rules(rules: DataFrame) -> tuple[DataFrame, DataFrame]:
     ``rules``: rule_id, action, match, unless, required, forbidden (JSON objects as texts), transformations,
     stages, tags (arrays), source_type.
     """
+    rules = rules.coalesce(1) if is_small(rules) else rules
     real = rules.where(~F.coalesce(F.col("source_type") == "created_template", F.lit(False)) & ~F.col("rule_id").startswith("template_"))
     transformed = real.where((F.col("action") == "REQUIRE_TRANSFORMATION") & (F.size("transformations") > 0))
     parts = [
@@ -70,10 +71,10 @@ def read_rules(rules: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def flow_terms(flows: DataFrame, key: str, fields: dict[str, Column]) -> DataFrame:
-    """(key, field, term): the terms of each field of a flow; a field that is not empty has the term SOME too."""
+    """(key, field, term): the terms of each field of a flow (one row a key), once each; a field that is not empty has the term SOME too."""
     held = lambda c: F.array_distinct(F.coalesce(c, F.array().cast(EMPTY)))
     each = F.array(*[F.struct(F.lit(n).alias("field"), F.when(F.size(held(c)) > 0, F.array_append(held(c), SOME)).otherwise(held(c)).alias("terms")) for n, c in fields.items()])
-    return flows.select(key, F.explode(each).alias("x")).select(key, "x.field", F.explode("x.terms").alias("term")).distinct()
+    return flows.select(key, F.explode(each).alias("x")).select(key, "x.field", F.explode("x.terms").alias("term"))
 
 
 PARTS = ("match", "unless", "require")
@@ -87,7 +88,8 @@ def rule_states(flows: DataFrame, rules: DataFrame, conditions: DataFrame, key:
     something it has; what it met is counted in one aggregate.  Only rules whose match asks for nothing (no
     conditions, or only absent terms) are put beside every flow.
     """
-    c = conditions.join(sized(rules.select("rule_id").distinct()), "rule_id", "left_semi")
+    by_rule = near(is_small(conditions) and is_small(rules))
+    c = conditions.join(by_rule(rules.select("rule_id").distinct()), "rule_id", "left_semi")
     op = F.when(F.col("op") == "present", "anyOf").when(F.col("op") == "absent", "noneOf").otherwise(F.col("op"))
     c = c.select("rule_id", "part", "field", op.alias("op"), F.when(F.col("op").isin("present", "absent"), F.array(F.lit(SOME))).otherwise(F.array_distinct("terms")).alias("terms"))
     c = c.where((F.col("op") == "anyOf") | (F.size("terms") > 0)).withColumn("cond", F.xxhash64("part", "field", "op", F.to_json("terms"))).dropDuplicates(["rule_id", "cond"])
@@ -96,11 +98,13 @@ def rule_states(flows: DataFrame, rules: DataFrame, conditions: DataFrame, key:
     asked = c.groupBy("rule_id").agg(*asked, F.count_if(F.col("part") == "unless").alias("n_unless"))
     asked = rules.select("rule_id").distinct().join(asked, "rule_id", "left").fillna(0)
     terms = c.select("rule_id", "part", "op", "cond", "field", F.explode("terms").alias("term"))
-    met = flow_terms(flows, key, fields).join(sized(terms), ["field", "term"]).select(key, "rule_id", "part", "op", "cond")
-    free = flows.select(key).crossJoin(sized(asked.where("any_match + all_match = 0").select("rule_id")))
-    counts = [F.size(F.collect_set(F.when(of(p, "anyOf"), F.col("cond")))).alias(f"_any_{p}") for p in PARTS]
-    counts += [F.count_if(of(p, o)).alias(f"_{n}_{p}") for p in PARTS for n, o in (("all", "allOf"), ("none", "noneOf"))]
-    by = met.unionByName(free, allowMissingColumns=True).groupBy(key, "rule_id").agg(*counts).join(sized(asked), "rule_id")
+    met = flow_terms(flows, key, fields).join(by_rule(terms), ["field", "term"]).select(key, "rule_id", "part", "op", "cond")
+    free = flows.select(key).crossJoin(by_rule(asked.where("any_match + all_match = 0").select("rule_id")))
+    # one shuffle serves both: terms met of each condition, then conditions met of each rule
+    each = met.unionByName(free, allowMissingColumns=True).repartition(key, "rule_id").groupBy(key, "rule_id", "part", "op", "cond").agg(F.count("*").alias("n"))
+    counts = [F.count_if(of(p, o)).alias(f"_{n}_{p}") for p in PARTS for n, o in (("any", "anyOf"), ("none", "noneOf"))]
+    counts += [F.sum(F.when(of(p, "allOf"), F.col("n")).otherwise(0)).alias(f"_all_{p}") for p in PARTS]
+    by = each.groupBy(key, "rule_id").agg(*counts).join(by_rule(asked), "rule_id")
     holds = lambda p: (F.col(f"_none_{p}") == 0) & (F.col(f"_any_{p}") == F.col(f"any_{p}")) & (F.col(f"_all_{p}") == F.col(f"all_{p}"))
     spared = (F.col("n_unless") > 0) & holds("unless")
     return by.where(holds("match")).select(key, "rule_id", (~spared).alias("applies"), holds("require").alias("met"))

@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MOST_ROWS = 100_000
 
 
+def is_small(df: DataFrame, most: int = MOST_ROWS) -> bool:
+    return df.limit(most + 1).count() <= most
+
+
+def near(small: bool) -> Callable[[DataFrame], DataFrame]:
+    """The join hint for tables whose size follows from one that has been checked."""
+    return F.broadcast if small else lambda df: df.hint("merge")
+
+
 def sized(df: DataFrame, most: int = MOST_ROWS) -> DataFrame:
     """The table with a broadcast hint if it has ``most`` rows at the most, else with that of a merge join."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df.hint("merge")
+    return near(is_small(df, most))(df)
