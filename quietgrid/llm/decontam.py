@@ -9,12 +9,17 @@ token.  Tiles may stand in any order, so reordered passages are caught.  Coverag
 item's tokens under tiles of ``seed`` tokens or more.
 
 The benchmark is a stated query set: its seeds are looked up in blocks of bounded size, each against all
-documents, so a benchmark of any size takes as many passes as it has blocks.  Null and empty texts and
-items of fewer than ``seed`` tokens match nothing.  Repeated items are reported each; repeated documents too.
+documents, so a benchmark of any size takes as many passes as it has blocks.
+
+Null and empty texts and items match nothing.  An item of fewer than ``seed`` tokens matches the documents
+that are nothing but it.  Signs of punctuation outside ASCII part tokens, and a Chinese, Japanese or Korean
+sign is a token of its own.  Repeated items are reported each, repeated documents too; ids may be of any type.
+Empty tables give empty results; ``drop_contaminated`` passes all columns on, whatever their names.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import reduce
 
@@ -23,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .text import U64, chunks, prefix_hash, range_hash, words
 
@@ -81,8 +87,20 @@ def tile(item: np.ndarray, doc: np.ndarray, least: int = SEED_TOKENS) -> list[tu
     return tiles
 
 
+PARTING = re.compile("[\u00a0-\u00bf\u2000-\u206f\u3000-\u303f\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]")
+SINGLE = re.compile("([\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af])")
+
+
+def lowered(text: str | None) -> bytes:
+    """The text in lower case, with spaces where signs outside ASCII part tokens."""
+    text = (text or "").lower()
+    if not text.isascii():
+        text = SINGLE.sub(r" \1 ", PARTING.sub(" ", text))
+    return text.encode()
+
+
 def _lower(column: pa.Array) -> list[bytes]:
-    return [(x or "").lower().encode() for x in column.to_pylist()]
+    return [lowered(x) for x in column.to_pylist()]
 
 
 class Seeds:
@@ -97,6 +115,10 @@ class Seeds:
         self.items = [h[a:b] for a, b in zip(w.firsts[:-1], w.firsts[1:], strict=True)]
         self.grams, self.item = grams[order], w.rows[at][order]
         self.place = (at - w.firsts[w.rows[at]])[order]
+        self.short: dict[bytes, list[int]] = {}  # items too short for a seed, by all of their tokens
+        for i, own in enumerate(self.items):
+            if 0 < len(own) < least:
+                self.short.setdefault(own.tobytes(), []).append(i)
         self.few = np.zeros(1 << 20, dtype=bool)  # a first look by 20 bits of the hash
         self.few[(self.grams >> U64(44)).astype(np.int64)] = True
 
@@ -107,6 +129,16 @@ class Seeds:
         return maybe[self.grams[at] == grams[maybe]] if len(self.grams) else maybe[:0]
 
 
+def _near(tokens: np.ndarray, at: np.ndarray, least: int) -> np.ndarray:
+    """The tokens under the seeds that start at ``at``; a sign of no item stands where others were left out.
+
+    A tile is made of shared seeds, so no tile is lost or joined to another.
+    """
+    place = np.unique((at[:, None] + np.arange(least)).ravel())
+    cuts = np.flatnonzero(np.diff(place) > 1) + 1
+    return np.insert(tokens[place], cuts, U64(0))
+
+
 def _pairs(texts: list[bytes], seeds: Seeds, least: int, coverage: float) -> Iterator[tuple[int, int, int, int, int]]:
     """(row, item, item tokens, covered tokens, tiles) of the pairs at the coverage or above."""
     for a, b in chunks(texts):
@@ -114,8 +146,14 @@ def _pairs(texts: list[bytes], seeds: Seeds, least: int, coverage: float) -> Ite
         h = w.hashes()
         at, grams = w.grams(h, least)
         hits = seeds.of(grams)
+        if seeds.short:
+            for r in np.flatnonzero((np.diff(w.firsts) > 0) & (np.diff(w.firsts) < least)).tolist():
+                own = h[w.firsts[r] : w.firsts[r + 1]]
+                for i in seeds.short.get(own.tobytes(), ()):
+                    yield a + r, i, len(own), len(own), 1
         for r in np.unique(w.rows[at[hits]]).tolist():
-            own = np.unique(grams[hits[w.rows[at[hits]] == r]])
+            mine = hits[np.searchsorted(w.rows[at[hits]], r, "left") : np.searchsorted(w.rows[at[hits]], r, "right")]
+            own = np.unique(grams[mine])
             left, right = np.searchsorted(seeds.grams, own, "left"), np.searchsorted(seeds.grams, own, "right")
             found = np.concatenate([np.arange(x, y) for x, y in zip(left, right, strict=True)])
             for i in np.unique(seeds.item[found]).tolist():
@@ -125,18 +163,18 @@ def _pairs(texts: list[bytes], seeds: Seeds, least: int, coverage: float) -> Ite
                     shared[seeds.place[found[seeds.item[found] == i]] + k] = True
                 if shared.sum() < coverage * len(item):
                     continue
-                tiles = tile(item, h[w.firsts[r] : w.firsts[r + 1]], least)
+                tiles = tile(item, _near(h, at[mine[np.isin(grams[mine], seeds.grams[found[seeds.item[found] == i]])]], least), least)
                 covered = sum(x[2] for x in tiles)
                 if covered >= coverage * len(item):
                     yield a + r, i, len(item), covered, len(tiles)
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, least: int) -> Iterator[Seeds]:
-    """The benchmark in blocks of bounded size; one block is on the driver at a time."""
+    """The benchmark, a stated query set, in blocks of bounded size; a block is broadcast until its result is made."""
     ids, texts, total = [], [], 0
     for row in benchmark.select(id_col, text_col).toLocalIterator():
         ids.append(row[0])
-        texts.append((row[1] or "").lower().encode())
+        texts.append(lowered(row[1]))
         total += len(texts[-1])
         if len(ids) >= BLOCK_ITEMS or total >= BLOCK_BYTES:
             yield Seeds(ids, texts, least)
@@ -148,7 +186,7 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, least: int) -> Ite
 def benchmark_matches(docs: DataFrame, benchmark: DataFrame, least: int = SEED_TOKENS, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(id, item, item_tokens, covered_tokens, n_tiles, coverage) of each document and item at the coverage or above."""
     schema = T.StructType([docs.schema[id_col], benchmark.schema[item_col], *(T.StructField(n, T.LongType()) for n in ("item_tokens", "covered_tokens", "n_tiles"))])
-    kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[benchmark.schema[item_col].dataType.simpleString()]
+    kind = to_arrow_type(benchmark.schema[item_col].dataType)
 
     def against(seeds: Seeds) -> DataFrame:
         block = docs.sparkSession.sparkContext.broadcast(seeds)
@@ -166,9 +204,9 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, least: int = SEED_T
     return out.withColumn("coverage", F.col("covered_tokens") / F.col("item_tokens"))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least: int = SEED_TOKENS, coverage: float = COVERAGE, text_col: str = "text") -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least: int = SEED_TOKENS, coverage: float = COVERAGE, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows that hold no benchmark item at the coverage or above."""
-    for seeds in _blocks(benchmark, "item_id", "text", least):
+    for seeds in _blocks(benchmark, item_col, item_text, least):
         block = docs.sparkSession.sparkContext.broadcast(seeds)
 
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:

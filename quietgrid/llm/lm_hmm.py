@@ -4,15 +4,18 @@ A token's hash gives its symbol, one of ``SYMBOLS``; the end of a text has a sym
 state emits symbols, and a symbol emits its words by their smoothed share of the symbol's tokens, so the
 model is a distribution over words of any vocabulary: P(word | state) = P(symbol | state) P(word | symbol).
 
-Token counts are combined in each batch and summed by a shuffle.  Baum-Welch runs over all training
-texts, cut into pieces of ``PIECE`` tokens for the E step only: each partition adds up its expected counts
-in arrays of fixed size, which are summed in two levels.  The first parameters come from a few steps over
-a bounded sample of texts (those with the smallest hashes).  Scores use the scaled forward recursion over
-each whole text.
+Token counts are combined in each batch and summed by a shuffle.  Baum-Welch runs over whole texts: a forward
+pass keeps the state at the start of every ``PIECE`` tokens, and the pieces are then taken backwards, so
+memory is bounded and no transition is lost.  Each partition adds up its expected counts in arrays of fixed
+size, which are summed in two levels.  The states start from seeded emissions; the first steps read a share of the
+training texts (by the text's hash, a share that is the same at every size), the last steps read all of them.
+Scores use the scaled forward recursion over each whole text.
 
 The counts of the ``HEAD`` most frequent tokens are broadcast as arrays of that size; rarer tokens of the
 texts are joined to their counts by a shuffle.  Null and empty texts are one end token.  Rows are texts of
-their own, repeated rows and null ids included.
+their own, repeated rows and null ids included, known by their place in the scan: the input must be a table or
+another scan that gives the same rows again when a task is run again.  Empty tables give empty results; other
+columns are not read.  A very long text takes one step of the recursion a token.
 """
 
 from __future__ import annotations
@@ -33,11 +36,10 @@ from .text import U64, chunks, texts_of, words
 BITS = 15
 SYMBOLS = 1 << BITS
 STATES = 8
-PIECE = 128
+PIECE = 256
 HEAD = 1 << 18
-SAMPLE_DOCS = 2000
-SAMPLE_STEPS = 12
-STEPS = 2
+#: Sixteenths of the training texts that the steps of Baum-Welch read, one after the other.
+SHARES = (1, 1, 1, 1, 2, 2, 4, 8, 16, 16)
 SMOOTH = 0.1
 END = np.uint64(0x45A1D7C3B2E9F06B)
 
@@ -85,43 +87,53 @@ class Counts:
 
 
 def expect(model: Hmm, syms: np.ndarray, firsts: np.ndarray, into: Counts, at_once: int = 2048) -> None:
-    """Adds the expected counts of the pieces of the texts."""
-    k = len(model.start)
-    sizes = np.diff(firsts)
-    cut = np.concatenate([np.arange(a, b, PIECE) for a, b in zip(firsts[:-1], firsts[1:], strict=True)]) if len(sizes) else np.zeros(0, dtype=np.int64)
-    ends = np.minimum(cut + PIECE, np.repeat(firsts[1:], -(-sizes // PIECE)))
-    is_first = np.isin(cut, firsts[:-1])
-    order = np.argsort(cut - ends, kind="stable")  # longest first
+    """Adds the expected counts of the texts."""
+    k, sizes = len(model.start), np.diff(firsts)
+    order = np.argsort(-sizes, kind="stable")  # longest first
     for i in range(0, len(order), at_once):
-        own = order[i : i + at_once]
-        a, n = cut[own], (ends - cut)[own]
+        a, n = firsts[:-1][order[i : i + at_once]], sizes[order[i : i + at_once]]
         steps = int(n[0])
-        alive = np.searchsorted(-n, -np.arange(steps), side="left")  # pieces longer than t
-        alpha = np.zeros((steps, len(own), k))
-        for t in range(steps):
-            m = alive[t]
-            x = (model.start if t == 0 else alpha[t - 1, :m] @ model.move) * model.emit[syms[a[:m] + t]]
-            alpha[t, :m] = x / x.sum(axis=1, keepdims=True)
-        beta = np.ones((len(own), k))
-        for t in range(steps - 1, -1, -1):
-            m = alive[t]
-            gamma = alpha[t, :m] * beta[:m]
-            gamma /= gamma.sum(axis=1, keepdims=True)
-            alpha[t, :m] = gamma
-            if t:
-                weighted = model.emit[syms[a[:m] + t]] * beta[:m]
-                back = weighted @ model.move.T
-                joint = alpha[t - 1, :m] * (1 / np.maximum((alpha[t - 1, :m] * back).sum(axis=1, keepdims=True), 1e-300))
-                into.move += model.move * (joint.T @ weighted)
-                beta[:m] = back / back.sum(axis=1, keepdims=True)
-        into.start += alpha[0, is_first[own]].sum(axis=0)
-        for t in range(0, steps, 16):
-            m = alive[t]
-            live = np.arange(m)[None, :] < alive[t : t + 16, None]
-            s = syms[np.minimum(a[None, :m] + np.arange(t, min(t + 16, steps))[:, None], len(syms) - 1)][live]
-            g = alpha[t : t + 16, :m][live]
-            for j in range(k):
-                into.emit[:, j] += np.bincount(s, weights=g[:, j], minlength=SYMBOLS + 1)
+        alive = np.searchsorted(-n, -np.arange(steps), side="left")  # texts longer than t
+
+        def forward(before: np.ndarray | None, t: int, m: int, a: np.ndarray = a) -> np.ndarray:
+            x = (model.start if before is None else before[:m] @ model.move) * model.emit[syms[a[:m] + t]]
+            return x / x.sum(axis=1, keepdims=True)
+
+        # the state before each piece but the first
+        entry: list[np.ndarray | None] = [None]
+        now = None
+        for t in range((steps - 1) // PIECE * PIECE):
+            now = forward(now, t, alive[t])
+            if t % PIECE == PIECE - 1:
+                entry.append(now)
+        beta = np.ones((0, k))
+        for p in range(len(entry) - 1, -1, -1):
+            t0, t1 = p * PIECE, min(steps, (p + 1) * PIECE)
+            alpha = np.zeros((t1 - t0, alive[t0], k))
+            for t in range(t0, t1):
+                alpha[t - t0, : alive[t]] = forward(entry[p] if t == t0 else alpha[t - 1 - t0], t, alive[t])
+            beta = np.concatenate([beta, np.ones((alive[t0] - len(beta), k))])
+            for t in range(t1 - 1, t0 - 1, -1):
+                m = alive[t]
+                gamma = alpha[t - t0, :m] * beta[:m]
+                gamma /= gamma.sum(axis=1, keepdims=True)
+                alpha[t - t0, :m] = gamma
+                if t:
+                    before = (entry[p] if t == t0 else alpha[t - 1 - t0])[:m]
+                    weighted = model.emit[syms[a[:m] + t]] * beta[:m]
+                    back = weighted @ model.move.T
+                    joint = before * (1 / np.maximum((before * back).sum(axis=1, keepdims=True), 1e-300))
+                    into.move += model.move * (joint.T @ weighted)
+                    beta[:m] = back / back.sum(axis=1, keepdims=True)
+            if p == 0:
+                into.start += alpha[0].sum(axis=0)
+            for t in range(t0, t1, 16):
+                m, most = alive[t], min(t + 16, t1)
+                live = np.arange(m)[None, :] < alive[t:most, None]
+                s = syms[np.minimum(a[None, :m] + np.arange(t, most)[:, None], len(syms) - 1)][live]
+                g = alpha[t - t0 : most - t0, :m][live]
+                for j in range(k):
+                    into.emit[:, j] += np.bincount(s, weights=g[:, j], minlength=SYMBOLS + 1)
 
 
 def likelihood(model: Hmm, syms: np.ndarray, firsts: np.ndarray) -> np.ndarray:
@@ -170,10 +182,13 @@ def baum_welch(train: DataFrame, text_col: str, model: Hmm) -> Counts:
         into, any_rows = Counts.zero(), False
         for batch in batches:
             texts = texts_of(batch.column(0))
+            syms, sizes = [np.zeros(0, dtype=np.uint16)], [np.zeros(0, dtype=np.int64)]
             for a, b in chunks(texts):
                 h, firsts = tokens(texts[a:b])
-                expect(shared.value, symbols(h), firsts, into)
+                syms.append(symbols(h).astype(np.uint16))
+                sizes.append(np.diff(firsts))
                 any_rows = True
+            expect(shared.value, np.concatenate(syms), np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int64), into)
         if any_rows:
             parts = np.array_split(into.flat().astype(np.float32), cut)
             p = TaskContext.get().partitionId()
@@ -192,19 +207,12 @@ def baum_welch(train: DataFrame, text_col: str, model: Hmm) -> Counts:
     return Counts.of(np.concatenate([rows[i] for i in range(cut)])) if rows else Counts.zero()
 
 
-def first_model(sample: list[bytes], counts: np.ndarray, steps: int = SAMPLE_STEPS, seed: int = 7) -> Hmm:
-    """Sticky states with emissions scattered about the symbols' shares, after some steps over the sample."""
+def first_model(counts: np.ndarray, seed: int = 7) -> Hmm:
+    """Sticky states with emissions scattered about the symbols' shares."""
     rng = np.random.default_rng(seed)
     emit = (counts[:, None] + 1e-3) * rng.gamma(2.0, 0.5, size=(SYMBOLS + 1, STATES))
-    model = Hmm(np.full(STATES, 1 / STATES), np.full((STATES, STATES), 0.02 / (STATES - 1)) + np.eye(STATES) * (0.98 - 0.02 / (STATES - 1)), emit / emit.sum(axis=0))
-    if sample:
-        h, firsts = tokens(sample)
-        syms = symbols(h)
-        for _ in range(steps):
-            into = Counts.zero()
-            expect(model, syms, firsts, into)
-            model = into.model()
-    return model
+    move = np.full((STATES, STATES), 0.02 / (STATES - 1)) + np.eye(STATES) * (0.98 - 0.02 / (STATES - 1))
+    return Hmm(np.full(STATES, 1 / STATES), move, emit / emit.sum(axis=0))
 
 
 def score_texts(docs: DataFrame, train_rows: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -234,11 +242,11 @@ def score_texts(docs: DataFrame, train_rows: Column, id_col: str = "doc_id", tex
     order = np.argsort(head_h)
     head_h, head_n = head_h[order], head_n[order]
 
-    chosen = train.select(F.col(id_col).alias("_id")).orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE_DOCS).distinct()
-    sample = [r[0] or "" for r in train.join(F.broadcast(chosen), F.col(id_col).eqNullSafe(F.col("_id"))).select(text_col).limit(SAMPLE_DOCS).collect()]
-    model = first_model([x.encode() for x in sample], n_of / max(1, total))
-    for _ in range(STEPS):
-        model = baum_welch(train, text_col, model).model()
+    model = first_model(n_of / max(1, total))
+    sixteenth = F.pmod(F.xxhash64(F.lit(1), F.coalesce(F.col(text_col).cast("string"), F.lit(""))), F.lit(16))
+    for share in SHARES:
+        found = baum_welch(train.where(sixteenth < share) if share < 16 else train, text_col, model)
+        model = found.model() if found.start.sum() else model
 
     within = np.log10(n_of + SMOOTH * (v_of + 1))
     base = float(np.log10(total + SMOOTH * (vocabulary + 1)))

@@ -15,7 +15,9 @@ An anchor with very many units is cut over several shards; each passes on one ro
 window of such units, and the shards' windows are merged by binary search over their sorted hashes.
 
 Texts are UTF-8 bytes; null and empty texts have none.  Matches never cross documents; overlapping ones
-count; equal rows are documents of their own.
+count; equal rows are documents of their own; ids may repeat and be null.  Empty tables give empty results;
+other columns are not read.  Units are told apart by the 64-bit hashes of their anchor and of all their bytes
+together, documents by a 64-bit hash of id and text and the text's length.
 """
 
 from __future__ import annotations
@@ -26,16 +28,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .jobs import durable, shuffle_partitions
+from .jobs import durable
 from .text import BASE, GRAM_BASE, U64, chunks, mix, powers, prefix_hash, range_hash, texts_of
 
 LENGTH = 200
 ANCHOR = 48
 SHARD_UNITS = 4096
+MERGED = 1_000_000  # windows of a group of the merge, about
 
 
 def suffix_array(data: np.ndarray) -> np.ndarray:
@@ -154,54 +157,66 @@ def units(texts: list[bytes], length: int = LENGTH, anchor: int = ANCHOR) -> tup
     return row, h[place].view(np.int64), whole.view(np.int64), first - at[row], count
 
 
-def _row_key(id_col: str, text_col: str) -> Column:
-    return F.xxhash64(F.col(id_col), F.col(text_col))
+DOC = ["doc", "size"]  # what tells documents apart; equal rows share it and hold the same units
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, size, id, text): a hash of id and text, and the bytes of the text."""
+    size = F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)).cast("int")
+    return docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("doc"), size.alias("size"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
 
 def _anchors(docs: DataFrame, id_col: str, text_col: str, keys_only: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, texts = np.array(batch.column(0).to_pylist(), dtype=np.int64), texts_of(batch.column(1))
+            docs_of, sizes, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), texts_of(batch.column(2))
             for a, b in chunks(texts):
                 row, key, whole, first, count = units(texts[a:b])
                 if keys_only:
                     key, n = np.unique(key, return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["key", "n"])
                 else:
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(whole), pa.array(rows[a + row]), pa.array(first.astype(np.int32)), pa.array(count.astype(np.int32))], ["key", "whole", "doc", "first", "count"])
+                    arrays = [key, whole, docs_of[a + row], sizes[a + row], first.astype(np.int32), count.astype(np.int32)]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["key", "whole", *DOC, "first", "count"])
 
-    keyed = docs.select(_row_key(id_col, text_col).alias("doc"), text_col)
-    return keyed.mapInArrow(run, "key long, n long" if keys_only else "key long, whole long, doc long, first int, count int")
+    kind = "key long, n long" if keys_only else "key long, whole long, doc long, size int, first int, count int"
+    return _keyed(docs, id_col, text_col).select(*DOC, "text").mapInArrow(run, kind)
 
 
 def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_units: int = SHARD_UNITS) -> DataFrame:
-    """(doc, ranges): for each row key, byte ranges [a, b) whose windows all repeat; they may overlap."""
+    """(doc, size, ranges): for each document, byte ranges [a, b) whose windows all repeat; they may overlap."""
     twice = durable(_anchors(docs, id_col, text_col, True).groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key"))
     shared = durable(_anchors(docs, id_col, text_col, False).join(twice.hint("merge"), "key"))
-    unit = shared.groupBy("key", "whole").agg(F.count("*").alias("n"), F.min(F.struct("doc", "first", "count")).alias("at"))
+    unit = shared.groupBy("key", "whole").agg(F.count("*").alias("n"), F.min(F.struct(*DOC, "first", "count")).alias("at"))
     unit = durable(unit.select("key", "whole", "n", "at.*"))
     many = unit.groupBy("key").agg(F.count("*").alias("n_units")).where("n_units > 1")
     cuts = F.ceil(F.col("n_units") / F.lit(shard_units)).cast("int")
-    open_ = durable(unit.join(many.hint("merge"), "key").select("key", "n", "doc", "first", "count", cuts.alias("cuts"), F.pmod("whole", cuts).cast("int").alias("cut")))
+    open_ = durable(unit.join(many.hint("merge"), "key").select("key", "n", *DOC, "first", "count", cuts.alias("cuts"), F.pmod("whole", cuts).cast("int").alias("cut")))
     shards = max(1, -(-open_.count() // shard_units))
 
-    settled = shared.join(unit.where("n > 1").select("key", "whole").hint("merge"), ["key", "whole"]).select("doc", F.col("first").alias("a"), (F.col("first") + F.col("count") - 1 + LENGTH).alias("b"))
+    settled = shared.join(unit.where("n > 1").select("key", "whole").hint("merge"), ["key", "whole"])
+    settled = settled.select(*DOC, F.col("first").alias("a"), (F.col("first") + F.col("count") - 1 + LENGTH).alias("b"))
 
     # the texts of the units that shards compare
-    wanted = open_.groupBy("doc").agg(F.collect_list(F.struct("first", "count", "key", "n", "cuts", "cut")).alias("units"))
-    texts = docs.select(_row_key(id_col, text_col).alias("doc"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    wanted = open_.groupBy(*DOC).agg(F.collect_list(F.struct("first", "count", "key", "n", "cuts", "cut")).alias("units"))
+    kinds = {"shard": pa.int64(), "cut": pa.int32(), "split": pa.bool_(), "doc": pa.int64(), "size": pa.int32(), "first": pa.int32(), "count": pa.int32(), "n": pa.int64(), "segment": pa.binary()}
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            done: set[int] = set()
+            done: set[tuple[int, int]] = set()
             out: list[tuple] = []
-            for doc, text, own in zip(batch.column(0).to_pylist(), texts_of(batch.column(2)), batch.column(3).to_pylist(), strict=True):
-                if doc not in done:  # equal rows hold the same units
-                    done.add(doc)
-                    out += [((u["key"] % shards) if u["cuts"] == 1 else u["key"], u["cut"], u["cuts"] > 1, doc, u["first"], u["count"], u["n"], text[u["first"] : u["first"] + u["count"] - 1 + LENGTH]) for u in own]
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()))], ["shard", "cut", "split", "doc", "first", "count", "n", "segment"])
-
-    pieces = texts.join(wanted.hint("merge"), "doc").select("doc", "id", "text", "units").mapInArrow(cut_out, "shard long, cut int, split boolean, doc long, first int, count int, n long, segment binary").dropDuplicates(["shard", "cut", "doc", "first"])
+            for doc, size, text, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts_of(batch.column(2)), batch.column(3).to_pylist(), strict=True):
+                if (doc, size) not in done:  # equal rows hold the same units
+                    done.add((doc, size))
+                    for u in own:
+                        segment = text[u["first"] : u["first"] + u["count"] - 1 + LENGTH]
+                        shard = u["key"] % shards if u["cuts"] == 1 else u["key"]
+                        out.append((shard, u["cut"], u["cuts"] > 1, doc, size, u["first"], u["count"], u["n"], segment))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds.values())], list(kinds))
+
+    texts = _keyed(docs, id_col, text_col).select(*DOC, "text")
+    pieces = texts.join(wanted.hint("merge"), DOC).mapInArrow(cut_out, "shard long, cut int, split boolean, doc long, size int, first int, count int, n long, segment binary")
+    pieces = pieces.dropDuplicates(["shard", "cut", *DOC, "first"])
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         again, lead, starts, data = repeated_starts(pdf["segment"].tolist())
@@ -211,32 +226,33 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         off = np.arange(len(seg)) - np.repeat(np.cumsum(count) - count, count)
         at = starts[seg] + off
         alone = pdf["n"].to_numpy()[seg] == 1
-        doc, a = pdf["doc"].to_numpy()[seg], pdf["first"].to_numpy()[seg] + off
+        doc, size, a = pdf["doc"].to_numpy()[seg], pdf["size"].to_numpy()[seg], pdf["first"].to_numpy()[seg] + off
         hit = again[at] & alone
         # consecutive windows of a unit make one range
         edge = hit & ~np.concatenate([[False], hit[:-1] & (seg[1:] == seg[:-1])])
         stop = hit & ~np.concatenate([hit[1:] & (seg[1:] == seg[:-1]), [False]])
-        out = pd.DataFrame({"doc": doc[edge], "a": a[edge], "b": a[stop] + LENGTH})
+        out = pd.DataFrame({"doc": doc[edge], "size": size[edge], "a": a[edge], "b": a[stop] + LENGTH})
         if split:
-            pass_on = ~again[at] | lead[at]
+            on = ~again[at] | lead[at]
             with np.errstate(over="ignore"):
-                h = range_hash(prefix_hash(data.astype(U64) + U64(1), BASE), at[pass_on], at[pass_on] + LENGTH, BASE).view(np.int64)
-            out = pd.concat([out, pd.DataFrame({"doc": doc[pass_on], "a": a[pass_on], "b": a[pass_on] + LENGTH, "window": pd.array(h, dtype="Int64"), "alone": pd.array((alone & ~again[at])[pass_on], dtype="boolean")})])
-        return out.reindex(columns=["doc", "a", "b", "window", "alone"])
+                h = range_hash(prefix_hash(data.astype(U64) + U64(1), BASE), at[on], at[on] + LENGTH, BASE).view(np.int64)
+            passed = {"doc": doc[on], "size": size[on], "a": a[on], "b": a[on] + LENGTH, "window": pd.array(h, dtype="Int64"), "alone": pd.array((alone & ~again[at])[on], dtype="boolean")}
+            out = pd.concat([out, pd.DataFrame(passed)])
+        return out.reindex(columns=[*DOC, "a", "b", "window", "alone"])
 
-    compared = durable(pieces.groupBy("shard", "cut").applyInPandas(compare, "doc long, a int, b int, window long, alone boolean"))
+    compared = durable(pieces.groupBy("shard", "cut").applyInPandas(compare, "doc long, size int, a int, b int, window long, alone boolean"))
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         windows = np.sort(pdf["window"].to_numpy(np.int64))
         ask = pdf[pdf["alone"].astype(bool)]
         w = ask["window"].to_numpy(np.int64)
         held = np.searchsorted(windows, w, "right") - np.searchsorted(windows, w, "left")
-        return ask.loc[held > 1, ["doc", "a", "b"]]
+        return ask.loc[held > 1, [*DOC, "a", "b"]]
 
-    lots = shuffle_partitions(docs.sparkSession)
-    across = compared.where("window is not null").groupBy(F.pmod("window", F.lit(lots)).alias("lot")).applyInPandas(merge, "doc long, a int, b int")
-    ranges = settled.unionByName(compared.where("window is null").select("doc", "a", "b")).unionByName(across)
-    return ranges.groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
+    lots = max(1, -(-compared.where("window is not null").count() // MERGED))  # so that no group grows with the corpus
+    across = compared.where("window is not null").groupBy(F.pmod("window", F.lit(lots)).alias("lot")).applyInPandas(merge, "doc long, size int, a int, b int")
+    ranges = settled.unionByName(compared.where("window is null").select(*DOC, "a", "b")).unionByName(across)
+    return ranges.groupBy(*DOC).agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
 
 
 def remove_ranges(text: bytes, ranges: list[dict] | None) -> tuple[bytes, int, int]:
@@ -256,7 +272,7 @@ def remove_ranges(text: bytes, ranges: list[dict] | None) -> tuple[bytes, int, i
 def suffix_dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256) of each row."""
     ranges = repeated_ranges(docs, id_col, text_col)
-    texts = docs.select(_row_key(id_col, text_col).alias("doc"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    texts = _keyed(docs, id_col, text_col)
     schema = T.StructType([docs.schema[id_col], *(T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept_sha256", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,4 +281,4 @@ def suffix_dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             out = [remove_ranges(*x) for x in zip(texts, batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in texts], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int64()), pa.array([hashlib.sha256(x[0]).hexdigest() for x in out], pa.string())], schema.names)
 
-    return texts.join(ranges.hint("merge"), "doc", "left").select("id", "text", "ranges").mapInArrow(run, schema)
+    return texts.join(ranges.hint("merge"), DOC, "left").select("id", "text", "ranges").mapInArrow(run, schema)

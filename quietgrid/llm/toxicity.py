@@ -9,7 +9,10 @@ model on them gives the score, so a negated or reported insult need not count as
 The insult lexicon is learned: words and word beginnings that stand in toxic documents of the labelled
 sample far more often than chance allows; common insults in four languages are known from the start.
 Training reads at most ``sample`` labelled rows, those with the smallest hash of their id.  Scores use
-nothing but the text: null and empty texts have the score of a text without any match.
+nothing but the text: null and empty texts have the score of a text without any match, equal texts have equal
+scores, and each row is scored, repeated rows and null ids included.  A document labelled more than once is
+toxic if one label says so.  Without labels of both kinds the known words and PRIOR stand alone.  Empty tables
+give empty results; ``drop_toxic`` passes all columns on, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,7 +34,6 @@ from .text import BASE, U64, Words, chunks, prefix_hash, range_hash, texts_of, w
 
 SAMPLE = 20_000
 STEMS = (4, 5, 6, 7, 8)  # beginnings of words, in bytes
-LEXICON = 4000
 LEAST_WEIGHT = 2.5  # natural log odds
 SURPRISE = 14.0  # log likelihood ratio against the base rate; chance gives about e**14 features one such
 
@@ -73,7 +75,6 @@ WHAT = Transducer({(0, INSULT): 1, (0, THREAT): 2, (2, INSULT): 1}, 3)
 AT = Transducer({(0, TARGET): 1}, 2)
 NEGATED = _negation()
 REPORTED = Transducer({(0, REPORT): 1, (1, INSULT): 2, (1, THREAT): 2}, 3)
-MOST = 20.0  # more weight of a pattern adds nothing
 PATTERNS = ("insult", "insult_at", "threat_at", "negated", "reported")
 
 
@@ -137,7 +138,7 @@ class Lexicon:
         return best
 
     def features(self, text: bytes) -> list[float]:
-        """Summed weights of the clauses of each pattern, the number of lexical tokens, and the length among which they stand."""
+        """Summed weights of the clauses of each pattern, the number of lexical tokens, and the length among which they stand, all as logarithms."""
         sums, hits, length = [0.0] * len(PATTERNS), 0, 0
         for clause in CLAUSE.split(text.lower()):
             state, weight = 0, 0.0
@@ -155,7 +156,7 @@ class Lexicon:
                 state = TABLE[state, c]
             if weight and ENDS[state] >= 0:
                 sums[ENDS[state]] += weight
-        return [*(min(x, MOST) for x in sums), math.log1p(hits), math.log1p(length) if any(sums) else 0.0]
+        return [*map(math.log1p, sums), math.log1p(hits), math.log1p(length) if any(sums) else 0.0]
 
 
 def _among(h: np.ndarray, sorted_keys: np.ndarray) -> np.ndarray:
@@ -221,7 +222,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, train_rows: Column, sampl
         surprise = F.col("toxic") * F.log(p / rate) + F.when(F.col("clean") > 0, F.col("clean") * F.log((1 - p) / (1 - rate))).otherwise(0.0)
         weight = F.log((F.col("toxic") + 0.5) / (n1 + 1)) - F.log((F.col("clean") + 0.5) / (n0 + 1))
         counted = _candidates(train).where("toxic >= 3").withColumn("weight", weight).withColumn("surprise", surprise)
-        for r in counted.where((F.col("weight") >= LEAST_WEIGHT) & (F.col("surprise") >= SURPRISE)).orderBy(F.desc("surprise"), "feature").limit(LEXICON).collect():
+        for r in counted.where((F.col("weight") >= LEAST_WEIGHT) & (F.col("surprise") >= SURPRISE)).collect():  # bounded by the sample's words
             (full if r.whole else stems)[bytes(r.feature)] = float(r.weight)
     lexicon = Lexicon(full, stems)
 
@@ -233,7 +234,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, train_rows: Column, sampl
     return ToxicityModel(lexicon, fit_logistic(np.array([r.x for r in rows]).reshape(-1, len(PATTERNS) + 2), np.array([r.toxic for r in rows], dtype=float)))
 
 
-PRIOR = np.array([-4.0, 0.8, 1.0, 1.0, 0.1, 0.1, 0.5, 0.0])  # bias, patterns, tokens, length
+PRIOR = np.array([-4.0, 2.0, 2.5, 2.5, 0.2, 0.2, 0.5, 0.0])  # bias, patterns, tokens, length
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 30) -> np.ndarray:

@@ -6,7 +6,9 @@ and each labeller's accuracy on either kind, and gives every pattern a posterior
 bounded sample of documents (those with the smallest hashes) train a logistic scorer on hashed features:
 word shapes and binned measures.  No labels table is read.
 
-Null and empty texts have no words: they are short, and every other labeller abstains.
+Null and empty texts have no words: they are short, and every other labeller abstains.  Equal texts have equal
+scores; each row counts and is scored, repeated rows and null ids included; empty tables give empty results,
+and columns other than id and text are not read.
 """
 
 from __future__ import annotations
@@ -61,7 +63,9 @@ def _measure(texts: list[bytes]) -> Measured:
     last = w.data[w.ends - 1] if len(w.ends) else w.data[:0]
     marked = ones((CLASS[last] == 5) | ((last == 0x21) & (w.ends - w.starts > 1)))
     h = w.hashes()
-    distinct = np.bincount(np.unique(np.stack([w.rows.astype(U64), h]), axis=1)[0].astype(np.int64), minlength=len(texts)) if len(h) else np.zeros(len(texts))
+    with np.errstate(over="ignore"):
+        _, one = np.unique(mix(h + w.rows.astype(U64) * U64(0xC2B2AE3D27D4EB4F), 7), return_index=True)
+    distinct = np.bincount(w.rows[one], minlength=len(texts))
     values = np.stack([np.log2(m["n_words"] + 1), m["n_symbols"] / np.maximum(1, m["word_chars"]), m["n_repeat_words"] / size, m["dup_2gram_share"], m["dup_line_share"], shouted / size, marked / size, distinct / np.maximum(1.0, size**0.9)], axis=1)
     length = np.minimum(w.ends - w.starts, 15)
     first = CLASS[w.data[w.starts]] if len(w.starts) else length

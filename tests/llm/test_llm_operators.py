@@ -226,6 +226,11 @@ def test_decontamination(spark, docs, none):
     bench = spark.createDataFrame([(9, item), (8, "too short"), (7, None)], "item_id long, text string")
     got = {(r.doc_id, r.item_id): r.n_tiles for r in decontam.benchmark_matches(df, bench).collect()}
     assert got == {(0, 9): 1, (1, 9): 1, (2, 9): 2, (7, 9): 1}
+    small = spark.createDataFrame([(3, "Yes\u2014no!"), (4, item.replace("gamma", "\u201cgamma\u201d")), (5, "\u6211\u4eec\u4eca\u5929\u53bb\u5317\u4eac\u770b\u7535\u5f71")], "n smallint, body string")
+    texts = spark.createDataFrame([("a", "yes. no"), ("b", "yes and no"), ("c", "x " + item), ("d", "\u6211\u4eec\u4eca\u5929\u53bb\u5317\u4eac\u770b\u7535\u5f71\u3002"), ("e", "")], "name string, t string")
+    pairs = decontam.benchmark_matches(texts, small, id_col="name", text_col="t", item_col="n", item_text="body")
+    assert sorted((r.name, r.n, r.coverage) for r in pairs.collect()) == [("a", 3, 1.0), ("c", 4, 1.0), ("d", 5, 1.0)]
+    assert sorted(r.name for r in decontam.drop_contaminated(texts, small, text_col="t", item_col="n", item_text="body").collect()) == ["b", "e"]
     assert sorted(r.doc_id for r in decontam.drop_contaminated(df, bench).collect()) == [3, 4, 5, 6]
     assert decontam.benchmark_matches(docs, bench).count() == 0 and decontam.benchmark_matches(none, bench).count() == 0
     assert decontam.benchmark_matches(df, bench.where("false")).count() == 0
@@ -322,15 +327,18 @@ def test_hmm_scores(docs, none):
     assert lm_hmm.score_texts(none, held).count() == 0
 
 
-def test_forward_recursion_and_counts_against_enumeration():
+@pytest.mark.parametrize("piece", [256, 2, 1])
+def test_forward_recursion_and_counts_against_enumeration(piece, monkeypatch):
     rng = np.random.default_rng(0)
+    monkeypatch.setattr(lm_hmm, "STATES", 3)
     k, s = lm_hmm.STATES, 4
     emit = np.zeros((lm_hmm.SYMBOLS + 1, k))
     emit[:s] = rng.random((s, k))
     model = lm_hmm.Hmm(np.full(k, 1 / k), rng.dirichlet(np.ones(k), k), emit / emit.sum(axis=0))
-    seqs = [np.array([0, 3, 1]), np.array([2]), np.array([1, 1])]
-    syms, firsts = np.concatenate(seqs), np.array([0, 3, 4, 6])
-    into, want_move, logs = lm_hmm.Counts.zero(), np.zeros((k, k)), []
+    seqs = [np.array([0, 3, 1]), np.array([2]), np.array([1, 1]), np.array([1, 0, 2, 3, 3])]
+    syms, firsts = np.concatenate(seqs), np.array([0, 3, 4, 6, 11])
+    monkeypatch.setattr(lm_hmm, "PIECE", piece)
+    into, want_move, logs = lm_hmm.Counts.zero(k), np.zeros((k, k)), []
     for seq in seqs:
         paths = np.stack(np.meshgrid(*[np.arange(k)] * len(seq), indexing="ij"), -1).reshape(-1, len(seq))
         p = model.start[paths[:, 0]] * model.emit[seq[0], paths[:, 0]]
@@ -340,7 +348,7 @@ def test_forward_recursion_and_counts_against_enumeration():
         for t in range(1, len(seq)):
             np.add.at(want_move, (paths[:, t - 1], paths[:, t]), p / p.sum())
     lm_hmm.expect(model, syms, firsts, into)
-    assert np.allclose(lm_hmm.likelihood(model, syms, firsts), logs) and np.allclose(into.move, want_move) and np.isclose(into.emit.sum(), 6) and np.isclose(into.start.sum(), 3)
+    assert np.allclose(lm_hmm.likelihood(model, syms, firsts), logs) and np.allclose(into.move, want_move) and np.isclose(into.emit.sum(), 11) and np.isclose(into.start.sum(), 4)
 
 
 def test_html_main_text(spark):
