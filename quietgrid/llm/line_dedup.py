@@ -127,13 +127,13 @@ def frequent_lines(docs: DataFrame, min_docs: int, id_col: str = "doc_id", text_
             shard = arrays.iloc[0]
             index = PerfectHash([int(x) for x in shard["sizes"]], shard["bits"])
             prints, n = np.frombuffer(shard["prints"], dtype=np.int64), np.frombuffer(shard["counts"], dtype=np.uint32)
-            for key, packed in zip(sent["row_key"], sent["packed"], strict=True):
-                h = np.frombuffer(packed, dtype=np.int64).reshape(-1, 2)
-                at = index.index(h[:, 0].copy().view(np.uint64))
-                hit = (at >= 0) & (prints[at] == h[:, 1]) & (n[at] >= min_docs)
-                if hit.any():
-                    keys.append(key)
-                    found.append(h[hit].tobytes())
+            h = np.frombuffer(b"".join(sent["packed"]), dtype=np.int64).reshape(-1, 2)
+            at = index.index(h[:, 0].copy().view(np.uint64))
+            hit = (at >= 0) & (prints[at] == h[:, 1]) & (n[at] >= min_docs)
+            row = np.repeat(np.arange(len(sent)), sent["packed"].str.len().to_numpy(np.int64) // 16)[hit]
+            rows, first = np.unique(row, return_index=True)
+            keys = sent["row_key"].to_numpy()[rows]
+            found = [x.tobytes() for x in np.split(h[hit], first[1:])] if len(rows) else []
         return pd.DataFrame({"row_key": pd.Series(keys, dtype="object"), "found": pd.Series(found, dtype="object")})
 
     sent = docs.select(_row_key(id_col, text_col).alias("row_key"), text_col).mapInArrow(send, "row_key string, shard int, salt int, packed binary")
