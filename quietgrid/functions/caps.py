@@ -18,6 +18,7 @@ ALIASES = {
 FAMILIES = {
     "application/x-count": ("application/x-occupancy-count", "application/x-binary-occupancy"),
     "application/x-event": ("application/x-safety-event", "application/x-security-event", "application/x-sound-event-label", "application/x-activity-label", "application/x-fused-event"),
+    "application/x-observation": ("application/x-occupancy-count", "application/x-binary-occupancy", "application/x-decibel-level", "application/x-command-intent", "application/x-sound-event-label", "application/x-safety-event", "application/x-security-event", "application/x-activity-label"),
     "application/x-sensor-reading": ("application/x-motion-events", "application/x-noise-sensor"),
     "application/x-occupancy": ("application/x-count", "application/x-occupancy-count", "application/x-binary-occupancy", "application/x-aggregate"),
     "application/x-sound-event": ("application/x-sound-event-label", "application/x-event", "application/x-observation"),
@@ -25,6 +26,27 @@ FAMILIES = {
     "application/x-motion-features": ("application/x-pose-keypoints", "video/x-silhouette", "image/x-silhouette"),
     "application/x-multimodal-primitives": ("application/x-pose-keypoints", "application/x-detections", "application/x-occupancy", "application/x-sound-event", "application/x-motion-features"),
 }
+# What an application that asks for a type takes besides it; one way only.
+GOALS = {
+    "application/x-occupancy": ("application/x-count", "application/x-occupancy-count", "application/x-binary-occupancy"),
+    "application/x-sound-event": ("application/x-sound-event-label",),
+    "application/x-activity-event": ("application/x-activity-label", "application/x-safety-event", "application/x-security-event", "application/x-fused-event"),
+    "application/x-multimodal-primitives": ("application/x-pose-keypoints", "application/x-detections", "application/x-occupancy", "application/x-sound-event", "application/x-activity-event", "application/x-motion-features"),
+}
+# What the schema adapter may repackage, by target type.
+ADAPTS = {
+    "application/x-occupancy": ("application/x-occupancy", "application/x-occupancy-count", "application/x-binary-occupancy", "application/x-detections", "application/x-aggregate"),
+    "application/x-sound-event": ("application/x-sound-event", "application/x-sound-event-label"),
+    "application/x-activity-event": ("application/x-activity-event", "application/x-activity-label", "application/x-safety-event", "application/x-security-event"),
+    "application/x-motion-features": ("application/x-motion-features", "application/x-pose-keypoints", "video/x-silhouette", "image/x-silhouette"),
+    "application/x-multimodal-primitives": ("application/x-multimodal-primitives",),
+    "application/x-aggregate": ("application/x-aggregate",),
+    "application/x-pose-keypoints": ("application/x-pose-keypoints",),
+    "application/x-command-intent": ("application/x-command-intent", "application/x-transcript"),
+    "application/x-decibel-level": ("application/x-decibel-level",),
+}
+# Operators that keep the family of their input.
+KEEPING = ("op.sample", "op.window", "op.trigger_gate", "op.region_select_crop", "op.region_mask_blur")
 MEDIA = (("video/x-redacted", "video/x-raw"), ("image/x-redacted", "image/x-raw"), ("audio/x-filtered", "audio/x-raw"), ("image/x-raw", "image/x-redacted"), ("video/x-raw", "video/x-redacted"))
 
 
@@ -50,6 +72,66 @@ def type_pairs() -> list[tuple[str, str]]:
     return sorted((a, b) for a, b in pairs if a != b)
 
 
+def goal_pairs() -> list[tuple[str, str]]:
+    """(output, goal) canonical types that differ and fit, one way only."""
+    canon = lambda x: ALIASES.get(x, x)
+    return sorted({(canon(o), g) for g, os in GOALS.items() for o in os if canon(o) != g} | set(MEDIA))
+
+
+def in_pairs(a: Column, b: Column, pairs: list[tuple[str, str]]) -> Column:
+    """Whether (a, b) is one of the pairs."""
+    fits = F.create_map(*[x for b_, as_ in _by_second(pairs).items() for x in (F.lit(b_), F.array(*map(F.lit, as_)))])
+    return F.coalesce(F.array_contains(fits[b], a), F.lit(False))
+
+
+def _by_second(pairs: list[tuple[str, str]]) -> dict[str, list[str]]:
+    out: dict[str, list[str]] = {}
+    for a, b in pairs:
+        out.setdefault(b, []).append(a)
+    return out
+
+
+def goal_score(out_type: Column, out_schema: Column, goal_type: Column, goal_schema: Column) -> Column:
+    """0 type and schema, 1 type, 2 schema, 10 a type that the goal takes besides its own; null if none holds."""
+    o, g = canon_type(out_type), canon_type(goal_type)
+    same_type, same_schema = (g != "") & (o == g), (F.coalesce(goal_schema, F.lit("")) != "") & (out_schema == goal_schema)
+    same_schema = F.coalesce(same_schema, F.lit(False))
+    return F.when(same_type & same_schema, 0).when(same_type, 1).when(same_schema, 2).when((g == "*") | in_pairs(o, g, goal_pairs()), 10)
+
+
+def adapter_allowed(up_type: Column, up_schema: Column, target_type: Column, target_schema: Column) -> Column:
+    """Whether the schema adapter may repackage an output: the same type and no other schema, media that the goal takes, or a type of ADAPTS; two known schemas must be equal."""
+    u, t = canon_type(up_type), canon_type(target_type)
+    schemas_fit = (F.coalesce(target_schema, F.lit("")) == "") | (F.coalesce(up_schema, F.lit("")) == "") | (up_schema == target_schema)
+    media = t.isin("image/x-redacted", "video/x-redacted", "audio/x-filtered", "image/x-raw", "video/x-raw", "audio/x-raw")
+    canon = lambda x: ALIASES.get(x, x)
+    adapts = in_pairs(u, t, sorted({(canon(a), b) for b, as_ in ADAPTS.items() for a in as_}))
+    return F.when(t == "", False).when((u == t) & schemas_fit, True).when(media, goal_score(up_type, up_schema, target_type, target_schema).isNotNull()).otherwise(adapts & schemas_fit)
+
+
+def keeps_family(operator: Column, in_type: Column, out_type: Column) -> Column:
+    """Whether an output is plausible for an input: media keep their family through sampling, windows, gates, crops and blurs; other inputs come out of a window as windowed events and of a gate as events or as they are."""
+    i, o = canon_type(in_type), canon_type(out_type)
+    media = (media_family(i) != "") & operator.isin(*KEEPING)
+    gate = o.isin("application/x-event", "application/x-activity-event", "application/x-fused-event", "application/x-windowed-events") | (o == i)
+    speech = F.when(i.startswith("audio/"), o.isin("audio/x-filtered", "application/x-command-intent", "application/x-sound-event")).otherwise(o.isin("application/x-redacted-transcript", "application/x-command-intent"))
+    return F.when(media, media_family(i) == media_family(o)).when(operator == "op.trigger_gate", gate).when(operator == "op.window", o == "application/x-windowed-events").when(operator == "op.speech_content_removal", speech).otherwise(True)
+
+
+def compatible_edges(operators: DataFrame) -> DataFrame:
+    """(a, b) of operator ids whose output feeds the other's input and is plausible there; the schema adapter takes what it may repackage.
+
+    ``operators``: op, in_type, in_schema, out_type, out_schema, one row a variant.
+    """
+    up = operators.select(F.col("op").alias("up_id"), F.col("out_type").alias("up_type"), F.col("out_schema").alias("up_schema")).distinct()
+    down = operators.select(F.xxhash64(*operators.columns).alias("down_id"), F.col("in_type").alias("down_type"), F.col("in_schema").alias("down_schema"), F.col("op").alias("b"), F.col("out_type").alias("b_type"), F.col("out_schema").alias("b_schema")).distinct()
+    number = up.withColumn("_u", F.xxhash64("up_id", "up_type", "up_schema"))
+    fits = compatible_caps(number.select(F.col("_u").alias("up_id"), "up_type", "up_schema"), down.where("b <> 'op.schema_adapter'").select("down_id", "down_type", "down_schema"))
+    pairs = fits.withColumnRenamed("up_id", "_u").join(number.hint("merge"), "_u").join(down.hint("merge"), "down_id").where(keeps_family(F.col("b"), F.col("up_type"), F.col("b_type")))
+    adapters = number.crossJoin(down.where("b = 'op.schema_adapter'")).where(adapter_allowed(F.col("up_type"), F.col("up_schema"), F.col("b_type"), F.col("b_schema")))  # the variants of one operator
+    return pairs.select(F.col("up_id").alias("a"), "b").unionByName(adapters.select(F.col("up_id").alias("a"), "b")).where("a <> b").distinct()
+
+
 def compatible_caps(up: DataFrame, down: DataFrame) -> DataFrame:
     """Pairs of ``up`` (up_id, up_type, up_schema) and ``down`` (down_id, down_type, down_schema) that fit.
 

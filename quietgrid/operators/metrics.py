@@ -89,7 +89,29 @@ def average_runs(df: DataFrame, sample: str, label: str, p: str) -> DataFrame:
 
 def label_map(df: DataFrame, label: str) -> DataFrame:
     """(label, index): sorted distinct labels from 0; no label is ``unknown``."""
-    return df.select(F.coalesce(F.nullif(F.col(label), F.lit("")), F.lit("unknown")).alias("label")).distinct().withColumn("index", F.row_number().over(Window.orderBy("label")) - 1)
+    return df.select(F.coalesce(F.nullif(F.col(label), F.lit("")), F.lit("unknown")).alias("label")).distinct().withColumn("index", F.row_number().over(Window.orderBy("label")) - 1)  # one row a class
+
+
+def frame_evaluation(df: DataFrame, sample: str, true_count: Column, pred_count: Column, present: Column, guess: Column) -> DataFrame:
+    """(matched, samples, count_mae, exact_match, fpr, recall) of matched frames: errors of the counts, and guesses of presence on frames without and with anybody."""
+    off = F.abs(pred_count - true_count)
+    rate = lambda k: F.avg(F.when(present == k, guess.cast("int")))
+    return df.agg(F.count("*").alias("matched"), F.countDistinct(sample).alias("samples"), F.avg(off).alias("count_mae"), F.avg((off == 0).cast("double")).alias("exact_match"), rate(0).alias("fpr"), rate(1).alias("recall"))
+
+
+def background_fpr(df: DataFrame, frame: str, pred: Column, n: int) -> DataFrame:
+    """(fpr, n): the share of the first n frames of each sample, where nobody is, that are predicted positive."""
+    return df.where(F.col(frame) < n).agg(F.avg(pred.cast("double")).alias("fpr"), F.count("*").alias("n"))
+
+
+def dataset_summary(df: DataFrame, by: list[str], cls: str, label: str) -> DataFrame:
+    """(by, n, classes, positive_rate, unlabeled): rows, distinct classes, the share of label 1, rows without a label."""
+    return df.groupBy(*by).agg(F.count("*").alias("n"), F.countDistinct(cls).alias("classes"), F.avg(F.coalesce((F.col(label) == 1).cast("double"), F.lit(0.0))).alias("positive_rate"), F.count_if(F.col(label).isNull()).alias("unlabeled"))
+
+
+def labels_missing_from_train(df: DataFrame, label: str, split: str, train: str = "train") -> DataFrame:
+    """(label): labels of other splits that the training split lacks."""
+    return df.where(F.col(split) != train).select(label).subtract(df.where(F.col(split) == train).select(label))
 
 
 def top_classes(df: DataFrame, sample: str, label: str, p: str, k: int = 3) -> DataFrame:

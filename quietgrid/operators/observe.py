@@ -126,10 +126,20 @@ def motion_features(df: DataFrame, key: str, order: list[str], value: str) -> Da
     return df.withColumn("_d", F.abs(F.col(value) - F.lag(value).over(w))).groupBy(key).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"), F.coalesce(F.avg("_d"), F.lit(0.0)).alias("step"))
 
 
-def region_union(boxes: DataFrame, key: list[str], pad: int, width: int, height: int) -> DataFrame:
-    """(key, x1, y1, x2, y2): the smallest box around all boxes of a key, padded and clamped to the frame."""
+def region_union(boxes: DataFrame, key: list[str], pad: int, width: int, height: int, label: str | None = None, frames: DataFrame | None = None) -> DataFrame:
+    """(key, x1, y1, x2, y2): the smallest box around the boxes of a key, of one label if it is named, padded and clamped to the frame.
+
+    With ``frames`` (key, region STRUCT) each of its keys has a row: its own region where it has one, the whole
+    frame where no box is left.
+    """
     low = lambda n: F.greatest(F.lit(0), F.min(n) - pad).alias(n)
-    return boxes.groupBy(*key).agg(low("x1"), low("y1"), F.least(F.lit(width), F.max("x2") + pad).alias("x2"), F.least(F.lit(height), F.max("y2") + pad).alias("y2"))
+    boxes = boxes if label is None else boxes.where(F.col("label") == label)
+    found = boxes.groupBy(*key).agg(low("x1"), low("y1"), F.least(F.lit(width), F.max("x2") + pad).alias("x2"), F.least(F.lit(height), F.max("y2") + pad).alias("y2"))
+    if frames is None:
+        return found
+    whole = {"x1": 0, "y1": 0, "x2": width, "y2": height}
+    joined = frames.select(*key, "region").join(found.hint("merge"), key, "left")
+    return joined.select(*key, *[F.coalesce(F.col("region")[n], F.col(n), F.lit(v)).alias(n) for n, v in whole.items()])
 
 
 def best_pose(poses: DataFrame, key: list[str], pose: str, confidence: str) -> DataFrame:

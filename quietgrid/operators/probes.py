@@ -98,8 +98,13 @@ def combine_residuals(metadata: DataFrame, probes: DataFrame, key: list[str], po
 PROBES_BY_MODALITY = {"image": ("faces", "persons", "text", "scene"), "video": ("faces", "persons", "text", "scene"), "audio": ("speech", "speakers", "audio_presence"), "timeseries": ("presence", "trajectory", "routine")}
 
 
-def route_artifacts(artifacts: DataFrame, enabled: tuple[str, ...] | None = None) -> DataFrame:
-    """One row for each artifact and probe of its modality; other modalities have one row, unavailable."""
+def route_artifacts(artifacts: DataFrame, enabled: tuple[str, ...] | None = None, max_frames: int | None = None) -> DataFrame:
+    """One row for each artifact and probe of its modality; other modalities have one row, unavailable.
+
+    With ``max_frames``, frames (INT) says how many frames of an artifact its probes read, that many at the most.
+    """
+    if max_frames is not None:
+        artifacts = artifacts.withColumn("frames", F.least("frames", F.lit(max_frames)))
     probes = F.lit(None)
     for modality, names in PROBES_BY_MODALITY.items():
         on = [n for n in names if enabled is None or n in enabled]

@@ -42,7 +42,7 @@ def residual_of(document: Column, attribute: str) -> Column:
 def walk_levels(df: DataFrame, key: str, document: str) -> DataFrame:
     """(key, attr, value) of the residual map of a document, one row for each entry."""
     text = F.coalesce(F.get_json_object(document, "$.residual_disclosure"), F.get_json_object(document, "$.residual"))
-    return df.select(key, F.explode_outer(F.from_json(text, "map<string,string>")).alias("attr", "value"))
+    return df.select(key, F.explode(F.from_json(text, "map<string,string>")).alias("attr", "value"))
 
 
 def timing_key(scenario: Column, method: Column, label: Column, replicate: Column, warmup: Column, trace: Column) -> Column:

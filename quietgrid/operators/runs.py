@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sizes import sized
+
 FAILED_DECISIONS = ("error", "no_candidates", "no_compromise", "invalid_or_no_pipeline", "llm_error")
 SHARED_DECISIONS = ("select_pipeline", "selected", "accept", "accepted")
 
@@ -92,6 +94,31 @@ def residual_exposure(long: DataFrame, by: list[str]) -> DataFrame:
     return long.groupBy(*by, "attr").agg(F.avg("level").alias("mean_level"), F.avg((F.col("level") >= 2).cast("double")).alias("share_medium"), F.avg((F.col("level") >= 3).cast("double")).alias("share_high"))
 
 
+def supports_semantic(df: DataFrame, allowed: DataFrame, task: str, output: str) -> DataFrame:
+    """Rows whose task can be scored from their output's type or schema; ``allowed`` lists (task, output)."""
+    return df.join(sized(allowed.select(task, output).distinct()), [task, output], "left_semi")
+
+
+def output_counts(df: DataFrame, by: list[str]) -> DataFrame:
+    """(by, n): how often each output type and schema occurs."""
+    return df.groupBy(*by).agg(F.count("*").alias("n"))
+
+
+def operator_usage(df: DataFrame, operators: str) -> DataFrame:
+    """(operator, n): how often each operator of the rows' lists occurs."""
+    return df.select(F.explode(operators).alias("operator")).groupBy("operator").agg(F.count("*").alias("n"))
+
+
+def rejections(df: DataFrame, decision: str) -> DataFrame:
+    """The runs that ended without a selection."""
+    return df.where(F.col(decision) == "no_compromise")
+
+
+def timing_by_trace(df: DataFrame, by: list[str], ms: str) -> DataFrame:
+    """(by, n, mean) of the times of each trace and method."""
+    return df.groupBy(*by).agg(F.count("*").alias("n"), F.avg(ms).alias("mean"))
+
+
 def timing_summary(df: DataFrame, by: list[str], stages: list[str], warmup: str) -> DataFrame:
     """(by, stage, mean, median, p95, low, high) of stage times, warm-ups left out."""
     long = df.where(~F.col(warmup)).unpivot(by, stages, "stage", "ms")

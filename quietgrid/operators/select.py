@@ -10,7 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import risk
+from ..functions import caps, risk
+from .sizes import sized
 
 
 def first_per(df: DataFrame, key: list[str], order: list[Column], k: int = 1) -> DataFrame:
@@ -40,16 +41,28 @@ def selection_input(candidates: DataFrame, verdicts: DataFrame, probes: DataFram
     return candidates.join(verdicts, "candidate", "left").join(last, "candidate", "left").withColumn("residual", F.greatest(F.coalesce("probed", F.lit(0)), F.col("declared")))
 
 
-def pareto_front(df: DataFrame, request: str, key: str, attrs: list[str]) -> DataFrame:
+def pareto_front(df: DataFrame, request: str, key: str, attrs: list[str], block: int = 256) -> DataFrame:
     """Rows that no other row of their request beats: at most as high everywhere and lower somewhere.
 
-    Only distinct vectors of a request are compared.
+    Only distinct vectors of a request are compared.  They are dealt to blocks; a block's own front is found
+    first, and only fronts are compared across blocks, so a request of very many vectors is many tasks' work.
     """
     vectors = df.select(request, *attrs).distinct()
-    a, b = vectors.alias("a"), vectors.alias("b")
-    beats = reduce(lambda x, y: x & y, [F.col(f"b.{c}") <= F.col(f"a.{c}") for c in attrs]) & reduce(lambda x, y: x | y, [F.col(f"b.{c}") < F.col(f"a.{c}") for c in attrs])
-    front = a.join(b, (F.col(f"a.{request}") == F.col(f"b.{request}")) & beats, "left_anti")
-    return df.join(front, [request, *attrs], "left_semi")
+    sums = reduce(lambda x, y: x + y, [F.col(c) for c in attrs])
+    vector = F.struct(sums.alias("s"), F.array(*attrs).alias("v"))
+    # a vector can only be beaten by one of a smaller sum, so those before it in order are enough
+    beaten = lambda x, y: F.exists(x, lambda a: (a["s"] < y["s"]) & F.forall(F.zip_with(a["v"], y["v"], lambda p, q: p <= q), lambda ok: ok))
+    front = lambda x: F.aggregate(F.array_sort(x), F.slice(x, 1, 0), lambda acc, y: F.when(beaten(acc, y), acc).otherwise(F.array_append(acc, y)))
+    sizes = vectors.groupBy(request).agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("_cuts"))
+    dealt = vectors.join(sizes, request).withColumn("_cut", F.pmod(F.xxhash64(*attrs), F.col("_cuts")))
+    own = dealt.groupBy(request, "_cuts", "_cut").agg(front(F.collect_list(vector)).alias("f"))
+    one = own.where("_cuts = 1").select(request, F.explode("f").alias("y"))
+    a, b = own.where("_cuts > 1").alias("a"), own.where("_cuts > 1").alias("b")
+    pairs = a.join(b.hint("merge"), (F.col(f"a.{request}") == F.col(f"b.{request}")) & (F.col("a._cut") != F.col("b._cut")), "left")
+    left = pairs.select(F.col(f"a.{request}").alias(request), F.explode(F.filter("a.f", lambda y: ~F.coalesce(beaten(F.col("b.f"), y), F.lit(False)))).alias("y"), F.coalesce(F.col("a._cuts") - 1, F.lit(0)).alias("others"))
+    many = left.groupBy(request, "y").agg(F.count("*").alias("n"), F.first("others").alias("others")).where("n = others").select(request, "y")
+    best = one.unionByName(many).select(request, *[F.col("y.v")[i].alias(c) for i, c in enumerate(attrs)])
+    return df.join(best.hint("merge"), [request, *attrs], "left_semi")
 
 
 def ranking_order(method: str) -> list[Column]:
@@ -99,21 +112,35 @@ def quality_status(requirements: Column) -> Column:
     return F.when(F.exists(F.map_values(requirements), lambda v: v.isNotNull()), "requires_runtime_or_benchmark_validation").otherwise("no_requirement")
 
 
+# Terms that the last boundary can add, so that no operator need have made them.
+CONTRACT_ONLY = ("purpose_limited", "limited_retention", "authorized_personnel_only", "recipient_limited", "access_controlled")
+
+
 def match_accepted(states: DataFrame, accepted: DataFrame, request: str) -> DataFrame:
-    """The best accepted output of each state: type and schema equal (0), type (1), schema (2); required terms must be there; ties by more terms, priority, position."""
-    s, a = states.alias("s"), accepted.alias("a")
-    pairs = s.join(a, request)
-    by_type, by_schema = F.col("s_type") == F.col("a_type"), F.col("s_schema") == F.col("a_schema")
-    score = F.when(by_type & by_schema, 0).when(by_type, 1).when(by_schema, 2)
-    pairs = pairs.withColumn("score", score).where(F.col("score").isNotNull() & (F.size(F.array_except("required", "terms")) == 0))
-    return first_per(pairs, [request, "state"], [F.asc("score"), F.desc(F.size("required")), F.asc("priority"), F.asc("position")]).drop("place")
+    """The best accepted output of each state.
+
+    Scores: type and schema equal (0), type (1), schema (2), a type that the goal takes too (10).  The output's
+    properties must have the accepted scalars, the request's checkpoint must have one of the values that each
+    condition names, and the required terms, but for CONTRACT_ONLY, must be among the state's.  Ties: more required
+    terms, priority (999 if none), position.
+
+    ``states``: state, s_type, s_schema, terms, properties MAP, checkpoint MAP<STRING, ARRAY> (lower case).
+    ``accepted``: a_type, a_schema, required, wanted MAP, conditions MAP<STRING, ARRAY>, priority, position.
+    """
+    pairs = states.join(accepted.hint("merge"), request)
+    required = F.array_except("required", F.array(*map(F.lit, CONTRACT_ONLY)))
+    scalars = F.forall(F.map_entries(F.coalesce("wanted", F.create_map().cast("map<string,string>"))), lambda e: F.coalesce(F.col("properties")[e["key"]] == e["value"], F.lit(False)))
+    held = F.forall(F.map_entries(F.coalesce("conditions", F.create_map().cast("map<string,array<string>>"))), lambda e: F.coalesce(F.arrays_overlap(F.col("checkpoint")[e["key"]], e["value"]), F.lit(False)))
+    score = caps.goal_score(F.col("s_type"), F.col("s_schema"), F.col("a_type"), F.col("a_schema"))
+    pairs = pairs.withColumn("score", score).withColumn("n_terms", F.size(required)).where(F.col("score").isNotNull() & scalars & held & (F.size(F.array_except(required, F.col("terms"))) == 0))
+    return first_per(pairs, [request, "state"], [F.asc("score"), F.desc("n_terms"), F.asc(F.coalesce("priority", F.lit(999))), F.asc("position")]).drop("place")
 
 
 def match_accepted_policy(states: DataFrame, accepted: DataFrame, rejected: DataFrame, request: str) -> DataFrame:
     """As ``match_accepted`` without required terms, where an explicitly rejected type or schema voids all; type and schema, schema, then type."""
     by_type = states.join(rejected.where("r_type is not null").select(request, F.col("r_type").alias("s_type")), [request, "s_type"], "left_anti")
     allowed = by_type.join(rejected.where("r_schema is not null").select(request, F.col("r_schema").alias("s_schema")), [request, "s_schema"], "left_anti")
-    pairs = allowed.join(accepted, request)
+    pairs = allowed.join(accepted.hint("merge"), request)
     both = (F.col("s_type") == F.col("a_type")).cast("int") + 2 * (F.col("s_schema") == F.col("a_schema")).cast("int")
     return first_per(pairs.withColumn("fit", both).where("fit > 0"), [request, "state"], [F.desc("fit"), F.asc("priority"), F.asc("position")]).drop("place")
 
@@ -147,6 +174,7 @@ def allowed_sources(has: Column, allowed: Column, forbidden: Column) -> Column:
 
 def expand_paths(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     """(start, path): operator chains along edges (a, b) of up to ``depth`` operators, none twice."""
+    edges = sized(edges)
     level = starts.select(F.col("start"), F.array("start").alias("path"))
     out = level
     for _ in range(depth - 1):
@@ -163,7 +191,7 @@ def overlay_context(requests: DataFrame, scenarios: DataFrame) -> DataFrame:
 
 def run_matrix(scenarios: DataFrame, methods: DataFrame) -> DataFrame:
     """Every scenario with every method; methods are a short list of names."""
-    return scenarios.crossJoin(F.broadcast(methods))
+    return scenarios.crossJoin(sized(methods))
 
 
 def no_compromise(rejected: DataFrame, request: str, k: int = 10) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import same_answer
-from .order import running_sum
+from .order import running_sum, seeded_place
 
 
 def completed_sessions(df: DataFrame, rule: str) -> DataFrame:
@@ -42,30 +42,47 @@ def lookup_context(df: DataFrame, contexts: DataFrame, keys: list[str], value: s
     """Rows with the context value found under the first of several ids."""
     long = contexts.select(F.explode(F.array(*[F.struct(F.lit(i).alias("o"), F.col(k).cast("string").alias("id")) for i, k in enumerate(keys)])).alias("x"), value).select("x.id", "x.o", value)
     first = long.where("id is not null").groupBy("id").agg(F.min_by(value, F.struct("o", value)).alias(value))
-    return df.withColumn("id", F.col("id").cast("string")).join(first, "id", "left")
+    return df.withColumn("id", F.col("id").cast("string")).join(first.hint("merge"), "id", "left")
 
 
 def rating_summary(df: DataFrame, groupings: list[list[str]], rating: str, participant: str, item: str) -> DataFrame:
-    """(keys, rows, participants, items, mean, median, sd, share_high) of several groupings in one pass."""
+    """(keys, level, rows, participants, items, mean, median, sd, share_high) of several groupings.
+
+    ``level`` is the grouping id of the keys, which tells a key that is null from one that is rolled up.
+    Ratings are counted by keys and value, and participants and items taken once for their keys, before any
+    grouping, so the groupings work on those small tables.
+    """
     keys = list(dict.fromkeys(k for g in groupings for k in g))
-    g = df.groupingSets([[F.col(k) for k in x] for x in groupings], *keys)
-    return g.agg(F.count("*").alias("rows"), F.countDistinct(participant).alias("participants"), F.countDistinct(item).alias("items"), F.avg(rating).alias("mean"), F.median(rating).alias("median"), F.stddev_samp(rating).alias("sd"), F.avg((F.col(rating) >= 4).cast("double")).alias("share_high"))
+    sets = [[F.col(k) for k in x] for x in groupings]
+    level = F.grouping_id(*keys).cast("int").alias("level")
+    x = F.col(rating).cast("double")
+    counts = df.groupBy(*keys, rating).agg(F.count("*").alias("n"))
+    n, total, squares = F.sum(F.when(x.isNotNull(), F.col("n"))), F.sum(x * F.col("n")), F.sum(x * x * F.col("n"))
+    spread = F.when(n > 1, F.sqrt(F.greatest((squares - total * total / n) / (n - 1), F.lit(0.0))))
+    high = F.sum(F.when(x >= 4, F.col("n")).otherwise(F.when(x.isNotNull(), 0))) / n
+    out = counts.groupingSets(sets, *keys).agg(level, F.sum("n").alias("rows"), (total / n).alias("mean"), F.percentile(rating, F.lit(0.5), F.col("n")).alias("median"), spread.alias("sd"), high.alias("share_high"))
+    for column, name in ((participant, "participants"), (item, "items")):
+        once = df.select(*keys, column).distinct().groupingSets(sets, *keys).agg(level, F.countDistinct(column).alias(name))
+        same = [out["level"] == once["level"], *[out[k].eqNullSafe(once[k]) for k in keys]]
+        out = out.join(once.hint("merge"), same).select(*[out[c] for c in out.columns], once[name])
+    return out.select(*keys, "level", "rows", "participants", "items", "mean", "median", "sd", "share_high")
 
 
 def cluster_bootstrap(df: DataFrame, cluster: str, value: str, iterations: int = 1000, seed: int = 13) -> DataFrame:
     """(mean, low, high): the mean of a value and its 2.5 and 97.5 percentiles over resamples of whole clusters.
 
-    Clusters are numbered; each draw of an iteration names one by a seeded hash, so a draw is a join on the
-    number and the resamples are sums by iteration.
+    Clusters are numbered; each draw of an iteration names one by a seeded digest, so a draw is a join on the
+    number and the resamples are sums by iteration.  Draws are dealt to tasks as a range.
     """
     sums = df.groupBy(cluster).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
-    numbered = sums.withColumn("i", F.row_number().over(Window.orderBy(cluster)) - 1)
-    size = sums.agg(F.count("*").alias("k"), (F.sum("s") / F.sum("n")).alias("mean"))
-    draws = size.select(F.explode(F.sequence(F.lit(1), F.lit(iterations))).alias("it"), "k").select("it", "k", F.explode(F.sequence(F.lit(1), F.col("k"))).alias("d"))
-    draws = draws.select("it", F.pmod(F.xxhash64(F.lit(seed), "it", "d"), F.col("k")).cast("int").alias("i"))
-    means = draws.groupBy("it", "i").count().join(numbered.hint("shuffle_hash"), "i").groupBy("it").agg((F.sum(F.col("s") * F.col("count")) / F.sum(F.col("n") * F.col("count"))).alias("m"))
-    q = means.agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
-    return size.select("mean").crossJoin(q)  # two single rows
+    numbered = seeded_place(sums, cluster, seed, "i")
+    k, mean = sums.agg(F.count("*"), F.sum("s") / F.sum("n")).first()
+    draws = df.sparkSession.range(iterations * k).select((F.floor(F.col("id") / max(1, k)) + 1).alias("it"), F.pmod("id", F.lit(max(1, k))).alias("d"))
+    digest = F.md5(F.concat_ws("|", F.lit(seed), "it", "d").cast("binary"))
+    draws = draws.select("it", F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.lit(max(1, k))).alias("i"))
+    drawn = draws.groupBy("it", "i").count().join(numbered.select("i", "s", "n").hint("shuffle_hash"), "i")
+    means = drawn.groupBy("it").agg((F.sum(F.col("s") * F.col("count")) / F.sum(F.col("n") * F.col("count"))).alias("m"))
+    return means.agg(F.lit(mean).cast("double").alias("mean"), F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
 
 
 def session_qc(sessions: DataFrame, responses: DataFrame, key: str) -> DataFrame:
@@ -87,6 +104,12 @@ def study_overview(sessions: DataFrame, responses: DataFrame, participant: str,
     return sessions.agg(F.count("*").alias("sessions"), F.countDistinct(participant).alias("participants")).crossJoin(r)  # two single rows
 
 
+def participant_counts(sessions: DataFrame, participant: str, completed: str, elapsed: str) -> DataFrame:
+    """(participant, sessions, completed, mean_ms): sessions of each participant, and the mean time of the completed ones."""
+    done = F.col(completed).isNotNull()
+    return sessions.groupBy(participant).agg(F.count("*").alias("sessions"), F.count(completed).alias("completed"), F.avg(F.when(done, F.col(elapsed))).alias("mean_ms"))
+
+
 def comments_by(df: DataFrame, key: str, text: str, order: list[str]) -> DataFrame:
     """(key, comments): the free texts of a key that are not blank, in order."""
     return df.where(F.trim(F.coalesce(text, F.lit(""))) != "").groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(*order, text))), lambda x: x[text]).alias("comments"))
@@ -110,18 +133,23 @@ def score_checks(df: DataFrame, expected: str, answer: str) -> DataFrame:
 
 
 def assign_split(df: DataFrame, key: str, fractions: dict[str, float], seed: int, stratum: str | None = None) -> DataFrame:
-    """(key, split): groups in seeded order take the splits' shares, in each stratum; the first group is in the first split."""
-    groups = df.groupBy(key).agg(F.min(stratum).alias("_s") if stratum else F.lit(0).alias("_s"))
-    w = Window.partitionBy("_s")
-    groups = groups.withColumn("_p", (F.row_number().over(w.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key)) - 1) / F.count("*").over(w))
-    upto, split = 0.0, F.lit(list(fractions)[-1])
+    """(key, split): groups in seeded order take the splits' shares, in each stratum.
+
+    The first group is in the first split and, of two groups or more, the last is in the last split.
+    """
+    groups = df.groupBy(key).agg(F.coalesce(F.min(stratum).cast("string"), F.lit("")).alias("_s") if stratum else F.lit(0).alias("_s"))
+    sizes = groups.groupBy("_s").agg(F.count("*").alias("_size"))  # one row a stratum
+    placed = seeded_place(groups, key, seed, "_place", ["_s"]).join(sizes.hint("merge"), "_s")
+    names, upto = list(fractions), 0.0
+    split = F.lit(names[-1])
     edges = []
     for name, share in list(fractions.items())[:-1]:
         upto += share
         edges.append((upto, name))
     for edge, name in reversed(edges):
-        split = F.when(F.col("_p") < edge, name).otherwise(split)
-    return groups.select(key, split.alias("split"))
+        split = F.when(F.col("_place") / F.col("_size") < edge, name).otherwise(split)
+    last = (F.col("_size") > 1) & (F.col("_place") == F.col("_size") - 1)
+    return placed.select(key, F.when(last, names[-1]).otherwise(split).alias("split"))
 
 
 def _use_level(levels: DataFrame, most: int, want: int, low: int, high: int) -> int:

@@ -44,10 +44,10 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("F19_norm_label", r"""
-SELECT conv_id, turn, trim(regexp_replace(lower(trim(substr(text, 1, 40))), '[^a-z0-9_.]+', '_', 'g'), '_') AS label,
+SELECT conv_id, turn, trim(regexp_replace(lower(trim(text)), '[^a-z0-9_.]+', '_', 'g'), '_') AS label,
  CASE WHEN contains(lower(trim(role)), 'assist') OR contains(lower(trim(role)), 'sys') THEN 1 ELSE 0 END AS positive FROM conversations""")
 def _(t: Tables) -> DataFrame:
-    return t.conversations.select("conv_id", "turn", text.norm_label(F.substring("text", 1, 40)).alias("label"), text.label_binary(c("role"), ("assist", "sys")).alias("positive"))
+    return t.conversations.select("conv_id", "turn", text.norm_label(c("text")).alias("label"), text.label_binary(c("role"), ("assist", "sys")).alias("positive"))
 
 
 @query("F21_fingerprint", "SELECT o_orderkey, substr(sha1(o_orderstatus || '|' || o_orderpriority || '|' || o_custkey), 1, 12) AS fingerprint FROM orders")

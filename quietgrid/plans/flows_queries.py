@@ -130,7 +130,7 @@ def _(t: Tables) -> DataFrame:
 @query("F33_walk_levels", "SELECT p_partkey, unnest(['face','gait']) AS attr, unnest(['low','high']) AS value, 'low' AS face FROM part WHERE p_partkey % 8 = 7")
 def _(t: Tables) -> DataFrame:
     doc = F.element_at(F.array(*map(F.lit, DOCS)), (1 + c("p_partkey") % 8).cast("int"))
-    df = t.part.where("p_partkey % 8 = 7").select("p_partkey", doc.alias("doc"))
+    df = t.part.select("p_partkey", doc.alias("doc"))
     return results.walk_levels(df, "p_partkey", "doc").join(df.select("p_partkey", results.residual_of(c("doc"), "face").alias("face")), "p_partkey")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import metrics
@@ -129,22 +129,23 @@ def _(t: Tables) -> DataFrame:
 @query("A22_frame_evaluation", JOINED + """SELECT count(*) AS matched, count(DISTINCT source) AS samples, round(avg(abs(n_chars % 5 - quality * 2)), 6) AS count_mae, round(avg(CASE WHEN n_chars % 5 = quality * 2 THEN 1.0::DOUBLE ELSE 0 END), 6) AS exact_match,
  round(avg(CASE WHEN toxic = 0 THEN guess END), 6) AS fpr, round(avg(CASE WHEN toxic = 1 THEN guess END), 6) AS recall FROM j""")
 def _(t: Tables) -> DataFrame:
-    off = c("n_chars") % 5 - c("quality") * 2
-    return joined(t).agg(F.count("*").alias("matched"), F.countDistinct("source").alias("samples"), F.round(F.avg(F.abs(off)), 6).alias("count_mae"), F.round(F.avg((off == 0).cast("double")), 6).alias("exact_match"), F.round(F.avg(F.when(c("toxic") == 0, c("guess"))), 6).alias("fpr"), F.round(F.avg(F.when(c("toxic") == 1, c("guess"))), 6).alias("recall"))
+    out = metrics.frame_evaluation(joined(t), "source", c("quality") * 2, c("n_chars") % 5, c("toxic"), c("guess"))
+    return rounded(out, "count_mae", "exact_match", "fpr", "recall")
 
 
-@query("A23_background_fpr", "SELECT round(avg(CASE WHEN value > 60 THEN 1.0::DOUBLE ELSE 0 END), 6) AS fpr, count(*) AS n FROM events WHERE event_type <> 'purchase' AND event_id % 100 < 25")
+@query("A23_background_fpr", "SELECT round(avg(CASE WHEN value > 60 THEN 1.0::DOUBLE ELSE 0 END), 6) AS fpr, count(*) AS n FROM (SELECT value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame FROM events) WHERE frame < 25")
 def _(t: Tables) -> DataFrame:
-    return t.events.where("event_type <> 'purchase' and event_id % 100 < 25").agg(F.round(F.avg((c("value") > 60).cast("double")), 6).alias("fpr"), F.count("*").alias("n"))
+    frame = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
+    return rounded(metrics.background_fpr(t.events.withColumn("frame", frame), "frame", c("value") > 60, 25), "fpr")
 
 
 @query("A29_dataset_summary", "SELECT source, count(*) AS n, count(DISTINCT lang) AS langs, round(avg(CASE WHEN quality = 1 THEN 1.0::DOUBLE ELSE 0 END), 6) AS quality_rate, count(*) FILTER (quality IS NULL) AS unlabeled FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source")
 def _(t: Tables) -> DataFrame:
     d = t.documents.select("doc_id", "source", "lang").join(t.labels, "doc_id", "left")
-    return d.groupBy("source").agg(F.count("*").alias("n"), F.countDistinct("lang").alias("langs"), F.round(F.avg(F.coalesce((c("quality") == 1).cast("double"), F.lit(0.0))), 6).alias("quality_rate"), F.count_if(c("quality").isNull()).alias("unlabeled"))
+    return rounded(metrics.dataset_summary(d, ["source"], "lang", "quality").withColumnsRenamed({"classes": "langs", "positive_rate": "quality_rate"}), "quality_rate")
 
 
-@query("U03_labels_missing_from_train", "SELECT DISTINCT p_type || p_size AS label FROM part WHERE p_partkey % 5 = 0 EXCEPT SELECT p_type || p_size FROM part WHERE p_partkey % 5 = 1")
+@query("U03_labels_missing_from_train", "SELECT DISTINCT p_type || p_size || p_brand AS label FROM part WHERE p_partkey % 5 = 0 EXCEPT SELECT p_type || p_size || p_brand FROM part WHERE p_partkey % 5 > 0")
 def _(t: Tables) -> DataFrame:
-    label = F.concat("p_type", "p_size").alias("label")
-    return t.part.where("p_partkey % 5 = 0").select(label).subtract(t.part.where("p_partkey % 5 = 1").select(label))
+    split = F.when(c("p_partkey") % 5 > 0, "train").otherwise("test")
+    return metrics.labels_missing_from_train(t.part.select(F.concat("p_type", "p_size", "p_brand").alias("label"), split.alias("split")), "label", "split")

@@ -112,17 +112,21 @@ def _(t: Tables) -> DataFrame:
     return observe.motion_features(t.events, "user_id", ["ts", "event_id"], "value").select("user_id", *[F.round(x, 6).alias(x) for x in ("mean", "sd", "step")])
 
 
-@query("A52_best_pose", "SELECT label, max(s) AS best FROM (SELECT label, list_sum(embedding[1:8])::DOUBLE AS s0, round(list_sum(list_transform(embedding[1:8], lambda x: x::DOUBLE)), 6) AS s FROM embeddings) GROUP BY label")
+@query("A52_best_pose", "SELECT label, round(max(s), 6) AS best FROM (SELECT label, list_sum(list_transform(embedding, lambda x: x::DOUBLE)) / len(embedding) AS s FROM embeddings) GROUP BY label")
 def _(t: Tables) -> DataFrame:
-    score = F.round(F.aggregate(F.slice("embedding", 1, 8), F.lit(0.0), lambda a, x: a + x.cast("double")), 6)
+    score = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double")) / F.size("embedding")
     best = observe.best_pose(t.embeddings.withColumn("s", score).withColumn("pose", F.struct("s", "vec_id")), ["label"], "pose", "s")
-    return best.select("label", c("pose.s").alias("best"))
+    return best.select("label", F.round("pose.s", 6).alias("best"))
 
 
-@query("A53_region_union", "SELECT l_orderkey, greatest(0, min(l_linenumber * 5) - 3)::INT AS x1, greatest(0, min(l_suppkey % 40) - 3)::INT AS y1, least(64, max(l_linenumber * 5 + 9) + 3)::INT AS x2, least(48, max(l_suppkey % 40 + 6) + 3)::INT AS y2 FROM lineitem GROUP BY l_orderkey")
+@query("A53_region_union", """WITH g AS (SELECT l_orderkey, count(*) AS n, min(l_linenumber * 5) AS a, min(l_suppkey % 40) AS b, max(l_linenumber * 5 + 9) AS c, max(l_suppkey % 40 + 6) AS d FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_orderkey)
+SELECT o_orderkey AS l_orderkey, (CASE WHEN o_custkey % 4 = 0 THEN 5 WHEN n IS NULL THEN 0 ELSE greatest(0, a - 3) END)::INT AS x1, (CASE WHEN o_custkey % 4 = 0 THEN 6 WHEN n IS NULL THEN 0 ELSE greatest(0, b - 3) END)::INT AS y1,
+ (CASE WHEN o_custkey % 4 = 0 THEN 7 WHEN n IS NULL THEN 64 ELSE least(64, c + 3) END)::INT AS x2, (CASE WHEN o_custkey % 4 = 0 THEN 8 WHEN n IS NULL THEN 48 ELSE least(48, d + 3) END)::INT AS y2 FROM orders LEFT JOIN g ON l_orderkey = o_orderkey""")
 def _(t: Tables) -> DataFrame:
-    b = t.lineitem.select("l_orderkey", (c("l_linenumber") * 5).alias("x1"), (c("l_suppkey") % 40).alias("y1"), (c("l_linenumber") * 5 + 9).alias("x2"), (c("l_suppkey") % 40 + 6).alias("y2"))
-    return observe.region_union(b, ["l_orderkey"], 3, 64, 48).select("l_orderkey", *[c(x).cast("int").alias(x) for x in ("x1", "y1", "x2", "y2")])
+    b = t.lineitem.select("l_orderkey", (c("l_linenumber") * 5).alias("x1"), (c("l_suppkey") % 40).alias("y1"), (c("l_linenumber") * 5 + 9).alias("x2"), (c("l_suppkey") % 40 + 6).alias("y2"), c("l_returnflag").alias("label"))
+    static = F.when(c("o_custkey") % 4 == 0, F.struct(*[F.lit(5 + i).alias(n) for i, n in enumerate(("x1", "y1", "x2", "y2"))]))
+    frames = t.orders.select(c("o_orderkey").alias("l_orderkey"), static.alias("region"))
+    return observe.region_union(b, ["l_orderkey"], 3, 64, 48, label="R", frames=frames).select("l_orderkey", *[c(x).cast("int").alias(x) for x in ("x1", "y1", "x2", "y2")])
 
 
 @query("A05_probe_presence", OBS + """SELECT user_id, CASE WHEN count(n) > 0 THEN 3 WHEN count(oc) > 0 THEN 2 ELSE 0 END AS aggregate_presence, CASE WHEN count(n) > 0 THEN CASE WHEN max(n) >= 2 THEN 3 ELSE 1 END ELSE 0 END AS co_presence,
@@ -200,9 +204,10 @@ def artifacts(t: Tables) -> DataFrame:
     return t.orders.select(c("o_orderkey").alias("id"), m.alias("modality"), F.when(c("o_custkey") % 3 > 0, F.concat(F.lit("p"), c("o_custkey") % 3)).alias("pipeline_id"))
 
 
-@query("P15_route_artifacts", ART + "SELECT id, unnest(CASE modality WHEN 'image' THEN ['faces','text'] WHEN 'audio' THEN ['speech'] ELSE [NULL] END) AS probe, CASE WHEN modality = 'smell' THEN 'unavailable' ELSE 'ok' END AS status FROM a")
+@query("P15_route_artifacts", ART + "SELECT id, unnest(CASE modality WHEN 'image' THEN ['faces','text'] WHEN 'audio' THEN ['speech'] ELSE [NULL] END) AS probe, CASE WHEN modality = 'smell' THEN 'unavailable' ELSE 'ok' END AS status, least(frames, 5)::INT AS frames FROM a JOIN (SELECT o_orderkey, o_custkey % 9 AS frames FROM orders) ON o_orderkey = id")
 def _(t: Tables) -> DataFrame:
-    return probes.route_artifacts(artifacts(t), ("faces", "text", "speech")).select("id", "probe", "status")
+    given = artifacts(t).join(t.orders.select(c("o_orderkey").alias("id"), (c("o_custkey") % 9).cast("int").alias("frames")), "id")
+    return probes.route_artifacts(given, ("faces", "text", "speech"), max_frames=5).select("id", "probe", "status", "frames")
 
 
 @query("P16_artifacts_for", ART + "SELECT id FROM a WHERE pipeline_id IS NULL OR pipeline_id = 'p1'")

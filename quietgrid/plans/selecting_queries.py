@@ -133,30 +133,40 @@ def _(t: Tables) -> DataFrame:
     return select.no_compromise(r, "request").select("request", "n", "primary", F.array_join("closest", ",").alias("closest"))
 
 
-STATES = "WITH s AS (SELECT l_orderkey AS request, l_linenumber * 100000 + l_partkey AS state, ['a','b','c'][1 + l_suppkey % 3] AS s_type, ['x','y'][1 + l_partkey % 2] AS s_schema, CASE WHEN l_tax > 0.03 THEN ['blur'] ELSE ['none'] END AS terms FROM lineitem), a AS (SELECT o_orderkey AS request, i AS position, ['a','b','c'][1 + (o_custkey + i) % 3] AS a_type, ['x','y'][1 + (o_custkey // 3 + i) % 2] AS a_schema, CASE WHEN i = 1 THEN ['blur'] ELSE []::VARCHAR[] END AS required, i % 2 AS priority FROM orders, range(0, 3) r(i))\n"
+STATES = """WITH s AS (SELECT l_orderkey AS request, l_linenumber * 100000 + l_partkey AS state, ['application/x-count','application/x-occupancy-count','video/x-redacted'][1 + l_suppkey % 3] AS s_type, ['x','y'][1 + l_partkey % 2] AS s_schema, CASE WHEN l_tax > 0.03 THEN ['blur'] ELSE ['none'] END AS terms, l_linenumber % 2 = 1 AS sync, l_tax > 0.05 AS audio FROM lineitem),
+a AS (SELECT o_orderkey AS request, o_custkey, i AS position, ['application/x-occupancy','video/x-raw','application/x-count'][1 + (o_custkey + i) % 3] AS a_type, ['x','y'][1 + (o_custkey // 3 + i) % 2] AS a_schema, i % 2 AS priority FROM orders, range(0, 3) r(i))
+"""
 
 
 def states(t: Tables) -> tuple[DataFrame, DataFrame]:
     pick = lambda xs, k: F.element_at(F.array(*map(F.lit, xs)), (1 + k % len(xs)).cast("int"))
-    s = t.lineitem.select(c("l_orderkey").alias("request"), (c("l_linenumber") * 100000 + c("l_partkey")).alias("state"), pick("abc", c("l_suppkey")).alias("s_type"), pick("xy", c("l_partkey")).alias("s_schema"), F.array(F.when(c("l_tax") > 0.03, "blur").otherwise("none")).alias("terms"))
+    some, none = F.array(F.lit("audio")), F.array().cast("array<string>")
+    s = t.lineitem.select(
+        c("l_orderkey").alias("request"), (c("l_linenumber") * 100000 + c("l_partkey")).alias("state"), pick(("application/x-count", "application/x-occupancy-count", "video/x-redacted"), c("l_suppkey")).alias("s_type"), pick("xy", c("l_partkey")).alias("s_schema"), F.array(F.when(c("l_tax") > 0.03, "blur").otherwise("none")).alias("terms"),
+        F.create_map(F.lit("sync"), (c("l_linenumber") % 2 == 1).cast("string")).alias("properties"), F.create_map(F.lit("modality"), F.when(c("l_tax") > 0.05, some).otherwise(none)).alias("checkpoint"),
+    )
     i = c("position")
     a = t.orders.select(c("o_orderkey").alias("request"), "o_custkey", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("position"))
-    a = a.select("request", "position", pick("abc", c("o_custkey") + i).alias("a_type"), pick("xy", F.floor(c("o_custkey") / 3) + i).alias("a_schema"), F.when(i == 1, F.array(F.lit("blur"))).otherwise(F.array().cast("array<string>")).alias("required"), (i % 2).alias("priority"))
+    wanted = F.when(i == 2, F.create_map(F.lit("sync"), F.lit("true")))
+    conditions = F.when((i == 1) & (c("o_custkey") % 2 == 0), F.create_map(F.lit("modality"), F.array(F.lit("audio"), F.lit("video"))))
+    a = a.select("request", "position", pick(("application/x-occupancy", "video/x-raw", "application/x-count"), c("o_custkey") + i).alias("a_type"), pick("xy", F.floor(c("o_custkey") / 3) + i).alias("a_schema"), F.when(i == 1, F.array(F.lit("blur"), F.lit("purpose_limited"))).otherwise(none).alias("required"), (i % 2).alias("priority"), wanted.alias("wanted"), conditions.alias("conditions"))
     return s, a
 
 
-@query("J02_match_accepted", STATES + """, p AS (SELECT s.*, a.position, a.priority, len(required) AS nr, CASE WHEN s_type = a_type AND s_schema = a_schema THEN 0 WHEN s_type = a_type THEN 1 WHEN s_schema = a_schema THEN 2 END AS score, required FROM s JOIN a USING (request))
-SELECT request, state, position::INT AS position, score FROM (SELECT DISTINCT request, state, position, score, nr, priority, s_type, s_schema FROM p WHERE score IS NOT NULL AND list_has_all(terms, required)) QUALIFY row_number() OVER (PARTITION BY request, state ORDER BY score, nr DESC, priority, position) = 1""")
+@query("J02_match_accepted", STATES + """,
+p AS (SELECT c.*, a.position, a.priority, CASE WHEN a.position = 1 THEN 1 ELSE 0 END AS nr, CASE WHEN t = a_type AND s_schema = a_schema THEN 0 WHEN t = a_type THEN 1 WHEN s_schema = a_schema THEN 2 WHEN a_type = 'application/x-occupancy' AND t = 'application/x-count' OR a_type = 'video/x-raw' AND t = 'video/x-redacted' THEN 10 END AS score
+ FROM (SELECT *, CASE s_type WHEN 'application/x-occupancy-count' THEN 'application/x-occupancy' ELSE s_type END AS t FROM s) c JOIN a USING (request) WHERE (a.position <> 2 OR sync) AND (a.position <> 1 OR o_custkey % 2 = 1 OR audio) AND (a.position <> 1 OR terms[1] = 'blur'))
+SELECT request, state, position::INT AS position, score FROM p WHERE score IS NOT NULL QUALIFY row_number() OVER (PARTITION BY request, state ORDER BY score, nr DESC, priority, position) = 1""")
 def _(t: Tables) -> DataFrame:
     s, a = states(t)
     return select.match_accepted(s, a, "request").select("request", "state", "position", "score")
 
 
-@query("J24_match_accepted_policy", STATES + """, r AS (SELECT o_orderkey AS request, CASE WHEN o_custkey % 2 = 0 THEN 'a' END AS r_type, CASE WHEN o_custkey % 5 = 0 THEN 'y' END AS r_schema FROM orders), g AS (SELECT s.* FROM s JOIN r USING (request) WHERE (r_type IS NULL OR r_type <> s_type) AND (r_schema IS NULL OR r_schema <> s_schema)),
+@query("J24_match_accepted_policy", STATES + """, r AS (SELECT o_orderkey AS request, CASE WHEN o_custkey % 2 = 0 THEN 'application/x-count' END AS r_type, CASE WHEN o_custkey % 5 = 0 THEN 'y' END AS r_schema FROM orders), g AS (SELECT s.* FROM s JOIN r USING (request) WHERE (r_type IS NULL OR r_type <> s_type) AND (r_schema IS NULL OR r_schema <> s_schema)),
 p AS (SELECT g.request, state, position, priority, (CASE WHEN s_type = a_type THEN 1 ELSE 0 END + CASE WHEN s_schema = a_schema THEN 2 ELSE 0 END) AS fit FROM g JOIN a USING (request)) SELECT request, state, fit, position::INT AS position FROM p WHERE fit > 0 QUALIFY row_number() OVER (PARTITION BY request, state ORDER BY fit DESC, priority, position) = 1""")
 def _(t: Tables) -> DataFrame:
     s, a = states(t)
-    r = t.orders.select(c("o_orderkey").alias("request"), F.when(c("o_custkey") % 2 == 0, "a").alias("r_type"), F.when(c("o_custkey") % 5 == 0, "y").alias("r_schema"))
+    r = t.orders.select(c("o_orderkey").alias("request"), F.when(c("o_custkey") % 2 == 0, "application/x-count").alias("r_type"), F.when(c("o_custkey") % 5 == 0, "y").alias("r_schema"))
     s = s.join(t.orders.select(c("o_orderkey").alias("request")), "request", "left_semi")
     return select.match_accepted_policy(s, a, r, "request").select("request", "state", "fit", "position")
 
@@ -166,12 +176,12 @@ _PAIRS = ", ".join(f"('{a}','{b}')" for a, b in caps.type_pairs())
 _CANON = "CASE {0} " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in caps.ALIASES.items()) + " ELSE {0} END"
 
 
-@query("J01_compatible_caps", f"""WITH u AS (SELECT s_suppkey AS up_id, {list(TYPES[:6])}[1 + s_suppkey % 6] AS t, 's' || s_nationkey AS sc FROM supplier), d AS (SELECT p_partkey AS down_id, {list(TYPES)}[1 + p_size % 8] AS t, 's' || p_partkey % 60 AS sc FROM part WHERE p_size < 25), p(a, b) AS (VALUES {_PAIRS}),
+@query("J01_compatible_caps", f"""WITH u AS (SELECT s_suppkey AS up_id, {list(TYPES[:6])}[1 + s_suppkey % 6] AS t, 's' || s_nationkey AS sc FROM supplier), d AS (SELECT p_partkey AS down_id, {list(TYPES)}[1 + p_size % 8] AS t, 's' || p_partkey % 60 AS sc FROM part), p(a, b) AS (VALUES {_PAIRS}),
 x AS (SELECT up_id, {_CANON.format('t')} AS t, sc FROM u), y AS (SELECT down_id, {_CANON.format('t')} AS t, sc FROM d) SELECT up_id, down_id FROM x, y WHERE y.t = '*' OR x.t = y.t OR x.sc = y.sc OR EXISTS (SELECT 1 FROM p WHERE a = x.t AND b = y.t)""")
 def _(t: Tables) -> DataFrame:
     pick = lambda n, k: F.element_at(F.array(*map(F.lit, TYPES[:n])), (1 + k % n).cast("int"))
     up = t.supplier.select(c("s_suppkey").alias("up_id"), pick(6, c("s_suppkey")).alias("up_type"), F.concat(F.lit("s"), "s_nationkey").alias("up_schema"))
-    down = t.part.where("p_size < 25").select(c("p_partkey").alias("down_id"), pick(8, c("p_size")).alias("down_type"), F.concat(F.lit("s"), c("p_partkey") % 60).alias("down_schema"))
+    down = t.part.select(c("p_partkey").alias("down_id"), pick(8, c("p_size")).alias("down_type"), F.concat(F.lit("s"), c("p_partkey") % 60).alias("down_schema"))
     return caps.compatible_caps(up, down)
 
 
@@ -181,18 +191,35 @@ def _(t: Tables) -> DataFrame:
     return df.select("p_partkey", caps.canon_type(c("t")).alias("canon"), caps.media_family(c("t")).alias("family"), caps.redacted_type(c("t")).alias("redacted"))
 
 
-@query("J18_expand_paths", """WITH e AS (SELECT DISTINCT l_suppkey % 7 AS a, l_partkey % 7 AS b FROM lineitem WHERE l_quantity > 49 AND l_suppkey % 7 <> l_partkey % 7 AND (l_suppkey + l_partkey) % 3 > 0), RECURSIVE_SEED AS (SELECT 1)
-SELECT * FROM (WITH RECURSIVE p(start, path) AS (SELECT DISTINCT a, [a] FROM e UNION ALL SELECT start, list_append(path, b) FROM p JOIN e ON path[-1] = a WHERE NOT list_contains(path, b) AND len(path) < 4) SELECT start, array_to_string(path, '>') AS path FROM p)""".replace(", RECURSIVE_SEED AS (SELECT 1)", ""))
+_OPS = f"""WITH RECURSIVE o AS (SELECT DISTINCT CASE p_size WHEN 3 THEN 'op.window' ELSE 'op' || p_size END AS op, {_CANON.format(f'{list(TYPES)}[1 + (p_size * 3) % 8]')} AS it, 's' || p_size % 7 AS isc, {_CANON.format(f'{list(TYPES[:6])}[1 + p_size % 6]')} AS ot, 's' || p_size % 5 AS osc FROM part), q(a, b) AS (VALUES {_PAIRS}),
+e AS (SELECT DISTINCT x.op AS a, y.op AS b FROM o x, o y WHERE x.op <> y.op AND (y.it = '*' OR x.ot = y.it OR x.osc = y.isc OR EXISTS (SELECT 1 FROM q WHERE q.a = x.ot AND q.b = y.it)) AND (y.op <> 'op.window' OR CASE WHEN x.ot LIKE 'video/%' OR x.ot LIKE 'image/%' THEN split_part(x.ot, '/', 1) = split_part(y.ot, '/', 1) ELSE y.ot = 'application/x-windowed-events' END))
+"""
+
+
+def operator_edges(t: Tables) -> DataFrame:
+    """Operators are the sizes of parts; their types follow from the size."""
+    size = c("p_size")
+    pick = lambda n, k: F.element_at(F.array(*map(F.lit, TYPES[:n])), (1 + k % n).cast("int"))
+    ops = t.part.select(F.when(size == 3, "op.window").otherwise(F.concat(F.lit("op"), size)).alias("op"), pick(8, size * 3).alias("in_type"), F.concat(F.lit("s"), size % 7).alias("in_schema"), pick(6, size).alias("out_type"), F.concat(F.lit("s"), size % 5).alias("out_schema"))
+    return caps.compatible_edges(ops.distinct())
+
+
+@query("J18_compatible_edges", _OPS + "SELECT a, b FROM e")
+def _(t: Tables) -> DataFrame:
+    return operator_edges(t)
+
+
+@query("J18_expand_paths", _OPS + ", p(start, path) AS (SELECT DISTINCT a, [a] FROM e UNION ALL SELECT start, list_append(path, b) FROM p JOIN e ON path[-1] = a WHERE NOT list_contains(path, b) AND len(path) < 3) SELECT start, array_to_string(path, '>') AS path FROM p")
 def _(t: Tables) -> DataFrame:
-    e = t.lineitem.where("l_quantity > 49 and l_suppkey % 7 <> l_partkey % 7 and (l_suppkey + l_partkey) % 3 > 0").select((c("l_suppkey") % 7).alias("a"), (c("l_partkey") % 7).alias("b")).distinct()
-    p = select.expand_paths(e, e.select(c("a").alias("start")).distinct(), 4)
-    return p.select("start", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
+    e = operator_edges(t).cache()  # a few rows for each operator, read at every level
+    p = select.expand_paths(e, e.select(c("a").alias("start")).distinct(), 3)
+    return p.select("start", F.array_join("path", ">").alias("path"))
 
 
-@query("J19_overlay_context", """WITH r AS (SELECT o_orderkey AS request, o_orderpriority AS task, o_orderstatus AS space, 'p' || o_custkey % 4 AS purpose FROM orders WHERE o_custkey % 10 = 0), s AS (SELECT n_nationkey AS scenario, ['1-URGENT','2-HIGH','3-MEDIUM','5-LOW'][1 + n_nationkey % 4] AS task, CASE WHEN n_regionkey > 2 THEN n_name END AS space FROM nation)
+@query("J19_overlay_context", """WITH r AS (SELECT o_orderkey AS request, o_orderpriority AS task, o_orderstatus AS space, 'p' || o_custkey % 4 AS purpose FROM orders), s AS (SELECT n_nationkey AS scenario, ['1-URGENT','2-HIGH','3-MEDIUM','5-LOW'][1 + n_nationkey % 4] AS task, CASE WHEN n_regionkey > 2 THEN n_name END AS space FROM nation)
 SELECT r.request || '__' || s.scenario AS request, task, coalesce(s.space, r.space) AS space, purpose, 'assumed' AS principle, CASE WHEN s.scenario % 2 = 0 THEN 'base,' || 'extra' ELSE 'base' END AS tags FROM r JOIN s USING (task)""")
 def _(t: Tables) -> DataFrame:
-    r = t.orders.where("o_custkey % 10 = 0").select(c("o_orderkey").alias("request"), c("o_orderpriority").alias("task"), c("o_orderstatus").alias("space"), F.concat(F.lit("p"), c("o_custkey") % 4).alias("purpose"), F.array(F.lit("base")).alias("tags"))
+    r = t.orders.select(c("o_orderkey").alias("request"), c("o_orderpriority").alias("task"), c("o_orderstatus").alias("space"), F.concat(F.lit("p"), c("o_custkey") % 4).alias("purpose"), F.array(F.lit("base")).alias("tags"))
     task = F.element_at(F.array(*map(F.lit, ("1-URGENT", "2-HIGH", "3-MEDIUM", "5-LOW"))), (1 + c("n_nationkey") % 4).cast("int"))
     s = t.nation.select(c("n_nationkey").alias("scenario"), task.alias("task"), F.when(c("n_regionkey") > 2, c("n_name")).alias("space"), F.lit(None).cast("string").alias("purpose"), F.lit(None).cast("string").alias("principle"), F.when(c("n_nationkey") % 2 == 0, F.array(F.lit("base"), F.lit("extra"))).otherwise(F.array(F.lit("base"))).alias("tags"))
     return select.overlay_context(r, s).withColumn("tags", F.array_join("tags", ","))

@@ -60,15 +60,17 @@ def _(t: Tables) -> DataFrame:
     return scans.union_survey({"one": o.where("state = 'F'").drop("late"), "two": o.where("state <> 'F'")}).select("session", "state", "late")
 
 
-@query("A31_rating_summary", RS + "SELECT method, variant, count(*) AS rows, count(DISTINCT session) AS participants, count(DISTINCT item) AS items, round(avg(rating), 6) AS mean, median(rating)::DOUBLE AS median, round(stddev_samp(rating), 6) AS sd, round(avg(CASE WHEN rating >= 4 THEN 1.0::DOUBLE ELSE 0 END), 6) AS share_high FROM r GROUP BY GROUPING SETS ((method), (variant), (method, variant))")
+@query("A31_rating_summary", RS + "SELECT method, variant, GROUPING(method, variant)::INT AS level, count(*) AS rows, count(DISTINCT session) AS participants, count(DISTINCT item) AS items, round(avg(rating), 6) AS mean, median(rating)::DOUBLE AS median, round(stddev_samp(rating), 6) AS sd, round(avg(CASE WHEN rating >= 4 THEN 1.0::DOUBLE ELSE 0 END), 6) AS share_high FROM r GROUP BY GROUPING SETS ((method), (variant), (method, variant))")
 def _(t: Tables) -> DataFrame:
     out = survey.rating_summary(responses(t), [["method"], ["variant"], ["method", "variant"]], "rating", "session", "item")
     return out.withColumns({x: F.round(x, 6) for x in ("mean", "sd", "share_high")})
 
 
-@query("A32_cluster_bootstrap")
+@query("A32_cluster_bootstrap", RS + """, c AS (SELECT l_suppkey, sum(rating) AS s, count(rating) AS n FROM r GROUP BY 1), b AS (SELECT *, row_number() OVER (ORDER BY md5('13|' || l_suppkey), l_suppkey) - 1 AS i FROM c), k AS (SELECT count(*) AS k FROM c), z AS (SELECT k, unnest(range(1, 201)) AS it FROM k), y AS (SELECT k, it, unnest(range(k)) AS d FROM z),
+d AS (SELECT it, ('0x' || substr(md5('13|' || it || '|' || d), 1, 8))::BIGINT % k AS i FROM y), m AS (SELECT it, sum(s) / sum(n)::DOUBLE AS m FROM d JOIN b USING (i) GROUP BY it) SELECT round((SELECT sum(s) / sum(n)::DOUBLE FROM c), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m""")
 def _(t: Tables) -> DataFrame:
-    return survey.cluster_bootstrap(responses(t), "l_suppkey", "rating", 200)
+    out = survey.cluster_bootstrap(responses(t), "l_suppkey", "rating", 200)
+    return out.withColumns({x: F.round(x, 6) for x in ("mean", "low", "high")})
 
 
 @query("A33_session_qc", RS + ", a AS (SELECT session, count(*) AS answered, count(correct) AS checks, count(*) FILTER (correct = 0) AS failed FROM r GROUP BY 1) SELECT session, assigned, coalesce(answered, 0) AS answered, coalesce(checks, 0) AS checks, coalesce(failed, 0) AS failed, round((checks - failed) / nullif(checks, 0)::DOUBLE, 6) AS accuracy, round(elapsed_ms / 60000.0::DOUBLE, 6) AS minutes FROM s LEFT JOIN a USING (session)")
@@ -78,7 +80,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("A34_participant_counts", RS + "SELECT participant, count(*) AS sessions, count(completed_at) AS completed, round(avg(CASE WHEN completed_at IS NOT NULL THEN elapsed_ms END), 4) AS mean_ms FROM s GROUP BY participant")
 def _(t: Tables) -> DataFrame:
-    return sessions(t).groupBy("participant").agg(F.count("*").alias("sessions"), F.count("completed_at").alias("completed"), F.round(F.avg(F.when(c("completed_at").isNotNull(), c("elapsed_ms"))), 4).alias("mean_ms"))
+    return survey.participant_counts(sessions(t), "participant", "completed_at", "elapsed_ms").withColumn("mean_ms", F.round("mean_ms", 4))
 
 
 @query("A35_item_summary", RS + "SELECT item, count(*) AS n, count(*) FILTER (rating = 1) AS n1, count(*) FILTER (rating = 2) AS n2, count(*) FILTER (rating = 3) AS n3, count(*) FILTER (rating = 4) AS n4, count(*) FILTER (rating = 5) AS n5, median(rating)::DOUBLE AS median FROM r GROUP BY item")
@@ -91,10 +93,10 @@ def _(t: Tables) -> DataFrame:
     return survey.study_overview(sessions(t), responses(t), "participant", "session").withColumn("check_accuracy", F.round("check_accuracy", 6))
 
 
-@query("A37_comments", "SELECT conv_id, count(*) AS n, string_agg(substr(text, 1, 5), '|' ORDER BY turn) AS comments FROM conversations WHERE trim(coalesce(text, '')) <> '' GROUP BY conv_id")
+@query("A37_comments", "SELECT conv_id, count(*) AS n, string_agg(text, '|' ORDER BY turn, text) AS comments FROM conversations WHERE trim(coalesce(text, '')) <> '' GROUP BY conv_id")
 def _(t: Tables) -> DataFrame:
     out = survey.comments_by(t.conversations, "conv_id", "text", ["turn"])
-    return out.select("conv_id", F.size("comments").cast("long").alias("n"), F.array_join(F.transform("comments", lambda x: F.substring(x, 1, 5)), "|").alias("comments"))
+    return out.select("conv_id", F.size("comments").cast("long").alias("n"), F.array_join("comments", "|").alias("comments"))
 
 
 @query("A48_build_items", "WITH f AS (SELECT l_orderkey, l_returnflag, l_linestatus, min((l_extendedprice, l_linestatus)) AS o FROM lineitem GROUP BY ALL) SELECT l_orderkey, l_returnflag, string_agg(l_linestatus, ',' ORDER BY o) AS methods FROM f GROUP BY ALL")
@@ -121,7 +123,7 @@ def _(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", survey.privacy_class(kind).alias("class"))
 
 
-@query("F36_assign_split")
+@query("F36_assign_split", "WITH g AS (SELECT c_custkey, row_number() OVER (PARTITION BY c_mktsegment ORDER BY md5('7|' || c_custkey), c_custkey) - 1 AS i, count(*) OVER (PARTITION BY c_mktsegment) AS n FROM customer) SELECT c_custkey, CASE WHEN n > 1 AND i = n - 1 THEN 'test' WHEN i / n < 0.7::DOUBLE THEN 'train' WHEN i / n < (0.7::DOUBLE + 0.1::DOUBLE) THEN 'valid' ELSE 'test' END AS split FROM g")
 def _(t: Tables) -> DataFrame:
     return survey.assign_split(t.customer, "c_custkey", {"train": 0.7, "valid": 0.1, "test": 0.2}, 7, "c_mktsegment")
 
