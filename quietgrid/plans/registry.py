@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-FAMILIES = ("risk", "columns", "observing", "frames", "metrics", "selecting", "runs", "surveys", "flows", "flagship")
+FAMILIES = ("risk", "columns", "observing", "frames", "metrics", "selecting", "runs", "surveys", "flows", "files", "flagship")
 
 
 class Tables:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import LETTERS, label_vector
+from ..operators.survey import assign_split
 
 
 def stem(path: Column) -> Column:
@@ -40,15 +41,19 @@ def build_audio_manifest(chunks: DataFrame, metadata: DataFrame, files: DataFram
     return out.select("*", *[F.col("_v")[k].alias(f"label_{x}") for k, x in enumerate(LETTERS)]).drop("_v")
 
 
-def build_adl_manifest(files: DataFrame) -> DataFrame:
-    """One row for each participant/activity/session folder: images, label files, and whether audio and video are there."""
+SPLITS = {"train": 0.8, "val": 0.1, "test": 0.1}
+
+
+def build_adl_manifest(files: DataFrame, fractions: dict[str, float] | None = None, seed: int = 13) -> DataFrame:
+    """One row for each participant/activity/session folder: images, label files, whether audio and video are there, and the participant's split."""
     suffix = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     g = files.groupBy(parent(F.col("path"), 3).alias("participant"), parent(F.col("path"), 2).alias("activity"), parent(F.col("path"), 1).alias("session"))
-    return g.agg(F.count_if(suffix.isin("jpg", "jpeg", "png")).alias("n_images"), F.count_if(suffix == "txt").alias("n_label_files"), F.max(suffix == "wav").alias("has_audio"), F.max(suffix.isin("mp4", "avi")).alias("has_video")).withColumn("sample_id", F.concat_ws("_", "participant", "activity", "session"))
+    out = g.agg(F.count_if(suffix.isin("jpg", "jpeg", "png")).alias("n_images"), F.count_if(suffix == "txt").alias("n_label_files"), F.max(suffix == "wav").alias("has_audio"), F.max(suffix.isin("mp4", "avi")).alias("has_video")).withColumn("sample_id", F.concat_ws("_", "participant", "activity", "session"))
+    return out.join(assign_split(out, "participant", fractions or SPLITS, seed).hint("merge"), "participant")
 
 
 def repair_manifest(df: DataFrame, listing: DataFrame) -> DataFrame:
     """Rows whose ``frame_dir`` is the candidate folder (array ``dirs``) with the most images; null and 0 if none has any."""
-    each = df.select("sample_id", F.explode("dirs").alias("dir")).join(listing, "dir")
+    each = df.select("sample_id", F.explode("dirs").alias("dir")).join(listing.hint("merge"), "dir")
     best = each.groupBy("sample_id").agg(F.max_by("dir", F.struct("n_images", F.col("dir"))).alias("frame_dir"), F.max("n_images").alias("n_images"))
-    return df.drop("frame_dir", "n_images").join(best, "sample_id", "left").fillna(0, ["n_images"])
+    return df.drop("frame_dir", "n_images").join(best.hint("merge"), "sample_id", "left").fillna(0, ["n_images"])

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MEDIA = {"image": ("jpg", "jpeg", "png", "bmp"), "audio": ("wav", "flac", "mp3"), "video": ("mp4", "avi", "mov", "mkv")}
@@ -34,9 +37,16 @@ def read_items(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(ITEM).json(path)
 
 
+def payload_summary(data: Column) -> Column:
+    """What stands for a payload: the first 25 keys of an object in order, the length of a list, the length of any other text."""
+    keys = F.array_join(F.slice(F.array_sort(F.json_object_keys(data)), 1, 25), ",")
+    other = F.format_string("string[%d]", F.length(F.coalesce(data, F.lit(""))))
+    return F.coalesce(F.when(data.startswith("{"), F.concat(F.lit("dict["), keys, F.lit("]"))), F.when(data.startswith("["), F.format_string("list[%d]", F.json_array_length(data))), other)
+
+
 def write_items(df: DataFrame, path: str, include_payload: bool = False) -> None:
-    """Items as JSON lines; without the payload its length stands in its place."""
-    out = df if include_payload else df.withColumn("data", F.format_string("string[%d]", F.length(F.coalesce("data", F.lit("")))))
+    """Items as JSON lines; without the payload its summary stands in its place."""
+    out = df if include_payload else df.withColumn("data", payload_summary(F.col("data")))
     out.write.json(path)
 
 
@@ -57,11 +67,43 @@ def read_frame_xml(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.regexp_replace("file_name", r"\.xml$", "").alias("sample"), F.col("_number").alias("frame"), F.transform("person", lambda p: p["_id"]).alias("persons"), F.greatest(n, F.lit(0)).alias("count"), (n > 0).cast("int").alias("present"))
 
 
+# Labels that mean a person, and the attributes and elements of the three dialects.
+PERSONS = ("person", "pedestrian", "human", "visitor")
+FRAME_KEYS = ("number", "num", "frame", "id", "index", "name")
+OBJECTS = ("object", "person", "box", "bndbox", "bbox")
+
+
+def read_presence_xml(spark: SparkSession, path: str) -> DataFrame:
+    """(sample, frame, present) of annotations in any of three dialects; the file's name is the sample.
+
+    Tracks of a person with boxes by frame (``outside`` boxes do not count), images with boxes or outlines, and
+    frames with objects of any name.  A frame is present if one of them says so; a file is read as one text.
+    """
+    lower = "translate(%s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    person = "contains('||" + "|".join(PERSONS) + "|', concat('|', normalize-space(" + lower % "@label" + "), '|'))"
+    inside = "not(contains('|1|true|yes|', concat('|', " + lower % "@outside" + ", '|')) and string-length(@outside) > 0)"
+    held = {"//track/box/@frame": 0, f"//track[{person}]/box[{inside}]/@frame": 1, f"//image[.//*[self::box or self::polygon or self::points or self::object][{person} and {inside}]]/@id": 1}
+    some = ".//*[" + " or ".join(f"self::{x}" for x in OBJECTS) + "]"
+    for i, k in enumerate(FRAME_KEYS):  # the first of the names that a frame has
+        own = " and ".join(["(self::frame or self::img or self::image)", *(f"not(@{x})" for x in FRAME_KEYS[:i])])
+        held |= {f"//*[{own}]/@{k}": 0, f"//*[{own}][{some}]/@{k}": 1}
+    docs = spark.read.text(path, wholetext=True).select("_metadata.file_name", "value")
+
+    def marked(path: str, present: int) -> Column:
+        return F.transform(F.xpath("value", F.lit(path)), lambda n: F.struct(n.try_cast("double").cast("long").alias("frame"), F.lit(present).alias("present")))
+
+    found = F.concat(*[marked(x, v) for x, v in held.items()])
+    rows = docs.select(F.regexp_replace("file_name", r"\.xml$", "").alias("sample"), F.explode(found).alias("f")).select("sample", "f.*")
+    return rows.where("frame is not null").groupBy("sample", "frame").agg(F.max("present").alias("present"))
+
+
 def read_fall_annotations(spark: SparkSession, path: str) -> DataFrame:
-    """(path, fall_start, fall_end, label, rows): the first two lines that are not empty are start and end; bad or non-positive ones mean nonfall with zeros.  An empty file gives no row."""
+    """(path, fall_start, fall_end, label, rows): the numbers that the first two lines which are not empty begin with, up to a comma and
+    cut to whole ones, are start and end; bad or non-positive ones, or fewer than two lines, mean nonfall with zeros.
+    A file without any byte gives no row."""
     lines = F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "")
     df = spark.read.text(path, wholetext=True).select("_metadata.file_path", lines.alias("l"))
-    a, b = (F.try_element_at("l", F.lit(k)).try_cast("int") for k in (1, 2))
+    a, b = (F.trim(F.split_part(F.try_element_at("l", F.lit(k)), F.lit(","), F.lit(1))).try_cast("double").cast("int") for k in (1, 2))
     fall = F.coalesce((a > 0) & (b >= a), F.lit(False))
     return df.select(F.col("file_path").alias("path"), F.when(fall, a).otherwise(0).alias("fall_start"), F.when(fall, b).otherwise(0).alias("fall_end"), F.when(fall, "fall").otherwise("nonfall").alias("label"), F.greatest(F.size("l") - 2, F.lit(0)).alias("rows"))
 
@@ -75,10 +117,12 @@ def read_box_labels(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_chunk_metadata(spark: SparkSession, path: str) -> DataFrame:
-    """(path, meta): ``key,value`` lines as a map; values keep their commas."""
-    kv = F.split("value", ",", 2)
-    df = spark.read.text(path).where("value like '%,%'").select("_metadata.file_path", F.struct(F.trim(kv[0]).alias("key"), F.trim(kv[1]).alias("value")).alias("e"))
-    return df.groupBy(F.col("file_path").alias("path")).agg(F.map_from_entries(F.array_distinct(F.collect_list("e"))).alias("meta"))
+    """(path, meta): ``key,value`` lines as a map; values keep their commas, and of a repeated key the last line holds."""
+    lines = F.filter(F.split("value", r"\r?\n"), lambda x: x.contains(","))
+    pairs = F.transform(lines, lambda x: F.struct(F.trim(F.split(x, ",", 2)[0]).alias("key"), F.trim(F.split(x, ",", 2)[1]).alias("value")))
+    df = spark.read.text(path, wholetext=True).select("_metadata.file_path", pairs.alias("e"))
+    last = F.filter("e", lambda x, i: ~F.exists(F.slice(F.col("e"), i + 2, F.size("e")), lambda y: y["key"] == x["key"]))
+    return df.select(F.col("file_path").alias("path"), F.map_from_entries(last).alias("meta"))
 
 
 RUN_ROW = "decision string, task string, final_output_type string, final_output_schema string, method_kind string"
@@ -107,8 +151,67 @@ def union_survey(stores: dict[str, DataFrame], session: str = "session") -> Data
     return out
 
 
+BACKFILLED = ("participant_id", "prolific_pid", "prolific_study_id", "prolific_session_id")
+
+
+def read_survey(spark: SparkSession, folders: list[str], fmt: str = "json") -> tuple[DataFrame, DataFrame]:
+    """(sessions, responses) of several stores, each a folder with ``sessions`` and ``responses``.
+
+    Session ids carry the store's name; what a response lacks of BACKFILLED comes from its session; a store
+    without sessions has one for each id of its responses; a store without responses has none.
+    """
+    sessions, responses = {}, {}
+    for i, folder in enumerate(folders):
+        name = re.sub(r"[^A-Za-z0-9_]+", "_", folder.rstrip("/").rsplit("/", 1)[-1]) or f"db{i}"
+        s, r = (_read_if_there(spark, f"{folder}/{x}", fmt) for x in ("sessions", "responses"))
+        if s is None and r is not None:
+            s = r.select("session_id").distinct().withColumn("participant_id", F.col("session_id").cast("string"))
+        if r is not None:
+            r = backfill_sessions(r, s)
+            responses[name] = r
+        if s is not None:
+            sessions[name] = s
+    return union_survey(sessions, "session_id"), union_survey(responses, "session_id")
+
+
+def backfill_sessions(responses: DataFrame, sessions: DataFrame, key: str = "session_id", fields: tuple[str, ...] = BACKFILLED) -> DataFrame:
+    """Responses whose empty fields are filled from their session."""
+    have = [f for f in fields if f in sessions.columns]
+    s = sessions.groupBy(key).agg(*[F.first(F.col(f).cast("string"), ignorenulls=True).alias(f"_{f}") for f in have]) if have else None
+    if s is None:
+        return responses
+    own = lambda f: F.nullif(F.col(f).cast("string"), F.lit("")) if f in responses.columns else F.lit(None).cast("string")
+    return responses.join(s, key, "left").withColumns({f: F.coalesce(own(f), F.col(f"_{f}")) for f in have}).drop(*[f"_{f}" for f in have])
+
+
+def _read_if_there(spark: SparkSession, path: str, fmt: str) -> DataFrame | None:
+    try:
+        return spark.read.format(fmt).load(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
+CAP = "struct<media_type:string,semantic_type:string,content_type:string,schema:string>"
+CONTRACT = f"id string, label string, category string, operator_kind string, input_caps array<{CAP}>, output_caps array<{CAP}>, utility_capabilities array<string>, composition_notes string"
+
+
+def read_contracts(spark: SparkSession, path: str) -> DataFrame:
+    """One row for each operator of a catalog {operators: [..]}, with its caps as ``type:schema`` texts; a missing file gives no row."""
+    text = lambda name: F.transform(F.filter(name, lambda c: F.coalesce(c["media_type"], c["semantic_type"], c["content_type"], c["schema"]).isNotNull()), lambda c: F.concat(F.coalesce(c["media_type"], c["semantic_type"], c["content_type"], F.lit("")), F.lit(":"), F.coalesce(c["schema"], F.lit(""))))
+    docs = _read_if_there(spark, path, "text")
+    if docs is None:
+        return spark.createDataFrame([], f"{CONTRACT}, inputs array<string>, outputs array<string>")
+    fields = CONTRACT.replace(" string", ":string").replace(" array", ":array").replace(", ", ",")
+    docs = spark.read.text(path, wholetext=True).select(F.from_json("value", f"operators array<struct<{fields}>>").alias("d"))
+    return docs.select(F.explode("d.operators").alias("o")).select("o.*").withColumns({"inputs": text("input_caps"), "outputs": text("output_caps")})
+
+
 def read_vocab(spark: SparkSession, path: str) -> DataFrame:
-    """(field, term) of a document {field: [terms]}."""
+    """(field, term) of a document {field: [terms]}; a missing file gives no row."""
+    if _read_if_there(spark, path, "text") is None:
+        return spark.createDataFrame([], "field string, term string")
     d = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,array<string>>").alias("d"))
     return d.select(F.explode("d").alias("field", "terms")).select("field", F.explode("terms").alias("term"))
 
@@ -121,10 +224,30 @@ def read_scenarios(spark: SparkSession, path: str) -> DataFrame:
     return v.select(one("scenario_id", "id", "flow_id").alias("scenario_id"), one("task", "task_id").alias("task"), one("space", "location").alias("space"), one("purpose", "purposes").alias("purpose"))
 
 
-def read_semantic_outputs(spark: SparkSession, path: str) -> DataFrame:
-    """(path, payload) of JSON artifacts: what stands under data, payload, value or result, else the whole."""
-    t = spark.read.text(path, wholetext=True).select("_metadata.file_path", "value")
-    return t.select(F.col("file_path").alias("path"), F.coalesce(*[F.get_json_object("value", f"$.{k}") for k in ("data", "payload", "value", "result")], F.col("value")).alias("payload"))
+def read_semantic_outputs(spark: SparkSession, path: str, manifest: DataFrame | None = None, files: tuple[str, ...] = ("preprocessed_json_path", "semantic_json_path"), folders: tuple[str, ...] = ("preprocessed_json_dir", "semantic_dir", "frame_dir")) -> DataFrame:
+    """(path, payload) of the JSON artifacts under a path: what stands as an object under data, payload, value or result, else the whole.
+
+    With a manifest its columns come too: a row has the artifacts that its file columns name and those whose
+    folder its folder columns name.  Files are found by one listing and joined to the rows by name.
+    """
+    plain = lambda c: F.regexp_replace(F.regexp_replace(c, "^file:/*", "/"), "/+$", "")
+    t = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path, wholetext=True).select(plain(F.col("_metadata.file_path")).alias("path"), "value")
+    inner = [F.get_json_object("value", f"$.{k}") for k in ("data", "payload", "value", "result")]
+    t = t.select("path", F.coalesce(*[F.when(x.startswith("{"), x) for x in inner], F.col("value")).alias("payload"))
+    if manifest is None:
+        return t
+    named = [F.struct(plain(F.col(c)).alias("name"), F.lit(k).alias("kind")) for k, cs in ((0, files), (1, folders)) for c in cs if c in manifest.columns]
+    rows = manifest.withColumn("_n", F.explode(F.array(*named))).where("_n.name is not null")
+    keyed = t.select("*", F.explode(F.array(F.struct(F.col("path").alias("name"), F.lit(0).alias("kind")), F.struct(F.regexp_replace("path", "/[^/]*$", "").alias("name"), F.lit(1).alias("kind")))).alias("_n"))
+    return rows.join(keyed.hint("merge"), "_n").drop("_n").distinct()
+
+
+def publish_union(parts: list[DataFrame], path: str, fmt: str = "csv", mode: str = "errorifexists") -> None:
+    """Several results as one, with all their columns; what a part lacks is empty."""
+    out = parts[0]
+    for df in parts[1:]:
+        out = out.unionByName(df, allowMissingColumns=True)
+    publish(out, path, fmt, mode)
 
 
 def publish(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists") -> None:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,15 +19,15 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 DELAY = "10 minutes"
 
 
-def rate_limit_stream(sdf: DataFrame, key: str, ms: str, period_ms: int) -> DataFrame:
+def rate_limit_stream(sdf: DataFrame, key: str, ms: str, period_ms: int, tie: str | None = None) -> DataFrame:
     """Rows at least ``period_ms`` after the last row kept of their key; an older row is dropped.
 
-    The state of a key is the time of its last row kept.  Rows of one micro-batch are taken in order of time.
+    The state of a key is the time of its last row kept.  Rows of one micro-batch are taken in order of time, then of ``tie``.
     """
 
     def limit(_: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else None
-        rows = pd.concat(list(parts)).sort_values(ms, kind="stable")
+        rows = pd.concat(list(parts)).sort_values([ms] if tie is None else [ms, tie], kind="stable")
         keep = []
         for t in rows[ms]:
             ok = last is None or t - last >= period_ms
@@ -47,17 +48,18 @@ def trailing_stream(sdf: DataFrame, key: str, ms: str, value: str, window_ms: in
     """
 
     def trail(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        times, values = state.get if state.exists else ([], [])
-        buffer = list(zip(times, values, strict=True))
-        out = []
-        for t, v in pd.concat(list(parts)).sort_values(ms, kind="stable")[[ms, value]].itertuples(index=False):
-            buffer.append((int(t), float(v)))
-            seen = [x for s, x in buffer if s >= t - window_ms]
-            out.append((k[0], int(t), len(seen), float(sum(seen))))
-        newest = max(t for t, _ in buffer)
-        buffer = [x for x in buffer if x[0] >= newest - window_ms]
-        state.update(([t for t, _ in buffer], [v for _, v in buffer]))
-        yield pd.DataFrame(out, columns=[key, ms, "n", "total"])
+        times, values = (np.array(x, dtype=t) for x, t in zip(state.get if state.exists else ([], []), (np.int64, float), strict=True))
+        rows = pd.concat(list(parts)).sort_values(ms, kind="stable")
+        t, v = rows[ms].to_numpy(np.int64), rows[value].to_numpy(float)
+        # rows of the buffer that are no older than the window, and those of this batch up to each row
+        of = lambda x: np.concatenate([[0.0], np.cumsum(x)])
+        old, new, place = np.searchsorted(times, t - window_ms), np.searchsorted(t, t - window_ms), np.arange(1, len(t) + 1)
+        total = of(values)[-1] - of(values)[old] + of(v)[place] - of(v)[new]
+        yield pd.DataFrame({key: [k[0]] * len(t), ms: t, "n": len(times) - old + place - new, "total": total})
+        order = np.argsort(np.concatenate([times, t]), kind="stable")
+        times, values = np.concatenate([times, t])[order], np.concatenate([values, v])[order]
+        first = np.searchsorted(times, times[-1] - window_ms)
+        state.update((times[first:].tolist(), values[first:].tolist()))
 
     kind = dict(sdf.dtypes)
     return sdf.groupBy(key).applyInPandasWithState(trail, f"{key} {kind[key]}, {ms} long, n long, total double", "times array<long>, vals array<double>", "append", GroupStateTimeout.NoTimeout)

@@ -2,8 +2,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quietgrid.functions import risk, text
-from quietgrid.operators import frames, observe, probes, select, stages, survey
+from quietgrid.functions import caps, risk, text
+from quietgrid.operators import frames, observe, probes, rules, select, stages, survey
 
 
 def test_rate_limit_keeps_first_and_third(spark):
@@ -79,6 +79,49 @@ def test_stages_append_history_and_reject_unknown(spark):
         pass
 
 
+def test_every_data_operator_is_registered(spark):
+    a = F.array(F.struct(F.lit("person").alias("label"), F.lit(0.9).alias("confidence")))
+    df = spark.range(2).select("id", F.lit("k").alias("source_id"), (F.col("id") * 1000).alias("timestamp_ms"), F.col("id").alias("item_id"), F.lit(1.0).alias("value"), a.alias("annotations"), F.create_map(F.lit("count"), F.lit(2.0)).alias("readings"), F.lit("Alice Smith said turn on 12345").alias("transcript"), F.array(F.lit(0.05), F.lit(-0.05)).cast("array<float>").alias("samples"), F.create_map(F.lit("visual"), F.lit("raw")).alias("components"), F.create_map(F.lit("x"), F.lit("y")).alias("properties"), F.array(F.lit("glass_break")).alias("labels"), F.lit(None).cast("boolean").alias("fallen"), F.lit(1).alias("people"), F.lit("click").alias("label"), F.timestamp_seconds("id").alias("ts"), F.lit(1).alias("sample_id"), F.col("id").alias("frame_index"), F.lit(1).alias("x1"), F.lit(2).alias("y1"), F.lit(3).alias("x2"), F.lit(4).alias("y2"))
+    params = {"op.sample": {"period_ms": 5000}, "op.window": {"window_ms": 1000}}
+    rows = {o: stages.apply_stage(df, o, **params.get(o, {})).collect() for o in stages.REGISTRY}
+    assert len(rows) == 24 and not rows["op.drop_discard"] and len(rows["op.sample"]) == 1 and rows["op.source"] == df.collect()
+    assert rows["op.join_fuse"][0].fused.labels == ["person"] and rows["op.route_publish"][0].published_to is None
+    assert rows["op.schema_adapter"][0]["count"] == 2 and rows["op.region_select_crop"][0].x2 == 3 and rows["op.region_mask_blur"][0].properties["redacted"] == "true"
+    assert rows["op.audio_level_extractor"][0].dbfs < 0 and rows["op.speech_sound_classifier"][0].labels and rows["op.keyword_intent_extractor"][0].intent.intent == "lights_on"
+    assert rows["op.speech_content_removal"][0].transcript == "[NAME] said turn on [NUMBER]" and rows["op.youhome_av_adapter"][0].components == {"visual": "raw", "audio": "raw"}
+    assert rows["op.av_visual_redact"][0].components == {"visual": "redacted"} and rows["op.av_audio_silence"][0].samples == [0.0, 0.0] and rows["op.av_audio_silence"][0].components["audio"] == "silent"
+    assert rows["op.occupancy_deriver"][0]["count"] == 2 and rows["op.activity_event_classifier"][0].activity == "glass_break_or_alarm"
+    assert rows["op.aggregate_generalize"][0].total == 2 and rows["op.motion_feature_extractor"][0]["mean"] == 1.0 and rows["op.multimodal_primitive_fuser"][0].labels == ["click", "fused_event"]
+
+
+def test_rules_and_splits_at_their_edges(spark):
+    flows = spark.createDataFrame([(1, ["R"], ["output_to_application"], [], []), (2, [], ["raw_input"], [], [])], "flow int, recipient array<string>, stage array<string>, tags array<string>, transforms array<string>")
+    schema = "rule_id string, action string, match string, unless string, required string, forbidden string, transformations array<string>, stages array<string>, tags array<string>, source_type string"
+    authored = [("all", "DENY_FLOW", None, None, None, None, [], ["raw_input"], [], None), ("template_x", "DENY_FLOW", "{}", None, None, None, [], [], [], None), ("absent", "DENY_FLOW", '{"recipient": {"noneOf": ["R"]}}', '{"recipient": false}', None, None, [], [], [], None), ("none", "DENY_FLOW", '{"recipient": {"anyOf": []}}', None, None, None, [], [], [], None)]
+    conditions, effects = rules.read_rules(spark.createDataFrame(authored, schema))
+    got = {r.flow: r.failed for r in rules.evaluate_rules(flows, conditions, effects, "flow", ["recipient"]).collect()}
+    assert got == {1: [], 2: ["all"]}
+    empty = rules.evaluate_rules(flows, conditions.where("false"), effects.where("false"), "flow", ["recipient"])
+    assert all(r.feasible for r in empty.collect())
+    two = survey.assign_split(spark.range(2), "id", {"train": 0.7, "valid": 0.1, "test": 0.2}, 7)
+    assert {r.split for r in two.collect()} == {"train", "test"} and survey.assign_split(spark.range(1), "id", {"train": 0.7, "test": 0.3}, 7).first().split == "train"
+
+
+def test_pareto_front_across_blocks(spark):
+    rows = [(r, i, (i * 7) % 11, (i * 5) % 13, (i * 3) % 7) for r in (0, 1) for i in range(60 if r else 5)]
+    df = spark.createDataFrame(rows, "request int, candidate int, a int, b int, c int")
+    got = {(r.request, r.candidate) for r in select.pareto_front(df, "request", "candidate", ["a", "b", "c"], block=8).collect()}
+    beats = lambda x, y: all(p <= q for p, q in zip(x[2:], y[2:], strict=True)) and x[2:] != y[2:]
+    assert got == {y[:2] for y in rows if not any(x[0] == y[0] and beats(x, y) for x in rows)}
+
+
+def test_adapters_repackage_only_what_they_may(spark):
+    ops = [("op.cam", "*", "", "video/x-raw", "v"), ("op.schema_adapter", "*", "", "application/x-occupancy", "occupancy_count"), ("op.det", "video/x-raw", "", "application/x-detections", ""), ("op.sound", "audio/x-raw", "", "application/x-sound-event-label", "")]
+    edges = caps.compatible_edges(spark.createDataFrame(ops, "op string, in_type string, in_schema string, out_type string, out_schema string"))
+    got = {(r.a, r.b) for r in edges.collect()}
+    assert ("op.det", "op.schema_adapter") in got and ("op.cam", "op.schema_adapter") not in got and ("op.sound", "op.schema_adapter") not in got and ("op.cam", "op.det") in got
+
+
 def assigned(spark, items, k, m, n):
     blocks = {i: b for i, b, _ in items}
     rows = survey.assign_items(spark.createDataFrame([x[:2] for x in items], "item int, block string"), spark.createDataFrame([(i, u) for i, _, u in items if u], "item int, used long"), spark.range(n).withColumnRenamed("id", "session"), k, m).collect()
