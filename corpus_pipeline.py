@@ -54,15 +54,29 @@ STAGES: list[tuple[str, Stage]] = [
     ("mixing", mix),
 ]
 
-#: Toxicity scores and fingerprints cannot be stated in SQL; tests hold the stages against brute force.
+#: Toxicity scores and fingerprints cannot be stated in SQL; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    """Removes a stage's table, which nothing reads any more."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over ``documents``, each written as Parquet in the shared folder and read again."""
+    """The stages over ``documents``, each written as Parquet in the shared folder and read again; the last one's table stays.
+
+    Ids may repeat or be null, texts may be null, empty or very long: rows of one id and different texts are
+    different documents throughout.  Empty tables give empty results.  Columns beyond those of ``documents``
+    pass through all stages but the last, whatever their names.
+    """
     docs = _table(spark, sf_dir, "documents")
     folder = f"{jobs.shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            _remove(spark, f"{folder}/{k - 1}")
     return docs
