@@ -55,8 +55,9 @@ def path_get(document: Column, path: str) -> Column:
 
 def flatten_values(document: Column) -> Column:
     """All scalars of a JSON text, nested ones too, as texts in order."""
-    strings = F.regexp_extract_all(document, F.lit(r'(?<=[:\[,])\s*("(?:[^"\\]|\\.)*"|-?[0-9.]+|true|false)(?=\s*[,\]}])'), F.lit(1))
-    return F.transform(strings, lambda s: F.btrim(s, F.lit('"')))
+    # strings are taken whole from left to right, so nothing inside one is read; a string before a colon is a name
+    found = F.regexp_extract_all(document, F.lit(r'"(?:[^"\\]|\\.)*+"(?=\s*:)|("(?:[^"\\]|\\.)*+"|-?[0-9][0-9.eE+-]*|true|false)'), F.lit(1))
+    return F.transform(F.filter(found, lambda s: s != ""), lambda s: F.when(s.startswith('"'), F.substr(s, F.lit(2), F.length(s) - 2)).otherwise(s))
 
 
 def add_output_terms(have: Column, output_type: Column, retained: Column) -> Column:

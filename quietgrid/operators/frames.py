@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sizes import sized
+
 BOXES = "array<struct<xyxy:array<double>,conf:double,class_id:int>>"
 
 
@@ -84,7 +86,7 @@ def match_events(true: DataFrame, pred: DataFrame, tolerance: int = 0, sample: s
         return pd.DataFrame({sample: [pdf[sample].iloc[0]], "tp": [len(used)]})
 
     hits = pairs.groupBy(sample).applyInPandas(greedy, f"{sample} {dict(true.dtypes)[sample]}, tp long")
-    n = true.groupBy(sample).agg(F.count("*").alias("nt")).join(pred.groupBy(sample).agg(F.count("*").alias("np")), sample, "full_outer").join(hits, sample, "left").fillna(0, ["nt", "np", "tp"])
+    n = true.groupBy(sample).agg(F.count("*").alias("nt")).join(pred.groupBy(sample).agg(F.count("*").alias("np")), sample, "full_outer").join(hits.hint("merge"), sample, "left").fillna(0, ["nt", "np", "tp"])
     ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
     tp, fp, fn = F.col("tp"), F.col("np") - F.col("tp"), F.col("nt") - F.col("tp")
     return n.select(sample, "tp", fp.alias("fp"), fn.alias("fn"), ratio(tp, F.col("np")).alias("precision"), ratio(tp, F.col("nt")).alias("recall"), ratio(2 * tp, 2 * tp + fp + fn).alias("f1"), ratio(5 * tp, 5 * tp + fp + 4 * fn).alias("f2"))
@@ -101,7 +103,7 @@ def label_windows(windows: DataFrame, intervals: DataFrame, least: float = 0.10,
     w, i = windows.alias("w"), intervals.alias("i")
     overlap = F.greatest(F.lit(0), F.least(F.col("w.end"), F.col("i.end")) - F.greatest(F.col("w.start"), F.col("i.start")) + 1)
     share = F.max(F.coalesce(overlap, F.lit(0)) / (F.col("w.end") - F.col("w.start") + 1))
-    return w.join(i, F.col(f"w.{sample}") == F.col(f"i.{sample}"), "left").groupBy(F.col(f"w.{sample}").alias(sample), "w.window", "w.start", "w.end").agg(F.when(share >= least, "fall").otherwise("nonfall").alias("label"))
+    return w.join(i.hint("merge"), F.col(f"w.{sample}") == F.col(f"i.{sample}"), "left").groupBy(F.col(f"w.{sample}").alias(sample), "w.window", "w.start", "w.end").agg(F.when(share >= least, "fall").otherwise("nonfall").alias("label"))
 
 
 def sequence_windows(df: DataFrame, n: str, length: int, stride: int) -> DataFrame:
@@ -146,7 +148,7 @@ def tune_postprocess(pred: DataFrame, labels: DataFrame, grid: DataFrame, sample
 
     The configuration is part of every partition key, so all of them run in one job.
     """
-    df = pred.crossJoin(F.broadcast(grid))  # a grid of authored rows
+    df = pred.crossJoin(sized(grid))
     df = df.withColumn("present", (F.col("score") >= F.col("confidence")).cast("int"))
     w = Window.partitionBy("config", sample).orderBy(frame)
     at = F.when(F.col("present") == 1, F.col(frame))

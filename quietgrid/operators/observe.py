@@ -7,7 +7,10 @@ that name its source and time.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,22 +99,35 @@ def trailing_window(df: DataFrame, key: str, ms: str, window_ms: int, value: Col
 def rate_limit(df: DataFrame, key: str, ms: str, period_ms: int, tie: str) -> DataFrame:
     """Rows at least ``period_ms`` after the last row kept of their key, in order of time and tie; rows without a time pass.
 
-    A row that comes ``period_ms`` or more after the row before it is kept whatever came earlier, so a key
-    falls into stretches without such a pause that do not depend on each other.  Only a stretch is folded
-    in one piece, as each decision in it rests on the last row kept; the rows kept are joined back.
+    Keys are dealt to tasks and walked in order; a task holds one batch of times and the last row kept, so a
+    key of any length takes bounded memory.  The rows kept are joined back.
     """
-    w = Window.partitionBy(key).orderBy(ms, tie)
     timed = df.where(F.col(ms).isNotNull())
-    pause = F.coalesce(F.col(ms) - F.lag(ms).over(w) >= period_ms, F.lit(True))
-    stretches = timed.select(key, ms, tie, pause.cast("int").alias("_new")).select(key, ms, tie, F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_stretch"))
-    kinds = dict(df.dtypes)
-    fold = F.aggregate(
-        F.sort_array(F.collect_list(F.struct(F.col(ms).alias("t"), F.col(tie).alias("i")))),
-        F.struct(F.lit(None).cast("long").alias("last"), F.array().cast(f"array<struct<t:{kinds[ms]},i:{kinds[tie]}>>").alias("kept")),
-        lambda acc, x: F.when(acc["last"].isNull() | (x["t"] - acc["last"] >= period_ms), F.struct(x["t"].cast("long").alias("last"), F.array_append(acc["kept"], x).alias("kept"))).otherwise(acc),
-    )
-    kept = stretches.groupBy(key, "_stretch").agg(fold["kept"].alias("_all")).select(key, F.explode("_all").alias("_kept")).select(key, F.col("_kept.t").alias(ms), F.col("_kept.i").alias(tie))
-    return timed.join(kept, [key, ms, tie], "left_semi").unionByName(df.where(F.col(ms).isNull()))
+    names = [key, ms, tie]
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, last = object(), None
+        for batch in batches:
+            keys, times = batch.column(0).to_pylist(), batch.column(1).to_numpy()
+            kept, at, n = [], 0, len(keys)
+            while at < n:
+                if keys[at] != own:
+                    own, last = keys[at], None
+                stop = at + 1
+                while stop < n and keys[stop] == own:
+                    stop += 1
+                while at < stop:
+                    if last is not None:  # on to the first row that is late enough
+                        at += int(np.searchsorted(times[at:stop], last + period_ms))
+                    if at < stop:
+                        kept.append(at)
+                        last = int(times[at])
+                        at += 1
+            yield batch.take(pa.array(kept, pa.int64()))
+
+    walked = timed.select(*names).repartition(key).sortWithinPartitions(*names)
+    kept = walked.mapInArrow(keep, walked.schema)
+    return timed.join(kept.hint("merge"), names, "left_semi").unionByName(df.where(F.col(ms).isNull()))
 
 
 def fuse_events(df: DataFrame, ts: str, seconds: int, label: str) -> DataFrame:

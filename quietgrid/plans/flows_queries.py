@@ -32,9 +32,9 @@ def _(t: Tables) -> DataFrame:
     return f.select("request", "candidate", *[F.array_join(x, ",").alias(x) for x in ("recipient", "inferred", "primitive", "content")])
 
 
-@query("F09_flatten_values", "SELECT event_id, json_extract_string(props, '$.k') AS k, json_extract_string(props, '$.k') || '|' || event_type || '|true|' || (event_id % 7) AS vals FROM events")
+@query("F09_flatten_values", "SELECT event_id, json_extract_string(props, '$.k') AS k, json_extract_string(props, '$.k') || '|' || event_type || ',\\\"x\\\"] : 1|true|' || (event_id % 7) AS vals FROM events")
 def _(t: Tables) -> DataFrame:
-    doc = F.concat(F.lit('{"a": '), "props", F.lit(', "b": ["'), "event_type", F.lit('", true, '), c("event_id") % 7, F.lit("]}"))
+    doc = F.concat(F.lit('{"a": '), "props", F.lit(', "b": ["'), "event_type", F.lit(',\\"x\\"] : 1", true, '), c("event_id") % 7, F.lit("]}"))
     return t.events.select("event_id", flows.path_get(doc, "a.k").alias("k"), F.array_join(flows.flatten_values(doc), "|").alias("vals"))
 
 
