@@ -79,10 +79,16 @@ def _(t: Tables) -> DataFrame:
     return features(t).select("vec_id", F.array_join(F.transform(found, lambda x: x["label"]), ",").alias("labels"))
 
 
-@query("F24_mute_speech")
+@query("F24_mute_speech", """
+WITH f AS (SELECT vec_id, k, list_slice(embedding, k * 16 + 1, k * 16 + 16) AS f FROM (SELECT vec_id, embedding, unnest(range(len(embedding) // 16)) AS k FROM embeddings)),
+a AS (SELECT *, 20 * log10(greatest(sqrt(list_sum(list_transform(f, lambda x: x::DOUBLE * x::DOUBLE)) / 16 + 1e-12), 1e-12)) AS level, list_sum(list_transform(range(1, 16), lambda i: CASE WHEN (f[i] < 0) <> (f[i + 1] < 0) THEN 1 ELSE 0 END)) / 15.0::DOUBLE AS z FROM f)
+SELECT vec_id, round(sum(CASE WHEN z BETWEEN 0.02 AND 0.18 AND level > -45 AND level < -5 THEN 0 ELSE list_sum(list_transform(range(1, 17), lambda i: (k * 16 + i) * f[i]::DOUBLE)) END), 4) AS muted,
+ round(sum(list_sum(list_transform(range(1, 17), lambda i: (k * 16 + i) * f[17 - i]::DOUBLE))), 4) AS reversed, 0.0::DOUBLE AS silent FROM a GROUP BY vec_id""")
 def _(t: Tables) -> DataFrame:
     e = c("embedding")
-    return t.embeddings.select("vec_id", audio.mute_speech(e, 16).alias("muted"), audio.reverse_chunks(e, 16).alias("reversed"), audio.silence(e).alias("silent"))
+    # each sample counts by its place, so one that is muted or moved changes the sum
+    total = lambda x: F.round(F.aggregate(F.transform(x, lambda v, i: (i + 1) * v.cast("double")), F.lit(0.0), lambda a, v: a + v), 4)
+    return t.embeddings.select("vec_id", total(audio.mute_speech(e, 16)).alias("muted"), total(audio.reverse_chunks(e, 16)).alias("reversed"), total(audio.silence(e)).alias("silent"))
 
 
 @query("F25_looks_fallen", """

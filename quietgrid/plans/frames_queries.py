@@ -69,7 +69,16 @@ def _(t: Tables) -> DataFrame:
     return frames.presence_events(f, 1).select("sample", "event_start", "event_end", "rows")
 
 
-@query("J07_match_events")
+def _ordered(present: str, name: str, number: str) -> str:
+    events = EVENTS.replace("e1 AS", f"{name}1 AS").replace("e0", f"{name}0") if present == "present" else EVENTS.replace("e1 AS", f"{name}1 AS").replace("e0", f"{name}0").replace("present = 1", f"{present} = 1")
+    return events + f", {name} AS (SELECT sample, min(frame) AS a, max(frame) AS b, row_number() OVER (PARTITION BY sample ORDER BY min(frame), max(frame)) AS {number} FROM {name}1 GROUP BY sample, ev)"
+
+
+@query("J07_match_events", FR.replace("WITH f", "WITH RECURSIVE f", 1) + _ordered("present", "tr", "ti") + _ordered("guess", "pr", "pi") + """, o AS (SELECT pr.sample, pi, ti, least(pr.b, tr.b + 2) - greatest(pr.a, tr.a - 2) + 1 AS o FROM pr JOIN tr USING (sample)), q AS (SELECT * FROM o WHERE o > 0),
+n AS (SELECT coalesce(x.sample, y.sample) AS sample, coalesce(nt, 0) AS nt, coalesce(np, 0) AS np FROM (SELECT sample, count(*) AS nt FROM tr GROUP BY 1) x FULL JOIN (SELECT sample, count(*) AS np FROM pr GROUP BY 1) y ON x.sample = y.sample),
+g(sample, pi, used) AS (SELECT sample, 0::BIGINT, []::BIGINT[] FROM n UNION ALL SELECT g.sample, g.pi + 1, CASE WHEN h.ti IS NULL THEN g.used ELSE list_append(g.used, h.ti) END FROM g JOIN n USING (sample), LATERAL (SELECT min_by(ti, (-o, ti)) AS ti FROM q WHERE q.sample = g.sample AND q.pi = g.pi + 1 AND NOT list_contains(g.used, ti)) h WHERE g.pi < n.np),
+z AS (SELECT sample, nt, np, max(len(used))::BIGINT AS tp FROM g JOIN n USING (sample) GROUP BY ALL)
+SELECT sample, tp, np - tp AS fp, nt - tp AS fn, coalesce(tp / nullif(np, 0)::DOUBLE, 0) AS precision, coalesce(tp / nullif(nt, 0)::DOUBLE, 0) AS recall, coalesce(2 * tp / nullif(np + nt, 0)::DOUBLE, 0) AS f1, coalesce(5 * tp / nullif(np + 4 * nt, 0)::DOUBLE, 0) AS f2 FROM z""")
 def _(t: Tables) -> DataFrame:
     f = framed(t)
     return frames.match_events(frames.presence_events(f, 9), frames.presence_events(f.withColumn("present", c("guess")), 9), 2)
