@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import observe
-from ..sources import scans
+from ..operators import observe, stages
+from ..sources import manifests, scans
 from ..sources.scratch import scratch
 from ..streaming import streams
 from . import observing_queries  # noqa: F401  (its SQL is used below)
@@ -140,3 +140,105 @@ def _(t: Tables) -> DataFrame:
     path = scratch(t.spark, "gated")
     streams.publish_stream(observe.trigger_gate(rows, "value > 60").select("event_id"), path, path + "-log").awaitTermination()
     return t.spark.read.parquet(path).select("event_id")
+
+
+@query("T04_session_stream", """WITH o AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR THEN 1 ELSE 0 END AS n FROM events), s AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS g FROM o)
+SELECT user_id, epoch_us(min(ts)) AS event_start, epoch_us(max(ts)) + 21600000000 AS event_end, count(*) AS rows FROM s GROUP BY user_id, g""")
+def _(t: Tables) -> DataFrame:
+    rows = event_stream(t).select("user_id", c("ts").cast("timestamp").alias("ts"))
+    path = scratch(t.spark, "sessions")
+    streams.table_stream(streams.session_stream(rows, "ts", ["user_id"], "6 hours"), path, path + "-log").awaitTermination()
+    return t.spark.read.parquet(path).select("user_id", F.unix_micros("event_start").alias("event_start"), F.unix_micros("event_end").alias("event_end"), "rows")
+
+
+@query("T05_decide_stream", "SELECT event_id, user_id, min(p_partkey) AS best FROM events JOIN part ON p_size = user_id % 50 + 1 GROUP BY ALL")
+def _(t: Tables) -> DataFrame:
+    contexts = event_stream(t).select("event_id", "user_id", (c("user_id") % 50 + 1).alias("size"))
+    candidates = t.part.groupBy(c("p_size").cast("long").alias("size")).agg(F.min("p_partkey").alias("best"))
+    path = scratch(t.spark, "decided")
+    streams.decide_stream(contexts, candidates, lambda batch, cand: batch.join(cand.hint("merge"), "size"), path, path + "-log").awaitTermination()
+    return t.spark.read.parquet(path).select("event_id", "user_id", "best")
+
+
+@query("T06_probe_stream", "SELECT user_id, 3::INT AS aggregate_presence, CASE WHEN max(event_id % 3) >= 2 THEN 3 ELSE 1 END::INT AS co_presence, CASE WHEN count(*) >= 168 THEN 3 WHEN count(*) >= 24 THEN 2 ELSE 0 END::INT AS activity FROM events GROUP BY user_id")
+def _(t: Tables) -> DataFrame:
+    rows = event_stream(t).select("user_id", (c("event_id") % 3).alias("people"))
+    path = scratch(t.spark, "probed")
+    streams.table_stream(streams.probe_stream(rows, ["user_id"], "people"), path, path + "-log").awaitTermination()
+    return t.spark.read.parquet(path)
+
+
+@query("T07_publish_stream", "SELECT event_id, event_type FROM events")
+def _(t: Tables) -> DataFrame:
+    path = scratch(t.spark, "published")
+    streams.publish_stream(event_stream(t).select("event_id", "event_type"), path, path + "-log", "json").awaitTermination()
+    return t.spark.read.schema("event_id long, event_type string").json(path)
+
+
+@query("X02_run_stages", "SELECT event_id, CASE WHEN event_type IN ('click', 'view') THEN 1 ELSE 0 END::INT AS count, 'op.trigger_gate>op.occupancy_deriver' AS process FROM events WHERE value > 40")
+def _(t: Tables) -> DataFrame:
+    o = observing_queries.observations(t).withColumn("readings", F.map_filter("readings", lambda k, v: k == "value"))
+    gated = stages.run_stages(o, [("op.source", {}), ("op.trigger_gate", {"condition": "value > 40"})])
+    out = stages.run_stages(gated.withColumn("readings", F.create_map().cast("map<string,double>")), [("op.occupancy_deriver", {})])
+    return out.select("event_id", c("count").cast("int").alias("count"), F.array_join("process", ">").alias("process"))
+
+
+@query("S10_build_fall_manifest", "SELECT 'Home' || p_size AS scenario, 'v' || p_partkey AS sample_id, p_partkey % 3 > 0 AS has_annotation, CASE WHEN p_partkey % 3 = 0 THEN 'unlabeled' END AS split, CASE WHEN p_partkey % 3 > 0 THEN p_size END::INT AS annotation_rows FROM part")
+def _(t: Tables) -> DataFrame:
+    at = lambda folder, suffix: F.format_string(f"/d/Home%d/{folder}/v%d.{suffix}", c("p_size").cast("long"), c("p_partkey"))
+    size = c("p_size").cast("int")
+    notes = t.part.where("p_partkey % 3 > 0").select(at("Annotations", "txt").alias("path"), size.alias("fall_start"), (size + 5).alias("fall_end"), F.lit("fall").alias("label"), size.alias("rows"))
+    return manifests.build_fall_manifest(t.part.select(at("Videos", "avi").alias("path")), notes).select("scenario", "sample_id", "has_annotation", "split", "annotation_rows")
+
+
+@query("S11_build_presence_manifest", "WITH f AS (SELECT user_id, count(*) AS n, count(*) FILTER (event_type = 'purchase') AS p FROM events GROUP BY 1), i AS (SELECT c_custkey, count(*) AS m FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1) SELECT 'P' || user_id AS sample, n AS n_xml_frames, p AS n_positive_frames, n - p AS n_negative_frames, coalesce(m, 0) AS n_images, coalesce(m, 0) > 0 AS has_images FROM f LEFT JOIN i ON c_custkey = user_id")
+def _(t: Tables) -> DataFrame:
+    frames = t.events.select(F.concat(F.lit("P"), "user_id").alias("sample"), (c("event_type") == "purchase").cast("int").alias("present"))
+    images = t.orders.select(F.format_string("/r/P%d/%d.jpg", c("o_custkey"), c("o_orderkey")).alias("path"))
+    return manifests.build_presence_manifest(frames, images)
+
+
+@query("S12_build_audio_manifest", "SELECT 'c' || p_partkey AS chunk_id, CASE WHEN p_size % 2 = 0 THEN 'cv' END AS majorityvote, CASE WHEN p_size % 2 = 0 THEN 1 ELSE 0 END::INT AS label_c, CASE WHEN p_size % 2 = 0 THEN 1 ELSE 0 END::INT AS label_v, 0::INT AS label_m, p_size % 5 > 0 AS audio_exists FROM part")
+def _(t: Tables) -> DataFrame:
+    name = F.concat(F.lit("c"), "p_partkey")
+    chunks = t.part.select(name.alias("chunk_id"), F.lit("dev").alias("split"))
+    meta = t.part.where("p_size % 2 = 0").select(F.concat(F.lit("/m/"), name, F.lit(".csv")).alias("path"), F.create_map(F.lit("majorityvote"), F.lit("cv")).alias("meta"))
+    files = t.part.where("p_size % 5 > 0").select(F.concat(F.lit("/a/"), name, F.lit(".wav")).alias("path"))
+    out = manifests.build_audio_manifest(chunks, meta, files)
+    return out.select("chunk_id", "majorityvote", *[c(f"label_{x}").cast("int").alias(f"label_{x}") for x in "cvm"], "audio_exists")
+
+
+@query("S13_build_adl_manifest", """WITH g AS (SELECT c_nationkey AS p, c_mktsegment AS a, count(*) AS n, count(*) FILTER (c_custkey % 3 = 0) AS i, count(*) FILTER (c_custkey % 3 = 1) AS t FROM customer GROUP BY ALL), r AS (SELECT p, row_number() OVER (ORDER BY md5('13|p' || p), 'p' || p) - 1 AS place, count(*) OVER () AS m FROM (SELECT DISTINCT p FROM g))
+SELECT 'p' || p || '_' || a || '_s1' AS sample_id, i AS n_images, t AS n_label_files, i + t < n AS has_audio, CASE WHEN m > 1 AND place = m - 1 THEN 'test' WHEN place / m < 0.8::DOUBLE THEN 'train' WHEN place / m < (0.8::DOUBLE + 0.1::DOUBLE) THEN 'val' ELSE 'test' END AS split FROM g JOIN r USING (p)""")
+def _(t: Tables) -> DataFrame:
+    k = c("c_custkey")
+    suffix = F.when(k % 3 == 0, "jpg").when(k % 3 == 1, "txt").otherwise("wav")
+    files = t.customer.select(F.concat(F.lit("/r/p"), "c_nationkey", F.lit("/"), "c_mktsegment", F.lit("/s1/"), k, F.lit("."), suffix).alias("path"))
+    return manifests.build_adl_manifest(files).select("sample_id", "n_images", "n_label_files", "has_audio", "split")
+
+
+@query("S14_repair_manifest", "WITH l AS (SELECT l_orderkey, l_suppkey AS dir, sum(l_linenumber)::BIGINT AS n FROM lineitem GROUP BY ALL) SELECT o_orderkey AS sample_id, max_by(l_orderkey || '/' || dir, (n, l_orderkey || '/' || dir)) AS frame_dir, coalesce(max(n), 0) AS n_images FROM orders LEFT JOIN l ON l_orderkey = o_orderkey GROUP BY 1")
+def _(t: Tables) -> DataFrame:
+    dir_ = F.concat_ws("/", "l_orderkey", "l_suppkey")
+    dirs = t.lineitem.groupBy(c("l_orderkey").alias("sample_id")).agg(F.collect_set(dir_).alias("dirs"))
+    df = t.orders.select(c("o_orderkey").alias("sample_id")).join(dirs, "sample_id", "left")
+    listing = t.lineitem.groupBy(dir_.alias("dir")).agg(F.sum("l_linenumber").alias("n_images"))
+    return manifests.repair_manifest(df, listing).select("sample_id", "frame_dir", "n_images")
+
+
+@query("S18_read_contracts", "SELECT 'op.' || p_partkey AS id, p_type AS category, 'video:s' || p_size AS inputs FROM part")
+def _(t: Tables) -> DataFrame:
+    cap = F.array(F.struct(F.lit("video").alias("media_type"), F.concat(F.lit("s"), "p_size").alias("schema")))
+    ops = t.part.select("p_brand", F.struct(F.concat(F.lit("op."), "p_partkey").alias("id"), c("p_type").alias("category"), cap.alias("input_caps")).alias("o"))
+    path = scratch(t.spark, "contracts")
+    ops.groupBy("p_brand").agg(F.collect_list("o").alias("operators")).repartition("p_brand").write.partitionBy("p_brand").json(path)
+    got = scans.read_contracts(t.spark, f"{path}/*")
+    return got.select("id", "category", F.array_join("inputs", ",").alias("inputs"))
+
+
+@query("S19_read_scenarios", "SELECT 'n' || n_nationkey AS scenario_id, n_name AS task, CASE WHEN n_regionkey > 1 THEN 'r' || n_regionkey END AS space FROM nation")
+def _(t: Tables) -> DataFrame:
+    path = scratch(t.spark, "scenarios")
+    docs = t.nation.select("n_nationkey", F.concat(F.lit("n"), "n_nationkey").alias("id"), c("n_name").alias("task"), F.when(c("n_regionkey") > 1, F.array(F.concat(F.lit("r"), "n_regionkey"))).alias("location"))
+    docs.write.partitionBy("n_nationkey").json(path)
+    return scans.read_scenarios(t.spark, f"{path}/*").select("scenario_id", "task", "space")

@@ -88,6 +88,15 @@ def publish_stream(sdf: DataFrame, path: str, checkpoint: str, fmt: str = "parqu
     return sdf.writeStream.format(fmt).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start(path)
 
 
+def table_stream(sdf: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Keeps the whole result of an aggregate at ``path``: each micro-batch writes it anew."""
+
+    def one(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    return sdf.writeStream.foreachBatch(one).outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def decide_stream(contexts: DataFrame, candidates: DataFrame, decide: Callable[[DataFrame, DataFrame], DataFrame], path: str, checkpoint: str) -> StreamingQuery:
     """Each micro-batch of context updates is decided against the static candidates and appended to ``path``."""
 
