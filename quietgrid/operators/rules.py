@@ -80,32 +80,44 @@ def flow_terms(flows: DataFrame, key: str, fields: dict[str, Column]) -> DataFra
 PARTS = ("match", "unless", "require")
 
 
-def rule_states(flows: DataFrame, rules: DataFrame, conditions: DataFrame, key: str, fields: dict[str, Column]) -> DataFrame:
+def rule_states(flows: DataFrame, rules: DataFrame, conditions: DataFrame, key: str, fields: dict[str, Column], more: tuple[str, DataFrame] | None = None) -> DataFrame:
     """(key, rule_id, applies, met): the flows whose ``match`` conditions all hold, whether the rule applies to
     them (not all of its ``unless`` conditions hold, if it has any), and whether all ``require`` conditions hold.
 
     Terms of flows meet terms of conditions by an equi-join, so a flow meets only conditions that name
     something it has; what it met is counted in one aggregate.  Only rules whose match asks for nothing (no
-    conditions, or only absent terms) are put beside every flow.
+    conditions, or only absent terms) are put beside every flow.  ``more``: a field and
+    (key, terms) of what flows have in it beyond their columns.
     """
     by_rule = near(is_small(conditions) and is_small(rules))
     c = conditions.join(by_rule(rules.select("rule_id").distinct()), "rule_id", "left_semi")
     op = F.when(F.col("op") == "present", "anyOf").when(F.col("op") == "absent", "noneOf").otherwise(F.col("op"))
     c = c.select("rule_id", "part", "field", op.alias("op"), F.when(F.col("op").isin("present", "absent"), F.array(F.lit(SOME))).otherwise(F.array_distinct("terms")).alias("terms"))
-    c = c.where((F.col("op") == "anyOf") | (F.size("terms") > 0)).withColumn("cond", F.xxhash64("part", "field", "op", F.to_json("terms"))).dropDuplicates(["rule_id", "cond"])
-    of = lambda p, o: (F.col("part") == p) & (F.col("op") == o)
-    asked = [F.count_if(of(p, "anyOf")).alias(f"any_{p}") for p in PARTS] + [F.sum(F.when(of(p, "allOf"), F.size("terms")).otherwise(0)).alias(f"all_{p}") for p in PARTS]
+    c = c.where((F.col("op") == "anyOf") | (F.size("terms") > 0)).withColumn("cond", F.xxhash64("rule_id", "part", "field", "op", F.to_json("terms"))).dropDuplicates(["cond"])
+    # an even code for what must be there, an odd one for what must not; ``need`` of the terms make it hold
+    part = F.when(F.col("part") == "match", 0).when(F.col("part") == "unless", 2).otherwise(4)
+    c = c.withColumn("code", part + (F.col("op") == "noneOf").cast("int")).withColumn("need", F.when(F.col("op") == "allOf", F.size("terms")).otherwise(1))
+    asked = [F.count_if(F.col("code") == 2 * i).alias(f"ask_{p}") for i, p in enumerate(PARTS)]
     asked = c.groupBy("rule_id").agg(*asked, F.count_if(F.col("part") == "unless").alias("n_unless"))
     asked = rules.select("rule_id").distinct().join(asked, "rule_id", "left").fillna(0)
-    terms = c.select("rule_id", "part", "op", "cond", "field", F.explode("terms").alias("term"))
-    met = flow_terms(flows, key, fields).join(by_rule(terms), ["field", "term"]).select(key, "rule_id", "part", "op", "cond")
-    free = flows.select(key).crossJoin(by_rule(asked.where("any_match + all_match = 0").select("rule_id")))
+    open_ = asked.where("ask_match = 0").select("rule_id", F.xxhash64("rule_id", F.lit("every flow")).alias("cond"), F.lit(-1).alias("code"), F.lit(1).alias("need"))
+
+    have = flow_terms(flows, key, fields)
+    if more is not None:
+        field, extra = more
+        extra = extra.select(key, F.lit(field).alias("field"), F.explode(F.array_append("terms", SOME)).alias("term"))
+        rest = {f: c for f, c in fields.items() if f != field}
+        own = flow_terms(flows, key, {field: fields[field]}).unionByName(extra) if field in fields else extra
+        have = own.distinct().unionByName(flow_terms(flows, key, rest)) if rest else own.distinct()
+    met = have.join(by_rule(c.select("cond", "field", F.explode("terms").alias("term"))), ["field", "term"]).select(key, "cond")
+    met = met.unionByName(flows.select(key).crossJoin(by_rule(open_.select("cond"))))
     # one shuffle serves both: terms met of each condition, then conditions met of each rule
-    each = met.unionByName(free, allowMissingColumns=True).repartition(key, "rule_id").groupBy(key, "rule_id", "part", "op", "cond").agg(F.count("*").alias("n"))
-    counts = [F.count_if(of(p, o)).alias(f"_{n}_{p}") for p in PARTS for n, o in (("any", "anyOf"), ("none", "noneOf"))]
-    counts += [F.sum(F.when(of(p, "allOf"), F.col("n")).otherwise(0)).alias(f"_all_{p}") for p in PARTS]
+    each = met.repartition(key).groupBy(key, "cond").agg(F.count("*").alias("n"))
+    each = each.join(by_rule(c.select("cond", "rule_id", "code", "need").unionByName(open_)), "cond")
+    counts = [F.count_if((F.col("code") == 2 * i) & (F.col("n") >= F.col("need"))).alias(f"_ok_{p}") for i, p in enumerate(PARTS)]
+    counts += [F.count_if(F.col("code") == 2 * i + 1).alias(f"_bad_{p}") for i, p in enumerate(PARTS)]
     by = each.groupBy(key, "rule_id").agg(*counts).join(by_rule(asked), "rule_id")
-    holds = lambda p: (F.col(f"_none_{p}") == 0) & (F.col(f"_any_{p}") == F.col(f"any_{p}")) & (F.col(f"_all_{p}") == F.col(f"all_{p}"))
+    holds = lambda p: (F.col(f"_bad_{p}") == 0) & (F.col(f"_ok_{p}") == F.col(f"ask_{p}"))
     spared = (F.col("n_unless") > 0) & holds("unless")
     return by.where(holds("match")).select(key, "rule_id", (~spared).alias("applies"), holds("require").alias("met"))
 
@@ -130,14 +142,15 @@ def evaluate_rules(flows: DataFrame, conditions: DataFrame, effects: DataFrame,
     none = F.array().cast(EMPTY)
     classify = effects.where("action = 'CLASSIFY_AS'").select("rule_id", F.col("tags").alias("_new"))
     first = rule_states(flows, classify, conditions.where("part = 'match'"), key, _columns(fields)).join(sized(classify), "rule_id")
-    new = first.groupBy(key).agg(F.array_distinct(F.flatten(F.collect_list("_new"))).alias("_new"))
-    seen = flows.join(new.hint("merge"), key, "left").withColumn(tags, F.array_union(F.coalesce(F.col(tags), none), F.coalesce("_new", none))).drop("_new")
+    new = (tags, first.select(key, F.col("_new").alias("terms")))
     rest = effects.where("action not in ('CLASSIFY_AS', 'PREFER')").select("rule_id", "action", "stages")
+    # where a rule applies is one more condition of its match
+    stages = F.when(F.size("stages") > 0, F.col("stages")).otherwise(F.array(*map(F.lit, STAGES)))
+    staged = rest.select("rule_id", F.lit("match").alias("part"), F.lit("_stage").alias("field"), F.lit("anyOf").alias("op"), stages.alias("terms"))
     done = F.array_union(F.coalesce(F.col(transforms), none), F.coalesce(F.col(principles), none) if principles else none)
-    hits = rule_states(seen, rest, conditions, key, _columns(fields) | {"_done": done}).where("applies").join(sized(rest), "rule_id")
-    hits = hits.where(~(F.col("action").isin(*REQUIRING) & F.col("met"))).join(seen.select(key, F.col(stage).alias("_at")).hint("merge"), key)
-    hits = hits.where(F.arrays_overlap("_at", F.when(F.size("stages") > 0, F.col("stages")).otherwise(F.array(*map(F.lit, STAGES)))))
-    failed = hits.groupBy(key).agg(F.array_sort(F.collect_list("rule_id")).alias("failed"))
+    held = _columns(fields) | {"_done": done, "_stage": F.col(stage)}
+    hits = rule_states(flows, rest, conditions.unionByName(staged), key, held, new).where("applies").join(sized(rest), "rule_id")
+    failed = hits.where(~(F.col("action").isin(*REQUIRING) & F.col("met"))).groupBy(key).agg(F.array_sort(F.collect_list("rule_id")).alias("failed"))
     return flows.select(key).join(failed.hint("merge"), key, "left").select(key, F.col("failed").isNull().alias("feasible"), F.coalesce("failed", none).alias("failed"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import caps, risk
 from ..operators import rules, select
+from ..sources.scratch import scratch
 from .registry import Tables, query
 from .risk_queries import LEVELS_SQL, vectors, weighted_sql
 
@@ -261,6 +262,9 @@ def rule_tables(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
         (c("l_orderkey") * 10_000_000 + c("l_linenumber") * 1_000_000 + c("l_partkey")).alias("flow"), F.array("l_returnflag").alias("recipient"), one(c("l_linestatus") == "O", "output_to_application", "retained_artifact").alias("stage"), one(c("l_tax") > 0.04, "retained", "live").alias("tags"),
         F.struct(one(c("l_linenumber") % 2 == 0, "owner", "guest").alias("role")).alias("sender"), F.when(c("l_discount") > 0.05, F.array(F.lit("blur"))).otherwise(F.array().cast("array<string>")).alias("transforms"),
     ).dropDuplicates(["flow"])
+    path = scratch(t.spark, "flows")
+    flows.write.parquet(path)  # read several times
+    flows = t.spark.read.parquet(path)
     authored = t.spark.createDataFrame(RULES, "rule_id string, action string, match string, unless string, required string, forbidden string, transformations array<string>, stages array<string>, tags array<string>, source_type string")
     return flows, *rules.read_rules(authored)
 
