@@ -100,20 +100,23 @@ def frequent_lines(docs: DataFrame, min_docs: int, id_col: str = "doc_id", text_
     shards = build_shards(counts, n_shards)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row for each shard and salt that a batch of documents asks, so rows do not grow with a document's shards."""
         for batch in batches:
-            keys, shard, salt, packed = [], [], [], []
-            for key, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
-                digests = b"".join({_digest(x) for x in text.split(b"\n")})
-                if digests:
-                    h = np.frombuffer(digests, dtype=np.int64).reshape(-1, 2)
-                    h = h[np.argsort(h[:, 0] % n_shards, kind="stable")]
-                    of, first = np.unique(h[:, 0] % n_shards, return_index=True)
-                    deal = int(key[:15], 16)
-                    keys += [key] * len(of)
-                    shard += of.tolist()
-                    salt += (deal % cuts.value[of]).tolist()
-                    packed += [x.tobytes() for x in np.split(h, first[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(shard, pa.int32()), pa.array(salt, pa.int32()), pa.array(packed, pa.binary())], ["row_key", "shard", "salt", "packed"])
+            keys = batch.column(0).to_pylist()
+            digests = [b"".join({_digest(x) for x in text.split(b"\n")}) for text in texts_of(batch.column(1))]
+            h = np.frombuffer(b"".join(digests), dtype=np.int64).reshape(-1, 2)
+            doc = np.repeat(np.arange(len(keys)), [len(x) // 16 for x in digests])
+            of, deal = h[:, 0] % n_shards, np.array([int(k[:15], 16) for k in keys], dtype=np.int64)
+            salt = deal[doc] % cuts.value[of]
+            order = np.lexsort((doc, salt, of))
+            h, doc, of, salt = h[order], doc[order], of[order], salt[order]
+            first = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (salt[1:] != salt[:-1])])) if len(of) else np.zeros(0, dtype=np.int64)
+            own = [np.unique(x, return_counts=True) for x in np.split(doc, first[1:])] if len(of) else []
+            columns = [
+                pa.array(of[first], pa.int32()), pa.array(salt[first], pa.int32()), pa.array([[keys[i] for i in x] for x, _ in own], pa.list_(pa.string())),
+                pa.array([n.tolist() for _, n in own], pa.list_(pa.int32())), pa.array([x.tobytes() for x in np.split(h, first[1:])] if len(of) else [], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["shard", "salt", "row_keys", "sizes", "packed"])
 
     def copies(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in pdfs:
@@ -130,13 +133,14 @@ def frequent_lines(docs: DataFrame, min_docs: int, id_col: str = "doc_id", text_
             h = np.frombuffer(b"".join(sent["packed"]), dtype=np.int64).reshape(-1, 2)
             at = index.index(h[:, 0].copy().view(np.uint64))
             hit = (at >= 0) & (prints[at] == h[:, 1]) & (n[at] >= min_docs)
-            row = np.repeat(np.arange(len(sent)), sent["packed"].str.len().to_numpy(np.int64) // 16)[hit]
+            row_keys, sizes = np.concatenate(sent["row_keys"].to_list()), np.concatenate(sent["sizes"].to_list())
+            row = np.repeat(np.arange(len(row_keys)), sizes)[hit]
             rows, first = np.unique(row, return_index=True)
-            keys = sent["row_key"].to_numpy()[rows]
+            keys = row_keys[rows]
             found = [x.tobytes() for x in np.split(h[hit], first[1:])] if len(rows) else []
         return pd.DataFrame({"row_key": pd.Series(keys, dtype="object"), "found": pd.Series(found, dtype="object")})
 
-    sent = docs.select(_row_key(id_col, text_col).alias("row_key"), text_col).mapInArrow(send, "row_key string, shard int, salt int, packed binary")
+    sent = docs.select(_row_key(id_col, text_col).alias("row_key"), text_col).mapInArrow(send, "shard int, salt int, row_keys array<string>, sizes array<int>, packed binary")
     arrays = shards.mapInPandas(copies, "shard int, sizes array<long>, bits binary, prints binary, counts binary, salt int")
     hits = sent.groupBy("shard", "salt").cogroup(arrays.groupBy("shard", "salt")).applyInPandas(probe, "row_key string, found binary")
     return hits.groupBy("row_key").agg(F.collect_set("found").alias("found"))
