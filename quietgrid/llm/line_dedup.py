@@ -7,8 +7,10 @@ of 64-bit fingerprints and an array of counts.  Documents send the hashes of the
 get back those that are frequent; no lines are joined.
 
 How many probes a shard gets is known from the counts, so a shard that gets many (one that holds a line of
-very many documents) is copied to as many salts as it takes for each to see ``PROBES`` hashes or so:
-no group grows with the corpus.
+very many documents) is copied to as many salts as it takes for each to see ``PROBES`` hashes or so.  A batch of
+documents sends each distinct row once, to salts that also depend on the partition it is read in, so neither a hot
+line nor a hot row (equal ids and texts, null ids included) makes a group that grows with the corpus.  A batch sends
+one row to each shard and salt it asks, never more than it has lines.
 
 Null and empty texts are one empty line and stay as they are; empty keys never count.  Each row is a
 document of its own, repeated rows included; empty tables give empty results; other columns, whatever their
@@ -25,6 +27,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,10 +37,11 @@ from .perfect_hash import PerfectHash, build
 from .text import texts_of
 
 SHARD_KEYS = 200_000
-MOST_SHARDS = 1 << 16  # beyond it shards grow instead, so the table of salts stays small
+MOST_SHARDS = 1 << 20  # beyond 2e11 distinct lines shards grow instead, so the table of salts stays at 8 MB
 PROBES = 1_000_000  # of a group
 
 
+SHARD_SCHEMA = "shard int, sizes array<long>, bits binary, prints binary, counts binary, twins binary"
 FOUND = "frequent lines found"  # a name that no column of ours has; only its place, the last, is used
 
 
@@ -73,19 +77,36 @@ def line_document_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def build_shards(counts: DataFrame, n_shards: int) -> DataFrame:
-    """(shard, sizes, bits, prints, counts): the perfect hash of each shard and its arrays."""
+    """(shard, sizes, bits, prints, counts, twins): the perfect hash of each shard and its arrays.
+
+    Of keys that share their first 64 bits one is hashed; the others stand in ``twins`` as triples (h1, h2, n).
+    """
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        h1, h2 = pdf["h1"].to_numpy(np.int64), pdf["h2"].to_numpy(np.int64)
+        again = pdf["h1"].duplicated()
+        twins = pdf.loc[again, ["h1", "h2", "n"]].to_numpy(np.int64).tobytes()
+        h1, h2, most = pdf["h1"].to_numpy(np.int64)[~again], pdf["h2"].to_numpy(np.int64)[~again], pdf["n"].to_numpy(np.int64)[~again]
         sizes, bits = build(h1.view(np.uint64))
         at = PerfectHash(sizes, bits).index(h1.view(np.uint64))
         prints, n = np.empty_like(h2), np.empty(len(h2), dtype=np.uint32)
-        prints[at], n[at] = h2, np.minimum(pdf["n"].to_numpy(np.int64), 2**32 - 1)
-        return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "sizes": [sizes], "bits": [bits], "prints": [prints.tobytes()], "counts": [n.tobytes()]})
+        prints[at], n[at] = h2, np.minimum(most, 2**32 - 1)
+        row = {"shard": int(pdf["shard"].iloc[0]), "sizes": sizes, "bits": bits, "prints": prints.tobytes(), "counts": n.tobytes(), "twins": twins}
+        return pd.DataFrame({k: [v] for k, v in row.items()})
 
-    # two keys that share 64 bits cannot both be hashed: of them the one in more documents is, and the other stays
     sharded = counts.withColumn("shard", F.pmod("h1", F.lit(n_shards)).cast("int"))
-    return sharded.groupBy("shard").applyInPandas(lambda pdf: one(pdf.sort_values("n", ascending=False).drop_duplicates("h1")), "shard int, sizes array<long>, bits binary, prints binary, counts binary")
+    return sharded.groupBy("shard").applyInPandas(one, SHARD_SCHEMA)
+
+
+def _is_frequent(shard: pd.Series, h: np.ndarray, min_docs: int) -> np.ndarray:
+    """Which of the hashes (rows of two words) the shard knows in at least ``min_docs`` documents."""
+    index = PerfectHash([int(x) for x in shard["sizes"]], shard["bits"])
+    prints, n = np.frombuffer(shard["prints"], dtype=np.int64), np.frombuffer(shard["counts"], dtype=np.uint32)
+    at = index.index(h[:, 0].copy().view(np.uint64))
+    hit = (at >= 0) & (prints[at] == h[:, 1]) & (n[at] >= min_docs)
+    for h1, h2, often in np.frombuffer(shard["twins"], dtype=np.int64).reshape(-1, 3):
+        if often >= min_docs:
+            hit |= (h[:, 0] == h1) & (h[:, 1] == h2)
+    return hit
 
 
 def frequent_lines(docs: DataFrame, min_docs: int, id_col: str = "doc_id", text_col: str = "text", shard_keys: int = SHARD_KEYS, probes: int = PROBES) -> DataFrame:
@@ -100,22 +121,27 @@ def frequent_lines(docs: DataFrame, min_docs: int, id_col: str = "doc_id", text_
     shards = build_shards(counts, n_shards)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One row for each shard and salt that a batch of documents asks, so rows do not grow with a document's shards."""
+        """One row for each shard and salt that a batch of documents asks, each distinct document asked for once."""
+        here = TaskContext.get().partitionId()
         for batch in batches:
-            keys = batch.column(0).to_pylist()
-            digests = [b"".join({_digest(x) for x in text.split(b"\n")}) for text in texts_of(batch.column(1))]
+            texts = dict(zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True))
+            keys = list(texts)
+            digests = [b"".join(sorted({_digest(x) for x in text.split(b"\n")})) for text in texts.values()]
             h = np.frombuffer(b"".join(digests), dtype=np.int64).reshape(-1, 2)
             doc = np.repeat(np.arange(len(keys)), [len(x) // 16 for x in digests])
             of, deal = h[:, 0] % n_shards, np.array([int(k[:15], 16) for k in keys], dtype=np.int64)
-            salt = deal[doc] % cuts.value[of]
+            salt = (deal[doc] + here) % cuts.value[of]
             order = np.lexsort((doc, salt, of))
             h, doc, of, salt = h[order], doc[order], of[order], salt[order]
             first = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (salt[1:] != salt[:-1])])) if len(of) else np.zeros(0, dtype=np.int64)
             own = [np.unique(x, return_counts=True) for x in np.split(doc, first[1:])] if len(of) else []
             columns = [
-                pa.array(of[first], pa.int32()), pa.array(salt[first], pa.int32()), pa.array([[keys[i] for i in x] for x, _ in own], pa.list_(pa.string())),
-                pa.array([n.tolist() for _, n in own], pa.list_(pa.int32())), pa.array([x.tobytes() for x in np.split(h, first[1:])] if len(of) else [], pa.binary()),
-            ]
+                pa.array(of[first], pa.int32()),
+                pa.array(salt[first], pa.int32()),
+                pa.array([[keys[i] for i in x] for x, _ in own], pa.list_(pa.string())),
+                pa.array([n.tolist() for _, n in own], pa.list_(pa.int32())),
+                pa.array([x.tobytes() for x in np.split(h, first[1:])] if len(of) else [], pa.binary()),
+            ]
             yield pa.RecordBatch.from_arrays(columns, ["shard", "salt", "row_keys", "sizes", "packed"])
 
     def copies(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -126,13 +152,9 @@ def frequent_lines(docs: DataFrame, min_docs: int, id_col: str = "doc_id", text_
 
     def probe(sent: pd.DataFrame, arrays: pd.DataFrame) -> pd.DataFrame:
         keys, found = [], []
-        if len(arrays):
-            shard = arrays.iloc[0]
-            index = PerfectHash([int(x) for x in shard["sizes"]], shard["bits"])
-            prints, n = np.frombuffer(shard["prints"], dtype=np.int64), np.frombuffer(shard["counts"], dtype=np.uint32)
+        if len(arrays) and len(sent):
             h = np.frombuffer(b"".join(sent["packed"]), dtype=np.int64).reshape(-1, 2)
-            at = index.index(h[:, 0].copy().view(np.uint64))
-            hit = (at >= 0) & (prints[at] == h[:, 1]) & (n[at] >= min_docs)
+            hit = _is_frequent(arrays.iloc[0], h, min_docs)
             row_keys, sizes = np.concatenate(sent["row_keys"].to_list()), np.concatenate(sent["sizes"].to_list())
             row = np.repeat(np.arange(len(row_keys)), sizes)[hit]
             rows, first = np.unique(row, return_index=True)
@@ -141,7 +163,7 @@ def frequent_lines(docs: DataFrame, min_docs: int, id_col: str = "doc_id", text_
         return pd.DataFrame({"row_key": pd.Series(keys, dtype="object"), "found": pd.Series(found, dtype="object")})
 
     sent = docs.select(_row_key(id_col, text_col).alias("row_key"), text_col).mapInArrow(send, "shard int, salt int, row_keys array<string>, sizes array<int>, packed binary")
-    arrays = shards.mapInPandas(copies, "shard int, sizes array<long>, bits binary, prints binary, counts binary, salt int")
+    arrays = shards.mapInPandas(copies, f"{SHARD_SCHEMA}, salt int")
     hits = sent.groupBy("shard", "salt").cogroup(arrays.groupBy("shard", "salt")).applyInPandas(probe, "row_key string, found binary")
     return hits.groupBy("row_key").agg(F.collect_set("found").alias("found"))
 

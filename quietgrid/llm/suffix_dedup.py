@@ -184,7 +184,7 @@ def _anchors(docs: DataFrame, id_col: str, text_col: str, keys_only: bool) -> Da
 
 
 def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_units: int = SHARD_UNITS) -> DataFrame:
-    """(doc, size, ranges): for each document, byte ranges [a, b) whose windows all repeat; they may overlap."""
+    """(doc, size, ranges): for each distinct document, its distinct byte ranges [a, b) whose windows all repeat; they may overlap."""
     twice = durable(_anchors(docs, id_col, text_col, True).groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key"))
     shared = durable(_anchors(docs, id_col, text_col, False).join(twice.hint("merge"), "key"))
     unit = shared.groupBy("key", "whole").agg(F.count("*").alias("n"), F.min(F.struct(*DOC, "first", "count")).alias("at"))
@@ -252,7 +252,8 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lots = max(1, -(-compared.where("window is not null").count() // MERGED))  # so that no group grows with the corpus
     across = compared.where("window is not null").groupBy(F.pmod("window", F.lit(lots)).alias("lot")).applyInPandas(merge, "doc long, size int, a int, b int")
     ranges = settled.unionByName(compared.where("window is null").select(*DOC, "a", "b")).unionByName(across)
-    return ranges.groupBy(*DOC).agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
+    # rows of one id and text share their ranges, which are gathered once, however often the row occurs
+    return ranges.groupBy(*DOC).agg(F.collect_set(F.struct("a", "b")).alias("ranges"))
 
 
 def remove_ranges(text: bytes, ranges: list[dict] | None) -> tuple[bytes, int, int]:

@@ -470,3 +470,24 @@ def test_weak_quality(spark, docs, none):
     out = weak_quality.score_quality(df, model).join(df.select("doc_id", "good"), "doc_id")
     assert out.where("kept <> (good = 1)").count() <= 3
     assert weak_quality.score_quality(docs, model).count() == len(ROWS) and weak_quality.score_quality(none, weak_quality.train_quality(none)).count() == 0
+
+
+def test_many_equal_rows(spark):
+    """Ten thousand rows of a null id and one text: work and lists stay in proportion."""
+    lines = [f"line number {i} of a text that is repeated as a whole" for i in range(12)]
+    rows = spark.range(10_000, numPartitions=6).select(F.lit(None).cast("long").alias("doc_id"), F.lit("\n".join(lines)).alias("text"))
+    size = len("\n".join(lines))
+    nothing = hashlib.sha256(b"").hexdigest()
+    got = line_dedup.line_dedup_report(rows, 10, shard_keys=4, probes=1000).groupBy("n_lines", "n_dropped", "kept_sha256").count().collect()
+    assert counted(got) == {(12, 12, nothing, 10_000): 1}
+    got = suffix_dedup.suffix_dedup_report(rows).groupBy("n_bytes", "n_removed", "n_spans", "kept_sha256").count().collect()
+    assert counted(got) == {(size, size, 1, nothing, 10_000): 1}
+    lists = suffix_dedup.repeated_ranges(rows).select(F.size("ranges").alias("n")).collect()
+    assert len(lists) == 1 and lists[0].n < size
+
+
+def test_line_keys_that_share_half_a_hash(spark):
+    counts = spark.createDataFrame([(5, 1, 3), (5, 2, 20), (6, 1, 30), (5, 3, 11)], "h1 long, h2 long, n long")
+    shard = line_dedup.build_shards(counts, 1).toPandas().iloc[0]
+    asked = np.array([[5, 1], [5, 2], [5, 3], [5, 4], [6, 1], [7, 1]])
+    assert line_dedup._is_frequent(shard, asked, 10).tolist() == [False, True, True, False, True, False]
