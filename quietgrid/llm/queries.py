@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, html_blocks, line_dedup, lm_hmm, mixing, repetition, simhash, suffix_dedup, toxicity, weak_quality
+from . import conversations, decontam, html_blocks, lexical, line_dedup, lm_hmm, mixing, pieces, repetition, simhash, suffix_dedup, toxicity, weak_quality
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -57,8 +57,22 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup_report(_read(spark, sf_dir, "documents"), min_docs=10)
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), k=10)
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pieces.encoding_report(_read(spark, sf_dir, "documents"), pieces.read_model(public_tokenizers.path("piece_bpe_32k.model")))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_report(conversations.damaged(_read(spark, sf_dir, "conversations")), copies_col="copies")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_hmm_scoring, op2_html_extraction, op3_mixing, op4_weak_quality, op5_toxicity, op6_decontamination, op7_suffix_dedup, op8_simhash, op9_repetition, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_hmm_scoring, op2_html_extraction, op3_mixing, op4_weak_quality, op5_toxicity, op6_decontamination, op7_suffix_dedup, op8_simhash, op9_repetition, op10_line_dedup, op11_lexical_search, op12_sentencepiece, op13_conversation_repair)}
 
 
 WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -123,5 +137,66 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, dup_
 """
 
 
+TERM = r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'"
+
+OP11_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), {AZ}), {TERM}) AS ts FROM documents),
+q AS (SELECT row_number() OVER () AS q, item_id, regexp_extract_all(translate(coalesce(text, ''), {AZ}), {TERM}) AS ts FROM benchmark),
+s AS (SELECT count(*)::BIGINT AS n_docs, sum(len(ts))::BIGINT AS n_terms FROM d WHERE len(ts) > 0),
+p AS (SELECT r, term, count(*)::BIGINT AS tf FROM (SELECT r, unnest(ts) AS term FROM d) GROUP BY ALL),
+t AS (SELECT q, term, count(*)::BIGINT AS often FROM (SELECT q, unnest(ts) AS term FROM q) GROUP BY ALL),
+f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM f, s),
+m AS (SELECT r, doc_id, 25 + (75 * len(ts) * n_docs) // n_terms AS m FROM d, s WHERE len(ts) > 0),
+x AS (SELECT q, r, doc_id, sum(often * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+      FROM t JOIN p USING (term) JOIN w USING (term) JOIN m USING (r) GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS FIRST)::INTEGER AS rank FROM x WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM k JOIN q USING (q) WHERE rank <= 10
+"""
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of an ASCII text, as an expression."""
+    turn = "list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda x: ord(x)::BIGINT)), lambda c, b: {turn}))"
+
+
+OP13_SQL = f"""
+WITH RECURSIVE
+o AS (SELECT dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS c, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+             {_crc32("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS what FROM conversations),
+g AS (SELECT c, turn, CASE what WHEN 4 THEN 'user' ELSE role END AS role,
+             CASE what WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+             unnest(range(CASE what WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM o),
+h AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, text, copy) AS i, left(role, 1) AS r, rtrim(text, {WS}) AS short FROM g),
+e AS (SELECT *, CASE WHEN short = '' THEN 'b' WHEN row_number() OVER (PARTITION BY c, role, text ORDER BY i) > 1 THEN 'd'
+                     WHEN right(short, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '.' END AS flaw,
+             lag(r) OVER (PARTITION BY c ORDER BY i) || r AS pair FROM h),
+z AS (SELECT c, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (flaw = 'b') AS blank, count(*) FILTER (flaw = 'd') AS duplicate,
+             count(*) FILTER (flaw = 't') AS truncated, count(*) FILTER (i > 1 AND pair NOT IN ('su', 'ua', 'au')) AS illegal FROM e GROUP BY c),
+ways AS (SELECT p, k, CASE WHEN k = 0 THEN p WHEN (k = 1) = (p = 'U') THEN 'A' WHEN k = 2 AND p <> 'U' THEN 'A' ELSE 'U' END AS q, repeat('I', k) AS ins,
+                CASE WHEN k = 0 THEN '' WHEN p = 'U' THEN chr(10) || 'assistant:' || (CASE k WHEN 2 THEN chr(10) || 'user:' ELSE '' END)
+                     ELSE chr(10) || 'user:' || (CASE k WHEN 2 THEN chr(10) || 'assistant:' ELSE '' END) END AS said
+         FROM (VALUES ('E'), ('S'), ('U'), ('A')) a(p), (VALUES (0), (1), (2)) b(k)),
+steps AS (SELECT p, k, ins, said, q, op FROM ways, (VALUES ('D'), ('R'), ('K')) v(op)),
+dp AS (SELECT c, 0::BIGINT AS i, 'E' AS st, 0::BIGINT AS cost, '' AS audit, '' AS body FROM z
+       UNION ALL
+       SELECT c, i, st, b.cost, b.audit, b.body FROM (
+         SELECT c, i, st, min(struct_pack(cost := cost, audit := audit, body := body)) AS b FROM (
+           SELECT dp.c, e.i, CASE op WHEN 'D' THEN q WHEN 'R' THEN CASE q WHEN 'U' THEN 'A' ELSE 'U' END ELSE upper(e.r) END AS st,
+                  dp.cost + 3 * k + CASE op WHEN 'D' THEN 4 WHEN 'R' THEN 3 ELSE 0 END + CASE WHEN op <> 'D' AND flaw = 't' THEN 3 ELSE 0 END AS cost,
+                  dp.audit || ins || op AS audit,
+                  dp.body || said || CASE op WHEN 'D' THEN '' WHEN 'R' THEN chr(10) || CASE q WHEN 'U' THEN 'assistant:' ELSE 'user:' END || e.text ELSE chr(10) || e.role || ':' || e.text END AS body
+           FROM dp JOIN e ON e.c = dp.c AND e.i = dp.i + 1 JOIN steps ON steps.p = dp.st
+           WHERE op = 'D' OR (flaw NOT IN ('b', 'd') AND (op = 'R' OR (e.r = 's' AND q = 'E') OR (e.r = 'u' AND q IN ('E', 'S', 'A')) OR (e.r = 'a' AND q = 'U'))))
+         GROUP BY c, i, st)),
+fin AS (SELECT dp.c, min(struct_pack(cost := cost + 3 * k, audit := audit || ins, body := body || said)) AS b
+        FROM dp JOIN z ON z.c = dp.c AND z.n = dp.i JOIN ways ON p = st AND (q = 'A' OR (q = 'E' AND k = 0)) GROUP BY dp.c)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(fin.b.cost, 0)::BIGINT AS cost, coalesce(fin.b.audit, '') AS audit, sha256(coalesce(substr(fin.b.body, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT c, conv_id FROM o) LEFT JOIN z USING (c) LEFT JOIN fin USING (c)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": OP3_SQL, "op9_repetition": OP9_SQL, "op10_line_dedup": OP10_SQL}
+    return {"op3_mixing": OP3_SQL, "op9_repetition": OP9_SQL, "op10_line_dedup": OP10_SQL, "op11_lexical_search": OP11_SQL, "op13_conversation_repair": OP13_SQL}
