@@ -7,10 +7,7 @@ that name its source and time.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,40 +93,6 @@ def trailing_window(df: DataFrame, key: str, ms: str, window_ms: int, value: Col
     return df.withColumn("items", F.when(F.col(ms) > 0, F.sort_array(F.collect_list(value).over(w))).otherwise(F.array(value)))
 
 
-def rate_limit(df: DataFrame, key: str, ms: str, period_ms: int, tie: str) -> DataFrame:
-    """Rows at least ``period_ms`` after the last row kept of their key, in order of time and tie; rows without a time pass.
-
-    Keys are dealt to tasks and walked in order; a task holds one batch of times and the last row kept, so a
-    key of any length takes bounded memory.  The rows kept are joined back.
-    """
-    timed = df.where(F.col(ms).isNotNull())
-    names = [key, ms, tie]
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, last = object(), None
-        for batch in batches:
-            keys, times = batch.column(0).to_pylist(), batch.column(1).to_numpy()
-            kept, at, n = [], 0, len(keys)
-            while at < n:
-                if keys[at] != own:
-                    own, last = keys[at], None
-                stop = at + 1
-                while stop < n and keys[stop] == own:
-                    stop += 1
-                while at < stop:
-                    if last is not None:  # on to the first row that is late enough
-                        at += int(np.searchsorted(times[at:stop], last + period_ms))
-                    if at < stop:
-                        kept.append(at)
-                        last = int(times[at])
-                        at += 1
-            yield batch.take(pa.array(kept, pa.int64()))
-
-    walked = timed.select(*names).repartition(key).sortWithinPartitions(*names)
-    kept = walked.mapInArrow(keep, walked.schema)
-    return timed.join(kept.hint("merge"), names, "left_semi").unionByName(df.where(F.col(ms).isNull()))
-
-
 def fuse_events(df: DataFrame, ts: str, seconds: int, label: str) -> DataFrame:
     """(bucket, labels): the distinct labels of a time bucket, sorted, with ``fused_event`` at the end."""
     bucket = F.timestamp_seconds(F.floor(F.unix_timestamp(F.col(ts).cast("timestamp")) / seconds) * seconds)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import audio, text
-from . import flows, observe
+from . import flows, observe, pacing
 from .flows import AV_STEPS
 
 INTENTS = {"lights_on": ("turn on",), "lights_off": ("turn off",), "help": ("help", "call for help")}
@@ -47,7 +47,7 @@ def _speech(df: DataFrame, column: str = "transcript", mode: str = "redact_trans
 
 REGISTRY: dict[str, Callable[..., DataFrame]] = {
     "op.source": lambda df: df,
-    "op.sample": lambda df, period_ms, key="source_id", ms="timestamp_ms", tie="item_id": observe.rate_limit(df, key, ms, period_ms, tie),
+    "op.sample": lambda df, period_ms, key="source_id", ms="timestamp_ms", tie="item_id": pacing.rate_limit(df, key, ms, period_ms, tie),
     "op.window": lambda df, window_ms, key="source_id", ms="timestamp_ms", value="value": observe.trailing_window(df, key, ms, window_ms, F.col(value)),
     "op.trigger_gate": lambda df, condition="always", min_confidence=0.0: observe.trigger_gate(df, condition, min_confidence),
     "op.join_fuse": _fuse,

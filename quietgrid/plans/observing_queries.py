@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import observe, probes
+from ..operators import observe, pacing, probes
 from .registry import Tables, query
 
 c = F.col
@@ -79,7 +79,7 @@ def _(t: Tables) -> DataFrame:
 SELECT user_id, event_id FROM (WITH RECURSIVE k AS (SELECT user_id, event_id, ms, i FROM r WHERE i = 1
  UNION ALL SELECT n.user_id, n.event_id, n.ms, n.i FROM k, LATERAL (SELECT * FROM r WHERE r.user_id = k.user_id AND r.ms >= k.ms + 21600000 ORDER BY i LIMIT 1) n) SELECT user_id, event_id FROM k)""")
 def _(t: Tables) -> DataFrame:
-    return observe.rate_limit(observations(t), "user_id", "ms", 21_600_000, "event_id").select("user_id", "event_id")
+    return pacing.rate_limit(observations(t), "user_id", "ms", 21_600_000, "event_id").select("user_id", "event_id")
 
 
 @query("W10_stride_frames", "SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS n FROM events) WHERE n % 4 = 0 AND n < 32")

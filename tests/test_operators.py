@@ -3,12 +3,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quietgrid.functions import caps, risk, text
-from quietgrid.operators import frames, observe, probes, rules, select, stages, survey
+from quietgrid.operators import frames, observe, pacing, probes, rules, select, stages, survey
 
 
 def test_rate_limit_keeps_first_and_third(spark):
     df = spark.createDataFrame([("a", 1000, 1), ("a", 1200, 2), ("a", 1600, 3), ("a", None, 4)], "k string, ms long, i long")
-    assert sorted(r.i for r in observe.rate_limit(df, "k", "ms", 500, "i").collect()) == [1, 3, 4]
+    assert sorted(r.i for r in pacing.rate_limit(df, "k", "ms", 500, "i").collect()) == [1, 3, 4]
 
 
 def test_redaction_tags(spark):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quietgrid.operators import observe
+from quietgrid.operators import observe, pacing
 from quietgrid.streaming import streams
 
 
@@ -25,7 +25,7 @@ ROWS = [("a", 1000, 1.0), ("a", 1200, 2.0), ("a", 1600, 3.0), ("b", 50, 4.0)]
 def test_rate_limit_and_trailing(spark, tmp_path):
     sdf = source(spark, tmp_path, ROWS, "k string, ms long, v double")
     got = sorted((r.k, r.ms) for r in drained(spark, streams.rate_limit_stream(sdf, "k", "ms", 500), "limited").collect())
-    batch = observe.rate_limit(spark.read.parquet(str(tmp_path / "in")), "k", "ms", 500, "v")
+    batch = pacing.rate_limit(spark.read.parquet(str(tmp_path / "in")), "k", "ms", 500, "v")
     assert got == sorted((r.k, r.ms) for r in batch.collect()) == [("a", 1000), ("a", 1600), ("b", 50)]
     trail = drained(spark, streams.trailing_stream(sdf, "k", "ms", "v", 400), "trailed")
     assert sorted((r.k, r.ms, r.n, r.total) for r in trail.collect()) == [("a", 1000, 1, 1.0), ("a", 1200, 2, 3.0), ("a", 1600, 2, 5.0), ("b", 50, 1, 4.0)]
