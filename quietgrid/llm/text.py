@@ -62,7 +62,7 @@ def texts_of(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
-def chunks(texts: list[bytes], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def chunks(texts: list[bytes], most: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``most`` bytes; a longer text is a range of its own."""
     start = total = 0
     for i, text in enumerate(texts):
