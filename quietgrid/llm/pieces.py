@@ -39,8 +39,9 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 PIECES, TRAINER, NORMALIZER = 1, 2, 3
 
 CHUNK_BYTES = 4 << 20  # of texts in one batch of results
-REMEMBERED = 400_000  # chunks whose pieces a worker remembers
+REMEMBERED = 200_000  # chunks whose pieces a worker remembers, and as many before them
 LONGEST = 64  # signs of a remembered chunk
+NO_PIECE = float("inf")
 
 codecs.register_error("a sign a byte", lambda e: ("�" * (e.end - e.start), e.end))
 
@@ -120,7 +121,7 @@ class Model:
         if trainer.get(3, 1) != 2 or not trainer.get(35, 0) or np.isin(kinds, (USER, UNUSED)).any():
             raise ValueError("only byte-pair models with byte fallback and without user-defined or unused pieces are read")
         self.ids = {piece: k for k, (piece, _, kind) in enumerate(pieces) if kind == NORMAL}
-        self.scores = [score for _, score, _ in pieces]
+        self.values = {piece: -score for piece, score, kind in pieces if kind == NORMAL}  # the least is joined first
         self.bytes = {int(piece[3:5], 16): k for k, (piece, _, kind) in enumerate(pieces) if kind == BYTE}
         named = {piece: k for k, (piece, _, kind) in enumerate(pieces) if kind == CONTROL}
         self.bos, self.eos = named["<s>"], named["</s>"]
@@ -131,7 +132,13 @@ class Model:
         mark = MARK if self.escape else " "
         apart = not any(re.search(f"[^{mark}]{mark}", piece) for piece in self.ids)
         self.chunks = re.compile(f"{mark}*[^{mark}]+|{mark}+" if apart else "(?s:.+)")
-        self.memory: dict[str, tuple[bytes, bytes]] = {}
+        self.packed = {piece: struct.pack("<I", k) for piece, k in self.ids.items()}
+        self.spelled = {byte: struct.pack("<I", k) for byte, k in self.bytes.items()}
+        self.widths = np.array([len(piece.encode()) if kind == NORMAL else 0 for piece, _, kind in pieces], dtype=np.int64)
+        self.byte_of = np.zeros(len(pieces), dtype=np.uint8)
+        self.byte_of[list(self.bytes.values())] = list(self.bytes)
+        self.memory: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     @staticmethod
     def _surface(piece: str, score: float, kind: int, unknown: bytes) -> bytes:
@@ -187,6 +194,8 @@ class Model:
 
     def _merged(self, chunk: str) -> list[str]:
         """The chunk in pieces: the adjacent pair with the best score is joined first, the leftmost of equals."""
+        if len(chunk) <= LONGEST:
+            return self._merged_short(chunk)
         part, after, before = list(chunk), list(range(1, len(chunk) + 1)), list(range(-1, len(chunk) - 1))
         heap: list[tuple[float, int, int, str]] = []
 
@@ -194,7 +203,7 @@ class Model:
             if left >= 0 and right < len(part):
                 both = part[left] + part[right]
                 if both in self.ids:
-                    heapq.heappush(heap, (-self.scores[self.ids[both]], left, right, both))
+                    heapq.heappush(heap, (self.values[both], left, right, both))
 
         for k in range(len(part) - 1):
             offer(k, k + 1)
@@ -209,14 +218,35 @@ class Model:
                 offer(left, after[left])
         return [x for x in part if x]
 
-    def _chunk(self, chunk: str) -> tuple[bytes, bytes]:
-        """The ids of a chunk's pieces and their lengths in bytes; of a sign spelled in bytes, the last has the length."""
-        ids, sizes = [], []
-        for piece in self._merged(chunk):
-            own, known = piece.encode(), self.ids.get(piece)
-            ids += [self.bytes[b] for b in own] if known is None else [known]
-            sizes += [*[0] * (len(own) - 1), len(own)] if known is None else [len(own)]
-        return np.array(ids, dtype="<u4").tobytes(), np.array(sizes, dtype="<u4").tobytes()
+    def _merged_short(self, chunk: str) -> list[str]:
+        """The same by a look at all pairs in each step, which is quicker where they are few."""
+        part, value = list(chunk), self.values.get
+        values = [value(a + b, NO_PIECE) for a, b in zip(part, part[1:], strict=False)]
+        while values and (best := min(values)) < NO_PIECE:
+            k = values.index(best)
+            part[k] += part.pop(k + 1)
+            del values[k]
+            if k < len(values):
+                values[k] = value(part[k] + part[k + 1], NO_PIECE)
+            if k:
+                values[k - 1] = value(part[k - 1] + part[k], NO_PIECE)
+        return part
+
+    def _chunk(self, chunk: str) -> bytes:
+        """The ids of a chunk's pieces as packed numbers; a sign of no piece is spelled in bytes."""
+        packed = self.packed
+        return b"".join([packed.get(x) or b"".join([self.spelled[c] for c in x.encode()]) for x in self._merged(chunk)])
+
+    def _sizes(self, ids: np.ndarray) -> np.ndarray:
+        """Bytes of the normalised text under each id; of the byte pieces that spell a sign, the last has them all."""
+        sizes = self.widths[ids]
+        spelled = np.flatnonzero(sizes == 0)
+        if len(spelled):
+            value = self.byte_of[ids[spelled]]
+            lead = value & 0xC0 != 0x80
+            first = np.flatnonzero(lead)
+            sizes[spelled[np.append(first[1:], len(spelled)) - 1]] = np.diff(np.append(first, len(spelled)))
+        return sizes
 
     def encode(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, starts, ends), with the begin and end ids, which span nothing."""
@@ -225,14 +255,15 @@ class Model:
         for chunk in self.chunks.findall(normal.decode()):
             own = memory.get(chunk)
             if own is None:
-                own = self._chunk(chunk)
+                own = self.older.get(chunk) or self._chunk(chunk)
                 if len(chunk) <= LONGEST:
                     if len(memory) >= REMEMBERED:
-                        memory.clear()
+                        self.older, self.memory = memory, {}
+                        memory = self.memory
                     memory[chunk] = own
             found.append(own)
-        ids = np.frombuffer(b"".join([x for x, _ in found]), dtype="<u4")
-        sizes = np.frombuffer(b"".join([x for _, x in found]), dtype="<u4").astype(np.int64)
+        ids = np.frombuffer(b"".join(found), dtype="<u4")
+        sizes = self._sizes(ids)
         ends = np.cumsum(sizes)
         starts, ends = place[ends - sizes], place[ends]
         edge = lambda x, first, last: np.concatenate([[first], x, [last]]).astype(np.int32)
@@ -299,7 +330,7 @@ def decode(rows: DataFrame, model: bytes, ids_col: str = "ids", name: str = "dec
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _model(model)
         for batch in batches:
-            texts = [own.decode(ids or []) for ids in batch.column(at).to_pylist()]
+            texts = [own.decode(batch.column(at)[i].as_py() or []) for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], schema.names)
 
     return rows.mapInArrow(run, schema)
@@ -310,24 +341,22 @@ def encoding_report(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_
 
     The ids are digested as unsigned 32-bit integers, least byte first.
     """
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    spanned = F.aggregate(F.arrays_zip("starts", "ends"), F.lit(0).cast("long"), lambda n, x: n + x["ends"] - x["starts"])
-    coded = decode(encode(texts, model).select("id", "ids", spanned.alias("n_spanned")), model)
-    longs, digests = ("n_tokens", "n_spanned"), ("ids_sha256", "decoded_sha256")
     schema = T.StructType([
         T.StructField(id_col, docs.schema[id_col].dataType),
-        *(T.StructField(x, T.LongType()) for x in longs),
-        *(T.StructField(x, T.StringType()) for x in digests),
+        *(T.StructField(x, T.LongType()) for x in ("n_tokens", "n_spanned")),
+        *(T.StructField(x, T.StringType()) for x in ("ids_sha256", "decoded_sha256")),
     ])
 
+    def of(own: Model, text: bytes) -> tuple[int, int, str, str]:
+        ids, starts, ends = own.encode(text)
+        decoded = own.decode(ids.tolist()).encode()
+        return len(ids), int((ends - starts).sum()), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(decoded).hexdigest()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = _model(model)
         for batch in batches:
-            ids = batch.column(1)
-            cuts, flat = ids.offsets.to_numpy(), ids.values.to_numpy().astype("<u4")
-            sizes = np.diff(cuts)
-            digest = [hashlib.sha256(flat[a:b].tobytes()).hexdigest() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            texts = [hashlib.sha256(x).hexdigest() for x in texts_of(batch.column(3))]
-            columns = [batch.column(0), pa.array(sizes, pa.int64()), batch.column(2), pa.array(digest, pa.string()), pa.array(texts, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, schema.names)
-
-    return coded.mapInArrow(run, schema)
+            found = [of(own, x) for x in texts_of(batch.column(1))]
+            columns = [pa.array([x[k] for x in found], pa.int64() if k < 2 else pa.string()) for k in range(4)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], schema.names)
+
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
