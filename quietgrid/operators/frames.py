@@ -5,10 +5,10 @@ Frames have a sample, an integer frame index, a flag ``present`` (0/1) and a ``c
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import intervals
 from .sizes import sized
 
 BOXES = "array<struct<xyxy:array<double>,conf:double,class_id:int>>"
@@ -67,26 +67,17 @@ def presence_events(df: DataFrame, gap: int = 1, sample: str = "sample", frame:
 def match_events(true: DataFrame, pred: DataFrame, tolerance: int = 0, sample: str = "sample") -> DataFrame:
     """(sample, tp, fp, fn, precision, recall, f1, f2) of events (sample, event_start, event_end).
 
-    Predictions in order of start take the unmatched true event with the largest overlap, the first of
-    equals; the tolerance widens true events.  The pairs that overlap come from a join; only the greedy
-    pass over a sample's pairs is Python.
+    Predictions in order of start and end take the unmatched true event with the largest overlap, the first of
+    equals; the tolerance widens true events.  A prediction can only take an event of its own run of overlapping
+    events, so the greedy pass runs over runs, however many of them a sample has.
     """
-    order = lambda df, n: df.withColumn(n, F.row_number().over(Window.partitionBy(sample).orderBy("event_start", "event_end")))
-    t, p = order(true, "ti").alias("t"), order(pred, "pi").alias("p")
-    overlap = F.least(F.col("p.event_end"), F.col("t.event_end") + tolerance) - F.greatest(F.col("p.event_start"), F.col("t.event_start") - tolerance) + 1
-    pairs = p.join(t, F.col(f"p.{sample}") == F.col(f"t.{sample}")).where(overlap > 0).select(F.col(f"p.{sample}").alias(sample), "pi", "ti", overlap.alias("o"))
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        used: set[int] = set()
-        for _, own in pdf.sort_values(["pi", "o", "ti"], ascending=[True, False, True]).groupby("pi", sort=True):
-            for ti in own["ti"]:
-                if ti not in used:
-                    used.add(ti)
-                    break
-        return pd.DataFrame({sample: [pdf[sample].iloc[0]], "tp": [len(used)]})
-
-    hits = pairs.groupBy(sample).applyInPandas(greedy, f"{sample} {dict(true.dtypes)[sample]}, tp long")
-    n = true.groupBy(sample).agg(F.count("*").alias("nt")).join(pred.groupBy(sample).agg(F.count("*").alias("np")), sample, "full_outer").join(hits.hint("merge"), sample, "left").fillna(0, ["nt", "np", "tp"])
+    side = lambda df, wide, is_true: df.select(sample, (F.col("event_start") - wide).cast("long").alias("a"), (F.col("event_end") + wide).cast("long").alias("b"), F.lit(is_true).alias("true"))
+    events = side(true, tolerance, True).unionByName(side(pred, 0, False))
+    runs = intervals.overlap_runs(events.where("a <= b"), sample, "a", "b")
+    hits = intervals.greedy_hits(runs, sample).groupBy(sample).agg(F.sum("hits").alias("tp"))
+    n = events.groupBy(sample).agg(F.count_if("true").alias("nt"), F.count_if(~F.col("true")).alias("np"))
+    hits = hits.select(F.col(sample).alias("_s"), "tp")
+    n = n.join(hits.hint("merge"), n[sample].eqNullSafe(F.col("_s")), "left").drop("_s").fillna(0, ["tp"])
     ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
     tp, fp, fn = F.col("tp"), F.col("np") - F.col("tp"), F.col("nt") - F.col("tp")
     return n.select(sample, "tp", fp.alias("fp"), fn.alias("fn"), ratio(tp, F.col("np")).alias("precision"), ratio(tp, F.col("nt")).alias("recall"), ratio(2 * tp, 2 * tp + fp + fn).alias("f1"), ratio(5 * tp, 5 * tp + fp + 4 * fn).alias("f2"))
@@ -98,12 +89,12 @@ def align_truth(pred: DataFrame, truth: DataFrame, sample: str = "sample", frame
     return known.join(truth.select(sample, frame, F.col("present").alias("truth")), [sample, frame], "left").fillna(0, ["truth"])
 
 
-def label_windows(windows: DataFrame, intervals: DataFrame, least: float = 0.10, sample: str = "sample") -> DataFrame:
-    """Windows (sample, window, start, end) labelled fall where an interval covers ``least`` of them."""
-    w, i = windows.alias("w"), intervals.alias("i")
-    overlap = F.greatest(F.lit(0), F.least(F.col("w.end"), F.col("i.end")) - F.greatest(F.col("w.start"), F.col("i.start")) + 1)
-    share = F.max(F.coalesce(overlap, F.lit(0)) / (F.col("w.end") - F.col("w.start") + 1))
-    return w.join(i.hint("merge"), F.col(f"w.{sample}") == F.col(f"i.{sample}"), "left").groupBy(F.col(f"w.{sample}").alias(sample), "w.window", "w.start", "w.end").agg(F.when(share >= least, "fall").otherwise("nonfall").alias("label"))
+def label_windows(windows: DataFrame, marked: DataFrame, least: float = 0.10, sample: str = "sample") -> DataFrame:
+    """Windows (sample, window, start, end) labelled fall where one of the intervals ``marked`` covers ``least`` of them."""
+    keys = [sample, "window", "start", "end"]
+    share = F.col("overlap") / (F.col("end") - F.col("start") + 1)
+    found = intervals.widest_overlap(windows.select(*keys), marked, sample, keys)
+    return found.select(*keys, F.when(share >= least, "fall").otherwise("nonfall").alias("label"))
 
 
 def sequence_windows(df: DataFrame, n: str, length: int, stride: int) -> DataFrame:
