@@ -188,20 +188,30 @@ def remainder(id_col: str, by: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % by
 
 
+HELD = 50_000  # features
+
+
 def _candidates(train: DataFrame) -> DataFrame:
     """(feature, whole, toxic, clean): documents of either label that hold a word, or a word with a beginning."""
 
+    def counted(seen: dict[int, Counter]) -> pa.RecordBatch:
+        keys = list(seen[0].keys() | seen[1].keys())
+        columns = [pa.array([k[0] for k in keys], pa.binary()), pa.array([k[1] for k in keys], pa.bool_()), *(pa.array([seen[x][k] for k in keys], pa.int64()) for x in (1, 0))]
+        return pa.RecordBatch.from_arrays(columns, ["feature", "whole", "toxic", "clean"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = {0: Counter(), 1: Counter()}
         for batch in batches:
-            seen = {0: Counter(), 1: Counter()}
             for text, label in zip(texts_of(batch.column(0)), batch.column(1).to_pylist(), strict=True):
                 tokens = set(TOKEN.findall(text.lower()))
                 own = {(t, True) for t in tokens}
                 for n in STEMS:
                     own |= {(t[:n], False) for t in tokens if len(t) > n}
                 seen[label].update(own)
-            keys = list(seen[0].keys() | seen[1].keys())
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.binary()), pa.array([k[1] for k in keys], pa.bool_()), pa.array([seen[1][k] for k in keys], pa.int64()), pa.array([seen[0][k] for k in keys], pa.int64())], ["feature", "whole", "toxic", "clean"])
+                if len(seen[0]) + len(seen[1]) >= HELD:  # what a task holds at once; Spark adds the parts up
+                    yield counted(seen)
+                    seen = {0: Counter(), 1: Counter()}
+        yield counted(seen)
 
     parts = train.select("text", "toxic").mapInArrow(count, "feature binary, whole boolean, toxic long, clean long")
     return parts.groupBy("feature", "whole").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
