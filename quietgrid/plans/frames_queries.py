@@ -91,7 +91,7 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("J21_label_windows", """WITH w AS (SELECT o_orderkey AS sample, i AS win, i * 10 AS s, i * 10 + 19 AS e FROM orders, range(0, 4) r(i)), v AS (SELECT l_orderkey AS sample, min(CAST(l_quantity AS BIGINT)) AS s, min(CAST(l_quantity AS BIGINT)) + 6 AS e FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)
-SELECT w.sample, win::INT AS window, CASE WHEN greatest(0, coalesce(least(w.e, v.e) - greatest(w.s, v.s) + 1, 0)) / 20.0::DOUBLE >= 0.10 THEN 'fall' ELSE 'nonfall' END AS label FROM w LEFT JOIN v USING (sample)""")
+SELECT w.sample, win::INT AS window, CASE WHEN v.s IS NOT NULL AND greatest(0, least(w.e, v.e) - greatest(w.s, v.s) + 1) / 20.0::DOUBLE >= 0.10 THEN 'fall' ELSE 'nonfall' END AS label FROM w LEFT JOIN v USING (sample)""")
 def _(t: Tables) -> DataFrame:
     w = t.orders.select(c("o_orderkey").alias("sample"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("window")).withColumns({"start": c("window") * 10, "end": c("window") * 10 + 19})
     q = F.min(c("l_quantity").cast("long"))
