@@ -45,6 +45,22 @@ ADAPTS = {
     "application/x-command-intent": ("application/x-command-intent", "application/x-transcript"),
     "application/x-decibel-level": ("application/x-decibel-level",),
 }
+# Schemas that the adapter may repackage, by target schema; a schema that is not named takes itself alone.
+ADAPTS_SCHEMAS = {
+    "occupancy_count": ("occupancy_count", "room_occupied", "object_detections", "aggregate_summary"),
+    "room_occupied": ("room_occupied", "occupancy_count", "object_detections", "aggregate_summary"),
+    "object_detections": ("object_detections",),
+    "pose_keypoints": ("pose_keypoints",),
+    "sound_event_label": ("sound_event_label",),
+    "decibel_level_duration": ("decibel_level_duration",),
+    "activity_label": ("activity_label", "fall_or_safety_event", "person_at_door_or_intrusion_event"),
+    "fall_or_safety_event": ("fall_or_safety_event", "activity_label"),
+    "person_at_door_or_intrusion_event": ("person_at_door_or_intrusion_event",),
+    "normalized_motion_features": ("normalized_motion_features", "pose_keypoints", "silhouette_frame", "silhouette_video_stream"),
+    "multimodal_primitive_record": ("multimodal_primitive_record",),
+    "aggregate_summary": ("aggregate_summary",),
+}
+ADAPTER = "op.schema_adapter"
 # Operators that keep the family of their input.
 KEEPING = ("op.sample", "op.window", "op.trigger_gate", "op.region_select_crop", "op.region_mask_blur")
 MEDIA = (("video/x-redacted", "video/x-raw"), ("image/x-redacted", "image/x-raw"), ("audio/x-filtered", "audio/x-raw"), ("image/x-raw", "image/x-redacted"), ("video/x-raw", "video/x-redacted"))
@@ -100,13 +116,19 @@ def goal_score(out_type: Column, out_schema: Column, goal_type: Column, goal_sch
 
 
 def adapter_allowed(up_type: Column, up_schema: Column, target_type: Column, target_schema: Column) -> Column:
-    """Whether the schema adapter may repackage an output: the same type and no other schema, media that the goal takes, or a type of ADAPTS; two known schemas must be equal."""
+    """Whether the schema adapter may repackage an output: the same type and no other schema, media that the goal takes, or a type of ADAPTS.
+
+    In the last case two known schemas must be equal or a pair of ADAPTS_SCHEMAS.
+    """
     u, t = canon_type(up_type), canon_type(target_type)
-    schemas_fit = (F.coalesce(target_schema, F.lit("")) == "") | (F.coalesce(up_schema, F.lit("")) == "") | (up_schema == target_schema)
+    up, target = (F.coalesce(x, F.lit("")) for x in (up_schema, target_schema))
+    unknown = (up == "") | (target == "")
     media = t.isin("image/x-redacted", "video/x-redacted", "audio/x-filtered", "image/x-raw", "video/x-raw", "audio/x-raw")
     canon = lambda x: ALIASES.get(x, x)
     adapts = in_pairs(u, t, sorted({(canon(a), b) for b, as_ in ADAPTS.items() for a in as_}))
-    return F.when(t == "", False).when((u == t) & schemas_fit, True).when(media, goal_score(up_type, up_schema, target_type, target_schema).isNotNull()).otherwise(adapts & schemas_fit)
+    packs = (up == target) | in_pairs(up, target, [(a, b) for b, as_ in ADAPTS_SCHEMAS.items() for a in as_])
+    goal = goal_score(up_type, up_schema, target_type, target_schema).isNotNull()
+    return F.when(t == "", False).when((u == t) & (unknown | (up == target)), True).when(media, goal).otherwise(adapts & (unknown | packs))
 
 
 def keeps_family(operator: Column, in_type: Column, out_type: Column) -> Column:
@@ -118,18 +140,26 @@ def keeps_family(operator: Column, in_type: Column, out_type: Column) -> Column:
     return F.when(media, media_family(i) == media_family(o)).when(operator == "op.trigger_gate", gate).when(operator == "op.window", o == "application/x-windowed-events").when(operator == "op.speech_content_removal", speech).otherwise(True)
 
 
-def compatible_edges(operators: DataFrame) -> DataFrame:
-    """(a, b) of operator ids whose output feeds the other's input and is plausible there; the schema adapter takes what it may repackage.
+def compatible_steps(operators: DataFrame) -> DataFrame:
+    """(a, a_type, a_schema, b, b_type, b_schema): outputs of operators, and the outputs that another operator makes of them.
 
-    ``operators``: op, in_type, in_schema, out_type, out_schema, one row a variant.
+    An operator takes an output that fits its input and is plausible for its own output; the schema adapter takes
+    what it may repackage.  ``operators``: op, in_type, in_schema, out_type, out_schema, one row a variant.
     """
-    up = operators.select(F.col("op").alias("up_id"), F.col("out_type").alias("up_type"), F.col("out_schema").alias("up_schema")).distinct()
-    down = operators.select(F.xxhash64(*operators.columns).alias("down_id"), F.col("in_type").alias("down_type"), F.col("in_schema").alias("down_schema"), F.col("op").alias("b"), F.col("out_type").alias("b_type"), F.col("out_schema").alias("b_schema")).distinct()
-    number = up.withColumn("_u", F.xxhash64("up_id", "up_type", "up_schema"))
-    fits = compatible_caps(number.select(F.col("_u").alias("up_id"), "up_type", "up_schema"), down.where("b <> 'op.schema_adapter'").select("down_id", "down_type", "down_schema"))
-    pairs = fits.withColumnRenamed("up_id", "_u").join(number.hint("merge"), "_u").join(down.hint("merge"), "down_id").where(keeps_family(F.col("b"), F.col("up_type"), F.col("b_type")))
-    adapters = number.crossJoin(down.where("b = 'op.schema_adapter'")).where(adapter_allowed(F.col("up_type"), F.col("up_schema"), F.col("b_type"), F.col("b_schema")))  # the variants of one operator
-    return pairs.select(F.col("up_id").alias("a"), "b").unionByName(adapters.select(F.col("up_id").alias("a"), "b")).where("a <> b").distinct()
+    up = operators.select(F.col("op").alias("a"), F.col("out_type").alias("a_type"), F.col("out_schema").alias("a_schema")).distinct()
+    up = up.withColumn("_u", F.xxhash64("a", "a_type", "a_schema"))
+    down = operators.select(F.xxhash64("op", "in_type", "in_schema", "out_type", "out_schema").alias("down_id"), F.col("in_type").alias("down_type"), F.col("in_schema").alias("down_schema"), F.col("op").alias("b"), F.col("out_type").alias("b_type"), F.col("out_schema").alias("b_schema")).distinct()
+    fits = compatible_caps(up.select(F.col("_u").alias("up_id"), F.col("a_type").alias("up_type"), F.col("a_schema").alias("up_schema")), down.where(F.col("b") != ADAPTER).select("down_id", "down_type", "down_schema"))
+    pairs = fits.withColumnRenamed("up_id", "_u").join(up.hint("merge"), "_u").join(down.hint("merge"), "down_id").where(keeps_family(F.col("b"), F.col("a_type"), F.col("b_type")))
+    # the adapter's own outputs, a few, stand beside each output
+    adapters = up.crossJoin(down.where(F.col("b") == ADAPTER)).where(adapter_allowed(F.col("a_type"), F.col("a_schema"), F.col("b_type"), F.col("b_schema")))
+    step = ["a", "a_type", "a_schema", "b", "b_type", "b_schema"]
+    return pairs.select(*step).unionByName(adapters.select(*step)).where("a <> b").distinct()
+
+
+def compatible_edges(operators: DataFrame) -> DataFrame:
+    """(a, b) of operator ids of which some output feeds the other."""
+    return compatible_steps(operators).select("a", "b").distinct()
 
 
 def compatible_caps(up: DataFrame, down: DataFrame) -> DataFrame:

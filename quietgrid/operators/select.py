@@ -5,13 +5,13 @@ Candidates have a request, an id, a disclosure vector (MAP<STRING, INT>), costs
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import caps, risk
+from . import skyline
 from .sizes import sized
+from .tables import durable
 
 
 def first_per(df: DataFrame, key: list[str], order: list[Column], k: int = 1) -> DataFrame:
@@ -41,28 +41,9 @@ def selection_input(candidates: DataFrame, verdicts: DataFrame, probes: DataFram
     return candidates.join(verdicts, "candidate", "left").join(last, "candidate", "left").withColumn("residual", F.greatest(F.coalesce("probed", F.lit(0)), F.col("declared")))
 
 
-def pareto_front(df: DataFrame, request: str, key: str, attrs: list[str], block: int = 256) -> DataFrame:
-    """Rows that no other row of their request beats: at most as high everywhere and lower somewhere.
-
-    Only distinct vectors of a request are compared.  They are dealt to blocks; a block's own front is found
-    first, and only fronts are compared across blocks, so a request of very many vectors is many tasks' work.
-    """
-    vectors = df.select(request, *attrs).distinct()
-    sums = reduce(lambda x, y: x + y, [F.col(c) for c in attrs])
-    vector = F.struct(sums.alias("s"), F.array(*attrs).alias("v"))
-    # a vector can only be beaten by one of a smaller sum, so those before it in order are enough
-    beaten = lambda x, y: F.exists(x, lambda a: (a["s"] < y["s"]) & F.forall(F.zip_with(a["v"], y["v"], lambda p, q: p <= q), lambda ok: ok))
-    front = lambda x: F.aggregate(F.array_sort(x), F.slice(x, 1, 0), lambda acc, y: F.when(beaten(acc, y), acc).otherwise(F.array_append(acc, y)))
-    sizes = vectors.groupBy(request).agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("_cuts"))
-    dealt = vectors.join(sizes, request).withColumn("_cut", F.pmod(F.xxhash64(*attrs), F.col("_cuts")))
-    own = dealt.groupBy(request, "_cuts", "_cut").agg(front(F.collect_list(vector)).alias("f"))
-    one = own.where("_cuts = 1").select(request, F.explode("f").alias("y"))
-    a, b = own.where("_cuts > 1").alias("a"), own.where("_cuts > 1").alias("b")
-    pairs = a.join(b.hint("merge"), (F.col(f"a.{request}") == F.col(f"b.{request}")) & (F.col("a._cut") != F.col("b._cut")), "left")
-    left = pairs.select(F.col(f"a.{request}").alias(request), F.explode(F.filter("a.f", lambda y: ~F.coalesce(beaten(F.col("b.f"), y), F.lit(False)))).alias("y"), F.coalesce(F.col("a._cuts") - 1, F.lit(0)).alias("others"))
-    many = left.groupBy(request, "y").agg(F.count("*").alias("n"), F.first("others").alias("others")).where("n = others").select(request, "y")
-    best = one.unionByName(many).select(request, *[F.col("y.v")[i].alias(c) for i, c in enumerate(attrs)])
-    return df.join(best.hint("merge"), [request, *attrs], "left_semi")
+def pareto_front(df: DataFrame, request: str, key: str, attrs: list[str], block: int = skyline.BLOCK) -> DataFrame:
+    """Rows that no other row of their request beats: at most as high everywhere and lower somewhere."""
+    return skyline.pareto_front(df, request, attrs, block=block)
 
 
 def ranking_order(method: str) -> list[Column]:
@@ -173,14 +154,38 @@ def allowed_sources(has: Column, allowed: Column, forbidden: Column) -> Column:
 
 
 def expand_paths(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
-    """(start, path): operator chains along edges (a, b) of up to ``depth`` operators, none twice."""
-    edges = sized(edges)
-    level = starts.select(F.col("start"), F.array("start").alias("path"))
+    """(start, path): operator chains along edges (a, b) of up to ``depth`` operators, none twice.
+
+    The chains of each length are written once and only they are prolonged.
+    """
+    edges = edges.select("a", "b")
+    level = durable(starts.select("start", F.array("start").alias("path"), F.col("start").alias("a")), "paths")
+    out = level
+    for _ in range(depth - 1):
+        grown = level.join(edges.hint("merge"), "a").where(~F.array_contains("path", F.col("b")))
+        level = durable(grown.select("start", F.array_append("path", F.col("b")).alias("path"), F.col("b").alias("a")), "paths")
+        out = out.unionByName(level)
+    return out.select("start", "path")
+
+
+def expand_steps(steps: DataFrame, starts: DataFrame, depth: int = 7) -> DataFrame:
+    """(start, path, type, schema): chains of operators along steps (``caps.compatible_steps``) from the outputs ``starts`` (op, type, schema).
+
+    A chain goes on from the output that its last operator has made, so an operator with several outputs is several
+    chains; no operator stands in a chain twice, the schema adapter included.  ``type`` and ``schema`` are those of the
+    chain's output.  The steps are written once, and so are the chains of each length, of which only those are prolonged.
+    """
+    output = lambda *cs: F.xxhash64(*[F.coalesce(F.col(x), F.lit("")) for x in cs])
+    steps = durable(steps.withColumn("at", output("a", "a_type", "a_schema")), "steps")
+    first = starts.select(F.col("op").alias("start"), F.array("op").alias("path"), "type", "schema", output("op", "type", "schema").alias("at")).distinct()
+    level = durable(first, "chains")
     out = level
     for _ in range(depth - 1):
-        level = level.withColumn("a", F.element_at("path", -1)).join(edges, "a").where(~F.array_contains("path", F.col("b"))).select("start", F.array_append("path", F.col("b")).alias("path"))
+        grown = level.select("start", "path", "at").join(steps.hint("merge"), "at").where(~F.array_contains("path", F.col("b")))
+        grown = grown.select("start", F.array_append("path", F.col("b")).alias("path"), F.col("b_type").alias("type"), F.col("b_schema").alias("schema"), output("b", "b_type", "b_schema").alias("at"))
+        level = durable(grown.distinct(), "chains")
         out = out.unionByName(level)
-    return out
+    return out.drop("at")
 
 
 def overlay_context(requests: DataFrame, scenarios: DataFrame) -> DataFrame:

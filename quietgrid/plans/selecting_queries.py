@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import caps, risk
 from ..operators import rules, select
+from ..operators.tables import durable
 from ..sources.scratch import scratch
 from .registry import Tables, query
 from .risk_queries import LEVELS_SQL, vectors, weighted_sql
@@ -212,11 +213,56 @@ def _(t: Tables) -> DataFrame:
 
 @query("J18_expand_paths", _OPS + ", p(start, path) AS (SELECT DISTINCT a, [a] FROM e UNION ALL SELECT start, list_append(path, b) FROM p JOIN e ON path[-1] = a WHERE NOT list_contains(path, b) AND len(path) < 3) SELECT start, array_to_string(path, '>') AS path FROM p")
 def _(t: Tables) -> DataFrame:
-    e = operator_edges(t).cache()  # a few rows for each operator, read at every level
+    e = durable(operator_edges(t), "edges")
     p = select.expand_paths(e, e.select(c("a").alias("start")).distinct(), 3)
     return p.select("start", F.array_join("path", ">").alias("path"))
 
 
+_MADE = ("application/x-occupancy-count", "application/x-detections", "application/x-aggregate", "application/x-activity-label", "application/x-pose-keypoints", "application/x-sound-event-label", "video/x-raw")
+_SCHEMAS = ("occupancy_count", "object_detections", "aggregate_summary", "fall_or_safety_event", "pose_keypoints", "sound_event_label", "")
+_TARGETS = ("application/x-binary-occupancy", "application/x-activity-label", "application/x-motion-features", "application/x-occupancy-count", "video/x-redacted", "application/x-sound-event")
+_TARGET_SCHEMAS = ("room_occupied", "activity_label", "normalized_motion_features", "occupancy_count", "", "sound_event_label")
+# operators are brands of parts, each with one output and input; the adapter has a variant for each target
+_STEPS = f"""WITH RECURSIVE n AS (SELECT DISTINCT p_brand, dense_rank() OVER (ORDER BY p_brand) AS k FROM part),
+o AS (SELECT 'op' || k AS op, {list(_MADE)}[1 + (k * 2) % 7] AS it, {list(_SCHEMAS)}[1 + (k * 2) % 7] AS isc, {list(_MADE)}[1 + k % 7] AS ot, {list(_SCHEMAS)}[1 + k % 7] AS osc FROM n),
+v AS (SELECT 'op.schema_adapter' AS op, unnest({list(_TARGETS)}) AS ot, unnest({list(_TARGET_SCHEMAS)}) AS osc),
+q(a, b) AS (VALUES {_PAIRS}),
+packs(a, b) AS (VALUES ('room_occupied', 'occupancy_count'), ('object_detections', 'occupancy_count'), ('aggregate_summary', 'occupancy_count'), ('occupancy_count', 'room_occupied'), ('object_detections', 'room_occupied'), ('aggregate_summary', 'room_occupied'),
+ ('fall_or_safety_event', 'activity_label'), ('person_at_door_or_intrusion_event', 'activity_label'), ('activity_label', 'fall_or_safety_event'), ('pose_keypoints', 'normalized_motion_features'), ('silhouette_frame', 'normalized_motion_features'), ('silhouette_video_stream', 'normalized_motion_features')),
+takes(a, b) AS (VALUES ('application/x-occupancy', 'application/x-occupancy'), ('application/x-detections', 'application/x-occupancy'), ('application/x-aggregate', 'application/x-occupancy'), ('application/x-activity-event', 'application/x-activity-event'), ('application/x-sound-event', 'application/x-sound-event'),
+ ('application/x-motion-features', 'application/x-motion-features'), ('application/x-pose-keypoints', 'application/x-motion-features'), ('video/x-silhouette', 'application/x-motion-features'), ('image/x-silhouette', 'application/x-motion-features')),
+x AS (SELECT op, ot, osc, {_CANON.format('ot')} AS t FROM o UNION SELECT op, ot, osc, {_CANON.format('ot')} FROM v),
+e AS (SELECT DISTINCT x.op AS a, x.ot AS aty, x.osc AS asc_, y.op AS b, y.ot AS bt, y.osc AS bsc FROM x JOIN o y ON x.op <> y.op AND (x.t = {_CANON.format('y.it')} OR (x.osc = y.isc AND x.osc <> '') OR EXISTS (SELECT 1 FROM q WHERE q.a = x.t AND q.b = {_CANON.format('y.it')}))
+ UNION SELECT x.op, x.ot, x.osc, y.op, y.ot, y.osc FROM x JOIN v y ON x.op <> y.op WHERE CASE WHEN x.t = {_CANON.format('y.ot')} AND (x.osc = '' OR y.osc = '' OR x.osc = y.osc) THEN true WHEN y.ot = 'video/x-redacted' THEN x.t IN ('video/x-redacted', 'video/x-raw')
+  ELSE EXISTS (SELECT 1 FROM takes WHERE takes.a = x.t AND takes.b = {_CANON.format('y.ot')}) AND (x.osc = '' OR y.osc = '' OR x.osc = y.osc OR EXISTS (SELECT 1 FROM packs WHERE packs.a = x.osc AND packs.b = y.osc)) END)
+"""
+
+
+def adapting_operators(t: Tables) -> DataFrame:
+    """Operators with types and schemas by the rank of a brand, and the adapter's variants."""
+    rank = F.dense_rank().over(Window.orderBy("p_brand")).alias("k")  # a row a brand
+    pick = lambda xs, k: F.element_at(F.array(*map(F.lit, xs)), (1 + k % len(xs)).cast("int"))
+    k = c("k")
+    own = t.part.select("p_brand").distinct().select(rank)
+    own = own.select(F.concat(F.lit("op"), k).alias("op"), pick(_MADE, k * 2).alias("in_type"), pick(_SCHEMAS, k * 2).alias("in_schema"), pick(_MADE, k).alias("out_type"), pick(_SCHEMAS, k).alias("out_schema"))
+    targets = F.inline(F.arrays_zip(F.array(*map(F.lit, _TARGETS)).alias("out_type"), F.array(*map(F.lit, _TARGET_SCHEMAS)).alias("out_schema")))
+    one = t.part.limit(1).select(F.lit(caps.ADAPTER).alias("op"), F.lit("*").alias("in_type"), F.lit("").alias("in_schema"), targets)
+    return own.unionByName(one)
+
+
+@query("J18_adapter_steps", _STEPS + "SELECT a, aty AS a_type, asc_ AS a_schema, b, bt AS b_type, bsc AS b_schema FROM e")
+def _(t: Tables) -> DataFrame:
+    return caps.compatible_steps(adapting_operators(t))
+
+
+@query("J18_expand_steps", _STEPS + """, p(start, path, t, s) AS (SELECT DISTINCT a, [a], aty, asc_ FROM e WHERE a IN ('op1', 'op2', 'op3', 'op4') UNION ALL SELECT start, list_append(path, b), bt, bsc FROM p JOIN e ON path[-1] = a AND aty = t AND asc_ = s WHERE NOT list_contains(path, b) AND len(path) < 4)
+SELECT DISTINCT start, array_to_string(path, '>') AS path, t AS type, s AS schema FROM p""")
+def _(t: Tables) -> DataFrame:
+    operators = durable(adapting_operators(t), "operators")
+    starts = operators.where("op in ('op1', 'op2', 'op3', 'op4')").select("op", c("out_type").alias("type"), c("out_schema").alias("schema"))
+    return select.expand_steps(caps.compatible_steps(operators), starts, 4).withColumn("path", F.array_join("path", ">"))
+
+
 @query("J19_overlay_context", """WITH r AS (SELECT o_orderkey AS request, o_orderpriority AS task, o_orderstatus AS space, 'p' || o_custkey % 4 AS purpose FROM orders), s AS (SELECT n_nationkey AS scenario, ['1-URGENT','2-HIGH','3-MEDIUM','5-LOW'][1 + n_nationkey % 4] AS task, CASE WHEN n_regionkey > 2 THEN n_name END AS space FROM nation)
 SELECT r.request || '__' || s.scenario AS request, task, coalesce(s.space, r.space) AS space, purpose, 'assumed' AS principle, CASE WHEN s.scenario % 2 = 0 THEN 'base,' || 'extra' ELSE 'base' END AS tags FROM r JOIN s USING (task)""")
 def _(t: Tables) -> DataFrame:
