@@ -134,6 +134,15 @@ def _(t: Tables) -> DataFrame:
     return t.spark.read.parquet(path).select("event_id", "user_id")
 
 
+@query("T02_trailing_stream", """WITH e AS (SELECT event_id, user_id, epoch_ms(ts) AS ms FROM events)
+SELECT a.event_id, a.user_id, count(*) AS n, sum(b.event_id % 7)::DOUBLE AS total FROM e a JOIN e b ON b.user_id = a.user_id AND b.ms >= a.ms - 86400000 AND (b.ms, b.event_id) <= (a.ms, a.event_id) GROUP BY ALL""")
+def _(t: Tables) -> DataFrame:
+    rows = event_stream(t).select("event_id", "user_id", F.unix_millis(c("ts").cast("timestamp")).alias("ms"), (c("event_id") % 7).cast("double").alias("value"))
+    path = scratch(t.spark, "trailed")
+    streams.publish_stream(streams.trailing_stream(rows, "user_id", "ms", "value", 86_400_000, "event_id"), path, path + "-log").awaitTermination()
+    return t.spark.read.parquet(path).select("event_id", "user_id", "n", "total")
+
+
 @query("T03_gate_stream", "SELECT event_id FROM events WHERE value > 60")
 def _(t: Tables) -> DataFrame:
     rows = event_stream(t).select("event_id", F.create_map(F.lit("value"), "value").alias("readings"))
@@ -160,6 +169,19 @@ def _(t: Tables) -> DataFrame:
     return t.spark.read.parquet(path).select("event_id", "user_id", "best")
 
 
+@query("T05_switch_stream", """WITH d AS (SELECT event_id, user_id, CASE WHEN p.size IS NULL THEN 'no_compromise' ELSE 'select_pipeline' END AS decision, best FROM events LEFT JOIN (SELECT p_size AS size, min(p_partkey) % 3 AS best FROM part WHERE p_size > 20 GROUP BY 1) p ON p.size = event_id % 50 + 1),
+s AS (SELECT *, decision || '>' || coalesce(best::VARCHAR, '') AS sign, lag(decision || '>' || coalesce(best::VARCHAR, '')) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM d)
+SELECT user_id, count(*) AS phases, count(*) FILTER (before <> sign) AS switches, count(*) FILTER (decision = 'select_pipeline') AS selects FROM s GROUP BY user_id""")
+def _(t: Tables) -> DataFrame:
+    contexts = event_stream(t).select("event_id", "user_id", (c("event_id") % 50 + 1).alias("size"))
+    candidates = t.part.where("p_size > 20").groupBy(c("p_size").cast("long").alias("size")).agg((F.min("p_partkey") % 3).alias("best"))
+    decided = contexts.join(candidates.hint("merge"), "size", "left").withColumn("decision", F.when(c("best").isNull(), "no_compromise").otherwise("select_pipeline"))
+    sign = F.concat_ws(">", "decision", F.coalesce(c("best").cast("string"), F.lit("")))
+    path = scratch(t.spark, "switched")
+    streams.update_stream(streams.switch_stream(decided, ["user_id"], "event_id", sign, selects=c("decision") == "select_pipeline"), path, path + "-log").awaitTermination()
+    return streams.latest(t.spark.read.parquet(path), ["user_id"])
+
+
 @query("T06_probe_stream", "SELECT user_id, 3::INT AS aggregate_presence, CASE WHEN max(event_id % 3) >= 2 THEN 3 ELSE 1 END::INT AS co_presence, CASE WHEN count(*) >= 168 THEN 3 WHEN count(*) >= 24 THEN 2 ELSE 0 END::INT AS activity FROM events GROUP BY user_id")
 def _(t: Tables) -> DataFrame:
     rows = event_stream(t).select("user_id", (c("event_id") % 3).alias("people"))
