@@ -173,8 +173,9 @@ def train_quality(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id",
                 cut = np.searchsorted(row[order], np.arange(1, b - a))
                 yield pa.RecordBatch.from_arrays([pa.array(code(votes(m.values))), pa.array([x.tolist() for x in np.split(feature[order].astype(np.int32), cut)], pa.list_(pa.int32())), pa.array([x.tolist() for x in np.split(value[order], cut)], pa.list_(pa.float64()))], ["pattern", "f", "v"])
 
-    chosen = docs.select(F.col(id_col).alias("_id")).where("_id is not null").orderBy(F.xxhash64("_id"), "_id").limit(sample).distinct()
-    taken = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("_id")).select(text_col).mapInArrow(feature_rows, "pattern long, f array<int>, v array<double>").limit(sample).collect()
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))  # whatever other columns are called
+    chosen = own.select("id").where("id is not null").orderBy(F.xxhash64("id"), "id").limit(sample).distinct()
+    taken = own.join(F.broadcast(chosen), "id").select("text").mapInArrow(feature_rows, "pattern long, f array<int>, v array<double>").limit(sample).collect()
     weights, bias = fit([np.array(r.f) for r in taken], [np.array(r.v) for r in taken], np.array([posterior[r.pattern] for r in taken]))
     return QualityModel(weights, bias, posterior)
 

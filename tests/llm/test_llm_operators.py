@@ -491,3 +491,27 @@ def test_line_keys_that_share_half_a_hash(spark):
     shard = line_dedup.build_shards(counts, 1).toPandas().iloc[0]
     asked = np.array([[5, 1], [5, 2], [5, 3], [5, 4], [6, 1], [7, 1]])
     assert line_dedup._is_frequent(shard, asked, 10).tolist() == [False, True, True, False, True, False]
+
+
+def test_quality_with_clashing_columns(spark):
+    """Other columns are not read, whatever their names."""
+    rows = [(i, ROWS[i % len(ROWS)][1]) for i in range(60)]
+    plain = spark.createDataFrame(rows, "doc_id long, text string")
+    odd = plain.selectExpr("*", "1 AS _id", "2 AS id", "3 AS pattern", "4 AS n", "5 AS f", "6 AS v", "7 AS score", "8 AS kept")
+    model, other = weak_quality.train_quality(plain), weak_quality.train_quality(odd)
+    assert np.allclose(model.weights, other.weights) and model.posterior == other.posterior
+    assert counted(weak_quality.score_quality(odd, other).collect()) == counted(weak_quality.score_quality(plain, model).collect())
+
+
+def test_quality_posterior_agrees_with_votes(spark):
+    """More votes for good never lower the posterior, and the scorer follows the posterior on its own training texts."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = weak_quality.train_quality(docs)
+    own = {tuple(p // 3**k % 3 for k in range(len(weak_quality.LABELLERS))): v for p, v in model.posterior.items()}
+    rows = weak_quality.score_quality(docs, model).collect()
+    weak, score = np.array([r.weak_label for r in rows]), np.array([r.score for r in rows])
+    assert set(np.round(weak, 12)) <= set(np.round(list(own.values()), 12)) | {0.5}
+    assert ((weak >= 0.5) == (score >= 0.5)).mean() > 0.9 and all(r.kept == (r.score >= 0.5) for r in rows)
+    labels = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    hits = [(r.score >= 0.5) == bool(labels[r.doc_id]) for r in rows if r.doc_id in labels]
+    assert np.mean(hits) > 0.85  # labels.quality, which the model never sees
