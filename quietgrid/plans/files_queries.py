@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import observe, stages
+from ..operators.flows import AV_STEPS
 from ..sources import manifests, scans
 from ..sources.scratch import scratch
 from ..streaming import streams
@@ -264,3 +265,62 @@ def _(t: Tables) -> DataFrame:
     docs = t.nation.select("n_nationkey", F.concat(F.lit("n"), "n_nationkey").alias("id"), c("n_name").alias("task"), F.when(c("n_regionkey") > 1, F.array(F.concat(F.lit("r"), "n_regionkey"))).alias("location"))
     docs.write.partitionBy("n_nationkey").json(path)
     return scans.read_scenarios(t.spark, f"{path}/*").select("scenario_id", "task", "space")
+
+
+@query("S04_list_media", "SELECT 'c_nationkey=' || c_nationkey AS folder, sum(strlen(c_name) + 1)::BIGINT AS length, 'audio' AS type FROM customer GROUP BY c_nationkey")
+def _(t: Tables) -> DataFrame:
+    path = scratch(t.spark, "media")
+    named = t.customer.select("c_nationkey", "c_name").repartition("c_nationkey")
+    named.write.partitionBy("c_nationkey").option("extension", "wav").csv(path)
+    named.write.partitionBy("c_nationkey").mode("append").option("extension", "txt").csv(path)  # no media
+    got = scans.list_media(t.spark, path, "audio")
+    return got.select(F.element_at(F.split("path", "/"), -2).alias("folder"), "length", "type")
+
+
+@query("S15_read_run_summary", "SELECT 's' || c_custkey AS scenario_id, m AS method_id, c_mktsegment AS task, CASE WHEN m = 'raw' THEN 'baseline' WHEN c_custkey % 2 = 0 THEN 'own' ELSE 'ablation' END AS method_kind FROM customer, (VALUES ('raw'), ('ablation:x')) v(m)")
+def _(t: Tables) -> DataFrame:
+    row = lambda kind: F.struct(c("c_mktsegment").alias("task"), kind.alias("method_kind"))
+    none = F.lit(None).cast("string")
+    methods = F.create_map(F.lit("raw"), row(none), F.lit("ablation:x"), row(F.when(c("c_custkey") % 2 == 0, "own")))
+    docs = t.customer.groupBy("c_nationkey").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("s"), "c_custkey"), methods)))).alias("value"))
+    path = scratch(t.spark, "summaries")
+    docs.repartition("c_nationkey").write.partitionBy("c_nationkey").text(path)
+    return scans.read_run_summary(t.spark, f"{path}/*").select("scenario_id", "method_id", "task", "method_kind")
+
+
+@query("S16_read_run_tree", "SELECT 'S' || n_regionkey AS scenario_id, m AS method_id, CASE m WHEN 'raw' THEN 'baseline' ELSE 'ablation' END AS kind, CASE m WHEN 'raw' THEN a ELSE b END AS task FROM (SELECT n_regionkey, min(n_name) AS a, max(n_name) AS b FROM nation GROUP BY 1), (VALUES ('raw'), ('ablation:no_x')) v(m)")
+def _(t: Tables) -> DataFrame:
+    root = scratch(t.spark, "tree")
+    for r in t.region.select("r_regionkey").collect():  # a folder a scenario
+        own = t.nation.where(c("n_regionkey") == r.r_regionkey)
+        for kind, method, task in (("baselines", "raw", F.min("n_name")), ("ablations", "no_x", F.max("n_name"))):
+            own.agg(task.alias("task")).write.json(f"{root}/S{r.r_regionkey}/{kind}/{method}/result.json")
+    return scans.read_run_tree(t.spark, root).select("scenario_id", "method_id", "kind", "task")
+
+
+_STAGE_SQL = """WITH e AS (SELECT *, epoch_ms(ts) AS ms, CASE WHEN event_type IN ('click', 'view') THEN 'person' ELSE event_type END AS label FROM events),
+n AS (SELECT count(*) AS n, count(DISTINCT event_id) AS items, count(DISTINCT user_id) AS users, count(DISTINCT user_id || '|' || event_id % 3) AS frames, count(DISTINCT epoch_ms(ts) // 1000) AS seconds, count(DISTINCT user_id || '|' || epoch_ms(ts) // 3600000) AS hours, count(*) FILTER (value > 40) AS gated,
+ (SELECT count(*) FROM (__LIMIT__)) AS limited FROM e)
+SELECT unnest(['op.source', 'op.sample', 'op.window', 'op.trigger_gate', 'op.join_fuse', 'op.route_publish', 'op.schema_adapter', 'op.region_select_crop', 'op.region_mask_blur', 'op.audio_level_extractor', 'op.speech_sound_classifier', 'op.keyword_intent_extractor', 'op.speech_content_removal', 'op.youhome_av_adapter', 'op.occupancy_deriver', 'op.activity_event_classifier', 'op.aggregate_generalize', 'op.motion_feature_extractor', 'op.multimodal_primitive_fuser']) AS operator_id,
+ unnest([n, limited, n, gated, n, n, n, frames, n, n, n, n, n, n, n, n, hours, users, seconds])::BIGINT AS n FROM n""".replace("__LIMIT__", SQL["W02_rate_limit"])
+
+
+@query("X01_apply_stages", _STAGE_SQL)
+def _(t: Tables) -> DataFrame:
+    """The rows that each operator of the registry makes of the events; those that only pass components on are left to X02."""
+    label = F.when(c("event_type").isin("click", "view"), "person").otherwise(c("event_type"))
+    found = F.array(F.struct(label.alias("label"), (c("value") / 100).alias("confidence")))
+    text = lambda *xs: F.create_map(*map(F.lit, xs))
+    df = t.events.select(
+        "event_id", c("event_id").alias("item_id"), c("user_id").alias("source_id"), c("user_id").alias("sample_id"), (c("event_id") % 3).alias("frame_index"), F.unix_millis(c("ts").cast("timestamp")).alias("timestamp_ms"), c("ts").cast("timestamp").alias("ts"),
+        "value", found.alias("annotations"), F.create_map(F.lit("value"), "value").alias("readings"), label.alias("label"), F.array(label).alias("labels"), F.lit(None).cast("boolean").alias("fallen"), F.lit(1).alias("people"), text("visual", "raw").alias("components"),
+        text("x", "y").alias("properties"), F.concat(F.lit("turn on "), "event_type").alias("transcript"), F.array((c("value") / 500).cast("float"), F.lit(-0.05).cast("float")).alias("samples"), F.lit(1).alias("x1"), F.lit(2).alias("y1"), F.lit(3).alias("x2"), F.lit(4).alias("y2"),
+    )
+    params = {"op.sample": {"period_ms": 21_600_000}, "op.window": {"window_ms": 60_000}, "op.trigger_gate": {"condition": "value > 40"}}
+    out = None
+    for name in stages.REGISTRY:
+        if name not in AV_STEPS and name != "op.drop_discard":  # that one never has rows
+            made = stages.apply_stage(df, name, **params.get(name, {}))
+            one = made.agg(F.count(F.struct(*made.columns)).alias("n")).select(F.lit(name).alias("operator_id"), "n")
+            out = one if out is None else out.unionByName(one)
+    return out

@@ -138,8 +138,10 @@ def read_run_summary(spark: SparkSession, path: str) -> DataFrame:
 def read_run_tree(spark: SparkSession, root: str) -> DataFrame:
     """Rows of ``<scenario>/{baselines,ablations}/<method>/result.json``; ids come from the path."""
     df = spark.read.schema(RUN_ROW).option("multiLine", True).json(f"{root}/*/*/*/result.json").select("*", "_metadata.file_path")
-    part = lambda k: F.element_at(F.split("file_path", "/"), k)
-    return df.select(part(-4).alias("scenario_id"), F.when(part(-3) == "ablations", F.concat(F.lit("ablation:"), part(-2))).otherwise(part(-2)).alias("method_id"), F.rtrim(part(-3), F.lit("s")).alias("kind"), *[c.split()[0] for c in RUN_ROW.split(", ")])
+    # a result is a file, or the folder that a job wrote in its place
+    part = lambda k: F.regexp_extract("file_path", "([^/]+)/(baselines|ablations)/([^/]+)/result[.]json", k)
+    method = F.when(part(2) == "ablations", F.concat(F.lit("ablation:"), part(3))).otherwise(part(3))
+    return df.select(part(1).alias("scenario_id"), method.alias("method_id"), F.rtrim(part(2), F.lit("s")).alias("kind"), *[c.split()[0] for c in RUN_ROW.split(", ")])
 
 
 def union_survey(stores: dict[str, DataFrame], session: str = "session") -> DataFrame:
