@@ -34,14 +34,14 @@ BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd
 SKIPPED = frozenset("script style noscript template svg math iframe object canvas select textarea button head audio video".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 FRAME_TAGS = frozenset("nav aside footer form header dialog menu fieldset".split())
-FRAME_WORDS = frozenset("ad ads adv advert adverts advertisement adslot alert banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus disclaimer footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice notification pagination pager popup promo promoted promotion recommended related reply replies respond search share sharing sidebar signup social sponsor sponsored subscribe subscription tags toolbar widget".split())
+FRAME_WORDS = frozenset("ad ads adv advert adverts advertisement adslot alert banner breadcrumb breadcrumbs comment comments cookie cookies consent discussion disqus disclaimer footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice notification pagination pager popup promo promoted promotion recommended related reply replies respond search share sharing sidebar signup social sponsor sponsored subscribe subscription tags toolbar widget".split())
 FRAME_STARTS = ("comment", "advert", "sidebar", "cookie", "newsletter", "promo", "breadcrumb", "footer", "navbar", "subscri", "adsense", "adslot", "disqus")
 #: Words that may stand beside a frame word in a name without changing what it names.
-BESIDE = frozenset("site page post posts entry article content main body top bottom left right upper lower list item items box bar block wrapper wrap container inner outer section area zone slot unit link links button buttons panel group row col column global primary secondary sub mobile desktop sticky text title id js user reader form the".split())
+BESIDE = frozenset("site page post posts entry article content main body top bottom left right upper lower list item items box bar block wrapper wrap container inner outer section area zone slot unit link links button buttons panel group row col column global primary secondary sub mobile desktop sticky text title id js user reader form the widget".split())
 #: Parts of the frame that hold texts of their own; an article in them is not the story.
 STRONG_TAGS = frozenset("nav aside footer dialog menu".split())
-STRONG_STARTS = ("comment", "disqus", "repl", "respon", "related", "recommend", "sidebar", "promo", "sponsor", "advert", "footer", "nav")
-IN_STORY = frozenset({"header", "tags"})  # inside the story these name parts of it
+STRONG_STARTS = ("comment", "discussion", "disqus", "repl", "respon", "related", "recommend", "sidebar", "promo", "sponsor", "advert", "footer", "nav")
+IN_STORY = frozenset({"header", "tags", "widget"})  # inside the story these name parts of it
 STORY_TAGS = frozenset({"article", "main"})
 STORY_WORDS = frozenset("article story entry post content main maincontent body text".split())
 
@@ -109,6 +109,7 @@ class Block:
     story: bool
     item: bool
     heading: bool
+    paragraph: bool
     label: str = ""
 
 
@@ -165,7 +166,7 @@ def blocks(page: str) -> list[Block]:
             linked = sum(len(x.split()) for x, in_link in parts if in_link)
             near = [elements[i].tag for i in stack[-3:]]
             heading = bool(near) and re.fullmatch("h[1-6]", near[-1]) is not None
-            out.append(Block(text, len(text.split()), linked, False, False, "li" in near, heading, label))
+            out.append(Block(text, len(text.split()), linked, False, False, "li" in near, heading, bool(near) and near[-1] in ("p", "blockquote", "pre"), label))
             of.append(stack[-1] if stack else -1)
             if stack:
                 elements[stack[-1]].words += max(0, out[-1].words - linked)
@@ -244,13 +245,20 @@ def _place(found: list[Block], of: list[int], elements: list[Element]) -> None:
         b.frame, b.story = (framed[i], elements[i].story) if i >= 0 else (False, False)
 
 
-FEATURES = ("frame", "story", "elsewhere", "words", "link_density", "before_words", "before_links", "after_words", "after_links", "item", "heading")
+FEATURES = ("frame", "story", "elsewhere", "words", "link_density", "before_words", "before_links", "after_words", "after_links", "item", "heading", "paragraph", "notice", "first", "last")
+NOTICE = re.compile(r"copyright|©|\(c\) ?\d|all rights|rights reserved|imprint|privacy|cookies?\b|terms of|log ?in|sign (in|up)|menu$|^top$|^back\b|^next$|^contact$|share this", re.I)
 
 
 def features(found: list[Block]) -> list[list[float]]:
     rows = [(float(b.words), b.linked / max(1, b.words)) for b in found]
     none, any_story = (0.0, 0.0), any(b.story and not b.frame for b in found)
-    return [[float(b.frame), float(b.story), float(any_story and not b.story), *rows[i], *(rows[i - 1] if i else none), *(rows[i + 1] if i + 1 < len(rows) else none), float(b.item), float(b.heading)] for i, b in enumerate(found)]
+    out = []
+    for i, b in enumerate(found):
+        before, after = rows[i - 1] if i else none, rows[i + 1] if i + 1 < len(rows) else none
+        marks = (b.frame, b.story, any_story and not b.story)
+        form = (b.item, b.heading, b.paragraph, not b.story and b.words <= 12 and bool(NOTICE.search(b.text)), i == 0, i + 1 == len(rows))
+        out.append([*map(float, marks), *rows[i], *before, *after, *map(float, form)])
+    return out
 
 
 #: The labelled table: blocks of small pages of our own; data-main tells what the blocks from there on are.
@@ -280,6 +288,16 @@ EXAMPLES = (
     """<div class="entry-content"><p data-main=1>Fog lay on the lake until noon.</p><p>Then it went.</p></div><p data-main=0>All rights reserved</p>""",
     """<p data-main=1>A page without any mark at all can still tell a story in a line or two of plain words.</p><p data-main=0>Imprint</p>""",
     """<p data-main=0><a href=/1>Back</a></p><p><a href=/2>To the list of all things</a></p><p data-main=1>A single plain paragraph stands between two lines of links and is the story here.</p><p data-main=0><a href=/3>Next</a></p><p>Top</p>""",
+    # small pages without any mark
+    """<body><h1 data-main=1>Thanks</h1><p>Yes.</p></body>""",
+    """<body><h1 data-main=1>Closed</h1><p>We come back in May.</p><p data-main=0>Copyright 2019</p></body>""",
+    """<p data-main=1>No.</p>""",
+    """<body><h2 data-main=1>A note</h2><p>The key is with Anna.</p><p>Ring twice.</p></body>""",
+    """<body><div data-main=0><a href=/>Home</a></div><div data-main=1>In the old barn by the river an owl has raised four young ones this year.</div><div>Yes.</div><div data-main=0>Copyright 2018</div></body>""",
+    """<body><div data-main=0><a href=/>Start</a></div><div data-main=1>The bell was cast again.</div><div>It rings at noon.</div><div data-main=0>All rights reserved</div></body>""",
+    """<body><div data-main=1>The road to the pass is closed until the snow has gone and the walls are mended.</div><div>So it is every year.</div><div>Wait.</div><div data-main=0>(c) 2021 The Pass</div></body>""",
+    """<body><h1 data-main=1>List</h1><ul><li>Bread</li><li>Salt</li></ul></body>""",
+    """<body><div data-main=0><a href=/1>All</a> <a href=/2>New</a></div><div data-main=0>Log in</div><div data-main=0><a href=/3>Terms of use</a></div></body>""",
     # pages without any mark: length and links of a block and of its neighbours are all there is
     """<div data-main=0><a href=/1>World</a> <a href=/2>Town</a> <a href=/3>Sport today</a> <a href=/4>Weather</a></div><div><a href=/5>All papers of this week</a></div><div data-main=1>The mill by the bridge was sold to three brothers who mean to grind rye there again from the spring on.</div><div>They have found an old stone in the yard and will cut it anew.</div>
     <div>It turns.</div><div data-main=0><a href=/6>Mills of the north</a> <a href=/7>Bread at home</a></div><div><a href=/8>More about rye</a></div><div>Top</div>""",

@@ -515,3 +515,14 @@ def test_quality_posterior_agrees_with_votes(spark):
     labels = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
     hits = [(r.score >= 0.5) == bool(labels[r.doc_id]) for r in rows if r.doc_id in labels]
     assert np.mean(hits) > 0.85  # labels.quality, which the model never sees
+
+
+def test_small_and_unmarked_pages():
+    text = html_blocks.main_text
+    assert text("<body><h1>Hi</h1><p>Yes.</p></body>") == "Hi\n\nYes."
+    plain = "<body><div><a href=/>Home</a></div><div>A story of the long bridge over the wide river and of those who keep it.</div><div>Yes.</div><div>Many came to see it on the day it was opened again.</div><div>Copyright 2020</div></body>"
+    assert text(plain) == "A story of the long bridge over the wide river and of those who keep it.\n\nYes.\n\nMany came to see it on the day it was opened again."
+    assert text('<article><h1>T</h1><p>It goes on and on.</p><section id="discussion"><p>I do not agree with this.</p></section></article>') == "T\n\nIt goes on and on."
+    assert text('<article><h1>T</h1><p>It goes on and on.</p><div class="widget"><p>A part in a box.</p></div></article>') == "T\n\nIt goes on and on.\n\nA part in a box."
+    assert text('<article><p>It goes on.</p><div class="newsletter-widget"><p>Our letter, each week.</p></div></article>') == "It goes on."
+    assert text("<nav><a href=/>Home</a></nav><footer>Copyright 2020</footer>") == "" == text(None) == text("")
