@@ -47,18 +47,25 @@ def pareto_front(df: DataFrame, request: str, key: str, attrs: list[str], block:
 
 
 def ranking_order(method: str) -> list[Column]:
-    """Sort order of candidates with columns risk, lex (array), margin, latency, cost, priority, utility, position."""
+    """Sort order of candidates with columns risk, lex (array), margin, latency, cost, priority, utility, position; equals stay as they came (``position``)."""
     up, down = F.asc, F.desc
-    weighted = [up("risk"), up("lex"), down("margin"), up("latency"), up("cost"), up("priority"), up("position")]
-    return {
-        "weighted": weighted,
-        "pareto_then_weighted": weighted,
-        "utility_aware_weighted": [down("utility"), *weighted],
-        "utility_only": [down("utility"), up("priority"), up("cost"), up("position")],
-        "latency_first": [up("latency"), up("cost"), up("risk"), up("position")],
-        "lexicographic": [up("lex"), up("risk"), up("cost"), up("position")],
-        "first_feasible": [up("position")],
-    }[method]
+    by_risk = [up("risk"), up("lex"), down("margin"), up("latency"), up("cost"), up("priority")]
+    by_utility = [up("priority"), down("margin"), up("latency"), up("cost"), up("risk")]
+    orders = {
+        "weighted": by_risk,
+        "pareto_then_weighted": [up("risk"), down("margin"), up("latency"), up("cost"), up("priority")],
+        "utility_aware_weighted": [up("priority"), down("utility"), up("risk"), up("lex"), down("margin"), up("latency"), up("cost")],
+        "utility_only": by_utility,
+        "no_least_revealing": by_utility,
+        "utility_first": by_utility,
+        "latency_first": [up("latency"), up("cost"), up("priority"), up("risk")],
+        "lexicographic": [up("lex"), down("margin"), up("latency"), up("cost"), up("priority")],
+        "first_feasible": [],
+    }
+    return [*orders.get({"utility_aware": "utility_aware_weighted"}.get(method, method), by_risk), up("position")]
+
+
+METHODS = ("weighted", "pareto_then_weighted", "utility_aware_weighted", "utility_only", "no_least_revealing", "utility_first", "latency_first", "lexicographic", "first_feasible")
 
 
 def select_pipeline(df: DataFrame, request: str, method: str = "weighted") -> DataFrame:
@@ -69,6 +76,55 @@ def select_pipeline(df: DataFrame, request: str, method: str = "weighted") -> Da
     return first_per(df, [request], ranking_order(method)).drop("place")
 
 
+# Other names of the selector's ablation modes.
+ABLATIONS = {
+    "no_ci": "no_ci_filter", "skip_ci": "no_ci_filter", "no_residual": "no_residual_bounds", "no_privacy": "utility_only", "utility": "utility_only", "first": "first_feasible",
+    "no_context_weights": "uniform_risk_weights", "no_context_specific_weights": "uniform_risk_weights", "no_probes": "metadata_only", "no_probe_residuals": "metadata_only",
+}
+
+
+def ablation_modes(modes: str | list[str] | None) -> list[str]:
+    """The modes by their own names, each once; ``full`` is none."""
+    given = [modes] if isinstance(modes, str) else list(modes or [])
+    named = {ABLATIONS.get(m, m) for m in (str(x).strip().lower() for x in given)}
+    return sorted(named - {"", "full"})
+
+
+def default_method(configured: Column, policy: Column, model: Column, family: Column, flexible: Column) -> Column:
+    """The method that a request asks for: the configured one, its policy's, by utility if it takes several outputs, else weighted."""
+    several = (model == "multi_representation_utility_contract") | (family == "flexible_multi_output_app_request") | flexible
+    some = lambda c: F.nullif(c, F.lit(""))
+    return F.coalesce(some(configured), some(policy), F.when(F.coalesce(several, F.lit(False)), "utility_aware_weighted"), F.lit("weighted"))
+
+
+def ablated(df: DataFrame, modes: list[str]) -> DataFrame:
+    """Candidates with ``feasible`` and ``risk`` under the modes.
+
+    ``df``: ci_ok, bounds_ok and declared_bounds_ok (bounds by the probed and by the declared vector), vec and declared
+    (vectors), weights (MAP).
+    """
+    on = set(modes)
+    declared = "metadata_only" in on
+    ci = F.lit(True) if on & {"no_ci_filter", "utility_only"} else F.col("ci_ok")
+    bounds = F.lit(True) if on & {"no_residual_bounds", "utility_only"} else F.col("declared_bounds_ok" if declared else "bounds_ok")
+    weights = None if "uniform_risk_weights" in on else F.col("weights")
+    vec = F.col("declared" if declared else "vec")
+    return df.withColumns({"feasible": ci & bounds, "vec": vec, "risk": risk.risk_score(vec, weights), "lex": risk.lex_key(vec)})
+
+
+def select_by_request(df: DataFrame, request: str, method: str = "method", modes: list[str] | None = None) -> DataFrame:
+    """The best feasible candidate of each request by the request's own method, which some ablation modes replace; a method of another name is weighted."""
+    for mode in ("utility_only", "no_least_revealing", "first_feasible", "latency_first"):
+        if mode in (modes or []):
+            return select_pipeline(df, request, mode).withColumn(method, F.lit(mode))
+    named = F.when(F.col(method) == "utility_aware", "utility_aware_weighted").when(F.col(method).isin(*METHODS), F.col(method)).otherwise("weighted")
+    out = None
+    for m in METHODS:
+        part = select_pipeline(df.where(named == m), request, m)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def pipeline_cost(operators: Column) -> Column:
     """Sources and publishing cost 0.1 each, adapters and drops 0.25, other operators 1."""
     one = lambda o: F.when(o.isin("op.source", "op.route_publish"), 0.1).when(o.isin("op.schema_adapter", "op.drop_discard"), 0.25).otherwise(1.0)
@@ -117,13 +173,51 @@ def match_accepted(states: DataFrame, accepted: DataFrame, request: str) -> Data
     return first_per(pairs, [request, "state"], [F.asc("score"), F.desc("n_terms"), F.asc(F.coalesce("priority", F.lit(999))), F.asc("position")]).drop("place")
 
 
+def _inferred(key: Column) -> Column:
+    """An output's property: as declared, else what its type, components and transforms tell (``type``, ``properties``, ``components``, ``terms``)."""
+    any_of = lambda column, *xs: F.arrays_overlap(F.coalesce(column, F.array().cast("array<string>")), F.array(*map(F.lit, xs)))
+    truth = lambda c: F.when(c, "true").otherwise("false")
+    kind, parts, terms = F.col("s_type"), F.col("components"), F.col("terms")
+    redacted = any_of(parts, "image/x-redacted", "video/x-redacted") | any_of(terms, "face_blurred", "identity_removed", "visible_text_removed", "screen_content_removed", "body_blurred")
+    filtered = any_of(parts, "audio/x-filtered") | F.coalesce(kind == "audio/x-filtered", F.lit(False)) | any_of(terms, "speech_content_removed", "speech_content_minimized")
+    joint = F.coalesce(kind == "application/x-youhome-av-sample", F.lit(False)) | F.coalesce(F.col("properties")["av_synchronized"] == "true", F.lit(False))
+    told = F.when(key == "youhome_av_compatible", truth(joint)).when(key.isin("visual_redacted", "redacted"), truth(redacted)).when(key.isin("speech_content_removed", "audio_filtered"), truth(filtered))
+    return F.when(F.map_contains_key("properties", key), F.col("properties")[key]).otherwise(told)
+
+
 def match_accepted_policy(states: DataFrame, accepted: DataFrame, rejected: DataFrame, request: str) -> DataFrame:
-    """As ``match_accepted`` without required terms, where an explicitly rejected type or schema voids all; type and schema, schema, then type."""
-    by_type = states.join(rejected.where("r_type is not null").select(request, F.col("r_type").alias("s_type")), [request, "s_type"], "left_anti")
-    allowed = by_type.join(rejected.where("r_schema is not null").select(request, F.col("r_schema").alias("s_schema")), [request, "s_schema"], "left_anti")
+    """The accepted output that describes each state best; an explicitly rejected type or schema, taken exactly, voids all.
+
+    An accepted output is asked only where its conditions hold for the state's checkpoint, none of its ``forbidden``
+    transformations is among the state's terms, and its scalars are the output's properties (declared or inferred;
+    ``true`` and ``false`` ask for a property that is set or not).  ``fit`` is 3 for an equal type with no other schema,
+    2 for an equal schema, 1 for a type that the goal takes.  Ties: more properties, priority (999 if none), position.
+
+    Columns as for ``match_accepted``; ``components`` of states and ``forbidden`` of accepted outputs may be absent.
+    """
+    strings = "array<string>"
+    if "components" not in states.columns:
+        states = states.withColumn("components", F.array().cast(strings))
+    if "forbidden" not in accepted.columns:
+        accepted = accepted.withColumn("forbidden", F.array().cast(strings))
+    states = states.withColumn("properties", F.coalesce("properties", F.create_map().cast("map<string,string>")))
+    by_type = states.join(rejected.where("r_type is not null").select(request, F.col("r_type").alias("s_type")).hint("merge"), [request, "s_type"], "left_anti")
+    allowed = by_type.join(rejected.where("r_schema is not null").select(request, F.col("r_schema").alias("s_schema")).hint("merge"), [request, "s_schema"], "left_anti")
     pairs = allowed.join(accepted.hint("merge"), request)
-    both = (F.col("s_type") == F.col("a_type")).cast("int") + 2 * (F.col("s_schema") == F.col("a_schema")).cast("int")
-    return first_per(pairs.withColumn("fit", both).where("fit > 0"), [request, "state"], [F.desc("fit"), F.asc("priority"), F.asc("position")]).drop("place")
+    wanted = F.coalesce("wanted", F.create_map().cast("map<string,string>"))
+    is_set = lambda c: F.coalesce(~c.isin("", "false", "0"), F.lit(False))
+    meets = lambda e: F.when(e["value"].isin("true", "false"), is_set(_inferred(e["key"])) == (e["value"] == "true")).otherwise(F.coalesce(_inferred(e["key"]) == e["value"], F.lit(False)))
+    held = F.forall(F.map_entries(F.coalesce("conditions", F.create_map().cast("map<string,array<string>>"))), lambda e: F.coalesce(F.arrays_overlap(F.col("checkpoint")[e["key"]], e["value"]), F.lit(False)))
+    spared = ~F.arrays_overlap(F.coalesce("forbidden", F.array().cast(strings)), F.coalesce("terms", F.array().cast(strings)))
+    pairs = pairs.where(F.forall(F.map_entries(wanted), meets) & held & spared)
+    o, g = caps.canon_type(F.col("s_type")), caps.canon_type(F.col("a_type"))
+    up, goal = (F.coalesce(x, F.lit("")) for x in ("s_schema", "a_schema"))
+    same_schema = (up != "") & (up == goal)
+    takes = (g == "") | (g == "*") | ((o != "") & ((o == g) | caps.in_pairs(o, g, caps.type_pairs())))
+    fit = F.when((o != "") & (o == g) & ((up == "") | (goal == "") | same_schema), 3).when(same_schema, 2).when(takes & ((F.coalesce("a_type", F.lit("")) != "")), 1)
+    pairs = pairs.withColumn("fit", fit).withColumn("n_wanted", F.size(wanted)).where("fit is not null")
+    order = [F.desc("fit"), F.desc("n_wanted"), F.asc(F.coalesce("priority", F.lit(999))), F.asc("position")]
+    return first_per(pairs, [request, "state"], order).drop("place", "n_wanted")
 
 
 def order_candidates(df: DataFrame, request: str) -> DataFrame:

@@ -30,10 +30,10 @@ def candidates(t: Tables) -> DataFrame:
 
 ORDERS = {
     "weighted": "risk, lex, margin DESC, latency, cost, priority, position",
-    "utility_aware_weighted": "utility DESC, risk, lex, margin DESC, latency, cost, priority, position",
-    "utility_only": "utility DESC, priority, cost, position",
-    "latency_first": "latency, cost, risk, position",
-    "lexicographic": "lex, risk, cost, position",
+    "utility_aware_weighted": "priority, utility DESC, risk, lex, margin DESC, latency, cost, position",
+    "utility_only": "priority, margin DESC, latency, cost, risk, position",
+    "latency_first": "latency, cost, priority, risk, position",
+    "lexicographic": "lex, margin DESC, latency, cost, priority, position",
     "first_feasible": "position",
 }
 
@@ -46,7 +46,43 @@ for _m, _o in ORDERS.items():
     query(f"K01_select_{_m}", CAND + f"SELECT request, candidate FROM k WHERE feasible QUALIFY row_number() OVER (PARTITION BY request ORDER BY {_o}) = 1")(_ranked(_m))
 
 _BEATS = " AND ".join(f"b.v_{a} <= k.v_{a}" for a in risk.ATTRIBUTES) + " AND (" + " OR ".join(f"b.v_{a} < k.v_{a}" for a in risk.ATTRIBUTES) + ")"
-query("K01_select_pareto_then_weighted", CAND + f", p AS (SELECT * FROM k WHERE feasible AND NOT EXISTS (SELECT 1 FROM k b WHERE b.feasible AND b.request = k.request AND {_BEATS})) SELECT request, candidate FROM p QUALIFY row_number() OVER (PARTITION BY request ORDER BY {ORDERS['weighted']}) = 1")(_ranked("pareto_then_weighted"))
+query("K01_select_pareto_then_weighted", CAND + f", p AS (SELECT * FROM k WHERE feasible AND NOT EXISTS (SELECT 1 FROM k b WHERE b.feasible AND b.request = k.request AND {_BEATS})) SELECT request, candidate FROM p QUALIFY row_number() OVER (PARTITION BY request ORDER BY risk, margin DESC, latency, cost, priority, position) = 1")(_ranked("pareto_then_weighted"))
+
+
+# a request's own method: configured, its policy's, or by its flags
+_METHOD = "CASE WHEN request % 7 = 0 THEN 'latency_first' WHEN request % 7 = 1 THEN 'lexicographic' WHEN request % 7 = 2 THEN 'utility_aware_weighted' WHEN request % 7 = 3 THEN 'no_such' ELSE 'weighted' END"
+
+
+def with_method(df: DataFrame) -> DataFrame:
+    k, none = c("request") % 7, F.lit(None).cast("string")
+    method = select.default_method(F.when(k == 0, "latency_first").when(k == 3, "no_such"), F.when(k == 1, "lexicographic"), none, F.when(k == 2, "flexible_multi_output_app_request").otherwise("one"), F.lit(False))
+    return df.withColumn("method", method)
+
+
+@query("K01_select_default", CAND + f""", m AS (SELECT *, {_METHOD} AS method FROM k WHERE feasible), r AS (SELECT *, CASE method WHEN 'latency_first' THEN row_number() OVER (PARTITION BY request ORDER BY {ORDERS['latency_first']}) WHEN 'lexicographic' THEN row_number() OVER (PARTITION BY request ORDER BY {ORDERS['lexicographic']})
+ WHEN 'utility_aware_weighted' THEN row_number() OVER (PARTITION BY request ORDER BY {ORDERS['utility_aware_weighted']}) ELSE row_number() OVER (PARTITION BY request ORDER BY {ORDERS['weighted']}) END AS n FROM m) SELECT request, candidate, method FROM r WHERE n = 1""")
+def _(t: Tables) -> DataFrame:
+    return select.select_by_request(with_method(candidates(t)), "request").select("request", "candidate", "method")
+
+
+def ablatable(t: Tables) -> DataFrame:
+    """Candidates whose declared vector has every level one lower, with verdicts of their own."""
+    lower = F.transform_values("vec", lambda _, v: F.greatest(v - 1, F.lit(0)))
+    ok = {"ci_ok": c("feasible"), "bounds_ok": c("latency") < 300, "declared_bounds_ok": c("latency") < 400, "declared": lower, "weights": risk.weight_map(risk.DEFAULT_WEIGHTS)}
+    return candidates(t).withColumns(ok)
+
+
+_LOWER = ", ".join(f"greatest(v_{a} - 1, 0) AS d_{a}" for a in risk.ATTRIBUTES)
+_ABLATED = {
+    "no_ci": ("no_ci", "latency < 300", ORDERS["weighted"], "risk", "lex"),
+    "no_residual_uniform": (["no_residual", "no_context_weights"], "feasible", ORDERS["weighted"], "plain", "lex"),
+    "no_privacy": (["no_privacy", "full"], "true", ORDERS["utility_only"], "risk", "lex"),
+    "metadata_only": ("no_probes", "feasible AND latency < 400", ORDERS["weighted"], " + ".join(f"d_{a} * {risk.DEFAULT_WEIGHTS.get(a, 1.0)}" for a in risk.ATTRIBUTES), "concat_ws('', " + ", ".join(f"d_{a}" for a in risk.LEX_ORDER) + ")"),
+}
+for _n, (_modes, _where, _order, _risk, _lex) in _ABLATED.items():
+    query(f"K01_ablation_{_n}", CAND + f", w AS (SELECT *, {_LOWER} FROM k), z AS (SELECT * REPLACE (CAST({_risk} AS DOUBLE) AS risk, {_lex} AS lex) FROM w WHERE {_where}) SELECT request, candidate FROM z QUALIFY row_number() OVER (PARTITION BY request ORDER BY {_order}) = 1")(
+        lambda t, modes=_modes: select.select_by_request(select.ablated(ablatable(t), select.ablation_modes(modes)).withColumn("method", F.lit("weighted")), "request", "method", select.ablation_modes(modes)).select("request", "candidate")
+    )
 
 
 @query("J10_pareto_front", CAND + f"SELECT request, candidate FROM k WHERE NOT EXISTS (SELECT 1 FROM k b WHERE b.request = k.request AND {_BEATS})")
@@ -164,12 +200,16 @@ def _(t: Tables) -> DataFrame:
     return select.match_accepted(s, a, "request").select("request", "state", "position", "score")
 
 
-@query("J24_match_accepted_policy", STATES + """, r AS (SELECT o_orderkey AS request, CASE WHEN o_custkey % 2 = 0 THEN 'application/x-count' END AS r_type, CASE WHEN o_custkey % 5 = 0 THEN 'y' END AS r_schema FROM orders), g AS (SELECT s.* FROM s JOIN r USING (request) WHERE (r_type IS NULL OR r_type <> s_type) AND (r_schema IS NULL OR r_schema <> s_schema)),
-p AS (SELECT g.request, state, position, priority, (CASE WHEN s_type = a_type THEN 1 ELSE 0 END + CASE WHEN s_schema = a_schema THEN 2 ELSE 0 END) AS fit FROM g JOIN a USING (request)) SELECT request, state, fit, position::INT AS position FROM p WHERE fit > 0 QUALIFY row_number() OVER (PARTITION BY request, state ORDER BY fit DESC, priority, position) = 1""")
+@query("J24_match_accepted_policy", STATES + """, r AS (SELECT o_orderkey AS request, CASE WHEN o_custkey % 2 = 0 THEN 'application/x-count' END AS r_type, CASE WHEN o_custkey % 5 = 0 THEN 'y' END AS r_schema FROM orders), g AS (SELECT s.*, CASE s_type WHEN 'application/x-occupancy-count' THEN 'application/x-occupancy' ELSE s_type END AS t FROM s JOIN r USING (request) WHERE (r_type IS NULL OR r_type <> s_type) AND (r_schema IS NULL OR r_schema <> s_schema)),
+p AS (SELECT g.request, state, position, priority, CASE WHEN t = a_type AND s_schema = a_schema THEN 3 WHEN s_schema = a_schema THEN 2 WHEN t = a_type OR (t, a_type) IN (('application/x-count', 'application/x-occupancy'), ('application/x-occupancy', 'application/x-count'), ('video/x-redacted', 'video/x-raw')) THEN 1 END AS fit
+ FROM g JOIN a USING (request) WHERE (a.position <> 2 OR sync) AND (a.position <> 1 OR (o_custkey % 2 = 1 OR audio)) AND (a.position <> 0 OR terms[1] <> 'blur' OR o_custkey % 3 > 0))
+SELECT request, state, fit, position::INT AS position FROM p WHERE fit IS NOT NULL QUALIFY row_number() OVER (PARTITION BY request, state ORDER BY fit DESC, CASE WHEN position = 2 THEN 1 ELSE 0 END DESC, priority, position) = 1""")
 def _(t: Tables) -> DataFrame:
     s, a = states(t)
-    r = t.orders.select(c("o_orderkey").alias("request"), F.when(c("o_custkey") % 2 == 0, "application/x-count").alias("r_type"), F.when(c("o_custkey") % 5 == 0, "y").alias("r_schema"))
-    s = s.join(t.orders.select(c("o_orderkey").alias("request")), "request", "left_semi")
+    keys = t.orders.select(c("o_orderkey").alias("request"), "o_custkey")
+    r = keys.select("request", F.when(c("o_custkey") % 2 == 0, "application/x-count").alias("r_type"), F.when(c("o_custkey") % 5 == 0, "y").alias("r_schema"))
+    a = a.join(keys.hint("merge"), "request").withColumn("forbidden", F.when((c("position") == 0) & (c("o_custkey") % 3 == 0), F.array(F.lit("blur")))).drop("o_custkey")
+    s = s.join(keys.select("request").hint("merge"), "request", "left_semi")
     return select.match_accepted_policy(s, a, r, "request").select("request", "state", "fit", "position")
 
 
