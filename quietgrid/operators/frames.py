@@ -5,11 +5,14 @@ Frames have a sample, an integer frame index, a flag ``present`` (0/1) and a ``c
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import product
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import intervals
-from .sizes import sized
+from .tables import durable
 
 BOXES = "array<struct<xyxy:array<double>,conf:double,class_id:int>>"
 
@@ -134,25 +137,125 @@ def semantic_summary(df: DataFrame) -> DataFrame:
     return df.select("*", labels.alias("all_labels"), count.alias("people"), F.coalesce(F.col("occupied"), count > 0).alias("is_occupied"), F.coalesce(F.array_max(F.transform("detections", lambda d: d["conf"])), F.lit(0.0)).alias("confidence"))
 
 
-def tune_postprocess(pred: DataFrame, labels: DataFrame, grid: DataFrame, sample: str = "sample", frame: str = "frame") -> DataFrame:
-    """(config, tp, fp, fn, f1, f2): frame scores of every configuration (config, confidence, least_run, gap) of a fixed grid.
+def _threshold_runs(rows: DataFrame, sample: str, frame: str, dilations: int, n_levels: int) -> DataFrame:
+    """(sample, level, a, b, row_a, row_b, seg_a, seg_b, before, after): runs of consecutive rows of that level or above.
 
-    The configuration is part of every partition key, so all of them run in one job.
+    A row begins a run of each level between its own and that of the row before, and ends one of each level between
+    its own and that of the row after: the runs of all levels come from one pass over the rows.  ``before`` and
+    ``after`` count joined rows and true ones up to the run and with it.
     """
-    df = pred.crossJoin(sized(grid))
-    df = df.withColumn("present", (F.col("score") >= F.col("confidence")).cast("int"))
-    w = Window.partitionBy("config", sample).orderBy(frame)
-    at = F.when(F.col("present") == 1, F.col(frame))
-    before, after = F.last(at, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first(at, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    df = df.withColumn("present", F.when(after - before <= F.col("gap"), 1).otherwise(F.col("present")))
-    island = F.row_number().over(w) - F.row_number().over(Window.partitionBy("config", sample, "present").orderBy(frame))
-    df = df.withColumn("_i", island).withColumn("_n", F.count("*").over(Window.partitionBy("config", sample, "present", "_i")))
-    df = df.withColumn("present", F.when((F.col("present") == 1) & (F.col("_n") < F.col("least_run")), 0).otherwise(F.col("present")))
-    j = df.join(labels.select(sample, frame, F.col("present").alias("truth")), [sample, frame])
-    n = j.groupBy("config").agg(F.count_if(F.expr("present = 1 and truth = 1")).alias("tp"), F.count_if(F.expr("present = 1 and truth = 0")).alias("fp"), F.count_if(F.expr("present = 0 and truth = 1")).alias("fn"))
+    w = Window.partitionBy(sample).orderBy(frame)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    held = F.array(F.sum("joined").over(upto), *[F.sum(F.coalesce(F.col("truth")[d], F.lit(0))).over(upto) for d in range(dilations)])
+    own = F.array(F.col("joined"), *[F.coalesce(F.col("truth")[d], F.lit(0)) for d in range(dilations)])
+    rows = rows.withColumns({"row": F.row_number().over(w), "prev": F.lag("level", 1, 0).over(w), "next": F.lead("level", 1, 0).over(w), "held": held, "own": own})
+    span = lambda lo: F.when(F.col("level") > F.col(lo), F.sequence(F.col(lo) + 1, F.col("level"))).otherwise(F.array().cast("array<int>"))
+    before = F.zip_with("held", "own", lambda x, y: x - y)
+    mark = lambda ends: lambda j: F.struct(j.alias("level"), F.lit(ends).alias("ends"))
+    edges = rows.select(sample, F.col(frame).alias("at"), "row", "seg", before.alias("before"), F.col("held").alias("after"), F.inline(F.concat(F.transform(span("prev"), mark(0)), F.transform(span("next"), mark(1)))))
+    pair = Window.partitionBy(sample, "level").orderBy("row", "ends")
+    to = lambda c: F.lead(c).over(pair)
+    runs = edges.select(sample, "level", "ends", F.col("at").alias("a"), to("at").alias("b"), F.col("row").alias("row_a"), to("row").alias("row_b"), F.col("seg").alias("seg_a"), to("seg").alias("seg_b"), "before", to("after").alias("after"))
+    return runs.where("ends = 0").drop("ends")
+
+
+def _joined_runs(df: DataFrame, keys: list[str], gap: Column, start: str, end: str, *aggs: Column) -> DataFrame:
+    """Consecutive intervals of a group as one where the next begins no more than ``gap`` after the end of the one before."""
+    w = Window.partitionBy(*keys).orderBy(start)
+    apart = F.coalesce(F.col(start) - F.lag(end).over(w) > gap, F.lit(True)).cast("int")
+    numbered = df.withColumn("_apart", apart).withColumn("_number", F.sum("_apart").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy(*keys, "_number").agg(F.min(start).alias(start), F.max(end).alias(end), *aggs).drop("_number")
+
+
+SCORES = ("f1", "f2", "precision", "recall", "event_f1", "event_f2")
+
+
+def tune_postprocess(pred: DataFrame, labels: DataFrame, confidences: list[float], dilations: list[int], least_runs: list[int], gaps: list[int], event_gap: int = 30, tolerance: int = 30, metric: str = "f2", sample: str = "sample", frame: str = "frame") -> DataFrame:
+    """(config, confidence, dilation, least_run, gap, tp, fp, fn, the SCORES, presence and event, score, best, error) of every configuration.
+
+    Predictions (sample, frame, score) are present from a confidence on; absent rows between two present ones no more
+    than ``gap`` frames apart are filled, then runs of fewer than ``least_run`` rows are cleared.  Labels (sample, frame,
+    present) are dilated by ``dilation`` frames both ways.  Frames are compared where both have a row, and events
+    (present rows no more than ``event_gap`` apart) are matched with the tolerance.  ``best`` marks the first
+    configuration of the highest score; one that cannot be scored has an error and no scores.
+
+    No row is copied for a configuration: runs come from one pass for all confidences, and gaps, lengths, dilations
+    and matches work on runs and events.
+    """
+    if metric not in SCORES:
+        raise ValueError(f"metric is one of {SCORES}")
+    spark, steps, nd = pred.sparkSession, sorted({c for c in confidences if c is not None}), len(dilations)
+    around = lambda d: Window.partitionBy(sample).orderBy(frame).rangeBetween(-max(d, 0), max(d, 0))
+    dilated = labels.select(sample, frame, F.array(*[F.max("present").over(around(d or 0)) for d in dilations]).alias("truth"))
+    level = sum((F.coalesce(F.col("score") >= c, F.lit(False)).cast("int") for c in steps), F.lit(0))
+    w = Window.partitionBy(sample).orderBy(frame)
+    rows = pred.select(sample, frame, level.alias("level")).join(dilated.hint("merge"), [sample, frame], "left").withColumn("joined", F.col("truth").isNotNull().cast("int"))
+    rows = rows.withColumn("seg", F.sum((F.coalesce(F.col(frame) - F.lag(frame).over(w), F.lit(0)) > event_gap).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = durable(rows, "rows")
+    totals = rows.agg(F.sum("joined"), *[F.sum(F.coalesce(F.col("truth")[d], F.lit(0))) for d in range(nd)]).first()
+
+    # runs by level and gap, then by least length
+    runs = _threshold_runs(rows, sample, frame, nd, len(steps)).withColumn("gap", F.explode(F.array(*[F.lit(g) for g in sorted({g for g in gaps if g is not None})])))
+    first, last = lambda c: F.min_by(c, "row_a").alias(c), lambda c: F.max_by(c, "row_a").alias(c)
+    reach = F.when(F.col("gap") > 0, F.col("gap")).otherwise(F.lit(-1))
+    runs = _joined_runs(runs, [sample, "level", "gap"], reach, "a", "b", first("seg_a"), last("seg_b"), first("before"), last("after"), (F.max("row_b") - F.min("row_a") + 1).alias("n"))
+    wanted = F.array(*[F.lit(m) for m in sorted({m for m in least_runs if m is not None})])
+    runs = durable(runs.withColumn("least_run", F.explode(F.filter(wanted, lambda m: F.col("n") >= m))), "runs")
+    keys = ["level", "gap", "least_run"]
+    gained = lambda i: F.sum(F.col("after")[i] - F.col("before")[i])
+    counted = runs.groupBy(*keys).agg(gained(0).alias("positive"), F.array(*[gained(d + 1) for d in range(nd)]).alias("hits"))
+
+    # events: a run is cut where its own rows lie further apart than an event may
+    segs = rows.groupBy(sample, "seg").agg(F.min(frame).alias("_low"), F.max(frame).alias("_high"))
+    cut = runs.where("seg_a < seg_b").withColumn("seg", F.explode(F.sequence("seg_a", "seg_b"))).join(segs.hint("merge"), [sample, "seg"])
+    pieces = runs.where("seg_a = seg_b").select(sample, *keys, "a", "b").unionByName(cut.select(sample, *keys, F.greatest("a", "_low").alias("a"), F.least("b", "_high").alias("b")))
+    guessed = durable(_joined_runs(pieces, [sample, *keys], F.lit(event_gap), "a", "b"), "guessed")
+    on = lambda d: F.when(F.col("truth")[d] == 1, F.col(frame))
+    before, after = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
+    edge = [
+        F.when(F.col("truth")[d] == 1, F.struct(
+            F.lit(d).alias("d"),
+            F.coalesce(F.col(frame) - F.last(on(d), ignorenulls=True).over(before) > event_gap, F.lit(True)).alias("begins"),
+            F.coalesce(F.first(on(d), ignorenulls=True).over(after) - F.col(frame) > event_gap, F.lit(True)).alias("ends"),
+        ))
+        for d in range(nd)
+    ]
+    edges = dilated.select(sample, frame, F.array_compact(F.array(*edge)).alias("e")).select(sample, frame, F.inline("e"))
+    side = Window.partitionBy(sample, "d").orderBy(frame, "ends")
+    marks = edges.where("begins or ends").withColumn("_to", F.when(F.col("ends"), F.col(frame)).otherwise(F.lead(frame).over(side)))
+    real = durable(marks.where("begins").select(sample, "d", F.col(frame).alias("a"), F.col("_to").alias("b")), "real")
+
+    grid = [(i, *x) for i, x in enumerate(product(confidences, dilations, least_runs, gaps))]
+    number = {c: i + 1 for i, c in enumerate(steps)}
+    table = [(i, c, d, m, g, number.get(c), dilations.index(d)) for i, c, d, m, g in grid]
+    table = spark.createDataFrame(table, "config int, confidence double, dilation int, least_run int, gap int, level int, d int")
+    asked = F.broadcast(table.select("config", *keys, "d"))  # the authored grid
+    own = F.concat_ws("|", "config", sample).alias("whose")
+    sides = [guessed.join(asked, keys).select("config", own, "a", "b", F.lit(False).alias("true")), real.join(asked, "d").select("config", own, (F.col("a") - tolerance).alias("a"), (F.col("b") + tolerance).alias("b"), F.lit(True).alias("true"))]
+    events = durable(sides[0].unionByName(sides[1]).select("config", "whose", F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), "true"), "events")
+    found = intervals.greedy_hits(intervals.overlap_runs(events, "whose", "a", "b"), "whose")
+    found = found.groupBy(F.split_part("whose", F.lit("|"), F.lit(1)).cast("int").alias("config")).agg(F.sum("hits").alias("e_tp"))
+    sizes = events.groupBy("config").agg(F.count_if("true").alias("e_true"), F.count_if(~F.col("true")).alias("e_pred"))
+
+    out = table.join(counted.hint("merge"), keys, "left").join(sizes.hint("merge"), "config", "left").join(found.hint("merge"), "config", "left").fillna(0, ["positive", "e_tp", "e_true", "e_pred"])
+    total = F.element_at(F.array(*[F.lit(x or 0).cast("long") for x in totals[1:]]), F.col("d") + 1)
+    tp = F.coalesce(F.element_at("hits", F.col("d") + 1), F.lit(0)).cast("long")
+    out = out.withColumns({"tp": tp, "fp": F.col("positive") - tp, "fn": total - tp})
+    wrong = reduce(lambda x, y: x | y, [F.col(c).isNull() for c in ("confidence", "dilation", "least_run", "gap")]) | (F.col("dilation") < 0)
+    out = out.withColumn("error", F.when(wrong, "a parameter is missing or negative").when(F.lit(not totals[0]), "no matching rows between predictions and labels"))
     ratio = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
-    tp, fp, fn = map(F.col, ("tp", "fp", "fn"))
-    return n.select("config", "tp", "fp", "fn", ratio(2 * tp, 2 * tp + fp + fn).alias("f1"), ratio(5 * tp, 5 * tp + fp + 4 * fn).alias("f2"))
+
+    def scores(tp: Column, pred_n: Column, true_n: Column, name: str) -> dict[str, Column]:
+        p, r = ratio(tp, pred_n), ratio(tp, true_n)
+        both = {"precision": p, "recall": r, "f1": ratio(2 * p * r, p + r), "f2": ratio(5 * p * r, 4 * p + r)}
+        return {f"{name}{k}": F.when(F.col("error").isNull(), v) for k, v in both.items()}
+
+    out = out.withColumns(scores(F.col("tp"), F.col("positive"), F.col("tp") + F.col("fn"), "") | scores(F.col("e_tp"), F.col("e_pred"), F.col("e_true"), "event_"))
+    out = out.withColumn("score", F.col(metric))
+    everything = Window.partitionBy(F.lit(1)).orderBy(F.desc_nulls_last("score"), "config")  # a row a configuration
+    out = out.withColumn("best", (F.row_number().over(everything) == 1) & F.col("score").isNotNull())
+    counts = [F.when(F.col("error").isNull(), F.col(c)).alias(c) for c in ("tp", "fp", "fn")]
+    return out.select("config", "confidence", "dilation", "least_run", "gap", *counts, "precision", "recall", "f1", "f2", "event_precision", "event_recall", "event_f1", "event_f2", "score", "best", "error")
 
 
 def join_semantic(manifest: DataFrame, outputs: DataFrame, sample: str, order: str, most: int = 64) -> DataFrame:

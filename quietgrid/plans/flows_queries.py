@@ -160,9 +160,40 @@ i AS (SELECT *, row_number() OVER (PARTITION BY config, sample ORDER BY frame) -
 SELECT config, count(*) FILTER (o = 1 AND truth = 1) AS tp, count(*) FILTER (o = 1 AND truth = 0) AS fp, count(*) FILTER (o = 0 AND truth = 1) AS fn FROM q GROUP BY config""")
 def _(t: Tables) -> DataFrame:
     f = framed(t)
-    grid = t.spark.createDataFrame([(1, 40.0, 1, 0), (2, 40.0, 2, 0), (3, 70.0, 1, 0)], "config int, confidence double, least_run int, gap int")
     pred = f.join(t.events.select("event_id", c("value").alias("score")), "event_id").select("sample", "frame", "score")
-    return frames.tune_postprocess(pred, f, grid).select("config", "tp", "fp", "fn")
+    tuned = frames.tune_postprocess(pred, f, [40.0, 70.0], [0], [1, 2], [0], 9, 2)
+    number = F.when((c("confidence") == 40.0) & (c("least_run") == 1), 1).when((c("confidence") == 40.0) & (c("least_run") == 2), 2).when(c("least_run") == 1, 3)
+    return tuned.withColumn("config", number).where("config is not null").select("config", "tp", "fp", "fn")
+
+
+@query("A25_tune_full", FR.replace("WITH f", "WITH RECURSIVE f", 1) + """, s AS (SELECT sample, frame, value FROM f JOIN events USING (event_id) WHERE event_id % 4 > 0),
+l AS (SELECT sample, frame, 0 AS d, present AS truth FROM f UNION ALL SELECT sample, frame, 5, max(present) OVER (PARTITION BY sample ORDER BY frame RANGE BETWEEN 5 PRECEDING AND 5 FOLLOWING) FROM f),
+g AS (SELECT (row_number() OVER (ORDER BY t, d, m, gap) - 1)::INT AS config, * FROM (VALUES (40.0), (70.0)) a(t), (VALUES (0), (5)) b(d), (VALUES (1), (3)) x(m), (VALUES (0), (12)) y(gap)),
+p0 AS (SELECT s.*, config, m, gap, CASE WHEN value >= t THEN frame END AS pos FROM s, g),
+p1 AS (SELECT *, CASE WHEN pos IS NOT NULL OR gap > 0 AND min(pos) OVER (PARTITION BY config, sample ORDER BY frame ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) - max(pos) OVER (PARTITION BY config, sample ORDER BY frame) <= gap THEN 1 ELSE 0 END AS y FROM p0),
+p2 AS (SELECT *, row_number() OVER (PARTITION BY config, sample ORDER BY frame) - row_number() OVER (PARTITION BY config, sample, y ORDER BY frame) AS isl FROM p1),
+p3 AS (SELECT config, sample, frame, CASE WHEN y = 1 AND count(*) OVER (PARTITION BY config, sample, y, isl) >= m THEN 1 ELSE 0 END AS y FROM p2),
+k AS (SELECT config, count(*) FILTER (y = 1 AND truth = 1) AS tp, count(*) FILTER (y = 1 AND truth = 0) AS fp, count(*) FILTER (y = 0 AND truth = 1) AS fn FROM p3 JOIN g USING (config) JOIN l ON l.sample = p3.sample AND l.frame = p3.frame AND l.d = g.d GROUP BY config),
+n0 AS (SELECT config, sample, frame, frame - lag(frame) OVER (PARTITION BY config, sample ORDER BY frame) > 9 AS nw FROM p3 WHERE y = 1),
+n1 AS (SELECT *, sum(CASE WHEN nw THEN 1 ELSE 0 END) OVER (PARTITION BY config, sample ORDER BY frame) AS ev FROM n0),
+pr AS (SELECT config, sample, min(frame) AS a, max(frame) AS b, row_number() OVER (PARTITION BY config, sample ORDER BY min(frame)) AS pi FROM n1 GROUP BY config, sample, ev),
+t0 AS (SELECT d, sample, frame, frame - lag(frame) OVER (PARTITION BY d, sample ORDER BY frame) > 9 AS nw FROM l WHERE truth = 1),
+t1 AS (SELECT *, sum(CASE WHEN nw THEN 1 ELSE 0 END) OVER (PARTITION BY d, sample ORDER BY frame) AS ev FROM t0),
+tr AS (SELECT config, sample, min(frame) - 4 AS a, max(frame) + 4 AS b, row_number() OVER (PARTITION BY config, sample ORDER BY min(frame)) AS ti FROM t1 JOIN g USING (d) GROUP BY config, sample, ev),
+q AS (SELECT pr.config, pr.sample, pi, ti, least(pr.b, tr.b) - greatest(pr.a, tr.a) + 1 AS o FROM pr JOIN tr ON pr.config = tr.config AND pr.sample = tr.sample AND pr.a <= tr.b AND tr.a <= pr.b),
+np AS (SELECT config, sample, max(pi) AS n FROM pr GROUP BY ALL),
+w(config, sample, pi, used) AS (SELECT config, sample, 0::BIGINT, []::BIGINT[] FROM np UNION ALL SELECT w.config, w.sample, w.pi + 1, CASE WHEN h.ti IS NULL THEN w.used ELSE list_append(w.used, h.ti) END FROM w JOIN np USING (config, sample),
+ LATERAL (SELECT min_by(ti, (-o, ti)) AS ti FROM q WHERE q.config = w.config AND q.sample = w.sample AND q.pi = w.pi + 1 AND NOT list_contains(w.used, ti)) h WHERE w.pi < np.n),
+e AS (SELECT config, coalesce((SELECT sum(n) FROM (SELECT max(len(used)) AS n FROM w WHERE w.config = g.config GROUP BY sample)), 0)::DOUBLE AS tp, (SELECT count(*) FROM pr WHERE pr.config = g.config)::DOUBLE AS np, (SELECT count(*) FROM tr WHERE tr.config = g.config)::DOUBLE AS nt FROM g),
+z AS (SELECT g.config, g.t::DOUBLE AS confidence, d AS dilation, m AS least_run, gap, k.tp, k.fp, k.fn, coalesce(k.tp / nullif(k.tp + k.fp, 0)::DOUBLE, 0) AS precision, coalesce(k.tp / nullif(k.tp + k.fn, 0)::DOUBLE, 0) AS recall, coalesce(e.tp / nullif(np, 0), 0) AS event_precision, coalesce(e.tp / nullif(nt, 0), 0) AS event_recall FROM g JOIN k USING (config) JOIN e USING (config)),
+y AS (SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0) AS f1, coalesce(5 * precision * recall / nullif(4 * precision + recall, 0), 0) AS f2, coalesce(2 * event_precision * event_recall / nullif(event_precision + event_recall, 0), 0) AS event_f1, coalesce(5 * event_precision * event_recall / nullif(4 * event_precision + event_recall, 0), 0) AS event_f2 FROM z)
+SELECT config, confidence, dilation, least_run, gap, tp, fp, fn, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1, round(f2, 9) AS f2, round(event_precision, 9) AS event_precision, round(event_recall, 9) AS event_recall, round(event_f1, 9) AS event_f1, round(event_f2, 9) AS event_f2, row_number() OVER (ORDER BY round(event_f2, 9) DESC, config) = 1 AS best FROM y""")
+def _(t: Tables) -> DataFrame:
+    f = framed(t)
+    pred = f.join(t.events.select("event_id", c("value").alias("score")), "event_id").where("event_id % 4 > 0").select("sample", "frame", "score")
+    tuned = frames.tune_postprocess(pred, f, [40.0, 70.0], [0, 5], [1, 3], [0, 12], 9, 4, "event_f2")
+    rounded = [F.round(x, 9).alias(x) for x in ("precision", "recall", "f1", "f2", "event_precision", "event_recall", "event_f1", "event_f2")]
+    return tuned.select("config", "confidence", "dilation", "least_run", "gap", "tp", "fp", "fn", *rounded, "best")
 
 
 @query("J23_join_semantic", "WITH o AS (SELECT l_orderkey, l_returnflag, l_discount, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice, l_linestatus) AS r FROM lineitem) SELECT o_orderkey, count(r) AS n, max(l_discount) AS confidence, min_by(l_returnflag, r) AS pred FROM orders LEFT JOIN o ON l_orderkey = o_orderkey AND r <= 2 GROUP BY o_orderkey")

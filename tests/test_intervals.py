@@ -88,3 +88,17 @@ def test_a_hot_sample_is_many_tasks(spark):
     dealt = runs.repartition(4, "sample", "run").groupBy(F.spark_partition_id().alias("p")).count().collect()
     assert len(dealt) == 4 and max(x["count"] for x in dealt) < n / 3
     assert Counter(r.overlap for r in intervals.widest_overlap(true.selectExpr("sample", "event_start AS start", "event_end AS end"), true.selectExpr("sample", "event_start AS start", "event_end AS end"), "sample", ["sample", "start"]).groupBy("overlap").count().select("overlap").collect()) == {6: 1}
+
+
+def test_tuning_keeps_error_rows_and_the_first_best(spark):
+    pred = spark.createDataFrame([("s", f, v) for f, v in enumerate([0.9, 0.1, 0.9, 0.4, 0.0, 0.9, 0.9, None])], "sample string, frame long, score double")
+    labels = spark.createDataFrame([("s", f, int(f in (0, 1, 2, 6))) for f in range(7)], "sample string, frame long, present int")
+    rows = frames.tune_postprocess(pred, labels, [0.5, None], [0, 1], [1], [0, 2, -1], 1, 0, "f1").orderBy("config").collect()
+    assert [r.config for r in rows] == list(range(12)) and [r.best for r in rows].count(True) == 1
+    assert all((r.error is not None) == (r.confidence is None) and (r.f1 is None) == (r.error is not None) for r in rows)
+    by = {(r.dilation, r.gap): r for r in rows if r.error is None}
+    assert (by[0, 0].tp, by[0, 0].fp, by[0, 0].fn) == (3, 1, 1) and (by[0, 2].tp, by[0, 2].fp, by[0, 2].fn) == (4, 1, 0)
+    assert by[0, 2].best is (by[0, 2].f1 == max(r.f1 for r in by.values()))
+    assert (by[0, 0].event_precision, by[0, 0].event_recall) == (2 / 3, 1.0) and by[0, -1].tp == by[0, 0].tp
+    far = labels.withColumn("frame", F.col("frame") + 100)
+    assert all("no matching rows" in r.error and not r.best for r in frames.tune_postprocess(pred, far, [0.5], [0], [1], [0]).collect())
