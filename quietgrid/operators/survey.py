@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import same_answer
@@ -68,20 +70,52 @@ def rating_summary(df: DataFrame, groupings: list[list[str]], rating: str, parti
     return out.select(*keys, "level", "rows", "participants", "items", "mean", "median", "sd", "share_high")
 
 
-def cluster_bootstrap(df: DataFrame, cluster: str, value: str, iterations: int = 1000, seed: int = 13) -> DataFrame:
+def _uniform(*parts: Column | str) -> Column:
+    """A seeded number from 0 to 1, of 48 bits."""
+    return (F.conv(F.substring(F.md5(F.concat_ws("|", *parts).cast("binary")), 1, 12), 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(1 << 48))
+
+
+def split_draws(spark: SparkSession, iterations: int, k: int, levels: int, seed: int) -> DataFrame:
+    """(it, bucket, draws): how many of the k draws of each iteration fall to each of 2**levels buckets of 1..k.
+
+    Draws are split down a tree: of a node's draws the left half gets a binomial share by the halves' sizes.  Fewer
+    than 64 draws are dealt one by one; more by the binomial's mean and deviation and a seeded normal number.  Bucket b
+    holds the places from ceil(b k / 2**levels) on.  No rows are moved.
+    """
+    nodes = spark.range(1, iterations + 1).select(F.col("id").cast("int").alias("it"), F.lit(0).cast("long").alias("bucket"), F.lit(k).cast("long").alias("draws"))
+    for level in range(levels):
+        width = 1 << (levels - level)
+        start = lambda b: F.expr(f"({b} * {k}L + {(1 << levels) - 1}) div {1 << levels}")
+        low, middle, high = start(f"bucket * {width}"), start(f"(bucket * {width} + {width // 2})"), start(f"(bucket + 1) * {width}")
+        p, n, at = (middle - low) / F.greatest(high - low, F.lit(1)), F.col("draws"), (F.lit(seed), "it", F.lit(level), "bucket")
+        one_by_one = F.size(F.filter(F.sequence(F.lit(1).cast("long"), F.greatest(n, F.lit(1))), lambda d: (d <= n) & (_uniform(*at, d) < p))).cast("long")
+        normal = F.sqrt(-2 * F.log(_uniform(*at, F.lit("a")))) * F.cos(2 * math.pi * _uniform(*at, F.lit("b")))
+        share = F.least(n, F.greatest(F.lit(0), F.floor(n * p + normal * F.sqrt(n * p * (1 - p)) + 0.5))).cast("long")
+        left = F.when(n < 64, one_by_one).otherwise(share)
+        nodes = nodes.select("it", "bucket", "draws", left.alias("left"))
+        sides = F.array(F.struct((F.col("bucket") * 2).alias("bucket"), F.col("left").alias("draws")), F.struct((F.col("bucket") * 2 + 1).alias("bucket"), (n - F.col("left")).alias("draws")))
+        nodes = nodes.select("it", F.inline(sides))
+    return nodes.where("draws > 0")
+
+
+def cluster_bootstrap(df: DataFrame, cluster: str, value: str, iterations: int = 1000, seed: int = 13, per_bucket: int = 1024) -> DataFrame:
     """(mean, low, high): the mean of a value and its 2.5 and 97.5 percentiles over resamples of whole clusters.
 
-    Clusters are numbered; each draw of an iteration names one by a seeded digest, so a draw is a join on the
-    number and the resamples are sums by iteration.  Draws are dealt to tasks as a range.
+    Clusters stand in seeded order and are cut into buckets of about ``per_bucket``, 1024 buckets at most; how many
+    draws of an iteration a bucket makes comes from ``split_draws``, and it makes them itself, each a seeded digest.  What
+    is shuffled is the clusters, once, and a sum for each iteration and bucket.
     """
     sums = df.groupBy(cluster).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
     numbered = seeded_place(sums, cluster, seed, "i")
     k, mean = sums.agg(F.count("*"), F.sum("s") / F.sum("n")).first()
-    draws = df.sparkSession.range(iterations * k).select((F.floor(F.col("id") / max(1, k)) + 1).alias("it"), F.pmod("id", F.lit(max(1, k))).alias("d"))
-    digest = F.md5(F.concat_ws("|", F.lit(seed), "it", "d").cast("binary"))
-    draws = draws.select("it", F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.lit(max(1, k))).alias("i"))
-    drawn = draws.groupBy("it", "i").count().join(numbered.select("i", "s", "n").hint("shuffle_hash"), "i")
-    means = drawn.groupBy("it").agg((F.sum(F.col("s") * F.col("count")) / F.sum(F.col("n") * F.col("count"))).alias("m"))
+    levels = max(0, min(10, int(math.floor(math.log2(max(1, k) / per_bucket)))))
+    place = F.expr(f"(i * {1 << levels}L) div {max(1, k)}").alias("bucket")
+    buckets = numbered.groupBy(place).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "s", "n"))), lambda x: F.struct(x["s"].alias("s"), x["n"].alias("n"))).alias("own"))
+    draws = split_draws(df.sparkSession, iterations, k, levels, seed).join(buckets.hint("shuffle_hash"), "bucket")
+    draws = draws.select("it", "bucket", "own", F.explode(F.sequence(F.lit(1).cast("long"), "draws")).alias("d"))
+    which = F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), "it", "bucket", "d").cast("binary")), 1, 8), 16, 10).cast("long"), F.size("own"))
+    drawn = draws.select("it", "bucket", F.get("own", which.cast("int")).alias("x")).groupBy("it", "bucket").agg(F.sum("x.s").alias("s"), F.sum("x.n").alias("n"))
+    means = drawn.groupBy("it").agg((F.sum("s") / F.sum("n")).alias("m"))
     return means.agg(F.lit(mean).cast("double").alias("mean"), F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
 
 

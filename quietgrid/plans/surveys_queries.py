@@ -66,10 +66,19 @@ def _(t: Tables) -> DataFrame:
     return out.withColumns({x: F.round(x, 6) for x in ("mean", "sd", "share_high")})
 
 
-@query("A32_cluster_bootstrap", RS + """, c AS (SELECT l_suppkey, sum(rating) AS s, count(rating) AS n FROM r GROUP BY 1), b AS (SELECT *, row_number() OVER (ORDER BY md5('13|' || l_suppkey), l_suppkey) - 1 AS i FROM c), k AS (SELECT count(*) AS k FROM c), z AS (SELECT k, unnest(range(1, 201)) AS it FROM k), y AS (SELECT k, it, unnest(range(k)) AS d FROM z),
-d AS (SELECT it, ('0x' || substr(md5('13|' || it || '|' || d), 1, 8))::BIGINT % k AS i FROM y), m AS (SELECT it, sum(s) / sum(n)::DOUBLE AS m FROM d JOIN b USING (i) GROUP BY it) SELECT round((SELECT sum(s) / sum(n)::DOUBLE FROM c), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m""")
-def _(t: Tables) -> DataFrame:
-    out = survey.cluster_bootstrap(responses(t), "l_suppkey", "rating", 200)
+@query("A32_cluster_bootstrap", RS.replace("WITH ", "WITH RECURSIVE ", 1) + """, c AS (SELECT l_suppkey, sum(rating) AS s, count(rating) AS n FROM r GROUP BY 1), b AS (SELECT *, row_number() OVER (ORDER BY md5('13|' || l_suppkey), l_suppkey) - 1 AS i FROM c),
+k AS (SELECT count(*)::BIGINT AS k, greatest(0, least(10, floor(log2(count(*) / 8.0))))::INT AS lv FROM c), w AS (SELECT *, (1 << lv)::BIGINT AS m FROM k),
+t(it, lvl, bucket, draws) AS (SELECT it::INT, 0, 0::BIGINT, k FROM k, range(1, 201) x(it) UNION ALL
+ SELECT it, lvl + 1, bucket * 2 + side, CASE side WHEN 0 THEN lft ELSE draws - lft END FROM (SELECT it, lvl, bucket, draws, CASE WHEN draws < 64 THEN len(list_filter(range(1, draws + 1), lambda d: (('0x' || substr(md5('13|' || it || '|' || lvl || '|' || bucket || '|' || d), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656.0::DOUBLE < p))::BIGINT
+   ELSE least(draws, greatest(0, floor(draws * p + sqrt(-2 * ln((('0x' || substr(md5('13|' || it || '|' || lvl || '|' || bucket || '|a'), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656.0::DOUBLE)) * cos(2 * pi() * ((('0x' || substr(md5('13|' || it || '|' || lvl || '|' || bucket || '|b'), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656.0::DOUBLE)) * sqrt(draws * p * (1 - p)) + 0.5)))::BIGINT END AS lft
+  FROM (SELECT it, lvl, bucket, draws, (mid - low) / greatest(high - low, 1)::DOUBLE AS p FROM (SELECT it, lvl, bucket, draws, (bucket * wd * k + m - 1) // m AS low, ((bucket * wd + wd // 2) * k + m - 1) // m AS mid, ((bucket + 1) * wd * k + m - 1) // m AS high
+   FROM (SELECT t.*, k, m, (1 << (lv - lvl))::BIGINT AS wd FROM t, w WHERE lvl < lv)))), (VALUES (0), (1)) s(side)),
+o AS (SELECT i * m // k AS bucket, s, n, row_number() OVER (PARTITION BY i * m // k ORDER BY i) - 1 AS j, count(*) OVER (PARTITION BY i * m // k) AS size FROM b, w),
+d AS (SELECT it, bucket, unnest(range(1, draws + 1)) AS d FROM t, w WHERE lvl = lv AND draws > 0),
+e AS (SELECT d.it, o.s, o.n FROM d JOIN o ON o.bucket = d.bucket AND o.j = ('0x' || substr(md5('13|' || it || '|' || d.bucket || '|' || d), 1, 8))::BIGINT % o.size), y AS (SELECT it, sum(s) / sum(n)::DOUBLE AS m FROM e GROUP BY it)
+SELECT round((SELECT sum(s) / sum(n)::DOUBLE FROM c), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM y""")
+def _(t: Tables) -> DataFrame:
+    out = survey.cluster_bootstrap(responses(t), "l_suppkey", "rating", 200, per_bucket=8)
     return out.withColumns({x: F.round(x, 6) for x in ("mean", "low", "high")})
 
 
