@@ -183,7 +183,7 @@ def baum_welch(train: DataFrame, text_col: str, model: Hmm) -> Counts:
         for batch in batches:
             texts = texts_of(batch.column(0))
             syms, sizes = [np.zeros(0, dtype=np.uint16)], [np.zeros(0, dtype=np.int64)]
-            for a, b in chunks(texts):
+            for a, b in chunks(texts, 1 << 20):
                 h, firsts = tokens(texts[a:b])
                 syms.append(symbols(h).astype(np.uint16))
                 sizes.append(np.diff(firsts))
@@ -260,7 +260,7 @@ def score_texts(docs: DataFrame, train_rows: Column, id_col: str = "doc_id", tex
             texts, keys = texts_of(batch.column(2)), p + row + np.arange(n)
             row += n
             known_of, logs_of, syms, sizes = np.zeros(n, dtype=np.int64), np.zeros(n), [], []
-            for a, b in chunks(texts):
+            for a, b in chunks(texts, 1 << 20):
                 h, firsts = tokens(texts[a:b])
                 rows = np.repeat(np.arange(a, b), np.diff(firsts))
                 at = np.minimum(np.searchsorted(head_h, h), max(0, len(head_h) - 1))
