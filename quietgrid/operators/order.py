@@ -19,7 +19,7 @@ def running_sum(df: DataFrame, by: list[str], key: str, value: str, name: str, s
     before = lambda v, w: F.coalesce(F.sum(v).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
     sums = sums.withColumn("_offset", before("_all", Window.partitionBy(*by).orderBy("_bucket"))).drop("_all")
     inside = placed.withColumn(name, before(value, Window.partitionBy(*by, "_bucket").orderBy(F.xxhash64(F.lit(seed + 1), key), key)))
-    return inside.join(sums, [*by, "_bucket"]).withColumn(name, F.col(name) + F.col("_offset")).drop("_bucket", "_offset")
+    return inside.join(sums.hint("merge"), [*by, "_bucket"]).withColumn(name, F.col(name) + F.col("_offset")).drop("_bucket", "_offset")
 
 
 def seeded_place(df: DataFrame, key: str, seed: int, name: str, by: list[str] | None = None) -> DataFrame:

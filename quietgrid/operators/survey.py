@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import same_answer
 from .order import running_sum, seeded_place
+from .tables import durable
 
 
 def completed_sessions(df: DataFrame, rule: str) -> DataFrame:
@@ -200,8 +201,55 @@ def _use_level(levels: DataFrame, most: int, want: int, low: int, high: int) ->
     return high
 
 
-def assign_items(items: DataFrame, counts: DataFrame, sessions: DataFrame, k: int, m: int) -> DataFrame:
-    """(session, item, place): k items for each session, at most m of a block, the least used first and seeded by session and item.
+def assign_items(items: DataFrame, counts: DataFrame, sessions: DataFrame, k: int, m: int, text: str | None = None) -> DataFrame:
+    """(session, item, place): k items for each session, at most m of a block, no visible text twice, the least used first and seeded by session and item.
+
+    Items of one ``text`` (a column of ``items``; null is a text of its own) are shown as one: the text stands in the
+    block of its least used item, and the sessions that get it take turns over its items in that block.  There must be
+    as many texts as k, or a session gets all texts.  See ``_assign_units`` for the rest.
+    """
+    used = items.join(counts.select("item", "used").hint("merge"), "item", "left").fillna(0, ["used"])
+    own = F.concat(F.lit("item|"), F.col("item").cast("string"))
+    shown = F.coalesce(F.concat(F.lit("text|"), F.col(text).cast("string")), own) if text else own
+    used = durable(used.select("item", F.struct("block").alias("_k"), F.col("used").cast("long").alias("used"), shown.alias("shown")), "used")
+    if not text:
+        return _assign_units(used.select("item", "_k", "used"), sessions, k, m)
+    first = F.min(F.struct("used", F.xxhash64("item").alias("h"), "item", "_k")).alias("f")
+    homes = used.groupBy("shown").agg(first).select("shown", F.col("f._k").alias("_home"), F.col("f.item").alias("unit"), F.col("f.used").alias("least"))
+    homes = durable(homes, "homes")
+    held = used.join(homes.hint("merge"), "shown").where(F.col("_k") == F.col("_home"))
+    turn = F.row_number().over(Window.partitionBy("unit").orderBy("used", "item")) - 1
+    held = durable(held.select("unit", "item", turn.alias("turn"), F.count("*").over(Window.partitionBy("unit")).alias("n")), "turns")
+    units = homes.select(F.col("unit").alias("item"), F.col("_home").alias("_k"), F.col("least").alias("used"))
+    found = _assign_units(units, sessions, k, m).withColumnRenamed("item", "unit")
+    sizes = held.where("turn = 0").select("unit", "n")
+    found = found.join(sizes.hint("merge"), "unit").withColumn("turn", F.pmod(F.xxhash64("session", "unit"), F.col("n")).cast("int"))
+    return found.join(held.select("unit", "turn", "item").hint("merge"), ["unit", "turn"]).select("session", "item", "place")
+
+
+def sorted_place(df: DataFrame, by: list[str], name: str) -> DataFrame:
+    """Rows with ``name``: their place from 0 in the order of ``by``, from a sort in ranges and the ranges' sizes."""
+    ordered = durable(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id()), "ordered")
+    part = F.call_function("shiftright", F.col("_at"), F.lit(33)).alias("_part")
+    sizes = ordered.groupBy(part).agg(F.count("*").alias("_n"))  # a row a range
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select("_part", before.alias("_before"))
+    inside = F.col("_at") - F.call_function("shiftleft", F.col("_part"), F.lit(33))
+    return ordered.withColumn("_part", part).join(F.broadcast(sizes), "_part").withColumn(name, inside + F.col("_before")).drop("_at", "_part", "_before")
+
+
+def assign_sequential(items: DataFrame, sessions: DataFrame, k: int, order: list[str], seed: str = "seq") -> DataFrame:
+    """(session, item, place): k items in a row for each session, from a seeded place of the items' order on and round its end; all items if there are fewer."""
+    placed = durable(sorted_place(items.select("item", *order), [*order, "item"], "at").select("item", "at"), "placed")
+    n = placed.count()
+    start = F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col("session").cast("string")).cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(max(1, n)))
+    asked = sessions.select("session", start.alias("start"), F.explode(F.sequence(F.lit(0), F.lit(max(0, min(k, n) - 1)))).alias("place"))
+    asked = asked.where(F.lit(n > 0 and k > 0)).withColumn("at", F.pmod(F.col("start") + F.col("place"), F.lit(max(1, n))))
+    return asked.join(placed.hint("merge"), "at").select("session", "item", "place")
+
+
+def _assign_units(used: DataFrame, sessions: DataFrame, k: int, m: int) -> DataFrame:
+    """(session, item, place) of items (item, _k: their block, used).
 
     All items take part.  Uses go to the items of the lowest counts, a session being one use, until each
     session has k; a block has at most m uses a session.  Where the blocks are too few or too small for
@@ -212,17 +260,16 @@ def assign_items(items: DataFrame, counts: DataFrame, sessions: DataFrame, k: in
     places p, p + S, p + 2 S and so on, which holds these bounds.
     """
     m = m if m > 0 else k
-    used = items.select(F.struct("block").alias("_k"), "item").join(counts.select("item", "used"), "item", "left").fillna(0, ["used"])
-    levels = used.groupBy("_k", F.col("used").cast("long").alias("used")).agg(F.count("*").alias("n"))
+    levels = used.groupBy("_k", "used").agg(F.count("*").alias("n"))
     sizes = levels.groupBy("_k").agg(F.sum("n").alias("size"))
     every = sessions.count()
     n_items, capped = sizes.agg(F.sum("size"), F.sum(F.least("size", F.lit(m)))).first()
     if not every or not n_items:
-        return sessions.limit(0).select("session").crossJoin(items.limit(0).select("item")).withColumn("place", F.lit(0))
+        return sessions.limit(0).select("session").crossJoin(used.limit(0).select("item")).withColumn("place", F.lit(0))
     wanted, relax = every * min(k, n_items), capped < min(k, n_items)
     cap = F.least("size", F.lit(m)) * F.lit(every)
     sizes = sizes.select("_k", (cap if relax else F.lit(0).cast("long")).alias("least"), (F.col("size") * F.lit(every) if relax else cap).alias("most"))
-    levels = levels.join(sizes, "_k")
+    levels = durable(levels.join(sizes.hint("merge"), "_k"), "levels")
     lowest, highest = levels.agg(F.min("used"), F.max("used")).first()
     level = _use_level(levels, every, wanted, lowest, highest + every)
 
@@ -232,26 +279,26 @@ def assign_items(items: DataFrame, counts: DataFrame, sessions: DataFrame, k: in
     left = wanted - blocks.agg(F.sum("sure")).first()[0]
     blocks = running_sum(blocks.select("_k", "sure", (F.col("last") - F.col("sure")).alias("more")).withColumn("_one", F.lit(0)), ["_one"], "_k", "more", "before")
     blocks = blocks.select("_one", "_k", (F.col("sure") + F.least(F.greatest(F.lit(left) - F.col("before"), F.lit(0)), "more")).alias("uses")).where("uses > 0")
-    blocks = running_sum(blocks, ["_one"], "_k", "uses", "start").drop("_one")
+    blocks = durable(running_sum(blocks, ["_one"], "_k", "uses", "start").drop("_one"), "uses")
 
     # the level of each block: uses grow from an item's count until every session has it
     turns = levels.select("_k", F.explode(F.array(F.struct(F.col("used").alias("x"), F.col("n").alias("d")), F.struct((F.col("used") + every).alias("x"), (-F.col("n")).alias("d")))).alias("t"))
     turns = turns.groupBy("_k", "t.x").agg(F.sum("t.d").alias("d"))
     w = Window.partitionBy("_k").orderBy("x")
     turns = turns.withColumns({"slope": F.sum("d").over(w), "moment": F.sum(F.col("d") * F.col("x")).over(w)}).withColumn("have", F.col("slope") * F.col("x") - F.col("moment"))
-    at = turns.join(blocks, "_k").where("have < uses").groupBy("_k", "uses", "start").agg(F.max_by(F.struct("x", "slope", "have"), "x").alias("t"))
+    at = turns.join(blocks.hint("merge"), "_k").where("have < uses").groupBy("_k", "uses", "start").agg(F.max_by(F.struct("x", "slope", "have"), "x").alias("t"))
     full = F.expr("t.x + (uses - t.have - 1) div t.slope")  # the highest level that leaves some uses
     at = at.withColumn("full", full).select("_k", "start", "full", (F.col("uses") - F.col("t.have") - F.col("t.slope") * (F.col("full") - F.col("t.x"))).alias("over"))
 
-    shares = used.join(at, "_k").withColumn("sure", F.least(F.greatest(F.col("full") - F.col("used"), F.lit(0)), F.lit(every)))
+    shares = used.join(at.hint("merge"), "_k").withColumn("sure", F.least(F.greatest(F.col("full") - F.col("used"), F.lit(0)), F.lit(every)))
     shares = shares.withColumn("open", ((F.col("used") <= F.col("full")) & (F.col("sure") < every)).cast("long"))
-    shares = running_sum(shares, ["_k"], "item", "open", "before")
+    shares = running_sum(durable(shares, "open"), ["_k"], "item", "open", "before")
     shares = shares.withColumn("uses", F.col("sure") + F.when((F.col("open") == 1) & (F.col("before") < F.col("over")), 1).otherwise(0)).where("uses > 0")
-    shares = running_sum(shares.select("_k", "item", "used", "start", "uses"), ["_k"], "item", "uses", "inner")
+    shares = durable(running_sum(durable(shares.select("_k", "item", "used", "start", "uses"), "shares"), ["_k"], "item", "uses", "inner"), "line")
     lots = shares.withColumn("lot", F.explode(F.expr("sequence(0L, (uses - 1) div 4096)")))  # so that no array grows with the sessions
     line = lots.select("item", "used", (F.col("start") + F.col("inner")).alias("from"), F.explode(F.expr("sequence(lot * 4096, least(uses, (lot + 1) * 4096) - 1)")).alias("use"))
     numbered = running_sum(sessions.select("session", F.lit(1).alias("_one")), [], "session", "_one", "_p", 13)
-    pairs = line.withColumn("_p", F.pmod(F.col("from") + F.col("use"), F.lit(every))).join(numbered, "_p")
+    pairs = line.withColumn("_p", F.pmod(F.col("from") + F.col("use"), F.lit(every))).join(durable(numbered, "numbered").hint("merge"), "_p")
     return pairs.withColumn("place", F.row_number().over(Window.partitionBy("session").orderBy("used", F.xxhash64("session", "item"), "item"))).select("session", "item", "place")
 
 

@@ -142,3 +142,20 @@ def _(t: Tables) -> DataFrame:
     items = t.part.select(c("p_partkey").alias("item"), c("p_brand").alias("block"))
     counts = t.lineitem.groupBy(c("l_partkey").alias("item")).agg(F.count("*").alias("used"))
     return survey.assign_items(items, counts, t.customer.select(c("c_custkey").alias("session")), 4, 1)
+
+
+@query("K10_assign_texts", "SELECT c_custkey AS session, 4 AS n, 4 AS n_texts, 4 AS n_blocks, 4 AS n_places FROM customer")
+def _(t: Tables) -> DataFrame:
+    """Sizes are the visible texts, and lie in many brands, the blocks."""
+    items = t.part.select(c("p_partkey").alias("item"), c("p_brand").alias("block"), (c("p_size") % 40).alias("shown_as"))
+    counts = t.lineitem.groupBy(c("l_partkey").alias("item")).agg(F.count("*").alias("used"))
+    found = survey.assign_items(items, counts, t.customer.select(c("c_custkey").alias("session")), 4, 1, "shown_as")
+    of = found.join(items.hint("merge"), "item").groupBy("session")
+    return of.agg(F.count("*").cast("int").alias("n"), F.countDistinct("shown_as").cast("int").alias("n_texts"), F.countDistinct("block").cast("int").alias("n_blocks"), F.countDistinct("place").cast("int").alias("n_places"))
+
+
+@query("K10_assign_sequential", """WITH p AS (SELECT p_partkey AS item, row_number() OVER (ORDER BY p_brand, p_size, p_partkey) - 1 AS pl, count(*) OVER () AS n FROM part), s AS (SELECT c_custkey AS session, ('0x' || substr(md5('seq|' || c_custkey), 1, 8))::BIGINT % (SELECT max(n) FROM p) AS start, unnest(range(6)) AS place FROM customer)
+SELECT session, item, place::INT AS place FROM s JOIN p ON pl = (start + place) % n""")
+def _(t: Tables) -> DataFrame:
+    items = t.part.select(c("p_partkey").alias("item"), "p_brand", "p_size")
+    return survey.assign_sequential(items, t.customer.select(c("c_custkey").alias("session")), 6, ["p_brand", "p_size"])
