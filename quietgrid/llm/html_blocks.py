@@ -1,8 +1,9 @@
 """Main text of web pages: flat text blocks classified by a decision tree.
 
 A page is cut at block-level tags into flat blocks of text.  A block's features are its word count and
-link density, those of its neighbours, and what it stands in (an article, a part of the page's frame such
-as a menu, an advert or a form, a list, a heading; and whether the story stands elsewhere).  A decision
+link density, those of its neighbours, what it stands in (an article, a part of the page's frame such
+as a menu, an advert or a form, a list, a heading, a paragraph; and whether the story stands elsewhere), whether it is
+the page's first or last, and whether a short text outside the story reads like a notice of rights.  A decision
 tree grown from the small labelled table EXAMPLES says which blocks are main text; these are joined in page
 order.
 
@@ -10,7 +11,7 @@ An element that is marked as a part of the frame is none where it holds the page
 element marked as such or, where nothing is, more than half of the page's words outside links.
 
 Null and empty pages have no blocks and an empty text, empty tables give empty results, and each row is a
-page of its own, repeated rows included; columns other than those named are not read.  The scan of a page
+page of its own, repeated rows included, so there are no ties; columns other than those named are not read.  The scan of a page
 is linear in its length: a tag that never ends makes the rest of the page text.
 """
 

@@ -12,10 +12,13 @@ SPREAD = 64
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's folder for checkpoints.  A folder of this machine is set only where none is named, as in local tests."""
+    """The session's folder for checkpoints.  A folder of this machine is set only where none is named and the master is local, as in tests."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
     return context._jsc.sc().getCheckpointDir().get()
 
 

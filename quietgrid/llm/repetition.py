@@ -3,6 +3,9 @@
 Rolling hashes of several n-gram lengths are taken in numpy over whole batches of texts; an n-gram that
 stands twice or more in a text marks its words, and the measure is the share of the text's word
 characters under such marks.  Words are compared as they are.  Null and empty texts have no words.
+
+Each row is judged by itself: repeated rows have equal results, ids may repeat and be null, there are no ties, empty
+tables give empty results, and other columns, whatever their names, are not read.  Texts of any length are whole.
 """
 
 from __future__ import annotations

@@ -11,7 +11,7 @@ it found, which joins the same fingerprints without emitting every pair of a lar
 Null and empty texts have the zero fingerprint and are linked like any other; a text with fewer words
 than a shingle is one shingle.  Rows with the same fingerprint share a component.  Ids may be of any type
 that has an order, may repeat and may be null; empty tables give empty results, and other columns, whatever
-their names, are not read.  Long texts are hashed in bounded blocks.
+their names, are not read.  A text is hashed as a whole, in memory that is proportional to its length.
 
 For near copies (``drop_near_duplicates``) the same tiles find candidates, whose shingle sets are then
 compared exactly.
