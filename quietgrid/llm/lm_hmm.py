@@ -87,46 +87,56 @@ class Counts:
 
 
 def expect(model: Hmm, syms: np.ndarray, firsts: np.ndarray, into: Counts, at_once: int = 2048) -> None:
-    """Adds the expected counts of the texts."""
+    """Adds the expected counts of the texts; states and emissions are held in single precision, sums in double."""
     k, sizes = len(model.start), np.diff(firsts)
+    start, move, emit = (x.astype(np.float32) for x in (model.start, model.move, model.emit))
+    back_move, ones = np.ascontiguousarray(move.T), np.ones(k, dtype=np.float32)
     order = np.argsort(-sizes, kind="stable")  # longest first
     for i in range(0, len(order), at_once):
         a, n = firsts[:-1][order[i : i + at_once]], sizes[order[i : i + at_once]]
         steps = int(n[0])
         alive = np.searchsorted(-n, -np.arange(steps), side="left")  # texts longer than t
 
-        def forward(before: np.ndarray | None, t: int, m: int, a: np.ndarray = a) -> np.ndarray:
-            x = (model.start if before is None else before[:m] @ model.move) * model.emit[syms[a[:m] + t]]
-            return x / x.sum(axis=1, keepdims=True)
+        def forward(before: np.ndarray | None, seen: np.ndarray) -> np.ndarray:
+            x = (start if before is None else before[: len(seen)] @ move) * seen
+            x /= (x @ ones)[:, None]
+            return x
+
+        def emitted(t: int, a: np.ndarray = a, alive: np.ndarray = alive) -> np.ndarray:
+            return emit.take(syms[a[: alive[t]] + t], axis=0)
 
         # the state before each piece but the first
         entry: list[np.ndarray | None] = [None]
         now = None
         for t in range((steps - 1) // PIECE * PIECE):
-            now = forward(now, t, alive[t])
+            now = forward(now, emitted(t))
             if t % PIECE == PIECE - 1:
                 entry.append(now)
-        beta = np.ones((0, k))
+        beta = np.ones((0, k), dtype=np.float32)
         for p in range(len(entry) - 1, -1, -1):
             t0, t1 = p * PIECE, min(steps, (p + 1) * PIECE)
-            alpha = np.zeros((t1 - t0, alive[t0], k))
+            alpha = np.zeros((t1 - t0, alive[t0], k), dtype=np.float32)
+            seen = []  # what the piece emits, for both ways
             for t in range(t0, t1):
-                alpha[t - t0, : alive[t]] = forward(entry[p] if t == t0 else alpha[t - 1 - t0], t, alive[t])
-            beta = np.concatenate([beta, np.ones((alive[t0] - len(beta), k))])
+                seen.append(emitted(t))
+                alpha[t - t0, : alive[t]] = forward(entry[p] if t == t0 else alpha[t - 1 - t0], seen[-1])
+            beta = np.concatenate([beta, np.ones((alive[t0] - len(beta), k), dtype=np.float32)])
             for t in range(t1 - 1, t0 - 1, -1):
                 m = alive[t]
                 gamma = alpha[t - t0, :m] * beta[:m]
-                gamma /= gamma.sum(axis=1, keepdims=True)
+                gamma /= (gamma @ ones)[:, None]
                 alpha[t - t0, :m] = gamma
                 if t:
                     before = (entry[p] if t == t0 else alpha[t - 1 - t0])[:m]
-                    weighted = model.emit[syms[a[:m] + t]] * beta[:m]
-                    back = weighted @ model.move.T
-                    joint = before * (1 / np.maximum((before * back).sum(axis=1, keepdims=True), 1e-300))
+                    weighted = seen[t - t0]
+                    weighted *= beta[:m]
+                    back = weighted @ back_move
+                    joint = before / np.maximum((before * back) @ ones, np.float32(1e-35))[:, None]
                     into.move += model.move * (joint.T @ weighted)
-                    beta[:m] = back / back.sum(axis=1, keepdims=True)
+                    back /= (back @ ones)[:, None]
+                    beta[:m] = back
             if p == 0:
-                into.start += alpha[0].sum(axis=0)
+                into.start += alpha[0].sum(axis=0, dtype=np.float64)
             for t in range(t0, t1, 16):
                 m, most = alive[t], min(t + 16, t1)
                 live = np.arange(m)[None, :] < alive[t:most, None]
