@@ -103,7 +103,8 @@ def _(t: Tables) -> DataFrame:
 @query("F27_norm_box", """
 WITH b AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity AS x1, l_linenumber::DOUBLE AS y1, (l_suppkey % 60)::DOUBLE AS x2, (l_partkey % 90)::DOUBLE AS y2 FROM lineitem),
 s AS (SELECT *, (x2 <= x1 OR y2 <= y1) AS sz FROM b), k AS (SELECT l_orderkey, l_linenumber, l_partkey, x1, y1, CASE WHEN sz THEN x1 + x2 ELSE x2 END AS x2, CASE WHEN sz THEN y1 + y2 ELSE y2 END AS y2 FROM s),
-p AS (SELECT l_orderkey, l_linenumber, l_partkey, greatest(0, least(CAST(x1 AS INT), 63)) AS x1, greatest(0, least(CAST(y1 AS INT), 47)) AS y1, greatest(0, least(CAST(x2 AS INT), 64)) AS x2, greatest(0, least(CAST(y2 AS INT), 48)) AS y2 FROM k),
+h AS (SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN f THEN x1 * 64 ELSE x1 END AS x1, CASE WHEN f THEN y1 * 48 ELSE y1 END AS y1, CASE WHEN f THEN x2 * 64 ELSE x2 END AS x2, CASE WHEN f THEN y2 * 48 ELSE y2 END AS y2 FROM (SELECT *, greatest(x1, y1, x2, y2) <= 1.5 AS f FROM k)),
+p AS (SELECT l_orderkey, l_linenumber, l_partkey, greatest(0, least(CAST(x1 AS INT), 63)) AS x1, greatest(0, least(CAST(y1 AS INT), 47)) AS y1, greatest(0, least(CAST(x2 AS INT), 64)) AS x2, greatest(0, least(CAST(y2 AS INT), 48)) AS y2 FROM h),
 q AS (SELECT l_orderkey, l_linenumber, l_partkey, x1, y1, CASE WHEN x2 <= x1 THEN least(64, x1 + 1) ELSE x2 END AS x2, CASE WHEN y2 <= y1 THEN least(48, y1 + 1) ELSE y2 END AS y2 FROM p)
 SELECT *, greatest(0, x2 - x1) * greatest(0, y2 - y1) AS area FROM q""")
 def _(t: Tables) -> DataFrame:

@@ -52,3 +52,8 @@ def test_alike_capabilities_are_classes(spark):
 def test_lines_of_one_flow_are_its_first(spark, tmp_path, name):
     twice = [{"l_returnflag": "R", "l_linestatus": "F", "l_tax": 0.05}, {"l_returnflag": "A", "l_linestatus": "O"}, {"l_returnflag": "A", "l_linestatus": "O", "l_tax": 0.07, "l_discount": 0.06}]
     assert both_orders(spark, tmp_path, name, twice)
+
+
+def test_box_of_shares_is_scaled(spark, tmp_path):
+    shares = {"l_quantity": 1.0, "l_suppkey": 60, "l_partkey": 90}
+    assert dict(agrees(spark, tmp_path / "t", "F27_norm_box", lineitem=[LINE | shares])) == {(1, 1, 90, 63, 47, 64, 48, 1): 1}
