@@ -123,8 +123,8 @@ def recompute_from_boxes(df: DataFrame, confidence: float, area: float, boxes: s
 
 
 def crop_plan(boxes: DataFrame, key: list[str], width: int, height: int, pad: float = 0.10) -> DataFrame:
-    """(key, x1, y1, x2, y2): the largest box of a key with a margin, clamped to the frame."""
-    big = boxes.groupBy(*key).agg(F.max_by(F.struct("x1", "y1", "x2", "y2"), F.struct((F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1")), -F.col("x1"), -F.col("y1"))).alias("b"))
+    """(key, x1, y1, x2, y2): the largest box of a key (of equals the least by x1, y1, x2, y2) with a margin, clamped to the frame."""
+    big = boxes.groupBy(*key).agg(F.max_by(F.struct("x1", "y1", "x2", "y2"), F.struct((F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1")), -F.col("x1"), -F.col("y1"), -F.col("x2"), -F.col("y2"))).alias("b"))
     w, h = F.col("b.x2") - F.col("b.x1"), F.col("b.y2") - F.col("b.y1")
     return big.select(*key, F.greatest(F.lit(0.0), F.col("b.x1") - pad * w).alias("x1"), F.greatest(F.lit(0.0), F.col("b.y1") - pad * h).alias("y1"), F.least(F.lit(float(width)), F.col("b.x2") + pad * w).alias("x2"), F.least(F.lit(float(height)), F.col("b.y2") + pad * h).alias("y2"))
 

@@ -118,7 +118,7 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("P17_crop_plan", """WITH b AS (SELECT l_orderkey, (l_suppkey % 40)::DOUBLE AS x1, (l_linenumber * 3)::DOUBLE AS y1, (l_suppkey % 40 + CAST(l_quantity AS BIGINT))::DOUBLE AS x2, (l_linenumber * 3 + l_partkey % 20)::DOUBLE AS y2 FROM lineitem),
-m AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY (x2 - x1) * (y2 - y1) DESC, x1, y1) AS r FROM b)
+m AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY (x2 - x1) * (y2 - y1) DESC, x1, y1, x2, y2) AS r FROM b)
 SELECT l_orderkey, round(greatest(0, x1 - 0.1::DOUBLE * (x2 - x1)), 6) AS x1, round(least(64, x2 + 0.1::DOUBLE * (x2 - x1)), 6) AS x2 FROM m WHERE r = 1""")
 def _(t: Tables) -> DataFrame:
     b = t.lineitem.select("l_orderkey", (c("l_suppkey") % 40).cast("double").alias("x1"), (c("l_linenumber") * 3).cast("double").alias("y1"), (c("l_suppkey") % 40 + c("l_quantity").cast("long")).cast("double").alias("x2"), (c("l_linenumber") * 3 + c("l_partkey") % 20).cast("double").alias("y2"))

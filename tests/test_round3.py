@@ -57,3 +57,8 @@ def test_lines_of_one_flow_are_its_first(spark, tmp_path, name):
 def test_box_of_shares_is_scaled(spark, tmp_path):
     shares = {"l_quantity": 1.0, "l_suppkey": 60, "l_partkey": 90}
     assert dict(agrees(spark, tmp_path / "t", "F27_norm_box", lineitem=[LINE | shares])) == {(1, 1, 90, 63, 47, 64, 48, 1): 1}
+
+
+def test_boxes_of_equal_area_and_corner(spark, tmp_path):
+    same = [{"l_suppkey": 7, "l_quantity": 24.0, "l_partkey": 13}, {"l_suppkey": 7, "l_quantity": 39.0, "l_partkey": 8}]  # 24 x 13, 39 x 8
+    assert list(both_orders(spark, tmp_path, "P17_crop_plan", same)) == [(1, 4.6, 33.4)]
