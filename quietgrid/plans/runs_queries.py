@@ -53,7 +53,7 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("W12_merge_run_rows", RUN + """, s AS (SELECT *, CASE WHEN candidates IS NULL THEN 0 ELSE 1 END + CASE WHEN l_discount > 0.05 THEN 1 ELSE 0 END + CASE WHEN l_linenumber > 4 THEN 3 ELSE 0 END AS score, row_number() OVER (ORDER BY scenario, l_partkey, l_suppkey, l_linenumber, ms) AS seq FROM r)
-SELECT scenario, first(candidates) FILTER (candidates IS NOT NULL) AS candidates, first(d) FILTER (d IS NOT NULL) AS note, first(p) FILTER (p IS NOT NULL) AS path FROM (SELECT scenario, candidates, CASE WHEN l_discount > 0.05 THEN task END AS d, CASE WHEN l_linenumber > 4 THEN 'p' || l_partkey END AS p FROM s ORDER BY scenario, score DESC, l_shipdate DESC, l_partkey DESC, l_suppkey DESC, l_linenumber DESC, ms DESC) GROUP BY scenario""")
+SELECT scenario, first(candidates ORDER BY score DESC, l_shipdate DESC, l_partkey DESC, l_suppkey DESC, l_linenumber DESC, ms DESC) FILTER (candidates IS NOT NULL) AS candidates, first(d ORDER BY score DESC, l_shipdate DESC, l_partkey DESC, l_suppkey DESC, l_linenumber DESC, ms DESC) FILTER (d IS NOT NULL) AS note, first(p ORDER BY score DESC, l_shipdate DESC, l_partkey DESC, l_suppkey DESC, l_linenumber DESC, ms DESC) FILTER (p IS NOT NULL) AS path FROM (SELECT *, CASE WHEN l_discount > 0.05 THEN task END AS d, CASE WHEN l_linenumber > 4 THEN 'p' || l_partkey END AS p FROM s) GROUP BY scenario""")
 def _(t: Tables) -> DataFrame:
     r = rows(t).select("scenario", "candidates", F.when(c("l_discount") > 0.05, c("task")).alias("note"), F.when(c("l_linenumber") > 4, F.concat(F.lit("p"), "l_partkey")).alias("path"), F.struct("l_shipdate", "l_partkey", "l_suppkey", "l_linenumber", "ms").alias("seq"))
     return runs.merge_run_rows(r, ["scenario"], ["candidates", "note"], "path", "seq").select("scenario", "candidates", "note", "path")

@@ -62,3 +62,12 @@ def test_box_of_shares_is_scaled(spark, tmp_path):
 def test_boxes_of_equal_area_and_corner(spark, tmp_path):
     same = [{"l_suppkey": 7, "l_quantity": 24.0, "l_partkey": 13}, {"l_suppkey": 7, "l_quantity": 39.0, "l_partkey": 8}]  # 24 x 13, 39 x 8
     assert list(both_orders(spark, tmp_path, "P17_crop_plan", same)) == [(1, 4.6, 33.4)]
+
+
+def test_first_of_ordered_rows_is_asked_for(spark):
+    sql = registry.oracle_sql()["W12_merge_run_rows"]
+    con = duckdb.connect()
+    con.sql("CREATE VIEW lineitem AS SELECT * FROM read_parquet('/root/testdata/sf0.1/lineitem.parquet')")
+    # the most complete of six rows; an order of the subquery alone did not bind first()
+    assert con.sql(f"SELECT candidates, note, path FROM ({sql}) WHERE scenario = 61487").fetchall() == [(19369, "t1", "p19369")]
+    assert sql.count("first(") == sql.count(" ORDER BY score DESC") == 3
