@@ -302,7 +302,7 @@ _STAGE_SQL = """WITH e AS (SELECT *, epoch_ms(ts) AS ms, CASE WHEN event_type IN
 n AS (SELECT count(*) AS n, count(DISTINCT event_id) AS items, count(DISTINCT user_id) AS users, count(DISTINCT user_id || '|' || event_id % 3) AS frames, count(DISTINCT epoch_ms(ts) // 1000) AS seconds, count(DISTINCT user_id || '|' || epoch_ms(ts) // 3600000) AS hours, count(*) FILTER (value > 40) AS gated,
  (SELECT count(*) FROM (__LIMIT__)) AS limited FROM e)
 SELECT unnest(['op.source', 'op.sample', 'op.window', 'op.trigger_gate', 'op.join_fuse', 'op.route_publish', 'op.schema_adapter', 'op.region_select_crop', 'op.region_mask_blur', 'op.audio_level_extractor', 'op.speech_sound_classifier', 'op.keyword_intent_extractor', 'op.speech_content_removal', 'op.youhome_av_adapter', 'op.occupancy_deriver', 'op.activity_event_classifier', 'op.aggregate_generalize', 'op.motion_feature_extractor', 'op.multimodal_primitive_fuser']) AS operator_id,
- unnest([n, limited, n, gated, n, n, n, frames, n, n, n, n, n, n, n, n, hours, users, seconds])::BIGINT AS n FROM n""".replace("__LIMIT__", SQL["W02_rate_limit"])
+ unnest([n, limited, n, gated, n, n, n, frames, n, n, n, n, n, n, n, n, hours, users, seconds])::BIGINT AS n FROM n""".replace("__LIMIT__", SQL["W02_rate_limit"]).replace("epoch_ms(ts)", "(epoch_us(ts) // 1000)")  # whole milliseconds, seconds and hours are cut, never rounded
 
 
 @query("X01_apply_stages", _STAGE_SQL)

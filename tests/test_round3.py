@@ -71,3 +71,10 @@ def test_first_of_ordered_rows_is_asked_for(spark):
     # the most complete of six rows; an order of the subquery alone did not bind first()
     assert con.sql(f"SELECT candidates, note, path FROM ({sql}) WHERE scenario = 61487").fetchall() == [(19369, "t1", "p19369")]
     assert sql.count("first(") == sql.count(" ORDER BY score DESC") == 3
+
+
+def test_seconds_are_cut_not_rounded(spark, tmp_path):
+    at = [datetime(2024, 1, 1, 3, 46, 28, 999_864), datetime(2024, 1, 1, 3, 46, 28, 1), datetime(2024, 1, 1, 3, 59, 59, 999_900)]
+    rows = [{"event_id": i, "ts": ts, "user_id": 1, "event_type": "view", "value": 50.0, "props": "{}"} for i, ts in enumerate(at)]
+    got = dict(agrees(spark, tmp_path / "t", "X01_apply_stages", events=rows))
+    assert ("op.multimodal_primitive_fuser", 2) in got and ("op.aggregate_generalize", 1) in got
