@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import re
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
 MEDIA = {"image": ("jpg", "jpeg", "png", "bmp"), "audio": ("wav", "flac", "mp3"), "video": ("mp4", "avi", "mov", "mkv")}
@@ -73,27 +76,66 @@ FRAME_KEYS = ("number", "num", "frame", "id", "index", "name")
 OBJECTS = ("object", "person", "box", "bndbox", "bbox")
 
 
+OUTLINES = ("box", "polygon", "points", "object")
+TRACK = "_label string, box array<struct<_frame:string,_outside:string>>"
+TRACKS = f"array<struct<{TRACK}>>"  # tracks within a track
+IMAGE_TAGS = ("frame", "img", "image")
+
+
+def _text(value: object) -> str:
+    return "" if value is None else str(value).lower()
+
+
+def _below(element: object) -> Iterator[tuple[str, dict]]:
+    """(name, attributes and elements) of all elements below one, of an element read as JSON; attributes begin with an underscore."""
+    for name, held in element.items() if isinstance(element, dict) else ():
+        for x in () if name.startswith("_") else held if isinstance(held, list) else (held,):
+            yield name, x if isinstance(x, dict) else {}
+            yield from _below(x)
+
+
+def _image_frames(tag: str, record: object) -> Iterator[tuple[str, int]]:
+    """(frame, present) of an element and of those of the same name within it."""
+    for own in (record if isinstance(record, dict) else {}, *(x for name, x in _below(record) if name == tag)):
+        inner = list(_below(own))
+        key = next((k for k in FRAME_KEYS if f"_{k}" in own), None)
+        if key:
+            yield own[f"_{key}"], int(any(name in OBJECTS for name, _ in inner))
+        if tag == "image" and "_id" in own and any(name in OUTLINES and " ".join(_text(x.get("_label")).split()) in PERSONS and _text(x.get("_outside")) not in ("1", "true", "yes") for name, x in inner):
+            yield own["_id"], 1
+
+
 def read_presence_xml(spark: SparkSession, path: str) -> DataFrame:
     """(sample, frame, present) of annotations in any of three dialects; the file's name is the sample.
 
     Tracks of a person with boxes by frame (``outside`` boxes do not count), images with boxes or outlines, and
-    frames with objects of any name.  A frame is present if one of them says so; a file is read as one text.
+    frames with objects of any name.  A frame is present if one of them says so.  Files are read as streams of
+    elements, once for each name, so what is held at once is an element and never a file.  Attributes of images and frames
+    are values as Spark infers them (007 is 7).
     """
-    lower = "translate(%s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-    person = "contains('||" + "|".join(PERSONS) + "|', concat('|', normalize-space(" + lower % "@label" + "), '|'))"
-    inside = "not(contains('|1|true|yes|', concat('|', " + lower % "@outside" + ", '|')) and string-length(@outside) > 0)"
-    held = {"//track/box/@frame": 0, f"//track[{person}]/box[{inside}]/@frame": 1, f"//image[.//*[self::box or self::polygon or self::points or self::object][{person} and {inside}]]/@id": 1}
-    some = ".//*[" + " or ".join(f"self::{x}" for x in OBJECTS) + "]"
-    for i, k in enumerate(FRAME_KEYS):  # the first of the names that a frame has
-        own = " and ".join(["(self::frame or self::img or self::image)", *(f"not(@{x})" for x in FRAME_KEYS[:i])])
-        held |= {f"//*[{own}]/@{k}": 0, f"//*[{own}][{some}]/@{k}": 1}
-    docs = spark.read.text(path, wholetext=True).select("_metadata.file_name", "value")
-
-    def marked(path: str, present: int) -> Column:
-        return F.transform(F.xpath("value", F.lit(path)), lambda n: F.struct(n.try_cast("double").cast("long").alias("frame"), F.lit(present).alias("present")))
-
-    found = F.concat(*[marked(x, v) for x, v in held.items()])
-    rows = docs.select(F.regexp_replace("file_name", r"\.xml$", "").alias("sample"), F.explode(found).alias("f")).select("sample", "f.*")
+
+    def elements(tag: str) -> DataFrameReader:
+        return spark.read.format("xml").option("rowTag", tag).option("mode", "FAILFAST")
+
+    def frames(tag: str) -> DataFrame:
+        def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                found = [(n, "" if isinstance(f, bool) else str(f), p) for n, j in zip(batch["file_name"], batch["json"], strict=True) for f, p in _image_frames(tag, json.loads(j))]
+                yield pd.DataFrame(found, columns=["file_name", "frame", "present"])
+
+        df = elements(tag).option("singleVariantColumn", "element").load(path).where("element is not null")
+        # long texts, as the points of an outline, are none of the values that are asked for
+        short = F.regexp_replace(F.to_json("element"), r'"[^"\\]{64,}"', '""')
+        return df.select("_metadata.file_name", short.alias("json")).mapInPandas(rows, "file_name string, frame string, present int")
+
+    each = F.array_append(F.coalesce("track", F.array().cast(TRACKS)), F.struct("_label", "box"))
+    boxes = elements("track").schema(f"{TRACK}, track {TRACKS}").load(path).select("_metadata.file_name", F.explode(each).alias("t")).select("file_name", "t._label", F.explode("t.box").alias("b"))
+    label = F.regexp_replace(F.trim(F.lower(F.coalesce("_label", F.lit("")))), r"\s+", " ")
+    outside = F.lower(F.coalesce("b._outside", F.lit(""))).isin("1", "true", "yes")
+    found = boxes.select("file_name", F.col("b._frame").alias("frame"), (label.isin(*PERSONS) & ~outside).cast("int").alias("present"))
+    for tag in IMAGE_TAGS:
+        found = found.unionByName(frames(tag))
+    rows = found.select(F.regexp_replace("file_name", r"\.xml$", "").alias("sample"), F.col("frame").try_cast("double").cast("long").alias("frame"), "present")
     return rows.where("frame is not null").groupBy("sample", "frame").agg(F.max("present").alias("present"))
 
 

@@ -12,6 +12,7 @@ from test_queries import plain
 
 from quietgrid.functions import caps
 from quietgrid.plans import registry
+from quietgrid.sources import scans
 
 LINE = {"l_orderkey": 1, "l_partkey": 5, "l_suppkey": 7, "l_linenumber": 1, "l_quantity": 10.0, "l_extendedprice": 9.5, "l_discount": 0.02, "l_tax": 0.01, "l_returnflag": "A", "l_linestatus": "F", "l_shipdate": datetime(1998, 1, 2)}
 
@@ -78,3 +79,14 @@ def test_seconds_are_cut_not_rounded(spark, tmp_path):
     rows = [{"event_id": i, "ts": ts, "user_id": 1, "event_type": "view", "value": 50.0, "props": "{}"} for i, ts in enumerate(at)]
     got = dict(agrees(spark, tmp_path / "t", "X01_apply_stages", events=rows))
     assert ("op.multimodal_primitive_fuser", 2) in got and ("op.aggregate_generalize", 1) in got
+
+
+def test_presence_xml_is_read_by_elements(spark, tmp_path, capsys):
+    frames = "".join(f'<frame number="{i}"><a><person x="1"/></a></frame>' for i in range(50))
+    (tmp_path / "A.xml").write_text(f'<d><track label=" Person "><box frame="60" outside="no"/><track label="car"><box frame="61"/></track></track>{frames}<frame num="70"><frame id="71"><bbox/></frame></frame></d>')
+    (tmp_path / "B.xml").write_text(f'<d><image id="007"><s><points label="HUMAN" points="{"1.5,2.5;" * 50}"/></s></image><image id="8"><points label="human" outside="true"/></image><img name="x.jpg"/><img id="9"><object>cup</object></img></d>')
+    df = scans.read_presence_xml(spark, str(tmp_path))
+    got = {(r.sample, r.frame): r.present for r in df.collect()}
+    assert got == {**{("A", i): 1 for i in range(50)}, ("A", 60): 1, ("A", 61): 0, ("A", 70): 1, ("A", 71): 1, ("B", 7): 1, ("B", 8): 0, ("B", 9): 1}
+    df.explain()
+    assert "xml" in (plan := capsys.readouterr().out).lower() and "FileScan text" not in plan
