@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import caps, risk
 from . import skyline
-from .sizes import sized
+from .sizes import dealt, sized
 from .tables import durable
 
 
@@ -233,12 +233,13 @@ def selection_sensitivity(df: DataFrame, request: str) -> DataFrame:
 
 
 def diverse_shortlist(df: DataFrame, request: str, k: int) -> DataFrame:
-    """k candidates of each request: the best of each output bucket, then by residual, then by utility."""
+    """k candidates of each request: the best of each output bucket, then by residual.
+
+    The k of the least residual are there, so no other rule is ever asked; of a bucket its first k are enough.
+    """
     bucket = F.row_number().over(Window.partitionBy(request, "bucket").orderBy("residual", "candidate"))
-    low = F.row_number().over(Window.partitionBy(request).orderBy("residual", "candidate"))
-    rich = F.row_number().over(Window.partitionBy(request).orderBy(F.desc("utility"), "candidate"))
-    df = df.withColumns({"_b": bucket, "_l": low, "_u": rich}).withColumn("_t", F.when(F.col("_b") == 1, 0).when(F.col("_l") <= k, 1).otherwise(2))
-    return first_per(df, [request], [F.asc("_t"), F.when(F.col("_t") == 2, F.col("_u")).otherwise(F.col("_l")), F.asc("candidate")], k).drop("_b", "_l", "_u", "_t")
+    held = dealt(df, request).withColumn("_b", bucket).where(F.col("_b") <= k)
+    return first_per(held, [request], [F.col("_b") > 1, F.asc("residual"), F.asc("candidate")], k).drop("_b")
 
 
 def allowed_sources(has: Column, allowed: Column, forbidden: Column) -> Column:

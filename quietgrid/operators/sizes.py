@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -22,3 +23,12 @@ def near(small: bool) -> Callable[[DataFrame], DataFrame]:
 def sized(df: DataFrame, most: int = MOST_ROWS) -> DataFrame:
     """The table with a broadcast hint if it has ``most`` rows at the most, else with that of a merge join."""
     return near(is_small(df, most))(df)
+
+
+PIECE = 500_000  # rows that one task sorts, about
+
+
+def dealt(df: DataFrame, *keys: str, rows: int = PIECE) -> DataFrame:
+    """The table dealt by keys to as many partitions as its rows ask for, so that what one task holds does not grow with them; a table of few rows stays as it is."""
+    n = math.ceil(df.count() / rows)
+    return df.repartition(n, *keys) if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df

@@ -8,9 +8,11 @@ from datetime import datetime
 import duckdb
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from test_queries import plain
 
-from quietgrid.functions import caps
+from quietgrid.functions import caps, risk
+from quietgrid.operators import flows, runs, select, sizes
 from quietgrid.plans import registry
 from quietgrid.sources import scans
 
@@ -90,3 +92,16 @@ def test_presence_xml_is_read_by_elements(spark, tmp_path, capsys):
     assert got == {**{("A", i): 1 for i in range(50)}, ("A", 60): 1, ("A", 61): 0, ("A", 70): 1, ("A", 71): 1, ("B", 7): 1, ("B", 8): 0, ("B", 9): 1}
     df.explain()
     assert "xml" in (plan := capsys.readouterr().out).lower() and "FileScan text" not in plan
+
+
+def test_shortlist_asks_for_two_orders_only(spark, capsys):
+    rows = [(1, i, "a" if i < 4 else "b", float(i), 0.0) for i in range(6)]
+    out = select.diverse_shortlist(spark.createDataFrame(rows, "request int, candidate int, bucket string, residual double, utility double"), "request", 3)
+    out.explain()
+    assert capsys.readouterr().out.count("- Window [") == 2
+    assert {r.candidate for r in out.collect()} == {0, 4, 1}
+
+
+def test_rows_ask_for_partitions(spark):
+    df = spark.range(40)
+    assert sizes.dealt(df, "id", rows=4).rdd.getNumPartitions() == 10 and sizes.dealt(df, "id") is df
