@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .select import first_per
+from .sizes import dealt
 
 EMPTY = "array<string>"
 # What kind of information an attribute that is disclosed amounts to.
@@ -43,9 +44,11 @@ def build_flows(candidates: DataFrame, requests: DataFrame, environments: DataFr
     """A flow for each candidate: each field's terms of its environment and request, the information types it discloses, its content types."""
     r = requests.select(request, *[F.col(f).alias(f"_r_{f}") for f in fields])
     e = environments.select(request, *[F.col(f).alias(f"_e_{f}") for f in fields])
-    df = candidates.join(r, request).join(e, request, "left")
     primitive, interpreted, inferred = disclosed_terms(F.col("vec"))
-    return df.select(request, "candidate", *[terms(F.col(f"_e_{f}"), F.col(f"_r_{f}")).alias(f) for f in fields], primitive.alias("primitive"), interpreted.alias("interpreted"), inferred.alias("inferred"), content_types(F.col("output_type"), F.col("output_schema")).alias("content"))
+    # what a vector discloses is shorter than the vector, so it is found before the joins
+    own = candidates.select(request, "candidate", primitive.alias("primitive"), interpreted.alias("interpreted"), inferred.alias("inferred"), content_types(F.col("output_type"), F.col("output_schema")).alias("content"))
+    df = dealt(own, request).join(r.hint("merge"), request).join(e.hint("merge"), request, "left")
+    return df.select(request, "candidate", *[terms(F.col(f"_e_{f}"), F.col(f"_r_{f}")).alias(f) for f in fields], "primitive", "interpreted", "inferred", "content")
 
 
 def path_get(document: Column, path: str) -> Column:

@@ -105,3 +105,13 @@ def test_shortlist_asks_for_two_orders_only(spark, capsys):
 def test_rows_ask_for_partitions(spark):
     df = spark.range(40)
     assert sizes.dealt(df, "id", rows=4).rdd.getNumPartitions() == 10 and sizes.dealt(df, "id") is df
+
+
+def test_flows_are_joined_without_their_vectors(spark, capsys):
+    cand = spark.createDataFrame([(1, 10, {"identity": 2, "location": 0, "activity": 1}, "video/x-raw", "")], "request int, candidate int, vec map<string,int>, output_type string, output_schema string")
+    req = spark.createDataFrame([(1, ["home"])], "request int, recipient array<string>")
+    out = flows.build_flows(cand, req, req.where("false"), "request", ["recipient"])
+    assert [tuple(map(str, r)) for r in out.select("recipient", "inferred", "interpreted", "content").collect()] == [("['home']", "['identity']", "['activity']", "['video_content']")]
+    out.explain("extended")
+    plan = capsys.readouterr().out.split("Optimized Logical Plan")[1].split("Physical Plan")[0]
+    assert "vec" not in plan.split("Join")[0] and "map_filter" not in plan.split("Join")[0]
