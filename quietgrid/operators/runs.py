@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .sizes import sized
+from .sizes import PIECE, sized
+from .tables import durable
 
 FAILED_DECISIONS = ("error", "no_candidates", "no_compromise", "invalid_or_no_pipeline", "llm_error")
 SHARED_DECISIONS = ("select_pipeline", "selected", "accept", "accepted")
@@ -129,16 +133,30 @@ def runtime_rows(df: DataFrame, total: str, downstream: str) -> DataFrame:
     return df.withColumn("preprocessing", F.when(F.col(total).isNotNull() & F.col(downstream).isNotNull(), F.greatest(F.lit(0.0), F.col(total) - F.col(downstream))))
 
 
-def decision_switches(df: DataFrame, by: list[str], order: list[str], signature: list[str]) -> DataFrame:
-    """Rows with ``switched``: whether the signature differs from the phase before."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    sig = F.struct(*signature)
-    return df.withColumn("switched", F.when(F.row_number().over(w) == 1, False).otherwise(~sig.eqNullSafe(F.lag(sig).over(w))))
+def decision_switches(df: DataFrame, by: list[str], order: list[str], signature: list[str], piece: int = PIECE) -> DataFrame:
+    """Rows with ``switched``: whether the signature differs from the phase before.
+
+    The rows are cut into ranges of trace and order, so a trace of any length is pieces; only the first row of a
+    piece asks for the last signature of the piece before.
+    """
+    n = math.ceil(df.count() / piece)
+    w = Window.partitionBy("_piece", *by).orderBy(*order)
+    last = F.struct(*signature)
+    cut = durable(df.repartitionByRange(max(n, 1), *by, *order).withColumn("_piece", F.spark_partition_id()), "pieces")
+    inner = cut.repartitionByRange(max(n, 1), "_piece").withColumns({"_before": F.lag(last).over(w), "_end": F.lead(F.lit(True)).over(w).isNull()})
+    inner = durable(inner, "phases")
+    ends = inner.where("_end").select(*by, "_piece", last.alias("_last"))
+    held = ends.withColumn("_held", F.lag("_last").over(Window.partitionBy(*by).orderBy("_piece"))).where("_held is not null")
+    held = held.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(by)], F.col("_piece").alias("_p"), "_held")
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(by)], F.col("_piece") == F.col("_p"))
+    first = inner.where("_before is null").join(held.hint("merge"), same, "left").withColumn("_before", F.col("_held"))
+    rows = inner.where("_before is not null").unionByName(first.select(*inner.columns))
+    return rows.withColumn("switched", F.col("_before").isNotNull() & ~last.eqNullSafe(F.col("_before"))).select(*df.columns, "switched")
 
 
 def trace_summary(df: DataFrame, by: list[str], order: list[str], signature: list[str]) -> DataFrame:
     """(by, phases, selects, no_compromise, errors, switches)."""
-    s = decision_switches(df, by, order, signature)
+    s = decision_switches(df.select(*dict.fromkeys([*by, *order, *signature, "decision"])), by, order, signature)
     return s.groupBy(*by).agg(F.count("*").alias("phases"), F.count_if(is_shared_output(F.col("decision"))).alias("selects"), F.count_if(F.col("decision") == "no_compromise").alias("no_compromise"), F.count_if(F.col("decision") == "error").alias("errors"), F.count_if("switched").alias("switches"))
 
 

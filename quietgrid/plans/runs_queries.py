@@ -139,7 +139,7 @@ ORDER = ["phase", "scenario", "l_partkey", "l_linenumber", "ms"]
 
 @query("W07_decision_switches", SW + "SELECT task, method, count(*) FILTER (switched) AS switches FROM w GROUP BY ALL")
 def _(t: Tables) -> DataFrame:
-    return runs.decision_switches(rows(t), ["task", "method"], ORDER, ["decision", "output"]).groupBy("task", "method").agg(F.count_if("switched").alias("switches"))
+    return runs.decision_switches(rows(t).select("task", "method", *ORDER, "decision", "output"), ["task", "method"], ORDER, ["decision", "output"]).groupBy("task", "method").agg(F.count_if("switched").alias("switches"))
 
 
 @query("A47_trace_summary", SW + f"SELECT task, method, count(*) AS phases, count(*) FILTER ({OK}) AS selects, count(*) FILTER (decision = 'no_compromise') AS no_compromise, count(*) FILTER (decision = 'error') AS errors, count(*) FILTER (switched) AS switches FROM w GROUP BY ALL")

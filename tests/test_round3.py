@@ -115,3 +115,12 @@ def test_flows_are_joined_without_their_vectors(spark, capsys):
     out.explain("extended")
     plan = capsys.readouterr().out.split("Optimized Logical Plan")[1].split("Physical Plan")[0]
     assert "vec" not in plan.split("Join")[0] and "map_filter" not in plan.split("Join")[0]
+
+
+def test_long_trace_is_pieces(spark):
+    rows = [("t", i, "xxyyyxzzx"[i], "select_pipeline") for i in range(9)] + [(None, i, "x", "error") for i in range(3)] + [("u", 0, "y", "error")]
+    df = spark.createDataFrame(rows, "task string, phase int, output string, decision string")
+    for piece in (1, 2, 5, 100):
+        got = runs.decision_switches(df, ["task"], ["phase"], ["output"], piece=piece)
+        assert {(r.task, r.phase) for r in got.where("switched").collect()} == {("t", 2), ("t", 5), ("t", 6), ("t", 8)} and got.count() == 13
+    assert {(r.task, r.phases, r.switches) for r in runs.trace_summary(df, ["task"], ["phase"], ["output"]).collect()} == {("t", 9, 4), (None, 3, 0), ("u", 1, 0)}
