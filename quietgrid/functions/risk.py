@@ -88,7 +88,10 @@ def weight_map(weights: dict[str, float], default: float = 1.0) -> Column:
 def risk_score(vec: Column, weights: Column | None = None) -> Column:
     """Weighted sum of levels; without weights the plain sum.  A missing level counts as unknown."""
     w = (lambda k: F.coalesce(weights[k], F.lit(1.0))) if weights is not None else (lambda k: F.lit(1.0))
-    return F.aggregate(F.map_entries(vec), F.lit(0.0), lambda acc, e: acc + w(e["key"]) * F.coalesce(e["value"], F.lit(4)))
+    levels = F.map_values(vec)  # of a vector as ``vector`` makes it, which is summed up without a lambda
+    known = reduce(lambda acc, i: acc + w(F.lit(ATTRIBUTES[i])) * F.coalesce(F.get(levels, F.lit(i)), F.lit(4)), range(len(ATTRIBUTES)), F.lit(0.0))
+    other = F.aggregate(F.map_entries(vec), F.lit(0.0), lambda acc, e: acc + w(e["key"]) * F.coalesce(e["value"], F.lit(4)))
+    return F.when(F.map_keys(vec) == F.array(*map(F.lit, ATTRIBUTES)), known).otherwise(other)
 
 
 def lex_key(vec: Column, order: tuple[str, ...] = LEX_ORDER) -> Column:

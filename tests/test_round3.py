@@ -124,3 +124,11 @@ def test_long_trace_is_pieces(spark):
         got = runs.decision_switches(df, ["task"], ["phase"], ["output"], piece=piece)
         assert {(r.task, r.phase) for r in got.where("switched").collect()} == {("t", 2), ("t", 5), ("t", 6), ("t", 8)} and got.count() == 13
     assert {(r.task, r.phases, r.switches) for r in runs.trace_summary(df, ["task"], ["phase"], ["output"]).collect()} == {("t", 9, 4), (None, 3, 0), ("u", 1, 0)}
+
+
+def test_vector_is_summed_as_its_entries(spark):
+    v = risk.vector({a: F.lit(i % 5) for i, a in enumerate(risk.ATTRIBUTES)})
+    other = F.create_map(F.lit("face"), F.lit(2), F.lit("other"), F.lit(None).cast("int"))
+    w = risk.weight_map(risk.DEFAULT_WEIGHTS)
+    got = spark.range(1).select(risk.risk_score(v), risk.risk_score(v, w), risk.risk_score(other), risk.risk_score(other, w)).first()
+    assert tuple(got) == (sum(i % 5 for i in range(13)), sum(i % 5 * risk.DEFAULT_WEIGHTS[a] for i, a in enumerate(risk.ATTRIBUTES)), 6.0, 12.0)
