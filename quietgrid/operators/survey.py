@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import same_answer
 from .order import running_sum, seeded_place
+from .sizes import dealt
 from .tables import durable
 
 
@@ -65,7 +67,14 @@ def rating_summary(df: DataFrame, groupings: list[list[str]], rating: str, parti
     high = F.sum(F.when(x >= 4, F.col("n")).otherwise(F.when(x.isNotNull(), 0))) / n
     out = counts.groupingSets(sets, *keys).agg(level, F.sum("n").alias("rows"), (total / n).alias("mean"), F.percentile(rating, F.lit(0.5), F.col("n")).alias("median"), spread.alias("sd"), high.alias("share_high"))
     for column, name in ((participant, "participants"), (item, "items")):
-        once = df.select(*keys, column).distinct().groupingSets(sets, *keys).agg(level, F.countDistinct(column).alias(name))
+        # rows of a value are dealt together, so what each grouping leaves of them is made distinct where it stands, in any number of tasks
+        held = dealt(df.select(*keys, column), column).distinct()
+        each = []
+        for g in groupings:
+            own = held.select(*g, column).distinct().groupBy(*g).agg(F.count(column).alias(name))
+            rolled = sum(1 << i for i, k in enumerate(reversed(keys)) if k not in g)
+            each.append(own.select(*[F.col(k) if k in g else F.lit(None).cast(df.schema[k].dataType).alias(k) for k in keys], F.lit(rolled).alias("level"), name))
+        once = reduce(DataFrame.unionAll, each)
         same = [out["level"] == once["level"], *[out[k].eqNullSafe(once[k]) for k in keys]]
         out = out.join(once.hint("merge"), same).select(*[out[c] for c in out.columns], once[name])
     return out.select(*keys, "level", "rows", "participants", "items", "mean", "median", "sd", "share_high")

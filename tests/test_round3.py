@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from test_queries import plain
 
 from quietgrid.functions import caps, risk
-from quietgrid.operators import flows, runs, select, sizes
+from quietgrid.operators import flows, runs, select, sizes, survey
 from quietgrid.plans import registry
 from quietgrid.sources import scans
 
@@ -132,3 +132,17 @@ def test_vector_is_summed_as_its_entries(spark):
     w = risk.weight_map(risk.DEFAULT_WEIGHTS)
     got = spark.range(1).select(risk.risk_score(v), risk.risk_score(v, w), risk.risk_score(other), risk.risk_score(other, w)).first()
     assert tuple(got) == (sum(i % 5 for i in range(13)), sum(i % 5 * risk.DEFAULT_WEIGHTS[a] for i, a in enumerate(risk.ATTRIBUTES)), 6.0, 12.0)
+
+
+def test_values_are_counted_once_a_grouping(spark, capsys):
+    rows = [("a", "x", 1, 5, 3), ("a", "y", 1, 6, 4), ("b", "x", 1, 5, 5), (None, "x", None, 5, 1), ("a", "x", 2, 7, 2)]
+    df = spark.createDataFrame(rows, "method string, variant string, session int, item int, rating int")
+    out = survey.rating_summary(df, [["method"], ["variant"], ["method", "variant"]], "rating", "session", "item")
+    out.explain()
+    # only the mean and the like are of grouping sets; distinct counts expand no row
+    assert capsys.readouterr().out.count("- Expand") == 1
+    got = {(r.method, r.variant, r.level): (r.participants, r.items) for r in out.collect()}
+    assert got == {
+        ("a", None, 1): (2, 3), ("b", None, 1): (1, 1), (None, None, 1): (0, 1), (None, "x", 2): (2, 2), (None, "y", 2): (1, 1),
+        ("a", "x", 0): (2, 2), ("a", "y", 0): (1, 1), ("b", "x", 0): (1, 1), (None, "x", 0): (0, 1),
+    }
