@@ -146,3 +146,12 @@ def test_values_are_counted_once_a_grouping(spark, capsys):
         ("a", None, 1): (2, 3), ("b", None, 1): (1, 1), (None, None, 1): (0, 1), (None, "x", 2): (2, 2), (None, "y", 2): (1, 1),
         ("a", "x", 0): (2, 2), ("a", "y", 0): (1, 1), ("b", "x", 0): (1, 1), (None, "x", 0): (0, 1),
     }
+
+
+def test_percentiles_share_one_count(spark, capsys):
+    df = spark.createDataFrame([("a", float(i), i == 0) for i in range(21)], "method string, total double, warm boolean")
+    out = runs.timing_summary(df, ["method"], ["total"], "warm")
+    assert tuple(out.first()) == ("a", "total", 10.5, 10.5, 19.05, 1.0, 20.0)
+    out.explain()
+    plan = capsys.readouterr().out
+    assert "percentile(ms" in plan and "median(" not in plan
