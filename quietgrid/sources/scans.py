@@ -130,7 +130,7 @@ def read_presence_xml(spark: SparkSession, path: str) -> DataFrame:
 
     each = F.array_append(F.coalesce("track", F.array().cast(TRACKS)), F.struct("_label", "box"))
     boxes = elements("track").schema(f"{TRACK}, track {TRACKS}").load(path).select("_metadata.file_name", F.explode(each).alias("t")).select("file_name", "t._label", F.explode("t.box").alias("b"))
-    label = F.regexp_replace(F.trim(F.lower(F.coalesce("_label", F.lit("")))), r"\s+", " ")
+    label = F.trim(F.regexp_replace(F.lower(F.coalesce("_label", F.lit(""))), r"\s+", " "))
     outside = F.lower(F.coalesce("b._outside", F.lit(""))).isin("1", "true", "yes")
     found = boxes.select("file_name", F.col("b._frame").alias("frame"), (label.isin(*PERSONS) & ~outside).cast("int").alias("present"))
     for tag in IMAGE_TAGS:

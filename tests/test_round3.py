@@ -85,7 +85,7 @@ def test_seconds_are_cut_not_rounded(spark, tmp_path):
 
 def test_presence_xml_is_read_by_elements(spark, tmp_path, capsys):
     frames = "".join(f'<frame number="{i}"><a><person x="1"/></a></frame>' for i in range(50))
-    (tmp_path / "A.xml").write_text(f'<d><track label=" Person "><box frame="60" outside="no"/><track label="car"><box frame="61"/></track></track>{frames}<frame num="70"><frame id="71"><bbox/></frame></frame></d>')
+    (tmp_path / "A.xml").write_text(f'<d><track label="&#9;Person "><box frame="60" outside="no"/><track label="car"><box frame="61"/></track></track>{frames}<frame num="70"><frame id="71"><bbox/></frame></frame></d>')
     (tmp_path / "B.xml").write_text(f'<d><image id="007"><s><points label="HUMAN" points="{"1.5,2.5;" * 50}"/></s></image><image id="8"><points label="human" outside="true"/></image><img name="x.jpg"/><img id="9"><object>cup</object></img></d>')
     df = scans.read_presence_xml(spark, str(tmp_path))
     got = {(r.sample, r.frame): r.present for r in df.collect()}
