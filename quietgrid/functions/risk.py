@@ -94,6 +94,11 @@ def risk_score(vec: Column, weights: Column | None = None) -> Column:
     return F.when(F.map_keys(vec) == F.array(*map(F.lit, ATTRIBUTES)), known).otherwise(other)
 
 
+def levels_score(levels: dict[str, Column], weights: dict[str, float] | None = None) -> Column:
+    """``risk_score`` of a vector whose levels are columns; no map is built."""
+    return reduce(lambda acc, a: acc + F.lit(float((weights or {}).get(a, 1.0))) * F.coalesce(levels[a], F.lit(4)), ATTRIBUTES, F.lit(0.0))
+
+
 def lex_key(vec: Column, order: tuple[str, ...] = LEX_ORDER) -> Column:
     return F.array(*[F.coalesce(vec[a], F.lit(0)) for a in order])
 

@@ -28,6 +28,11 @@ def sized(df: DataFrame, most: int = MOST_ROWS) -> DataFrame:
 PIECE = 500_000  # rows that one task sorts, about
 
 
+def pieces(df: DataFrame, n: int, rows: int = PIECE) -> int:
+    """How many partitions ``n`` rows of a table ask for; no fewer than the session's."""
+    return max(math.ceil(n / rows), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def dealt(df: DataFrame, *keys: str, rows: int = PIECE) -> DataFrame:
     """The table dealt by keys to as many partitions as its rows ask for, so that what one task holds does not grow with them; a table of few rows stays as it is."""
     n = math.ceil(df.count() / rows)

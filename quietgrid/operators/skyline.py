@@ -1,6 +1,8 @@
 """Pareto fronts: the rows that no other row of their request beats, at most as high everywhere and lower somewhere.
 
-Only distinct vectors are compared.  They are sorted in ranges of request and place on a curve that keeps near vectors
+Requests of at most ``SMALL`` rows are joined with themselves, in as many partitions as their rows ask for.
+
+Of larger ones only distinct vectors are compared.  They are sorted in ranges of request and place on a curve that keeps near vectors
 together; the requests within one batch of rows are settled side by side.  The vectors of larger requests form blocks.
 A block's own front is found first, then fronts are merged ``FAN`` at a time, in as many rounds as they keep shrinking.
 What is left in several blocks is compared by pairs of blocks, and only those whose corner points allow it: a block can
@@ -18,11 +20,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .sizes import pieces, sized
 from .tables import durable
 
 FAN = 16
 BLOCK = 4096
-SMALL = 64  # vectors of a request that is compared side by side with others
+SMALL = 64  # rows of a request that are compared side by side with others
 
 
 def front(v: np.ndarray) -> np.ndarray:
@@ -54,7 +57,9 @@ def _beaten(v: np.ndarray, by: np.ndarray) -> np.ndarray:
 
 
 def _matrix(columns: list[pa.Array]) -> np.ndarray:
-    return np.stack([c.cast(pa.float64()).to_numpy(zero_copy_only=False) for c in columns], axis=1) if len(columns[0]) else np.zeros((0, len(columns)))
+    """The vectors as rows; NaN is the greatest number, as it is in Spark."""
+    v = np.stack([c.cast(pa.float64()).to_numpy(zero_copy_only=False) for c in columns], axis=1) if len(columns[0]) else np.zeros((0, len(columns)))
+    return np.where(np.isnan(v), np.inf, np.minimum(v, np.finfo(float).max)) if np.isnan(v).any() else v
 
 
 def _fronts(v: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -155,10 +160,33 @@ def _by_corners(rows: DataFrame, request: str, attrs: list[str]) -> DataFrame:
     return rows.join(gone, same, "left_anti").select(request, *attrs)
 
 
+def _side_by_side(df: DataFrame, request: str, attrs: list[str], rows: int) -> DataFrame:
+    """Rows of ``df``, whose requests have few rows each and are not null, that no other row of their request beats."""
+    n = pieces(df, rows)
+    others = df.select(F.col(request).alias("_r"), *[F.col(a).alias(f"_a{i}") for i, a in enumerate(attrs)])
+    pairs = [(F.col(f"_a{i}"), df[a]) for i, a in enumerate(attrs)]
+    beats = reduce(lambda x, y: x & y, [o <= a for o, a in pairs]) & reduce(lambda x, y: x | y, [o < a for o, a in pairs])
+    return df.repartition(n, request).join(others.repartition(n, "_r").hint("merge"), (df[request] == F.col("_r")) & beats, "left_anti")
+
+
 def pareto_front(df: DataFrame, request: str, attrs: list[str], fan: int = FAN, block: int = BLOCK) -> DataFrame:
     """Rows of ``df`` that no other row of their request beats on ``attrs``; a row with a null among them is beaten and beats none."""
     known = reduce(lambda x, y: x & y, [F.col(a).isNotNull() for a in attrs])
-    vectors = df.where(known).select(request, *attrs).distinct()
+    df = df.where(known)
+    sizes = df.groupBy(request).agg(F.count("*").alias("n"))
+    large = F.col(request).isNull() | (F.col("n") > SMALL)
+    found = sizes.agg(F.sum("n"), F.count_if(large)).first()
+    if not found[1]:
+        return _side_by_side(df, request, attrs, found[0] or 0)
+    apart = sized(sizes.where(large).select(F.col(request).alias("_large")))
+    same = df[request].eqNullSafe(F.col("_large"))
+    few = _side_by_side(df.join(apart, same, "left_anti"), request, attrs, found[0])
+    return few.unionByName(_in_blocks(df.join(apart, same, "left_semi"), request, attrs, fan, block))
+
+
+def _in_blocks(df: DataFrame, request: str, attrs: list[str], fan: int, block: int) -> DataFrame:
+    """The same for rows without nulls and requests of any size."""
+    vectors = df.select(request, *attrs).distinct()
     place = _curve(vectors, request, attrs)
     ordered = vectors.repartitionByRange(F.col(request), place).sortWithinPartitions(F.col(request), place)
     first = durable(_first_pass(ordered, request, attrs), "fronts")
