@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sizes import dealt
+
 BUCKETS = 1024
 
 
@@ -32,27 +34,38 @@ def cells(df: DataFrame, start: Column, end: Column, levels: list[int]) -> DataF
     return df.select("*", F.inline(F.flatten(each)))
 
 
-def levels_of(*sides: tuple[DataFrame, Column, Column]) -> list[int]:
-    """The levels that occur, 64 at most."""
-    found = reduce(DataFrame.union, [df.select(_level(a, b).alias("level")).distinct() for df, a, b in sides]).distinct().collect()
-    return sorted(r.level for r in found if r.level is not None)
+def levels_of(*sides: tuple[DataFrame, Column, Column]) -> list[dict[int, int]]:
+    """The intervals of each side by level, 64 levels at most."""
+    found = reduce(DataFrame.union, [df.select(F.lit(i).alias("side"), _level(a, b).alias("level")) for i, (df, a, b) in enumerate(sides)]).groupBy("side", "level").count().collect()
+    return [{r.level: r["count"] for r in found if r.side == i and r.level is not None} for i in range(len(sides))]
+
+
+def _most_cells(sizes: dict[int, int], levels: list[int]) -> int:
+    """No fewer than the cells that intervals stand in."""
+    return sum(2 * n * sum(lv >= own for lv in levels) for own, n in sizes.items())
 
 
 def widest_overlap(rows: DataFrame, others: DataFrame, key: str, keys: list[str]) -> DataFrame:
     """(keys, overlap) of ``rows`` (keys, key, start, end): the most places that one of ``others`` (key, start, end) shares with each.
 
     A row that none overlaps has 0.  A pair that meets in two cells counts once, as the most of two equals is one.
+    Cells and rows are dealt to as many partitions as they ask for.
     """
     a, b = F.col("start"), F.col("end")
     others = others.select(key, "start", "end").where(a <= b)
-    levels = levels_of((rows.where(a <= b), a, b), (others, a, b))
-    left = cells(rows.where(a <= b), a, b, levels)
-    right = cells(others, a, b, levels).select(F.col(key).alias("_k"), F.col("start").alias("_a"), F.col("end").alias("_b"), F.col("level").alias("_l"), F.col("cell").alias("_c"), F.col("own").alias("_own"))
-    same = left[key].eqNullSafe(F.col("_k")) & (F.col("level") == F.col("_l")) & (F.col("cell") == F.col("_c")) & (F.col("own") | F.col("_own"))
+    mine, theirs = levels_of((rows.where(a <= b), a, b), (others, a, b))
+    every = sorted({*mine, *theirs})  # a pair meets at the higher of its levels, so below the other side's least none do
+    wide, narrow = [lv for lv in every if lv >= min(theirs, default=0)] or every, [lv for lv in every if lv >= min(mine, default=0)]
+    most = max(_most_cells(mine, wide), _most_cells(theirs, narrow))
+    at = F.struct(F.col(key), "level", "cell")  # equal where the key is null, too
+    left = dealt(cells(rows.where(a <= b), a, b, wide).select(*dict.fromkeys([*keys, "start", "end"]), at.alias("at"), "own"), "at", count=most)
+    right = dealt(cells(others, a, b, narrow).select(at.alias("_at"), F.col("start").alias("_a"), F.col("end").alias("_b"), F.col("own").alias("_own")), "_at", count=most)
+    same = (F.col("at") == F.col("_at")) & (F.col("own") | F.col("_own"))
     size = F.when(F.col("_a").isNotNull(), F.least(b, F.col("_b")) - F.greatest(a, F.col("_a")) + 1)
-    pairs = left.join(right.hint("merge"), same, "left").select(*keys, F.greatest(F.lit(0), F.coalesce(size, F.lit(0))).cast("long").alias("overlap"))
+    pairs = left.join(right.hint("merge"), same, "left").select("at", *keys, F.greatest(F.lit(0), F.coalesce(size, F.lit(0))).cast("long").alias("overlap"))
+    by_cell = pairs.groupBy("at", *keys).agg(F.max("overlap").alias("overlap")).drop("at")  # where the pairs are
     empty = rows.where(~F.coalesce(a <= b, F.lit(False))).select(*keys, F.lit(0).cast("long").alias("overlap"))
-    return pairs.unionByName(empty).groupBy(*keys).agg(F.max("overlap").alias("overlap"))
+    return dealt(by_cell.unionByName(empty), *keys, count=most).groupBy(*keys).agg(F.max("overlap").alias("overlap"))
 
 
 def overlap_runs(df: DataFrame, key: str, start: str, end: str, name: str = "run") -> DataFrame:

@@ -33,7 +33,10 @@ def pieces(df: DataFrame, n: int, rows: int = PIECE) -> int:
     return max(math.ceil(n / rows), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def dealt(df: DataFrame, *keys: str, rows: int = PIECE) -> DataFrame:
-    """The table dealt by keys to as many partitions as its rows ask for, so that what one task holds does not grow with them; a table of few rows stays as it is."""
-    n = math.ceil(df.count() / rows)
+def dealt(df: DataFrame, *keys: str, rows: int = PIECE, count: int | None = None) -> DataFrame:
+    """The table dealt by keys to as many partitions as its rows ask for, so that what one task holds does not grow with them; a table of few rows stays as it is.
+
+    ``count``: its rows, where they are known or bounded without a pass over it.
+    """
+    n = math.ceil((df.count() if count is None else count) / rows)
     return df.repartition(n, *keys) if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
