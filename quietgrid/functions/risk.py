@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The levels in order, the attributes, and their weights.
@@ -103,6 +103,9 @@ def lex_key(vec: Column, order: tuple[str, ...] = LEX_ORDER) -> Column:
     return F.array(*[F.coalesce(vec[a], F.lit(0)) for a in order])
 
 
+RESETS = ("drop_unmentioned", "remove_all_for_this_branch")
+
+
 def apply_effects(vec: Column, effects: Column) -> Column:
     """Folds operators' effects over a vector.
 
@@ -111,7 +114,7 @@ def apply_effects(vec: Column, effects: Column) -> Column:
     """
 
     def one(acc: Column, e: Column) -> Column:
-        reset = e["policy"].isin("drop_unmentioned", "remove_all_for_this_branch")
+        reset = e["policy"].isin(*RESETS)
 
         def level(k: Column, v: Column) -> Column:
             v = F.when(reset, F.lit(0)).otherwise(v)
@@ -125,6 +128,37 @@ def apply_effects(vec: Column, effects: Column) -> Column:
     return F.aggregate(effects, vec, one)
 
 
+def _authored(effect: dict, attribute: str, v: Column) -> Column:
+    """The level ``v`` of an attribute after an authored effect: only what the effect says of it becomes part of the plan."""
+    said = {k: (effect.get(k) or {}).get(attribute) for k in ("set", "reduce", "add")}
+    if effect.get("policy") in RESETS:
+        v = F.lit(0)
+    if said["set"] is not None:
+        v = F.coalesce(level_of(norm_risk(F.lit(said["set"]))).cast("int"), v)
+    if attribute in (effect.get("remove") or ()):
+        v = F.lit(0)
+    if said["reduce"] is not None:
+        v = reduce_risk(v, F.lit(said["reduce"]))
+    return F.greatest(v, F.lit(2)) if said["add"] == "may_increase" else v
+
+
+def apply_authored_effects(df: DataFrame, levels: dict[str, str], operators: list[list[tuple[Column, dict]]]) -> DataFrame:
+    """``apply_effects`` where the vector's levels are columns (attribute -> column) and effects are authored: a projection an operator, without maps and lambdas.
+
+    An operator is a list of (condition, effect as a dict of the struct's fields); the first condition that holds tells its
+    effect, and without one nothing changes.  Conditions must not depend on the levels.
+    """
+    for effects in operators:
+        after = {}
+        for a, c in levels.items():
+            v = F.col(c)
+            for condition, effect in reversed(effects):
+                v = F.when(condition, _authored(effect, a, F.col(c))).otherwise(v)
+            after[c] = v.cast("int")
+        df = df.withColumns(after)
+    return df
+
+
 # Weights that purposes set, in order, and the groups that add one.
 PURPOSE_WEIGHTS = (
     (("energy_management", "comfort_automation", "occupancy_estimation"), {"identity": 7.0, "face": 6.0, "speech_content": 7.0, "speaker_identity": 7.0, "trajectory": 6.0, "visible_text": 5.0, "aggregate_presence": 0.5, "activity": 1.5, "location": 1.5}),
