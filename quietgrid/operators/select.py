@@ -68,11 +68,13 @@ def ranking_order(method: str) -> list[Column]:
 METHODS = ("weighted", "pareto_then_weighted", "utility_aware_weighted", "utility_only", "no_least_revealing", "utility_first", "latency_first", "lexicographic", "first_feasible")
 
 
-def select_pipeline(df: DataFrame, request: str, method: str = "weighted") -> DataFrame:
-    """The best feasible candidate of each request."""
+def select_pipeline(df: DataFrame, request: str, method: str = "weighted", levels: list[str] | None = None) -> DataFrame:
+    """The best feasible candidate of each request; ``levels`` names the columns of the vector's levels, where the table has them beside ``vec``."""
     df = df.where("feasible")
     if method == "pareto_then_weighted":
-        df = pareto_front(df.withColumns({f"_{a}": F.col("vec")[a] for a in risk.ATTRIBUTES}), request, "candidate", [f"_{a}" for a in risk.ATTRIBUTES]).drop(*[f"_{a}" for a in risk.ATTRIBUTES])
+        names = levels or [f"_{a}" for a in risk.ATTRIBUTES]
+        held = df if levels else df.withColumns({f"_{a}": F.col("vec")[a] for a in risk.ATTRIBUTES})
+        df = pareto_front(held, request, "candidate", names).select(*df.columns)
     return first_per(df, [request], ranking_order(method)).drop("place")
 
 
