@@ -85,23 +85,28 @@ def rate_limit_stream(sdf: DataFrame, key: str, ms: str, period_ms: int, tie: st
 
 
 class _Trail(StatefulProcessor):
-    """Counts and sums over the rows of a trailing window, which are held by slots of time; a batch writes the slots it adds to."""
+    """Counts and sums over the rows of a trailing window, which are held as a list of pieces; a batch adds its own, and the list is written anew when half of it is too old.
 
-    SLOTS = 8
+    A call of the state costs more than the rows of most keys, so a key has few of them however long its rows last.
+    """
+
+    PIECE = 10_000  # rows in one entry of the list
 
     def __init__(self, key: str, ms: str, value: str, window: int, order: list[str], keep: list[str]):
         self.key, self.ms, self.value, self.window, self.order, self.keep = key, ms, value, window, order, keep
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.slots = handle.getMapState("slots", "slot long", "times array<long>, vals array<double>")
-        self.newest = handle.getValueState("newest", "newest long")
+        self.held = handle.getListState("held", "times array<long>, vals array<double>")
+
+    def _pieces(self, times: np.ndarray, values: np.ndarray) -> list[tuple]:
+        return [(times[i : i + self.PIECE].tolist(), values[i : i + self.PIECE].tolist()) for i in range(0, len(times), self.PIECE)]
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         own = pd.concat(list(rows)).sort_values(self.order, kind="stable")
         t, v = own[self.ms].to_numpy(np.int64), own[self.value].to_numpy(float)
-        held = {k[0]: (list(x[0]), list(x[1])) for k, x in self.slots.iterator()}
-        times, values = (np.array([x for s in sorted(held) for x in held[s][i]], dtype=d) for i, d in ((0, np.int64), (1, float)))
+        held = list(self.held.get())
+        times, values = (np.array([x for piece in held for x in piece[i]], dtype=d) for i, d in ((0, np.int64), (1, float)))
         by = np.argsort(times, kind="stable")
         times, values = times[by], values[by]
         sums = lambda x: np.concatenate([[0.0], np.cumsum(x)])
@@ -110,22 +115,19 @@ class _Trail(StatefulProcessor):
         total = sums(values)[-1] - sums(values)[old] + sums(v)[place] - sums(v)[new]
         yield own[self.keep].assign(n=len(times) - old + place - new, total=total)
         # what a row after the watermark can still ask for stays
-        width = max(1, self.window // self.SLOTS)
-        slot, floor = t // width, (timerValues.getCurrentWatermarkInMs() - self.window) // width
-        for s in np.unique(slot).tolist():
-            if s >= floor:
-                before = held.get(s, ([], []))
-                self.slots.updateValue((s,), (before[0] + t[slot == s].tolist(), before[1] + v[slot == s].tolist()))
-        for s in held:
-            if s < floor:
-                self.slots.removeKey((s,))
-        newest = max(int(t[-1]), (self.newest.get() or (int(t[-1]),))[0])
-        self.newest.update((newest,))
-        _end_at(self.handle, newest + self.window)
+        gone = int(np.searchsorted(times, timerValues.getCurrentWatermarkInMs() - self.window))
+        if gone and 2 * gone >= len(times):
+            self.held.put(self._pieces(np.append(times[gone:], t), np.append(values[gone:], v)))
+        else:
+            self.held.appendList(self._pieces(t, v))
+        newest = max(int(t[-1]), int(times[-1]) if held else int(t[-1]))
+        if held:
+            _end_at(self.handle, newest + self.window)
+        else:  # a key without rows has no timer
+            self.handle.registerTimer(newest + self.window)
 
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        self.slots.clear()
-        self.newest.clear()
+        self.held.clear()
         yield from ()
 
     def close(self) -> None:
